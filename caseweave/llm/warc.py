@@ -64,12 +64,14 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     heads = scratch.write(base.select("page_id", "digest", "payload_bytes"))
     roles = scratch.write(payload_roles(heads, min_bytes=min_bytes))
     revisits = heads.join(roles.hint("shuffle_merge"), ["digest", "payload_bytes"]).where("page_id IS NULL OR page_id < keeper")
-    revisits = scratch.write(revisits.select(F.col("page_id").alias("id"), F.col("digest").alias("d"), "keeper").distinct())
+    page_key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page_key")
+    revisits = scratch.write(revisits.select(page_key, "digest", "keeper").distinct())
     files = max(1, -(-(heads.agg(F.sum("payload_bytes")).first()[0] or 0) // file_bytes))
-    join = base["page_id"].eqNullSafe(revisits["id"]) & (base["digest"] == revisits["d"])
-    out = base.join(revisits.hint("shuffle_merge"), join, "left")
+    # the payloads are dealt once, into as many partitions as there are files
+    dealt = base.withColumn("page_key", page_key).repartition(files, "page_key", "digest")
+    out = dealt.join(revisits.hint("shuffle_merge"), ["page_key", "digest"], "left")
     record = record_text(F.col("page_id"), F.col("url"), F.col("payload"), F.col("digest"), F.col("keeper"))
-    out = out.select(record.alias("value")).repartition(files)
+    out = out.select(record.alias("value"))
     out.write.option("lineSep", END).option("compression", "gzip").text(path)
     scratch.drop(heads, roles, revisits)
 
