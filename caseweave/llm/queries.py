@@ -5,8 +5,9 @@ from __future__ import annotations
 from caseweave.llm.mixing import OP1_SQL, op1_mix
 from caseweave.llm.neardup import op3_near_duplicates
 from caseweave.llm.packing import op6_pack
+from caseweave.llm.suffixdedup import op5_suffix_dedup
 from caseweave.llm.urlrules import op4_url_rules
 from caseweave.llm.warc import OP10_SQL, op10_warc
 
-QUERIES = {"op1_mix": op1_mix, "op3_near_duplicates": op3_near_duplicates, "op4_url_rules": op4_url_rules, "op6_pack": op6_pack, "op10_warc": op10_warc}
+QUERIES = {"op1_mix": op1_mix, "op3_near_duplicates": op3_near_duplicates, "op4_url_rules": op4_url_rules, "op5_suffix_dedup": op5_suffix_dedup, "op6_pack": op6_pack, "op10_warc": op10_warc}
 SQL = {"op1_mix": OP1_SQL, "op10_warc": OP10_SQL}
