@@ -36,10 +36,10 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 
 def max_distance(similarity: float, deviations: float = 6.0) -> int:
-    """Largest XOR population count of two odd sketches that sets of at least this similarity show, but for ``deviations`` standard deviations of MinHash and of the bitmap."""
+    """Largest XOR population count of two odd sketches that sets of at least this similarity show, but for ``deviations`` standard deviations of MinHash; the bitmap's own noise is smaller and lies inside them."""
     low = max(0.0, similarity - deviations * math.sqrt(similarity * (1 - similarity) / SAMPLES))
     differing = 2 * SAMPLES * (1 - low)
-    return math.ceil(BITS / 2 * (1 - math.exp(-2 * differing / BITS)) + 3 * math.sqrt(BITS) / 2)
+    return math.ceil(BITS / 2 * (1 - math.exp(-2 * differing / BITS)))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -80,7 +80,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     the document's class to other classes. A class is all documents of one shingle set; one of them stands for all, so copies are never paired.
     Classes that share one of ``BANDS`` keys of ``ROWS`` MinHash values are candidates: a pair at the threshold 0.8
     is missed with probability 3e-6. A band's bucket is searched by leaders, never by all its pairs: every member
-    is held against the leader, pairs already in one component or too far apart by length or odd sketch are dropped, the others are confirmed on their
+    is held against the leader (first the class that shares most buckets with others, so the likely origin of a group of copies), pairs already in one component or too far apart by length or odd sketch are dropped, the others are confirmed on their
     full sets; buckets that then still hold several components go on with four times the leaders, until every pair
     that could join two components was held against each other.
 
@@ -93,8 +93,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     classes = all_rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("low"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     classes = scratch.write(classes)
     banded = classes.select("cls", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
+    shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = scratch.write(banded.join(shared.hint("shuffle_merge"), "band"))
+    # a class that meets many others in its buckets is likely the one that they were copied from: it leads first
+    score = members.groupBy("cls").agg(F.sum("size").alias("score"))
+    scored = scratch.write(members.select("band", "cls").join(score.hint("shuffle_merge"), "cls"))
+    scratch.drop(members)
+    members = scored
     involved = members.select("cls").distinct()
     features = scratch.write(classes.drop("bands").join(involved.hint("shuffle_merge"), "cls"))
     # the texts of the classes in question; a null id is no key, so such classes give all their texts and one is kept
@@ -110,7 +115,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     leaders_a_bucket = 1
     while True:
         slot = F.pmod(F.xxhash64("cls", F.lit(leaders_a_bucket)), F.lit(leaders_a_bucket))
-        leaders = labelled.groupBy("band", slot.alias("slot")).agg(F.min_by("comp", "cls").alias("comp2"), F.min("cls").alias("cls2")).drop("slot")
+        leaders = labelled.groupBy("band", slot.alias("slot")).agg(F.max(F.struct("score", "cls", "comp")).alias("first"))
+        leaders = leaders.select("band", F.col("first.cls").alias("cls2"), F.col("first.comp").alias("comp2"))
         leaders = scratch.write(leaders)
         open_ = labelled.join(leaders.hint("shuffle_merge"), "band").where("cls <> cls2 AND comp <> comp2")
         pairs = scratch.write(open_.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct())
@@ -126,8 +132,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
         links = confirmed if links is None else links.union(confirmed)
         comps = scratch.write(connected_components(links))
         # a leader has met its whole bucket; buckets with one component left are settled
-        rest = labelled.join(leaders.select("band", F.col("cls2").alias("cls")).hint("shuffle_merge"), ["band", "cls"], "left_anti").select("band", "cls")
-        rest = scratch.write(rest.join(comps.select(F.col("node").alias("cls"), "component").hint("shuffle_merge"), "cls", "left").select("band", "cls", F.coalesce("component", "cls").alias("comp")))
+        rest = labelled.join(leaders.select("band", F.col("cls2").alias("cls")).hint("shuffle_merge"), ["band", "cls"], "left_anti").select("band", "cls", "score")
+        rest = scratch.write(rest.join(comps.select(F.col("node").alias("cls"), "component").hint("shuffle_merge"), "cls", "left").select("band", "cls", "score", F.coalesce("component", "cls").alias("comp")))
         mixed = rest.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
         following = scratch.write(rest.join(mixed.hint("shuffle_merge"), "band", "left_semi"))
         scratch.drop(leaders, pairs, near, rest, *done)
