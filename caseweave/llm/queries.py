@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+from caseweave.llm.fingerprint import op2_fingerprint
+from caseweave.llm.langid import language_of_pages, op7_language
 from caseweave.llm.mixing import OP1_SQL, op1_mix
 from caseweave.llm.neardup import op3_near_duplicates
 from caseweave.llm.packing import op6_pack
+from caseweave.llm.quality import op9_quality
 from caseweave.llm.suffixdedup import op5_suffix_dedup
+from caseweave.llm.topk import OP8_SQL, op8_top_k
 from caseweave.llm.urlrules import op4_url_rules
 from caseweave.llm.warc import OP10_SQL, op10_warc
 
-QUERIES = {"op1_mix": op1_mix, "op3_near_duplicates": op3_near_duplicates, "op4_url_rules": op4_url_rules, "op5_suffix_dedup": op5_suffix_dedup, "op6_pack": op6_pack, "op10_warc": op10_warc}
-SQL = {"op1_mix": OP1_SQL, "op10_warc": OP10_SQL}
+QUERIES = {
+    "op1_mix": op1_mix,
+    "op2_fingerprint": op2_fingerprint,
+    "op3_near_duplicates": op3_near_duplicates,
+    "op4_url_rules": op4_url_rules,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_pack": op6_pack,
+    "op7_language": op7_language,
+    "op8_top_k": op8_top_k,
+    "op9_quality": op9_quality,
+    "op10_warc": op10_warc,
+    "language_of_pages": language_of_pages,
+}
+
+SQL = {"op1_mix": OP1_SQL, "op8_top_k": OP8_SQL, "op10_warc": OP10_SQL}
