@@ -341,13 +341,13 @@ def _(documents):
 
 @query("sim6_composite", "caserec", sql="""WITH s AS (SELECT case_id, unnest(signatures) AS g FROM caserec), p AS (SELECT DISTINCT x.case_id AS case_a, y.case_id AS case_b FROM s x JOIN s y USING (g) WHERE x.case_id < y.case_id),
 j AS (SELECT case_a, case_b,
- round(0.7 * len(list_intersect(a.signatures, b.signatures)) / len(list_distinct(a.signatures || b.signatures)) + 0.3 * (1 - least(abs(a.overkill - b.overkill) / 10.0, 1.0)), 4) AS signature,
- round(((1 - least(abs(a.victim_age - b.victim_age) / 50.0, 1.0)) + (a.victim_gender = b.victim_gender)::INT + (CASE WHEN a.victim_occupation = b.victim_occupation THEN 1.0 ELSE 0.0 END) + (a.victim_risk = b.victim_risk)::INT) / 4, 4) AS victim,
- round(((a.approach = b.approach)::INT + (a.control = b.control)::INT + 1.0 + CASE WHEN a.weapon <> '' AND b.weapon <> '' THEN (a.weapon = b.weapon)::INT ELSE 0.5 END) / 4, 4) AS method
+ round(0.7e0 * (len(list_intersect(a.signatures, b.signatures)) / len(list_distinct(a.signatures || b.signatures))) + 0.3e0 * (1 - least(abs(a.overkill - b.overkill) / 10e0, 1e0)), 12) AS signature,
+ round(((1 - least(abs(a.victim_age - b.victim_age) / 50.0, 1.0)) + (a.victim_gender = b.victim_gender)::INT + (CASE WHEN a.victim_occupation = b.victim_occupation THEN 1.0 ELSE 0.0 END) + (a.victim_risk = b.victim_risk)::INT) / 4, 12) AS victim,
+ round(((a.approach = b.approach)::INT + (a.control = b.control)::INT + 1.0 + CASE WHEN a.weapon <> '' AND b.weapon <> '' THEN (a.weapon = b.weapon)::INT ELSE 0.5 END) / 4, 12) AS method
  FROM p JOIN caserec a ON a.case_id = case_a JOIN caserec b ON b.case_id = case_b)
 SELECT case_a, case_b, round(100 * (0.40 * signature + 0.20 * victim + 0.15 * method), 6) AS score FROM j""")
 def _(caserec):
-    out = linkage.score_pairs(caserec, linkage.signature_pairs(caserec))
+    out = linkage.score_pairs(caserec, linkage.signature_pairs(caserec), digits=12)
     return out.select("case_a", "case_b", F.round(100 * (0.40 * F.col("signature") + 0.20 * F.col("victim") + 0.15 * F.col("method")), 6).alias("score"))
 
 

@@ -53,8 +53,8 @@ def case_links(cases: DataFrame, cosine: DataFrame | None = None, minimum: float
     return scored.where(F.col("score") >= minimum)
 
 
-def score_pairs(cases: DataFrame, pairs: DataFrame, cosine: DataFrame | None = None) -> DataFrame:
-    """Composite score and its parts of pairs (case_a, case_b)."""
+def score_pairs(cases: DataFrame, pairs: DataFrame, cosine: DataFrame | None = None, digits: int = 4) -> DataFrame:
+    """Composite score and its parts, rounded to ``digits``, of pairs (case_a, case_b)."""
     left, right = cases.select([F.col(c).alias(f"{c}_a") for c in cases.columns]), cases.select([F.col(c).alias(f"{c}_b") for c in cases.columns])
     j = pairs.join(left, F.col("case_a") == F.col("case_id_a")).join(right, F.col("case_b") == F.col("case_id_b"))
     if cosine is not None:
@@ -62,7 +62,7 @@ def score_pairs(cases: DataFrame, pairs: DataFrame, cosine: DataFrame | None = N
     else:
         j = j.withColumn("cosine", F.lit(0.0))
     a, b = (lambda n: F.col(f"{n}_a")), (lambda n: F.col(f"{n}_b"))
-    j = j.withColumns({"signature": F.round(signature_similarity(a, b), 4), "victim": F.round(victim_similarity(a, b), 4), "method": F.round(method_similarity(a, b), 4)})
+    j = j.withColumns({"signature": F.round(signature_similarity(a, b), digits), "victim": F.round(victim_similarity(a, b), digits), "method": F.round(method_similarity(a, b), digits)})
     j = j.withColumn("score", composite(F.col("signature"), F.col("cosine"), F.col("victim"), F.col("method")))
     return j.select("case_a", "case_b", "score", "signature", "cosine", "victim", "method")
 
