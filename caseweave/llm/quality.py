@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+import operator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from caseweave.plans.scratch import Scratch
 
@@ -16,21 +20,33 @@ SAMPLE = 20_000
 STATISTICS = ("log_chars", "word_length", "symbols", "digits", "capitals", "pipes", "bangs", "repeats", "distinct", "line_words", "marks")
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text, each a built-in expression; all defined, 0 or 1, for null and empty texts."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.length(t), F.lit(1))
-    words = F.filter(F.split(t, r"[\s]+"), lambda w: w != "")
-    count = F.greatest(F.size(words), F.lit(1))
-    without = lambda pattern: (F.length(t) - F.length(F.regexp_replace(t, pattern, ""))) / n
-    plain = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))) / n
-    lowered = F.transform(words, lambda w: F.lower(w))
-    again = F.size(F.filter(F.zip_with(F.slice(lowered, 2, F.greatest(F.size(lowered) - 1, F.lit(0))), F.slice(lowered, 1, F.greatest(F.size(lowered) - 1, F.lit(0))), lambda a, b: a == b), lambda x: x))
-    return {
-        "log_chars": F.log1p(F.length(t).cast("double")), "word_length": F.length(t) / count, "symbols": plain("#$%&*@^~_=+<>[]{}\\/"), "digits": plain("0123456789"),
-        "capitals": without(r"[^A-Z]") * -1 + 1, "pipes": plain("|"), "bangs": plain("!"), "repeats": again / count, "distinct": F.size(F.array_distinct(lowered)) / count,
-        "line_words": count / (F.length(t) - F.length(F.translate(t, "\n", "")) + 1), "marks": plain(".,"),
+_CLASSES = {"symbols": b"#$%&*@^~_=+<>[]{}\\/", "digits": b"0123456789", "capitals": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "pipes": b"|", "bangs": b"!", "marks": b".,"}
+
+
+def text_statistics(text: str) -> tuple[float, ...]:
+    """The ``STATISTICS`` of one whole text, in their order; all are defined for the empty text."""
+    counts = np.bincount(np.frombuffer(text.encode("utf-8", "ignore"), np.uint8), minlength=256)
+    words = text.lower().split()
+    n, count = max(1, len(text)), max(1, len(words))
+    share = {name: int(counts[list(chars)].sum()) / n for name, chars in _CLASSES.items()}
+    share |= {
+        "log_chars": math.log1p(len(text)), "word_length": len(text) / count, "repeats": sum(map(operator.eq, words, words[1:])) / count,
+        "distinct": len(set(words)) / count, "line_words": count / (int(counts[10]) + 1),
     }
+    return tuple(share[name] for name in STATISTICS)
+
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """doc_id and the ``STATISTICS`` of each whole text; a null text counts as an empty one."""
+    rows = docs.select("doc_id", "text")
+    names = ["doc_id", *STATISTICS]
+
+    def measured(batches):
+        for batch in batches:
+            found = [text_statistics(t.as_py() or "") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in found], pa.float64()) for i in range(len(STATISTICS)))], names)
+
+    return rows.mapInArrow(measured, StructType([rows.schema["doc_id"], *(StructField(name, DoubleType()) for name in STATISTICS)]))
 
 
 def tree_paths(node, names) -> list[tuple[tuple[str, bool, float], ...]]:
@@ -96,8 +112,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3,
     that are missing are not used, repeated labels each count. Null and empty texts have statistics and so a score. Repeated documents are each scored. No labels give the score 0.5.
     """
     scratch = Scratch(docs.sparkSession)
-    stats = statistics(F.col("text"))
-    rows = scratch.write(docs.select(F.col("doc_id"), *[c.cast("double").alias(name) for name, c in stats.items()]))
+    rows = scratch.write(statistics(docs))
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("double").alias("label"))
     train = rows.where(~held_out(F.col("doc_id"))).join(known.hint("shuffle_merge"), "doc_id")
     picked = train.orderBy(F.xxhash64("doc_id"), "label").limit(sample).coalesce(2)
