@@ -12,14 +12,16 @@ from caseweave.llm.packing import default_tokenizer, pack_documents
 from caseweave.llm.suffixdedup import remove_repeats
 from caseweave.plans.scratch import Scratch
 
-_ROW = F.xxhash64("doc_id", "text").alias("_row")
+def _row():
+    return F.xxhash64("doc_id", "text").alias("_row")
+
 
 
 def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no letters, or no language likely enough) go; the others stay as they are."""
     found = identify(document_evidence(docs).withColumn("id", F.xxhash64(F.col("id"), F.col("text"))))
     rejected = Scratch(spark).write(found.where(~F.col("accepted")).select(F.col("id").alias("_row")).distinct())
-    return docs.withColumn("_row", _ROW).join(rejected.hint("shuffle_merge"), "_row", "left_anti").select(docs.columns)
+    return docs.withColumn("_row", _row()).join(rejected.hint("shuffle_merge"), "_row", "left_anti").select(docs.columns)
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def suffix_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, whole: 150% of all words, sources weighted 5, 2, 1 in turn, none over two epochs."""
-    keyed = docs.withColumn("_row", _ROW)
+    keyed = docs.withColumn("_row", _row())
     taken = mix(keyed, cycle_weights(docs), id_col="_row", boundary="nearest").groupBy(F.col("id").alias("_row")).agg(F.max("whole").alias("_whole"))
     taken = Scratch(spark).write(taken.where("_whole > 0"))
     out = keyed.join(taken.hint("shuffle_merge"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_whole"))))
