@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from caseweave import sources
 from caseweave.functions import band, haversine_km
-from caseweave.operators import audit, detect, graph, linkage, report, text
+from caseweave.operators import audit, detect, graph, linkage, report, resolution, series, text
 from caseweave.plans.fixpoint import connected_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -389,4 +389,204 @@ def _(ent):
     return nodes.select("norm", "cases", F.round(graph.cross_case_score(F.col("cases"), F.col("total")), 6).alias("score"))
 
 
+_FAMILY_SQL = "SELECT doc_id, unnest([" + ", ".join("{'family': '" + f + "', 'matches': " + " + ".join(f"least(3, len(regexp_extract_all(text, '(?i){p}')))" for p in ps) + f", 'weight': {w}" + "}" for f, (w, ps) in series.SIGNATURE_FAMILIES.items()) + "], recursive := true) FROM documents"
+_RISK_SQL = "[" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{r}' END" for r, p in series.RISKS.items()) + "]"
+_GENDER_SQL = "[" + ", ".join("CASE WHEN " + " + ".join(rf"regexp_matches(lower(text), '\b{t}\b')::INT" for t in ts) + f" >= 2 THEN '{g}' END" for g, ts in series.GENDER_TERMS.items()) + "]"
+_AGE_SQL = " || ".join(f"regexp_extract_all(lower(text), '{p}', 1)" for p in series.AGES)
+
+
+@query("txt31_signature_families", "", "documents", sql=f"SELECT doc_id, family, matches::INT AS matches, round(least(0.5 + 0.15 * matches, 0.95), 6)::DOUBLE AS confidence, weight::DOUBLE AS weight FROM ({_FAMILY_SQL}) WHERE matches > 0")
+def _(documents):
+    return series.signature_families(documents).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("agg18_common_families", "", "documents", sql=f"SELECT count(*) AS common, round(count(*) / 7.0, 6)::DOUBLE AS overlap FROM (SELECT family FROM ({_FAMILY_SQL}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) WHERE matches > 0 GROUP BY 1 HAVING count(DISTINCT source) >= 2)")
+def _(documents):
+    found = series.signature_families(documents).join(documents.select("doc_id", F.col("source").alias("case_id")), "doc_id")
+    return series.common_families(found).withColumn("overlap", F.round("overlap", 6))
+
+
+_METHOD_SQL = "SELECT doc_id, unnest([" + ", ".join(
+    [f"{{'dim': '{d}', 'n': len(list_filter([" + ", ".join(f"'{w}'" for w in ws) + "], lambda w: contains(lower(text), w)))}" for d, ws in series.METHOD_WORDS.items()]
+    + [f"{{'dim': '{d}', 'n': " + " + ".join(f"least(3, len(regexp_extract_all(lower(text), '{p}')))" for p in ps) + "}" for d, ps in series.METHOD_PATTERNS.items()]
+) + "], recursive := true) FROM documents"
+
+
+@query("txt28_method_indicators", "", "documents", sql=f"SELECT doc_id, dim, n::INT AS n FROM ({_METHOD_SQL}) WHERE n > 0")
+def _(documents):
+    return series.method_indicators(documents).select("doc_id", "dim", F.size("hits").alias("n"))
+
+
+@query("txt29_victim_signals", "", "documents", sql=rf"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform({_AGE_SQL}, lambda x: x::INT), lambda x: x BETWEEN 10 AND 100))), ',') AS ages,
+array_to_string(list_filter({_GENDER_SQL}, lambda x: x IS NOT NULL), ',') AS genders, array_to_string(list_filter({_RISK_SQL}, lambda x: x IS NOT NULL), ',') AS risks FROM documents""")
+def _(documents):
+    return series.victim_signals(documents).select("doc_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("ages", "genders", "risks")])
+
+
+@query("txt32_victim_line", "", "documents", sql=rf"SELECT doc_id, nullif(trim(regexp_extract(v, '^(.+?)\s*,', 1)), '') AS name, TRY_CAST(regexp_extract(v, '(\d{{1,2}})\s*,', 1) AS INT) AS age, nullif(trim(regexp_extract(v, '\d{{1,2}}\s*,\s*(.+)', 1)), '') AS occupation FROM (SELECT doc_id, regexp_extract(text, '{series.VICTIM_LINE}', 1) AS v FROM documents)")
+def _(documents):
+    return series.victim_line(documents)
+
+
+@query("agg19_victim_roll_up", "caserec", sql="SELECT min(victim_age) AS lowest, max(victim_age) AS highest, max(victim_age) - min(victim_age) AS spread, count(DISTINCT victim_occupation) AS occupations, count(victim_age) / count(DISTINCT case_id) AS score FROM caserec")
+def _(caserec):
+    return series.victim_roll_up(caserec.select("case_id", F.col("victim_age").alias("age"), F.col("victim_occupation").alias("occupation")))
+
+
+def _header_sql() -> str:
+    first = lambda ps: "substring(coalesce(" + ", ".join(f"nullif(trim(regexp_extract(text, '(?i){p}', 1)), '')" for p in ps) + ", ''), 1, 200)"
+    return "SELECT doc_id, " + ", ".join(f"{first(ps)} AS {f}" for f, ps in text.HEADER.items()) + r" FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')"
+
+
+@query("txt21_case_header", "", "documents", sql=_header_sql())
+def _(documents):
+    return text.case_header(documents.where(~F.col("text").rlike(r"[^\x00-\x7F]"))).select("doc_id", *text.HEADER)
+
+
+@query("agg15_shared_locations", "presence", sql="""WITH p AS (SELECT DISTINCT slot AS case_id, location FROM presence), n AS (SELECT count(DISTINCT case_id) AS cases FROM p),
+s AS (SELECT count(*) AS shared FROM (SELECT location FROM p GROUP BY 1 HAVING count(*) >= 2)), q AS (SELECT count(*) AS pairs FROM (SELECT DISTINCT x.case_id, y.case_id FROM p x JOIN p y USING (location) WHERE x.case_id < y.case_id))
+SELECT cases, shared, round(pairs / (CASE WHEN cases > 1 THEN cases * (cases - 1) / 2 ELSE 1 END), 3) AS score FROM n, s, q""")
+def _(presence):
+    return series.shared_locations(presence.select(F.col("slot").alias("case_id"), F.col("location").cast("string").alias("name")))
+
+
+_LINKS_SQL = "SELECT entity_type, count(*) AS shared FROM (SELECT entity_type, lower(name) AS name FROM ent GROUP BY 1, 2 HAVING count(DISTINCT case_id) >= 2) GROUP BY ROLLUP (entity_type)"
+
+
+@query("agg16_entity_links", "ent", sql=_LINKS_SQL)
+def _(ent):
+    return series.entity_links(ent)
+
+
+_OVERLAP_SQL = """WITH t AS (SELECT DISTINCT day AS case_id, k AS term FROM ev WHERE event_type = 'error'), z AS (SELECT case_id, count(*) AS n FROM t GROUP BY 1), c AS (SELECT count(*) AS cases FROM z),
+b AS (SELECT x.case_id AS a, y.case_id AS b, count(*) AS n FROM t x JOIN t y USING (term) WHERE x.case_id < y.case_id GROUP BY 1, 2), j AS (SELECT coalesce(sum(b.n / (za.n + zb.n - b.n)), 0) AS total FROM b JOIN z za ON za.case_id = a JOIN z zb ON zb.case_id = b.b),
+m AS (SELECT count(*) AS common FROM (SELECT term FROM t GROUP BY 1 HAVING count(*) = (SELECT cases FROM c)))"""
+
+
+def _error_terms(ev: DataFrame) -> DataFrame:
+    return ev.where("event_type = 'error'").select(F.col("day").alias("case_id"), F.col("k").cast("string").alias("term"))
+
+
+@query("agg17_signature_overlap", "ev", sql=_OVERLAP_SQL + " SELECT cases, round(CASE WHEN cases > 1 THEN total / (cases * (cases - 1) / 2) ELSE 0 END, 6) AS mean_overlap, common FROM c, j, m")
+def _(ev):
+    return series.signature_overlap(_error_terms(ev)).withColumn("mean_overlap", F.round("mean_overlap", 6))
+
+
+@query("sim14_series_summary", "ev ent")
+def _(ev, ent):
+    """One row: the parts and the composite score of all cases as one series."""
+    errors = _error_terms(ev)
+    links = series.entity_links(ent).where("entity_type IS NULL").select("shared")
+    place = series.shared_locations(errors.select("case_id", F.col("term").alias("name"))).select(F.col("score").alias("location"))
+    both = series.signature_overlap(errors).crossJoin(F.broadcast(place)).crossJoin(F.broadcast(links))
+    score = series.series_score(F.col("shared") / F.greatest("cases", F.lit(1)), F.col("location"), F.col("mean_overlap"), F.lit(False))
+    return both.select("cases", "shared", "location", F.round("mean_overlap", 6).alias("mean_overlap"), F.round(score, 6).alias("score"), series.series_band(score).alias("band"))
+
+
+@query("sim10_text_links", "caserec", sql="""WITH s AS (SELECT case_id, unnest(signatures) AS g FROM caserec), p AS (SELECT DISTINCT x.case_id AS case_a, y.case_id AS case_b FROM s x JOIN s y USING (g) WHERE x.case_id < y.case_id),
+j AS (SELECT case_a, case_b, len(list_intersect(a.signatures, b.signatures)) / len(list_distinct(a.signatures || b.signatures)) AS signature,
+ (CASE WHEN a.weapon <> '' OR b.weapon <> '' THEN (a.weapon = b.weapon)::INT / 1.0e0 ELSE 0 END) AS method,
+ (greatest(0, 1 - abs(a.victim_age - b.victim_age) / 15.0e0) + (a.victim_gender = b.victim_gender)::INT + (a.victim_risk = b.victim_risk)::INT) / 3 AS victim
+ FROM p JOIN caserec a ON a.case_id = case_a JOIN caserec b ON b.case_id = case_b)
+SELECT case_a, case_b, round(0.40e0 * signature + 0.25e0 * method + 0.20e0 * victim, 6) AS score FROM j WHERE signature > 0.1""")
+def _(caserec):
+    empty = F.array().cast("array<string>")
+    methods = F.when(F.col("weapon") == "", F.create_map().cast("map<string,array<string>>")).otherwise(F.create_map(F.lit("weapon"), F.array("weapon")))
+    cases = caserec.select("case_id", F.col("signatures").alias("terms"), empty.alias("names"), methods.alias("methods"), F.array("victim_age").alias("ages"), F.array("victim_gender").alias("genders"), F.array("victim_risk").alias("risks"))
+    return series.text_links(cases, 0.0).where("signature > 0.1").select("case_a", "case_b", F.round("score", 6).alias("score"))
+
+
+_CLUSTER_SQL = """WITH l AS (SELECT a AS case_a, b AS case_b, weight AS score FROM trade), c AS (SELECT n_nationkey AS case_id, n_nationkey % 5 AS cluster, n_regionkey::VARCHAR AS region FROM nation),
+m AS (SELECT cluster, count(*) AS members, count(DISTINCT region) AS regions FROM c GROUP BY 1),
+s AS (SELECT cluster, avg(score) AS avg_score, max(score) AS max_score, arg_min(case_a, (-score, case_a, case_b)) AS anchor_a, arg_min(case_b, (-score, case_a, case_b)) AS anchor_b FROM l JOIN c ON case_a = case_id GROUP BY 1)
+SELECT cluster, members, round(avg_score, 6) AS avg_score, max_score, anchor_a, anchor_b, regions, regions > 1 AS cross_region FROM m JOIN s USING (cluster)"""
+
+
+@query("agg20_cluster_roll_up", "trade", "nation", sql=_CLUSTER_SQL)
+def _(trade, nation):
+    links = trade.select(F.col("a").alias("case_a"), F.col("b").alias("case_b"), F.col("weight").alias("score"))
+    cases = nation.select(F.col("n_nationkey").alias("case_id"), (F.col("n_nationkey") % 5).alias("cluster"), F.col("n_regionkey").cast("string").alias("region"))
+    return series.cluster_roll_up(links, cases.select("case_id", "cluster"), cases.select("case_id", "region")).withColumn("avg_score", F.round("avg_score", 6))
+
+
+#: Every user whose number ends in 1 or 2 is merged into the one that ends in 0.
+_TO = "CASE WHEN {0} % 10 IN (1, 2) THEN {0} - {0} % 10 ELSE {0} END"
+
+
+def _merged(hop: DataFrame) -> DataFrame:
+    users = hop.select(F.explode(F.array("src", "dst")).alias("u")).distinct().where("u % 10 IN (1, 2)")
+    return resolution.survivors(users.select((F.col("u") - F.col("u") % 10).alias("primary"), F.col("u").alias("secondary")))
+
+
+@query("er4_apply_merges", "hop", sql=f"""WITH u AS (SELECT src AS id FROM hop UNION SELECT dst FROM hop UNION SELECT id - id % 10 FROM (SELECT src AS id FROM hop UNION SELECT dst FROM hop) WHERE id % 10 IN (1, 2))
+SELECT {_TO.format('id')} AS entity_id, array_to_string(list_sort(list('u' || id) FILTER (id % 10 IN (1, 2))), ',') AS aliases, count(*) FILTER (id % 10 IN (1, 2)) AS merges, least(1.0, round(0.5 + 0.1 * count(*) FILTER (id % 10 IN (1, 2)), 6))::DOUBLE AS confidence FROM u GROUP BY 1""")
+def _(hop):
+    merged = _merged(hop)
+    ids = hop.select(F.explode(F.array("src", "dst")).alias("entity_id")).union(merged.select("survivor")).distinct()
+    entities = ids.select("entity_id", F.lit("Person").alias("entity_type"), F.concat(F.lit("u"), "entity_id").alias("name"), F.lit(None).cast("array<string>").alias("aliases"), F.lit(0.5).alias("confidence"))
+    out = resolution.merge_entities(entities, merged)
+    return out.select("entity_id", F.nullif(F.array_join("aliases", ","), F.lit("")).alias("aliases"), "merges", F.round("confidence", 6).alias("confidence"))
+
+
+@query("er5_merged_edges", "hop", sql=f"""WITH e AS (SELECT {_TO.format('src')} AS s, {_TO.format('dst')} AS d, event_type AS rel_type, CASE WHEN src % 10 IN (1, 2) THEN least(weight * 1.2, 10) ELSE weight END AS w, dst % 10 IN (1, 2) AS again FROM hop)
+SELECT least(s, d) AS a, greatest(s, d) AS b, rel_type, round(max(CASE WHEN again THEN least(w * 1.2, 10) ELSE w END), 6) AS weight FROM e GROUP BY 1, 2, 3""")
+def _(hop):
+    edges = hop.select("src", "dst", F.col("event_type").alias("rel_type"), "weight")
+    return resolution.redirect_edges(edges, _merged(hop)).withColumn("weight", F.round("weight", 6))
+
+
+@query("er7_flag_unresolved", "ent", sql="WITH f AS (SELECT *, bool_or(unresolved) OVER (PARTITION BY entity_id) AS flagged FROM ent) SELECT entity_id, round(CASE WHEN flagged THEN greatest(0.1, confidence - 0.3) ELSE confidence END, 6)::DOUBLE AS confidence, CASE WHEN flagged THEN 'unresolved' ELSE 'resolved' END AS status, CASE WHEN flagged THEN 'returned' END AS reason FROM f")
+def _(ent):
+    flags = ent.where("unresolved").select("entity_id", F.lit("returned").alias("reason"))
+    return resolution.flag_unresolved(ent.select("entity_id", "confidence"), flags).withColumn("confidence", F.round("confidence", 6)).select("entity_id", "confidence", "status", "reason")
+
+
+@query("er8_history", "", "events", sql="SELECT event_id, event_type AS action FROM events WHERE event_type IN ('purchase', 'error') ORDER BY ts DESC, event_id DESC LIMIT 50")
+def _(events):
+    log = events.select(F.col("event_id").alias("log_id"), F.col("event_type").alias("action"), "ts")
+    return resolution.history(log, ("purchase", "error")).select(F.col("log_id").alias("event_id"), "action")
+
+
+@query("er9_gate", "ent", sql="SELECT CASE WHEN confidence < 0.95 THEN 'review' ELSE 'auto' END AS decision, count(*) AS n FROM ent GROUP BY 1")
+def _(ent):
+    return ent.groupBy(resolution.gated(F.lit("auto"), F.col("confidence")).alias("decision")).agg(F.count("*").alias("n"))
+
+
+@query("er10_for_graph", "ent", sql="SELECT entity_id FROM ent WHERE confidence >= 0.6")
+def _(ent):
+    return resolution.for_graph(ent.withColumn("is_reviewed", F.lit(None).cast("boolean"))).select("entity_id")
+
+
+@query("det12_long_circular_flows", "flow", sql="""WITH e AS (SELECT src, dst, list(DISTINCT case_id) AS cs FROM flow GROUP BY 1, 2)
+SELECT w.src || '-' || x.src || '-' || y.src || '-' || z.src AS path, len(list_distinct(w.cs || x.cs || y.cs || z.cs))::INT AS cases
+FROM e w JOIN e x ON w.dst = x.src JOIN e y ON x.dst = y.src JOIN e z ON y.dst = z.src AND z.dst = w.src WHERE w.src < x.src AND w.src < y.src AND w.src < z.src AND x.src <> y.src AND x.src <> z.src AND y.src <> z.src""")
+def _(flow):
+    return detect.long_circular_flows(flow).select(F.array_join("path", "-").alias("path"), "cases")
+
+
+_ROLE_SQL = """WITH e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, event_type, sum(weight) AS w, CASE WHEN event_type = 'error' THEN 0.5e0 ELSE 0 END AS severity FROM hop GROUP BY 1, 2, 3),
+p AS (SELECT a, b, avg(w) * CASE WHEN max(severity) > 0 THEN 0.7e0 + 0.3e0 * max(severity) ELSE 1 END AS worth FROM e GROUP BY 1, 2), n AS (SELECT node, sum(worth) AS severity FROM (SELECT a AS node, worth FROM p UNION ALL SELECT b, worth FROM p) GROUP BY 1)"""
+
+
+@query("gra14_role_severity", "hop", sql=_ROLE_SQL + " SELECT node, round(severity, 6) AS severity, round(severity / (SELECT max(severity) FROM n) * 100, 6) AS score FROM n")
+def _(hop):
+    return graph.role_severity(_typed(hop)).withColumns({"severity": F.round("severity", 6), "score": F.round("score", 6)})
+
+
+def _typed(hop: DataFrame) -> DataFrame:
+    return hop.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "event_type").agg(F.sum("weight").alias("w")).withColumn("severity", F.when(F.col("event_type") == "error", 0.5).otherwise(0.0))
+
+
+@query("gra13_importance", "trade", "supplier")
+def _(trade, supplier):
+    """Importance of the nations in the trade graph: centrality, discounts as severity, suppliers as records and cases."""
+    central = graph.combined_centrality(graph.degree_centrality(trade), graph.betweenness_centrality(trade), graph.eigenvector_centrality(trade)).select("node", F.col("scaled").alias("score"))
+    role = graph.role_severity(trade.select("a", "b", F.lit("trade").alias("rel_type"), F.col("weight").alias("w"), F.lit(0.0).alias("severity")))
+    records = supplier.groupBy(F.col("s_nationkey").alias("node")).agg(F.count("*").alias("records"))
+    total = records.agg(F.sum("records").alias("total"))
+    cross = records.crossJoin(F.broadcast(total)).select("node", graph.cross_case_score(F.col("records"), F.col("total")).alias("score"))
+    out = graph.importance(central, role, cross, graph.activity(trade, records))
+    return out.select("node", *[F.round(c, 3).alias(c) for c in ("score", "centrality", "role", "cross_case", "activity")], "band")
+
+
 del _

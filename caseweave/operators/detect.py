@@ -30,6 +30,21 @@ def circular_flows(edges: DataFrame) -> DataFrame:
     return found.select("a", "b", "c", "cases", F.when(F.col("cases") > 1, "high").otherwise("medium").alias("severity"))
 
 
+def long_circular_flows(edges: DataFrame, length: int = 4) -> DataFrame:
+    """Directed cycles over ``length`` distinct nodes (three intermediaries for 4), one row each with the smallest node first: (path array, cases).
+
+    Grows paths of distinct nodes by one join a step, only over nodes above the first; parallel transfers are one edge.
+    """
+    e = edges.where("src <> dst").groupBy("src", "dst").agg(F.collect_set("case_id").alias("cs"))
+    found = e.where("src < dst").select(F.array("src", "dst").alias("path"), F.col("src").alias("first"), F.col("dst").alias("last"), "cs")
+    step = e.select(F.col("src").alias("last"), F.col("dst").alias("next"), F.col("cs").alias("more"))
+    for _ in range(length - 2):
+        found = found.join(step, "last").where((F.col("next") > F.col("first")) & ~F.array_contains("path", F.col("next")))
+        found = found.select(F.concat("path", F.array("next")).alias("path"), "first", F.col("next").alias("last"), F.array_union("cs", "more").alias("cs"))
+    closed = found.join(step.withColumnRenamed("next", "first"), ["last", "first"])
+    return closed.select("path", F.size(F.array_union("cs", "more")).alias("cases"))
+
+
 def repeated_transfers(edges: DataFrame, low: float = 30000.0, high: float = 50000.0) -> DataFrame:
     """Ordered pairs with two or more transfers; structuring when two or more amounts lie in [low, high)."""
     near = (F.col("amount") >= low) & (F.col("amount") < high)

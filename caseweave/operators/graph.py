@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseweave.functions import band
 from caseweave.plans.scratch import Scratch
 
 #: Base weight of each relationship type, and of any other.
@@ -190,3 +191,38 @@ def paths(edges: DataFrame, start, goal, max_hops: int = 4, inverse: bool = True
 def cross_case_score(cases, total_cases):
     """0 for one case, else min(100, ln(cases) / ln(max(total, 2)) * 100)."""
     return F.when(cases <= 1, 0.0).otherwise(F.least(F.lit(100.0), F.log(cases.cast("double")) / F.log(F.greatest(total_cases, F.lit(2)).cast("double")) * 100))
+
+
+def role_severity(edges: DataFrame) -> DataFrame:
+    """(node, severity, score): over a node's pairs the sum of mean type weight * (.7 + .3 * severity of the evidence, where there is any), and that to 0..100 of the largest.
+
+    Rows: (a, b, rel_type, w, severity), one per pair and type; the mean is over types of their summed weights. A null severity is none.
+    """
+    pairs = edges.groupBy("a", "b").agg(F.avg("w").alias("w"), F.coalesce(F.max("severity"), F.lit(0.0)).alias("severity"))
+    worth = F.when(F.col("severity") > 0, F.col("w") * (0.7 + 0.3 * F.col("severity"))).otherwise(F.col("w"))
+    nodes = both_ways(pairs.withColumn("worth", worth), "worth").groupBy(F.col("a").alias("node")).agg(F.sum("worth").alias("severity"))
+    return _to_hundred(nodes, "severity")
+
+
+def activity(edges: DataFrame, records: DataFrame) -> DataFrame:
+    """(node, activity, score): 3 * degree + 2 * summed weights + records, and that to 0..100 of the largest. Rows: (a, b, weight) and (node, records)."""
+    ends = both_ways(edges, "weight").groupBy(F.col("a").alias("node")).agg((3 * F.count("*") + 2 * F.sum("weight")).alias("base"))
+    nodes = ends.join(records, "node", "left").select("node", (F.col("base") + F.coalesce("records", F.lit(0))).alias("activity"))
+    return _to_hundred(nodes, "activity")
+
+
+def _to_hundred(nodes: DataFrame, value: str) -> DataFrame:
+    top = nodes.agg(F.coalesce(F.nullif(F.max(value), F.lit(0.0)), F.lit(1.0)).alias("top"))
+    return nodes.crossJoin(F.broadcast(top)).select("node", value, (F.col(value) / F.col("top") * 100).alias("score"))
+
+
+def importance(centrality: DataFrame, severity: DataFrame, cross_case: DataFrame, active: DataFrame) -> DataFrame:
+    """(node, score and its four parts, band): .4 centrality + .3 role severity + .2 cross-case + .1 activity, each (node, score) of 0..100; a missing part is 0."""
+    parts = {"centrality": (centrality, 0.4), "role": (severity, 0.3), "cross_case": (cross_case, 0.2), "activity": (active, 0.1)}
+    out = None
+    for name, (df, share) in parts.items():
+        one = df.select("node", (F.col("score") * share).alias(name))
+        out = one if out is None else out.join(one, "node", "full")
+    total = sum((F.coalesce(name, F.lit(0.0)) for name in parts), F.lit(0.0))
+    out = out.select("node", F.least(F.lit(100.0), F.greatest(F.lit(0.0), total)).alias("score"), *[F.coalesce(n, F.lit(0.0)).alias(n) for n in parts])
+    return out.withColumn("band", band(F.col("score")))

@@ -39,6 +39,18 @@ SIGNATURE_TERMS = (
     "racket", "circular", "round-trip", "round trip", "kickback", "ghost employee", "fake invoice", "benami", " shell ", "dummy",
 )
 
+# Fields of a case header, alternatives in order.
+HEADER = {
+    "case_number": (r"FIR\s*(?:No\.?|Number|#)?\s*:?\s*([A-Z0-9\-/]+(?:\d{4})?(?:/\d{4})?)", r"Case\s*(?:No\.?|Number|#)?\s*:?\s*([A-Z0-9\-/]+)", r"FIR\s+(?:No\.?\s*)?(\d+/\d{4})"),
+    "subject": (r"Subject\s*:?\s*(.+?)(?:\n|$)", r"Re\s*:?\s*(.+?)(?:\n|$)", r"Subject:\s*(.+?)(?:\n|$)"),
+    "police_station": (r"(?:Police\s+Station|P\.?S\.?|Station)\s*:?\s*(.+?)(?:\n|$)", r"Station\s*:?\s*(.+?)(?:\n|$)"),
+    "date_filed": (r"Date\s+(?:of\s+)?(?:Report|Filed|Filing)\s*:?\s*(\d{1,2}[-/]\w+[-/]\d{2,4})", r"Date\s*:?\s*(\d{1,2}[-/]\w+[-/]\d{2,4})", r"Filed\s+(?:on\s+)?(\d{1,2}[-/]\w+[-/]\d{2,4})"),
+    "complainant": (r"Complainant\s*(?:Details|Name)?\s*:?\s*\n?\s*Name\s*:?\s*(.+?)(?:\n|$)", r"Complainant\s*:?\s*(?:Name\s*:?\s*)?(.+?)(?:\n|$)"),
+    "investigating_officer": (r"Investigating\s+Officer\s*:?\s*\n?\s*Name\s*:?\s*(.+?)(?:\n|$)", r"I\.?O\.?\s*:?\s*(.+?)(?:\n|$)"),
+    "act_sections": (r"(?:Act|Statute)\s*\(?(?:s?\)?)\s*&?\s*Section\(s?\)\s*:?\s*(.+?)(?:\n|$)", r"Section\s+(\d+[a-z]?(?:\(\d+\))?(?:\s*,?\s*\d+[a-z]?(?:\(\d+\))?)*)"),
+    "jurisdiction": (r"(?:District|Jurisdiction)\s*:?\s*(.+?)(?:\n|$)", r"P\.?S\.\s+.+?,\s*(.+?)(?:\n|$)"),
+}
+
 
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, r"[^0-9]", "")
@@ -136,3 +148,23 @@ def strip_labels(text: Column, kept_labels: list[str]) -> Column:
     value = lambda x: F.trim(F.regexp_replace(x, r"^\s*[A-Za-z][A-Za-z /]{0,40}:", ""))
     lines = F.filter(F.split(text, "\n"), lambda x: (label(x) == "") | label(x).isin(kept_labels))
     return F.array_join(F.transform(lines, lambda x: F.when(label(x) == "", x).otherwise(value(x))), "\n")
+
+
+def case_header(docs: DataFrame) -> DataFrame:
+    """(doc_id, fields of ``HEADER``, name, description, accused array<struct<name, alias, role, status>>) of a text; empty where no alternative fits, the first that fits counts.
+
+    Fields end after 200 characters, the name (subject, else the number) after 150, the description after 500. Accused come from rows ``1 | name | alias | role | status``. Null texts have empty fields.
+    """
+    text = F.coalesce("text", F.lit(""))
+    first = lambda ps: F.substring(F.coalesce(*[F.nullif(F.trim(F.regexp_extract(text, f"(?i){p}", 1)), F.lit("")) for p in ps], F.lit("")), 1, 200)
+    section = F.regexp_extract(text, r"(?is)(Accused\s+Persons?\s+Named.*?)(?:Investigating|$)", 1)
+    cells = F.transform(F.regexp_extract_all(section, F.lit(r"\d+\s*\|\s*(.+?)(?:\n|$)"), F.lit(1)), lambda r: F.filter(F.transform(F.split(r, r"\|"), lambda c: F.trim(c)), lambda c: c != ""))
+    cell = lambda c, i: F.coalesce(F.get(c, F.lit(i)), F.lit(""))
+    people = F.transform(
+        F.filter(cells, lambda c: (F.size(c) > 0) & (F.length(cell(c, 0)) > 2) & ~F.startswith(cell(c, 0), F.lit("#"))),
+        lambda c: F.struct(cell(c, 0).alias("name"), F.regexp_replace(cell(c, 1), "^--$", "").alias("alias"), cell(c, 2).alias("role"), F.when(F.size(c) > 3, F.element_at(c, -1)).otherwise("").alias("status")),
+    )
+    facts = F.substring(F.trim(F.regexp_extract(text, r"(?is)Brief\s+Facts?\s+(?:of\s+the\s+)?Case\s*:?\s*(.+?)(?:Accused|Investigating|$)", 1)), 1, 500)
+    out = docs.select("doc_id", *[first(ps).alias(f) for f, ps in HEADER.items()], facts.alias("description"), people.alias("accused"))
+    name = F.when(F.col("subject") != "", F.substring("subject", 1, 150)).when(F.col("case_number") != "", F.concat(F.lit("Case "), "case_number")).otherwise("")
+    return out.withColumn("name", name)

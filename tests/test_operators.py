@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseweave import sources
 from caseweave.functions import day_gap, haversine_km, jaccard, token_sort_ratio
-from caseweave.operators import audit, detect, graph, linkage, report, text
+from caseweave.operators import audit, detect, graph, linkage, report, resolution, series, text
 from caseweave.plans.fixpoint import connected_components
 
 
@@ -165,3 +165,82 @@ def test_streaming_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.a, r.n) for r in spark.table("bursts").collect()} == {("a", 12)}
+
+
+def test_long_circular_flow_is_found_once(spark):
+    e = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "d", 2), ("d", "a", 1), ("c", "a", 1), ("d", "b", 1), ("a", "a", 1), ("a", "b", 3)], "src string, dst string, case_id int")
+    assert rows(detect.long_circular_flows(e)) == [(["a", "b", "c", "d"], 3)]
+    assert rows(detect.long_circular_flows(e, 3)) == [(["a", "b", "c"], 2), (["b", "c", "d"], 2)]
+    assert rows(detect.long_circular_flows(e.limit(0))) == []
+
+
+def test_merge_chain_and_split(spark):
+    e = spark.createDataFrame([("a", "P", "Anna", None, 0.5), ("b", "P", "Ann", ["A."], 0.9), ("c", "P", "Anne", None, 0.9), ("x", "Q", "Car", None, 1.0), ("z", "P", "Zoe", None, 0.2)], "entity_id string, entity_type string, name string, aliases array<string>, confidence double")
+    decisions = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "x")], "primary string, secondary string")
+    out = resolution.merge_entities(e, resolution.survivors(decisions))
+    assert {r.entity_id: (r.name, r.aliases, round(r.confidence, 6)) for r in out.collect()} == {"a": ("Anna", ["A.", "Ann", "Anne"], 0.7), "x": ("Car", [], 1.0), "z": ("Zoe", [], 0.2)}
+    split = resolution.merge_entities(e, resolution.survivors(decisions.where("secondary <> 'b'")))
+    assert {r.entity_id for r in split.collect()} == {"a", "b", "x", "z"}
+    edges = spark.createDataFrame([("b", "z", "t", 9.0), ("z", "a", "t", 1.0), ("b", "c", "t", 2.0)], "src string, dst string, rel_type string, weight double")
+    assert rows(resolution.redirect_edges(edges, resolution.survivors(decisions))) == [("a", "a", "t", 2.88), ("a", "z", "t", 10.0)]
+
+
+def test_gate_and_flags(spark):
+    d = spark.createDataFrame([("auto", 0.95), ("auto", 0.9), ("auto", None), ("no", 0.1)], "r string, c double")
+    assert [r[0] for r in d.select(resolution.gated(F.col("r"), F.col("c"))).collect()] == ["auto", "review", "review", "no"]
+    e = spark.createDataFrame([("a", 0.3), ("b", 0.9)], "entity_id string, confidence double")
+    out = resolution.flag_unresolved(e, spark.createDataFrame([("a", "x"), ("a", "y")], "entity_id string, reason string"))
+    assert rows(out.select("entity_id", "confidence", "status", "reason")) == [("a", 0.1, "unresolved", "x"), ("b", 0.9, "resolved", None)]
+
+
+def test_signature_families(spark):
+    d = spark.createDataFrame([(1, "Placed neatly beside; a TROPHY, trophy, trophy, trophy"), (2, None), (3, "")], "doc_id int, text string")
+    assert rows(series.signature_families(d)) == [(1, "object_placement", 4, 0.95, 0.4)]
+    assert rows(series.signature_intensity(series.signature_families(d))) == [(1, 1, 0.38)]
+
+
+def test_victim_signals_and_line(spark):
+    d = spark.createDataFrame([(1, "**Victim:** Ann Berg, 41, former clerk\nShe lived alone; her car. Aged 9, aged 41."), (2, None)], "doc_id int, text string")
+    got = {r.doc_id: r for r in series.victim_signals(d).collect()}
+    assert (got[1].ages, got[1].genders, got[1].risks) == ([41], ["female"], ["alone_at_time_of_crime", "lives_alone"])
+    assert got[1].profile == "Ann Berg, 41, former clerk" and got[2].ages == [] and got[2].profile == ""
+    assert rows(series.victim_line(d).where("doc_id = 1")) == [(1, "Ann Berg", 41, "former clerk")]
+
+
+def test_method_indicators(spark):
+    d = spark.createDataFrame([(1, "Tied, then a knife, knife, knife, knife")], "doc_id int, text string")
+    assert {r.dim: r.hits for r in series.method_indicators(d).collect()} == {"control": ["tied"], "weapon_type": ["knife"] * 3}
+
+
+def test_series_roll_ups(spark):
+    p = spark.createDataFrame([(1, "X"), (2, "x "), (3, "y"), (3, None)], "case_id int, name string")
+    assert rows(series.shared_locations(p)) == [(3, 1, 0.333)]
+    t = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "a")], "case_id int, term string")
+    assert [(r.cases, round(r.mean_overlap, 6), r.common) for r in series.signature_overlap(t).collect()] == [(3, round((0.5 + 0.5 + 1) / 3, 6), 1)]
+    assert rows(series.signature_overlap(t.limit(0))) == [(0, 0.0, 0)]
+    links = spark.createDataFrame([(1, 2, 60.0), (2, 3, 80.0)], "case_a int, case_b int, score double")
+    clusters = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "case_id int, cluster int")
+    regions = spark.createDataFrame([(1, "n"), (2, "n"), (3, "s")], "case_id int, region string")
+    assert rows(series.cluster_roll_up(links, clusters, regions)) == [(1, 3, 70.0, 80.0, 2, 3, 2, True)]
+
+
+def test_text_links(spark):
+    schema = "case_id int, terms array<string>, names array<string>, methods map<string, array<string>>, ages array<int>, genders array<string>, risks array<string>"
+    c = spark.createDataFrame([(1, ["a", "b"], ["n"], {"m": ["x"], "o": ["y"]}, [30], ["male"], []), (2, ["a"], [], {"m": ["x"]}, [36], ["male"], []), (3, [], [], {}, [30], ["male"], [])], schema)
+    got = series.text_links(c).collect()
+    assert [(r.case_a, r.case_b, round(r.score, 6)) for r in got] == [(1, 2, round(0.4 * 0.5 + 0.25 * 0.5 + 0.2 * 0.8, 6))]
+
+
+def test_role_severity_and_importance(spark):
+    e = spark.createDataFrame([("a", "b", "t", 1.0, 1.0), ("a", "b", "u", 3.0, None), ("b", "c", "t", 1.0, 0.0)], "a string, b string, rel_type string, w double, severity double")
+    assert {r.node: (round(r.severity, 6), round(r.score, 4)) for r in graph.role_severity(e).collect()} == {"a": (2.0, 66.6667), "b": (3.0, 100.0), "c": (1.0, 33.3333)}
+    part = lambda v: spark.createDataFrame([("a", v)], "node string, score double")
+    assert [(round(r.score, 6), r.band) for r in graph.importance(part(100.0), part(100.0), part(50.0), part(0.0)).collect()] == [(80.0, "CRITICAL")]
+
+
+def test_case_header(spark):
+    d = spark.createDataFrame([(1, "FIR No: 12/2024\nSubject: Lost goods\nAccused Persons Named\n1 | Ann Berg | -- | lead | held\nInvestigating Officer: Name: Z"), (2, None)], "doc_id int, text string")
+    got = {r.doc_id: r for r in text.case_header(d).collect()}
+    assert (got[1].case_number, got[1].subject, got[1].name, got[1].investigating_officer) == ("12/2024", "Lost goods", "Lost goods", "Z")
+    assert [tuple(x) for x in got[1].accused] == [("Ann Berg", "", "lead", "held")]
+    assert got[2].accused == [] and got[2].name == ""
