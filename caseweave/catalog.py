@@ -334,6 +334,12 @@ def _(documents):
     return text.capitalised_runs(documents.where(~F.col("text").rlike(r"[^\x00-\x7F]")))
 
 
+@query("txt7_all_capitalised_runs", "", "documents")
+def _(documents):
+    """The runs of every document; no SQL, as DuckDB's word boundaries know ASCII letters only."""
+    return text.capitalised_runs(documents)
+
+
 @query("sim1_tf_idf", "", "documents")
 def _(documents):
     return linkage.tf_idf(documents, ["the", "and", "of", "to", "in"]).withColumn("weight", F.round("weight", 6))
@@ -443,6 +449,12 @@ def _(documents):
     return text.case_header(documents.where(~F.col("text").rlike(r"[^\x00-\x7F]"))).select("doc_id", *text.HEADER)
 
 
+@query("txt21_all_case_headers", "", "documents")
+def _(documents):
+    """The fields of every document, empty ones of null texts; no SQL, as DuckDB's classes know ASCII letters only."""
+    return text.case_header(documents).select("doc_id", *text.HEADER)
+
+
 @query("agg15_shared_locations", "presence", sql="""WITH p AS (SELECT DISTINCT slot AS case_id, location FROM presence), n AS (SELECT count(DISTINCT case_id) AS cases FROM p),
 s AS (SELECT count(*) AS shared FROM (SELECT location FROM p GROUP BY 1 HAVING count(*) >= 2)), q AS (SELECT count(*) AS pairs FROM (SELECT DISTINCT x.case_id, y.case_id FROM p x JOIN p y USING (location) WHERE x.case_id < y.case_id))
 SELECT cases, shared, round(pairs / (CASE WHEN cases > 1 THEN cases * (cases - 1) / 2 ELSE 1 END), 3) AS score FROM n, s, q""")

@@ -123,8 +123,9 @@ def is_artefact(name: Column) -> Column:
 
 
 def capitalised_runs(docs: DataFrame, most: int = 4) -> DataFrame:
-    """Candidate names: runs of two to ``most`` capitalised words, one row per document and name."""
-    runs = F.regexp_extract_all("text", F.lit(rf"\b[A-Z][a-z]+(?:[ ][A-Z][a-z]+){{1,{most - 1}}}\b"), F.lit(0))
+    """Candidate names: runs of two to ``most`` capitalised words of any alphabet's letters, one row per document and name."""
+    word, inside = r"\p{Lu}\p{M}*\p{Ll}[\p{Ll}\p{M}]*", r"[\p{L}\p{M}\p{N}_]"
+    runs = F.regexp_extract_all("text", F.lit(rf"(?<!{inside}){word}(?:[ ]{word}){{1,{most - 1}}}(?!{inside})"), F.lit(0))
     return docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("name"))
 
 
@@ -154,17 +155,18 @@ def case_header(docs: DataFrame) -> DataFrame:
     """(doc_id, fields of ``HEADER``, name, description, accused array<struct<name, alias, role, status>>) of a text; empty where no alternative fits, the first that fits counts.
 
     Fields end after 200 characters, the name (subject, else the number) after 150, the description after 500. Accused come from rows ``1 | name | alias | role | status``. Null texts have empty fields.
+    Letters, digits and spaces are those of Unicode, and only a newline ends a line.
     """
     text = F.coalesce("text", F.lit(""))
-    first = lambda ps: F.substring(F.coalesce(*[F.nullif(F.trim(F.regexp_extract(text, f"(?i){p}", 1)), F.lit("")) for p in ps], F.lit("")), 1, 200)
-    section = F.regexp_extract(text, r"(?is)(Accused\s+Persons?\s+Named.*?)(?:Investigating|$)", 1)
-    cells = F.transform(F.regexp_extract_all(section, F.lit(r"\d+\s*\|\s*(.+?)(?:\n|$)"), F.lit(1)), lambda r: F.filter(F.transform(F.split(r, r"\|"), lambda c: F.trim(c)), lambda c: c != ""))
+    first = lambda ps: F.substring(F.coalesce(*[F.nullif(F.trim(F.regexp_extract(text, f"(?iUd){p}", 1)), F.lit("")) for p in ps], F.lit("")), 1, 200)
+    section = F.regexp_extract(text, r"(?isUd)(Accused\s+Persons?\s+Named.*?)(?:Investigating|$)", 1)
+    cells = F.transform(F.regexp_extract_all(section, F.lit(r"(?Ud)\d+\s*\|\s*(.+?)(?:\n|$)"), F.lit(1)), lambda r: F.filter(F.transform(F.split(r, r"\|"), lambda c: F.trim(c)), lambda c: c != ""))
     cell = lambda c, i: F.coalesce(F.get(c, F.lit(i)), F.lit(""))
     people = F.transform(
         F.filter(cells, lambda c: (F.size(c) > 0) & (F.length(cell(c, 0)) > 2) & ~F.startswith(cell(c, 0), F.lit("#"))),
         lambda c: F.struct(cell(c, 0).alias("name"), F.regexp_replace(cell(c, 1), "^--$", "").alias("alias"), cell(c, 2).alias("role"), F.when(F.size(c) > 3, F.element_at(c, -1)).otherwise("").alias("status")),
     )
-    facts = F.substring(F.trim(F.regexp_extract(text, r"(?is)Brief\s+Facts?\s+(?:of\s+the\s+)?Case\s*:?\s*(.+?)(?:Accused|Investigating|$)", 1)), 1, 500)
+    facts = F.substring(F.trim(F.regexp_extract(text, r"(?isUd)Brief\s+Facts?\s+(?:of\s+the\s+)?Case\s*:?\s*(.+?)(?:Accused|Investigating|$)", 1)), 1, 500)
     out = docs.select("doc_id", *[first(ps).alias(f) for f, ps in HEADER.items()], facts.alias("description"), people.alias("accused"))
     name = F.when(F.col("subject") != "", F.substring("subject", 1, 150)).when(F.col("case_number") != "", F.concat(F.lit("Case "), "case_number")).otherwise("")
     return out.withColumn("name", name)

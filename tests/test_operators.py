@@ -244,3 +244,31 @@ def test_case_header(spark):
     assert (got[1].case_number, got[1].subject, got[1].name, got[1].investigating_officer) == ("12/2024", "Lost goods", "Lost goods", "Z")
     assert [tuple(x) for x in got[1].accused] == [("Ann Berg", "", "lead", "held")]
     assert got[2].accused == [] and got[2].name == ""
+
+
+def test_whole_names_and_headers_of_any_alphabet(spark, tmp_path):
+    import re
+    import unicodedata
+
+    from caseweave import catalog
+
+    texts = ["Anna Bergstr\u00f6m met \u00c9mile Zola", "\u00dcmit \u00d6zil, Jo\u00e3o", "Anna Berg", "xAnna Berg Anna9 Berg", None, "Fu\u0308r Max Mu\u0308ller", "A B C D", "Aa Bb Cc Dd Ee Ff", "\u00e9Anna Berg\u00e9\u00e9X Zed",
+             "FIR No: 12/2024\nSubject:\u00a0Stra\u00dfe in K\u00f6ln\u2028zwei\nDate: 12-M\u00e4rz-2024\nStation: M\u00fcnchen", "Case No: 7\nSection 302\nDistrict: \u00c1vila"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def runs(t):
+        cat = lambda i: unicodedata.category(t[i])[0] if 0 <= i < len(t) and t[i] != "_" else "L" if 0 <= i < len(t) else " "
+        word = lambda w: (x := [c for c in w if unicodedata.category(c)[0] != "M"]) and len(x) > 1 and x[0].isupper() and all(c.islower() for c in x[1:])
+        at = 0
+        while at < len(t):
+            ends = [j for j in range(at + 1, len(t) + 1) if cat(at - 1) not in "LMN" and cat(j) not in "LMN" and 2 <= len(t[at:j].split(" ")) <= 4 and all(map(word, t[at:j].split(" ")))]
+            if ends:
+                yield t[at : ends[-1]]
+            at = ends[-1] if ends else at + 1
+
+    got = catalog.QUERIES["txt7_all_capitalised_runs"](spark, str(tmp_path))
+    assert rows(got) == sorted({(i, n) for i, t in enumerate(texts) for n in runs(t or "")}) and (0, "Anna Bergstr\u00f6m") in rows(got)
+    found = lambda t, p: (m.group(1).strip(" ") if (m := re.search(p, t, re.I)) else "")
+    want = sorted((i, *[next((x[:200] for p in ps if (x := found(t or "", p))), "") for ps in text.HEADER.values()]) for i, t in enumerate(texts))
+    got = rows(catalog.QUERIES["txt21_all_case_headers"](spark, str(tmp_path)))
+    assert got == want and got[9][2] == "Stra\u00dfe in K\u00f6ln\u2028zwei" and got[9][4] == "12-M\u00e4rz-2024" and got[4] == (4, *[""] * len(text.HEADER))
