@@ -15,6 +15,7 @@ from caseweave import sources
 from caseweave.functions import band, haversine_km
 from caseweave.operators import audit, detect, graph, linkage, report, resolution, series, text
 from caseweave.plans.fixpoint import connected_components
+from caseweave.plans.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -357,6 +358,16 @@ def _(caserec):
     return out.select("case_a", "case_b", F.round(100 * (0.40 * F.col("signature") + 0.20 * F.col("victim") + 0.15 * F.col("method")), 6).alias("score"))
 
 
+@query("sim6_all_case_links", "caserec", "documents")
+def _(caserec, documents):
+    """Links from 60 with the narrative part; the narrative of a case is the document of its number. No SQL: it would be too slow."""
+    scratch = Scratch(caserec.sparkSession)
+    cases = scratch.write(caserec)
+    narratives = documents.join(cases.select(F.col("case_id").alias("doc_id")), "doc_id", "left_semi")
+    vectors = scratch.write(linkage.tf_idf(narratives, ["the", "and", "of", "to", "in"]))
+    return linkage.case_links(cases, scratch.write(linkage.narrative_cosines(cases, vectors)))
+
+
 @query("sca1_haversine", "", "orders customer", sql="SELECT o_orderkey, round(2 * 6371.0 * atan2(sqrt(h), sqrt(1 - h)), 4) AS km FROM (SELECT o_orderkey, pow(sin(radians(c_nationkey * 3.0 - 36) / 2), 2) + cos(radians(c_nationkey * 3.0 - 36)) * pow(sin(radians(o_orderkey % 360 - 180) / 2), 2) AS h FROM orders JOIN customer ON o_custkey = c_custkey)")
 def _(orders, customer):
     j = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
@@ -495,6 +506,12 @@ def _(ev, ent):
     return both.select("cases", "shared", "location", F.round("mean_overlap", 6).alias("mean_overlap"), F.round(score, 6).alias("score"), series.series_band(score).alias("band"))
 
 
+def _text_cases(caserec: DataFrame) -> DataFrame:
+    empty = F.array().cast("array<string>")
+    methods = F.when(F.col("weapon") == "", F.create_map().cast("map<string,array<string>>")).otherwise(F.create_map(F.lit("weapon"), F.array("weapon")))
+    return caserec.select("case_id", F.col("signatures").alias("terms"), empty.alias("names"), methods.alias("methods"), F.array("victim_age").alias("ages"), F.array("victim_gender").alias("genders"), F.array("victim_risk").alias("risks"))
+
+
 @query("sim10_text_links", "caserec", sql="""WITH s AS (SELECT case_id, unnest(signatures) AS g FROM caserec), p AS (SELECT DISTINCT x.case_id AS case_a, y.case_id AS case_b FROM s x JOIN s y USING (g) WHERE x.case_id < y.case_id),
 j AS (SELECT case_a, case_b, len(list_intersect(a.signatures, b.signatures)) / len(list_distinct(a.signatures || b.signatures)) AS signature,
  (CASE WHEN a.weapon <> '' OR b.weapon <> '' THEN (a.weapon = b.weapon)::INT / 1.0e0 ELSE 0 END) AS method,
@@ -502,10 +519,17 @@ j AS (SELECT case_a, case_b, len(list_intersect(a.signatures, b.signatures)) / l
  FROM p JOIN caserec a ON a.case_id = case_a JOIN caserec b ON b.case_id = case_b)
 SELECT case_a, case_b, round(0.40e0 * signature + 0.25e0 * method + 0.20e0 * victim, 6) AS score FROM j WHERE signature > 0.1""")
 def _(caserec):
-    empty = F.array().cast("array<string>")
-    methods = F.when(F.col("weapon") == "", F.create_map().cast("map<string,array<string>>")).otherwise(F.create_map(F.lit("weapon"), F.array("weapon")))
-    cases = caserec.select("case_id", F.col("signatures").alias("terms"), empty.alias("names"), methods.alias("methods"), F.array("victim_age").alias("ages"), F.array("victim_gender").alias("genders"), F.array("victim_risk").alias("risks"))
-    return series.text_links(cases, 0.0).where("signature > 0.1").select("case_a", "case_b", F.round("score", 6).alias("score"))
+    return series.text_links(_text_cases(caserec), 0.0).where("signature > 0.1").select("case_a", "case_b", F.round("score", 6).alias("score"))
+
+
+@query("sim10_all_text_links", "caserec", sql="""WITH j AS (SELECT a.case_id AS case_a, b.case_id AS case_b, len(list_intersect(a.signatures, b.signatures)) / len(list_distinct(a.signatures || b.signatures)) AS signature,
+ (CASE WHEN a.weapon <> '' OR b.weapon <> '' THEN (a.weapon = b.weapon)::INT / 1.0e0 ELSE 0 END) AS method,
+ (greatest(0, 1 - abs(a.victim_age - b.victim_age) / 15.0e0) + (a.victim_gender = b.victim_gender)::INT + (a.victim_risk = b.victim_risk)::INT) / 3 AS victim
+ FROM caserec a JOIN caserec b ON a.case_id < b.case_id)
+SELECT case_a, case_b, round(0.40e0 * signature + 0.25e0 * method + 0.20e0 * victim, 6) AS score FROM j WHERE 0.40e0 * signature + 0.25e0 * method + 0.20e0 * victim >= 0.25e0""")
+def _(caserec):
+    """Links from the operator's own minimum."""
+    return series.text_links(_text_cases(caserec)).select("case_a", "case_b", F.round("score", 6).alias("score"))
 
 
 _CLUSTER_SQL = """WITH l AS (SELECT a AS case_a, b AS case_b, weight AS score FROM trade), c AS (SELECT n_nationkey AS case_id, n_nationkey % 5 AS cluster, n_regionkey::VARCHAR AS region FROM nation),

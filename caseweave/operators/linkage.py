@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from caseweave.functions import categorical_match, jaccard, proximity, token_sort_ratio
 
@@ -40,19 +43,38 @@ def composite(signature: Column, narrative: Column, victim: Column, method: Colu
 def case_links(cases: DataFrame, cosine: DataFrame | None = None, minimum: float = 60.0) -> DataFrame:
     """Pairs of cases with a composite score of at least ``minimum``: (case_a, case_b, score and its parts).
 
-    For minima above 47 pairs are found without a triangle over all cases: without a common signature the parts reach at most 12 + 20 + 15, so
-    candidates share a signature or have a narrative cosine above (minimum - 47) / 25; both are equi-joins. ``cosine``: (case_a, case_b, cosine), absent pairs 0.
+    Pairs are found without a triangle over all cases: without a common signature the parts reach at most 12 + 20 + 15, so above 47
+    candidates share a signature or have a narrative cosine above (minimum - 47) / 25; up to 47 any cosine counts, and so do ``equal_attributes``.
+    All are equi-joins. ``cosine``: (case_a, case_b, cosine), absent pairs 0; of pairs without a common signature those from (minimum - 47.05) / 25 are enough.
     """
-    if minimum <= 47:
-        raise ValueError("below a minimum of 47 no blocking is lossless")
-    shared = signature_pairs(cases)
-    pairs = shared
+    pairs = signature_pairs(cases)
     if cosine is not None:
         pairs = pairs.unionByName(cosine.where(F.col("cosine") >= (minimum - 47.05) / 25).select("case_a", "case_b"))
+    if minimum <= 47.06:
+        pairs = pairs.unionByName(equal_attributes(cases, minimum))
     scored = score_pairs(cases, pairs.distinct(), cosine)
     return scored.where(F.col("score") >= minimum)
 
 
+def equal_attributes(cases: DataFrame, minimum: float) -> DataFrame:
+    """Pairs of cases that can reach ``minimum`` with neither a common signature nor a narrative cosine: they agree in one of the smallest sets of attributes whose points are enough; all pairs where none are needed.
+
+    Without an agreement there are at most 12 points of the overkill scores, 5 of the ages and half the points of weapon, gender and occupation.
+    """
+    filled = lambda c: F.lower(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    known = lambda c: F.nullif(filled(c), F.lit(""))
+    parts = {
+        "approach": (3.75, filled("approach")), "control": (3.75, filled("control")), "scene": (3.75, filled("scene")), "weapon": (1.875, known("weapon")),
+        "gender": (2.5, known("victim_gender")), "occupation": (2.5, known("victim_occupation")), "risk": (5.0, F.lower(F.coalesce("victim_risk", F.lit("low")))),
+    }
+    need = minimum - 0.06 - (12 + 5 + 1.875 + 2.5 + 2.5)
+    points = lambda names: sum(parts[n][0] for n in names)
+    sets = [c for k in range(len(parts) + 1) for c in combinations(parts, k) if points(c) >= need and all(points(c) - parts[n][0] < need for n in c)]
+    keys = F.array(*[F.concat(F.lit(f"{i}"), *[F.concat(F.lit("|"), F.length(parts[n][1]).cast("string"), F.lit("|"), parts[n][1]) for n in c]) for i, c in enumerate(sets)])
+    k = cases.select("case_id", F.explode(F.array_compact(keys)).alias("key"))
+    return k.select(F.col("case_id").alias("case_a"), "key").join(k.select(F.col("case_id").alias("case_b"), "key"), "key").where("case_a < case_b").select("case_a", "case_b").distinct()
+
+
 def score_pairs(cases: DataFrame, pairs: DataFrame, cosine: DataFrame | None = None, digits: int = 4) -> DataFrame:
     """Composite score and its parts, rounded to ``digits``, of pairs (case_a, case_b)."""
     left, right = cases.select([F.col(c).alias(f"{c}_a") for c in cases.columns]), cases.select([F.col(c).alias(f"{c}_b") for c in cases.columns])
@@ -87,11 +109,32 @@ def tf_idf(docs: DataFrame, stop_words: list[str], max_terms: int = 5000) -> Dat
 
 
 def cosine_pairs(vectors: DataFrame, minimum: float = 0.0) -> DataFrame:
-    """(case_a, case_b, cosine) of pairs with a common term and a cosine of at least ``minimum``, 4 digits."""
+    """(case_a, case_b, cosine) of pairs of unit vectors with a common term and a cosine of at least ``minimum``, 4 digits.
+
+    Above 0 only the rarest terms of a vector look for partners: its most common ones are left out while their norm stays below ``minimum``, as they cannot reach it alone.
+    """
+    least = minimum - 0.00006
+    if least <= 0:
+        return _dots(vectors).where(F.col("cosine") >= minimum)
+    common = vectors.join(vectors.groupBy("term").agg(F.count("*").alias("df")), "term")
+    left_out = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("doc_id").orderBy(F.col("df").desc(), "term"))
+    k = common.withColumn("mass", left_out).where(F.col("mass") >= least * least).select("doc_id", "term")
+    pairs = k.select(F.col("doc_id").alias("case_a"), "term").join(k.select(F.col("doc_id").alias("case_b"), "term"), "term").where("case_a < case_b").select("case_a", "case_b").distinct()
+    return _dots(vectors, pairs).where(F.col("cosine") >= minimum)
+
+
+def _dots(vectors: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(case_a, case_b, cosine) of the pairs, or of all pairs, that have a common term."""
     x = vectors.select(F.col("doc_id").alias("case_a"), "term", F.col("weight").alias("wa"))
     y = vectors.select(F.col("doc_id").alias("case_b"), "term", F.col("weight").alias("wb"))
-    dots = x.join(y, "term").where("case_a < case_b").groupBy("case_a", "case_b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 4).alias("cosine"))
-    return dots.where(F.col("cosine") >= minimum)
+    met = x.join(y, "term").where("case_a < case_b") if pairs is None else pairs.join(x, "case_a").join(y, ["case_b", "term"])
+    return met.groupBy("case_a", "case_b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 4).alias("cosine"))
+
+
+def narrative_cosines(cases: DataFrame, vectors: DataFrame, minimum: float = 60.0) -> DataFrame:
+    """The cosines that ``case_links`` needs for ``minimum``: those of pairs with a common signature, and of all others from (minimum - 47.05) / 25."""
+    shared = _dots(vectors, signature_pairs(cases))
+    return shared.unionByName(cosine_pairs(vectors, max(0.0, (minimum - 47.05) / 25))).distinct()
 
 
 def candidate_matches(entities: DataFrame, minimum: float = 0.6, limit: int = 10) -> DataFrame:
@@ -99,8 +142,6 @@ def candidate_matches(entities: DataFrame, minimum: float = 0.6, limit: int = 10
 
     Names of one word match nothing but themselves partly: two of them 0, one inside the other name .3.
     """
-    from pyspark.sql.window import Window
-
     e = entities.where("merged_into IS NULL").select("entity_id", "entity_type", F.lower(F.trim("name")).alias("name"))
     t = e.withColumn("token", F.explode(F.array_distinct(F.split("name", r"\s+"))))
     pairs = t.alias("x").join(t.alias("y"), ["entity_type", "token"]).where("x.entity_id < y.entity_id").select(F.col("x.entity_id").alias("id_a"), F.col("y.entity_id").alias("id_b"), F.col("x.name").alias("na"), F.col("y.name").alias("nb")).distinct()

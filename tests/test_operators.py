@@ -272,3 +272,19 @@ def test_whole_names_and_headers_of_any_alphabet(spark, tmp_path):
     want = sorted((i, *[next((x[:200] for p in ps if (x := found(t or "", p))), "") for ps in text.HEADER.values()]) for i, t in enumerate(texts))
     got = rows(catalog.QUERIES["txt21_all_case_headers"](spark, str(tmp_path)))
     assert got == want and got[9][2] == "Stra\u00dfe in K\u00f6ln\u2028zwei" and got[9][4] == "12-M\u00e4rz-2024" and got[4] == (4, *[""] * len(text.HEADER))
+
+
+def test_case_links_equal_the_triangle(spark):
+    from caseweave import catalog
+
+    data = "/root/testdata/sf0.001"
+    c = catalog._view(spark, data, "caserec").where("case_id < 90").withColumns({"weapon": F.nullif("weapon", F.lit("")), "scene": F.when(F.col("case_id") % 4 > 0, "s"), "signatures": F.slice("signatures", 1, 3)}).cache()
+    docs = catalog._table(spark, data, "documents").where("doc_id < 90")
+    vectors = linkage.tf_idf(docs, ["the"]).cache()
+    cosine = linkage.cosine_pairs(vectors).cache()
+    ids = c.select("case_id")
+    triangle = linkage.score_pairs(c, ids.withColumnRenamed("case_id", "case_a").crossJoin(ids.withColumnRenamed("case_id", "case_b")).where("case_a < case_b"), cosine).cache()
+    for m in (20.0, 30.0, 43.0, 55.0, 60.0):
+        assert rows(linkage.case_links(c, linkage.narrative_cosines(c, vectors, m), m)) == rows(triangle.where(F.col("score") >= m))
+    assert triangle.where("score >= 30 AND signature <= 0.3 AND cosine = 0").count() > 0
+    assert rows(linkage.cosine_pairs(vectors, 0.4)) == rows(cosine.where("cosine >= 0.4"))
