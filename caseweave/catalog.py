@@ -129,15 +129,24 @@ def _(comm):
     return detect.short_lived_numbers(comm).select("number", "n", "days", "severity")
 
 
-@query("det8_run_all", "comm flow")
-def _(comm, flow):
-    """All detectors' alerts by type and severity."""
+@query("det8_run_all", "comm flow hop presence", "documents")
+def _(comm, flow, hop, presence, documents):
+    """All detectors' alerts by type and severity, each detector with the parameters of its own query; medium where a detector gives no severity."""
     spark = comm.sparkSession
     rules = spark.createDataFrame([("circular_flow", True), ("repeated_transfer", True)], "rule_type string, is_enabled boolean")
+    medium = lambda df: df.withColumn("severity", F.lit("medium"))
+    emails = text.mentions(documents.select("doc_id", F.col("source").alias("case_id"), "text")).where("kind = 'email'")
+    long_flows = detect.long_circular_flows(flow).withColumns({"nodes": F.array_join("path", "-"), "severity": F.when(F.col("cases") > 1, "high").otherwise("medium")})
     found = {
         "burst": detect.as_alerts(detect.contact_bursts(comm), "burst", ["a", "b"]),
         "circular_flow": detect.as_alerts(detect.circular_flows(flow), "circular_flow", ["a", "b", "c"]),
-        "repeated_transfer": detect.as_alerts(detect.repeated_transfers(flow).withColumn("severity", F.lit("medium")), "repeated_transfer", ["src", "dst"]),
+        "repeated_transfer": detect.as_alerts(medium(detect.repeated_transfers(flow, 5.0, 20.0)), "repeated_transfer", ["src", "dst"]),
+        "directional_funding": detect.as_alerts(medium(detect.directional_funding(hop.where("event_type = 'purchase'"), hop.where("event_type = 'view'"))), "directional_funding", ["a", "b"]),
+        "cross_case_name": detect.as_alerts(detect.cross_case_names(emails), "cross_case_name", ["entity_type", "name"]),
+        "co_location": detect.as_alerts(detect.co_locations(presence, flow.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "co_location", ["p1", "p2", "location"]),
+        "short_lived_number": detect.as_alerts(detect.short_lived_numbers(comm), "short_lived_number", ["number"]),
+        "rolling_burst": detect.as_alerts(medium(detect.rolling_bursts(hop, 24, 2)), "rolling_burst", ["a", "b"]),
+        "long_circular_flow": detect.as_alerts(long_flows, "long_circular_flow", ["nodes"]),
     }
     return detect.run_all(found, rules).groupBy("alert_type", "severity").agg(F.count("*").alias("n"))
 

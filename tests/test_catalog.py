@@ -31,3 +31,15 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_run_all_counts_every_detector(spark):
+    single = {
+        "burst": "det1_communication_burst", "circular_flow": "det2_circular_flow", "repeated_transfer": "det3_repeated_transfers", "directional_funding": "det4_directional_funding", "cross_case_name": "det5_cross_case_names",
+        "co_location": "det6_co_location", "short_lived_number": "det7_short_lived_number", "rolling_burst": "win9_rolling_burst", "long_circular_flow": "det12_long_circular_flows",
+    }
+    got = {}
+    for r in catalog.QUERIES["det8_run_all"](spark, DATA).collect():
+        got[r.alert_type] = got.get(r.alert_type, 0) + r.n
+    assert got == {t: n for t, q in single.items() if (n := catalog.QUERIES[q](spark, DATA).count())}
+    assert len(got) > 5
