@@ -200,29 +200,47 @@ def _(flow):
     return connected_components(flow)
 
 
-@query("gra3_betweenness", "trade")
-def _(trade):
-    return graph.betweenness_centrality(trade)
+def _weighted(hop: DataFrame) -> DataFrame:
+    """The rolled-up graph of all entities, written once: (a, b, weight)."""
+    return Scratch(hop.sparkSession).write(_edges(hop).select("a", "b", "weight"))
 
 
-@query("gra4_eigenvector", "trade")
-def _(trade):
-    return graph.eigenvector_centrality(trade).withColumn("centrality", F.round("centrality", 4))
+def _combined(edges: DataFrame) -> DataFrame:
+    return graph.combined_centrality(graph.degree_centrality(edges), graph.betweenness_centrality(edges), graph.eigenvector_centrality(edges))
 
 
-@query("gra5_combined_centrality", "trade")
-def _(trade):
-    return graph.combined_centrality(graph.degree_centrality(trade), graph.betweenness_centrality(trade), graph.eigenvector_centrality(trade)).withColumn("band", band(F.col("scaled")))
+@query("gra3_betweenness", "hop")
+def _(hop):
+    return graph.betweenness_centrality(_weighted(hop))
 
 
-@query("gra6_communities", "trade")
-def _(trade):
-    return graph.communities(trade)
+@query("gra4_eigenvector", "hop")
+def _(hop):
+    return graph.eigenvector_centrality(_weighted(hop)).withColumn("centrality", F.round("centrality", 4))
 
 
-@query("gra7_bridges", "trade")
-def _(trade):
-    return graph.bridges(trade, graph.communities(trade))
+@query("gra5_combined_centrality", "hop")
+def _(hop):
+    return _combined(_weighted(hop)).withColumn("band", band(F.col("scaled")))
+
+
+@query("gra6_communities", "hop")
+def _(hop):
+    return graph.communities(_weighted(hop))
+
+
+@query("gra7_bridges", "hop")
+def _(hop):
+    edges = _weighted(hop)
+    return graph.bridges(edges, graph.communities(edges))
+
+
+@query("gra9_entity_paths", "hop")
+def _(hop):
+    """Paths between the first and the last entity of the rolled-up graph."""
+    edges = _weighted(hop)
+    first, last = edges.agg(F.min("a"), F.max("b")).first()
+    return graph.paths(edges, first, last).select(F.array_join("path", "-").alias("path"), "hops", F.round("cost", 9).alias("cost"))
 
 
 @query("gra9_paths", "trade", sql="WITH w AS (SELECT a, b, weight FROM trade UNION ALL SELECT b, a, weight FROM trade), p AS (SELECT '0-' || b AS path, 1 AS hops, 1 / weight AS cost FROM w WHERE a = 0 AND b = 24 UNION ALL SELECT '0-' || x.b || '-24', 2, 1 / x.weight + 1 / y.weight FROM w x JOIN w y ON x.b = y.a WHERE x.a = 0 AND y.b = 24 AND x.b NOT IN (0, 24)) SELECT path, hops::INT AS hops, round(cost, 9) AS cost FROM p")
@@ -554,6 +572,15 @@ def _(trade, nation):
     return series.cluster_roll_up(links, cases.select("case_id", "cluster"), cases.select("case_id", "region")).withColumn("avg_score", F.round("avg_score", 6))
 
 
+@query("agg20_community_roll_up", "hop")
+def _(hop):
+    """The communities of the rolled-up graph as clusters, the last digits of the entities as regions."""
+    edges = _weighted(hop)
+    found = graph.communities(edges)
+    links = edges.select(F.col("a").alias("case_a"), F.col("b").alias("case_b"), F.col("weight").alias("score"))
+    return series.cluster_roll_up(links, found.select(F.col("node").alias("case_id"), F.col("community").alias("cluster")), found.select(F.col("node").alias("case_id"), (F.col("node") % 10).cast("string").alias("region"))).withColumn("avg_score", F.round("avg_score", 6))
+
+
 #: Every user whose number ends in 1 or 2 is merged into the one that ends in 0.
 _TO = "CASE WHEN {0} % 10 IN (1, 2) THEN {0} - {0} % 10 ELSE {0} END"
 
@@ -622,15 +649,15 @@ def _typed(hop: DataFrame) -> DataFrame:
     return hop.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "event_type").agg(F.sum("weight").alias("w")).withColumn("severity", F.when(F.col("event_type") == "error", 0.5).otherwise(0.0))
 
 
-@query("gra13_importance", "trade", "supplier")
-def _(trade, supplier):
-    """Importance of the nations in the trade graph: centrality, discounts as severity, suppliers as records and cases."""
-    central = graph.combined_centrality(graph.degree_centrality(trade), graph.betweenness_centrality(trade), graph.eigenvector_centrality(trade)).select("node", F.col("scaled").alias("score"))
-    role = graph.role_severity(trade.select("a", "b", F.lit("trade").alias("rel_type"), F.col("weight").alias("w"), F.lit(0.0).alias("severity")))
-    records = supplier.groupBy(F.col("s_nationkey").alias("node")).agg(F.count("*").alias("records"))
-    total = records.agg(F.sum("records").alias("total"))
-    cross = records.crossJoin(F.broadcast(total)).select("node", graph.cross_case_score(F.col("records"), F.col("total")).alias("score"))
-    out = graph.importance(central, role, cross, graph.activity(trade, records))
+@query("gra13_importance", "hop")
+def _(hop):
+    """Importance of every entity of the rolled-up graph: centrality, errors as severity, days as cases, moves as records."""
+    edges = _weighted(hop)
+    ends = hop.select(F.explode(F.array("src", "dst")).alias("node"), "case_id").groupBy("node").agg(F.count("*").alias("records"), F.count_distinct("case_id").alias("cases"))
+    total = hop.agg(F.count_distinct("case_id").alias("total"))
+    cross = ends.crossJoin(F.broadcast(total)).select("node", graph.cross_case_score(F.col("cases"), F.col("total")).alias("score"))
+    central = _combined(edges).select("node", F.col("scaled").alias("score"))
+    out = graph.importance(central, graph.role_severity(_typed(hop)), cross, graph.activity(edges, ends.select("node", "records")))
     return out.select("node", *[F.round(c, 3).alias(c) for c in ("score", "centrality", "role", "cross_case", "activity")], "band")
 
 

@@ -131,13 +131,26 @@ def combined_centrality(degree: DataFrame, betweenness: DataFrame, eigenvector:
 
 
 def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, community) by local moves that raise modularity: in each round every other node (by hash) may join the neighbouring community of largest gain.
+    """(node, community) by levels of local moves that raise modularity: the communities of a level are the nodes of the next, until a level raises it no more.
 
-    Synchronous, with ties to the smallest community; the round is kept only if modularity rises, so the result is never worse than single nodes.
+    In each round every other node (by hash) may join the neighbouring community of largest gain, synchronously, with ties to the smallest community; of two single nodes only the one with the larger name joins the other; a round is kept only if
+    modularity rises, so the result is never worse than single nodes.
     """
     scratch = Scratch(edges.sparkSession)
     arcs = scratch.write(both_ways(edges, "weight"))
     total = arcs.agg(F.sum("weight")).first()[0] or 1.0  # twice the weight of all edges
+    label = scratch.write(arcs.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
+    while True:
+        moved = _local_moves(scratch, arcs, total, rounds)
+        if moved is None:
+            return label
+        label = scratch.write(label.withColumnRenamed("community", "of").join(moved.withColumnRenamed("node", "of"), "of").select("node", "community"))
+        ends = arcs.join(moved.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(moved.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
+        arcs = scratch.write(ends.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")))
+
+
+def _local_moves(scratch: Scratch, arcs: DataFrame, total: float, rounds: int) -> DataFrame | None:
+    """(node, community) of one level, None if no move raises modularity. An arc from a node to itself is the weight within it."""
     k = scratch.write(arcs.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")))
     label = scratch.write(k.select("node", F.col("node").alias("community"), "k"))
 
@@ -146,15 +159,16 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
         spread = lab.groupBy("community").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0.0
         return inside / total - spread / total**2
 
-    best, idle = modularity(label), 0
+    first = best = modularity(label)
+    idle = 0
     for i in range(rounds):
-        sizes = label.groupBy("community").agg(F.sum("k").alias("kc"))
-        near = arcs.join(label.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("w"))
-        own = label.select("node", F.col("community").alias("own"), "k")
-        options = near.join(own, "node").join(sizes, "community").withColumn("gain", F.col("w") - F.col("k") * (F.col("kc") - F.when(F.col("own") == F.col("community"), F.col("k")).otherwise(0)) / total)
+        sizes = label.groupBy("community").agg(F.sum("k").alias("kc"), F.count("*").alias("n"))
+        near = arcs.where("a <> b").join(label.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("w"))
+        own = label.select("node", F.col("community").alias("own"), "k").join(sizes.select(F.col("community").alias("own"), F.col("n").alias("own_n")), "own")
+        options = near.join(own, "node").join(sizes, "community").where("own_n > 1 OR n > 1 OR community < own").withColumn("gain", F.col("w") - F.col("k") * (F.col("kc") - F.when(F.col("own") == F.col("community"), F.col("k")).otherwise(0)) / total)
         stay = options.where("own = community").select("node", F.col("gain").alias("now"))
         top = options.groupBy("node").agg(F.min_by(F.struct("community", "gain"), F.struct(F.negative("gain"), "community")).alias("t"))
-        move = top.join(own, "node").join(stay, "node", "left").withColumn("alone", -F.col("k") * 0)
+        move = own.join(top, "node", "left").join(stay, "node", "left")
         turn = F.pmod(F.xxhash64(F.col("node").cast("string")), F.lit(2)) == i % 2
         new = F.when(turn & (F.col("t.gain") > F.coalesce("now", F.lit(0.0)) + 1e-12), F.col("t.community")).otherwise(F.col("own"))
         nxt = scratch.write(move.select("node", new.alias("community"), "k"))
@@ -165,7 +179,7 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
             idle += 1
             if idle == 2:
                 break
-    return label.select("node", "community")
+    return label.select("node", "community") if best > first else None
 
 
 def bridges(edges: DataFrame, labels: DataFrame) -> DataFrame:

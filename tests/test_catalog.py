@@ -43,3 +43,13 @@ def test_run_all_counts_every_detector(spark):
         got[r.alert_type] = got.get(r.alert_type, 0) + r.n
     assert got == {t: n for t, q in single.items() if (n := catalog.QUERIES[q](spark, DATA).count())}
     assert len(got) > 5
+
+
+def test_graph_queries_reach_every_entity(spark):
+    nodes = {r.node for r in catalog.QUERIES["gra2_degree_centrality"](spark, DATA).collect()}
+    for name in ("gra3_betweenness", "gra4_eigenvector", "gra6_communities", "gra13_importance"):
+        assert {r.node for r in catalog.QUERIES[name](spark, DATA).collect()} == nodes
+    edges = {frozenset((r.a, r.b)) for r in catalog.QUERIES["agg2_edge_roll_up"](spark, DATA).collect()}
+    low, high = min(nodes), max(nodes)
+    grow = lambda path: [path] if path[-1] == high else [p for n in nodes if len(path) < 5 and n not in path and frozenset((path[-1], n)) in edges for p in grow([*path, n])]
+    assert sorted(r.path for r in catalog.QUERIES["gra9_entity_paths"](spark, DATA).collect()) == sorted("-".join(map(str, p)) for p in grow([low]))

@@ -288,3 +288,12 @@ def test_case_links_equal_the_triangle(spark):
         assert rows(linkage.case_links(c, linkage.narrative_cosines(c, vectors, m), m)) == rows(triangle.where(F.col("score") >= m))
     assert triangle.where("score >= 30 AND signature <= 0.3 AND cosine = 0").count() > 0
     assert rows(linkage.cosine_pairs(vectors, 0.4)) == rows(cosine.where("cosine >= 0.4"))
+
+
+def test_communities_of_a_ring_grow_by_levels(spark):
+    n = 60
+    ring = spark.createDataFrame([(i, (i + 1) % n, 1.0) for i in range(n)] + [(100, 101, 1.0)], "a int, b int, weight double")
+    got = dict(graph.communities(ring).collect())
+    assert len(got) == n + 2 and got[100] == got[101]
+    once = graph._local_moves(graph.Scratch(spark), graph.both_ways(ring, "weight"), 2.0 * (n + 1), 20)
+    assert len(set(got.values())) < len({r.community for r in once.collect()})
