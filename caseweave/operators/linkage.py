@@ -138,7 +138,7 @@ def narrative_cosines(cases: DataFrame, vectors: DataFrame, minimum: float = 60.
 
 
 def candidate_matches(entities: DataFrame, minimum: float = 0.6, limit: int = 10) -> DataFrame:
-    """Pairs of live entities of a type with alike names, blocked on common name tokens: (id_a, id_b, similarity), the best ``limit`` per entity.
+    """Pairs of live entities of a type with alike names, blocked on common name tokens: (id_a, id_b, similarity, rank), the best ``limit`` of each entity on either side; rank is the better of the two.
 
     Names of one word match nothing but themselves partly: two of them 0, one inside the other name .3.
     """
@@ -148,8 +148,10 @@ def candidate_matches(entities: DataFrame, minimum: float = 0.6, limit: int = 10
     one_a, one_b = F.size(F.split("na", r"\s+")) == 1, F.size(F.split("nb", r"\s+")) == 1
     sim = F.when(one_a & one_b, 0.0).when(one_a | one_b, 0.3).otherwise(token_sort_ratio(F.col("na"), F.col("nb")))
     scored = pairs.withColumn("similarity", F.round(sim, 4)).where(F.col("similarity") >= minimum)
-    order = Window.partitionBy("id_a").orderBy(F.col("similarity").desc(), "id_b")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("id_a", "id_b", "similarity", "rank")
+    ends = scored.select(F.col("id_a").alias("id"), F.col("id_b").alias("other"), "similarity").unionByName(scored.select(F.col("id_b").alias("id"), F.col("id_a").alias("other"), "similarity"))
+    order = Window.partitionBy("id").orderBy(F.col("similarity").desc(), "other")
+    best = ends.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return best.groupBy(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"), "similarity").agg(F.min("rank").alias("rank"))
 
 
 def recommendation(signals: Column, partial: Column) -> Column:

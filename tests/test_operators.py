@@ -297,3 +297,10 @@ def test_communities_of_a_ring_grow_by_levels(spark):
     assert len(got) == n + 2 and got[100] == got[101]
     once = graph._local_moves(graph.Scratch(spark), graph.both_ways(ring, "weight"), 2.0 * (n + 1), 20)
     assert len(set(got.values())) < len({r.community for r in once.collect()})
+
+
+def test_candidates_rank_both_ends_of_a_pair(spark):
+    names = [(1, "Anna Berg"), *[(i, "Anna Berg") for i in range(2, 5)], (9, "Anna Bergs")]
+    e = spark.createDataFrame([(i, "Person", n, None) for i, n in names], "entity_id int, entity_type string, name string, merged_into int")
+    got = {(r.id_a, r.id_b): r["rank"] for r in linkage.candidate_matches(e, limit=1).collect()}
+    assert got == {(1, 2): 1, (1, 3): 1, (1, 4): 1, (1, 9): 1}
