@@ -84,10 +84,10 @@ def _encode(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of each text. A chunk is encoded once and remembered.
 
     This vocabulary drops white space, lowers case letter by letter and never joins over white space or from letters to punctuation, so
-    texts can be lowered first and cut there. The two letters whose lower case depends on more than the letter leave their text as it is.
+    texts can be lowered first and cut there. The two letters whose lower case depends on more than the letter leave their text as it is, and so does the start of a special token, which lowering could complete.
     """
     known = _vocabulary(path)
-    raw = [(t if "\u03a3" in t or "\u0130" in t else t.lower()).encode() for t in texts]
+    raw = [(t if "\u03a3" in t or "\u0130" in t or "<|" in t else t.lower()).encode() for t in texts]
     data = np.frombuffer(b"\n".join(raw), np.uint8)
     if not len(data):
         return [np.zeros(0, "<u4") for _ in texts]

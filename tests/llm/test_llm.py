@@ -164,3 +164,14 @@ def test_pipeline_runs(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and out.where("offset + length > 4096").count() == 0
+
+
+def test_special_tokens_are_told_by_their_case():
+    from tokenizers import Tokenizer
+
+    from caseweave.llm import packing
+
+    path = packing.default_tokenizer()
+    texts = ["a <|ENDOFTEXT|> b", "A <|EndOfText|>, B. C", "a <|endoftext|> b", "Plain, Text.", "<|"]
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in packing._encode(texts, path)] == want and len(want[0]) != len(want[2])
