@@ -35,5 +35,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         small = scratch.write(hung.union(low.select("u", F.col("m").alias("v"))).distinct())
         scratch.drop(now, large)
         now = small
+    scratch.keep_only(now)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

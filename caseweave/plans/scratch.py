@@ -14,13 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: list[str] = []
+_scopes: list[list] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset, as in local tests."""
+    """``spark.checkpoint.dir`` of the session; where that is unset, a temporary folder in local mode, as in tests, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="spark-caseweave-"))
     return _own_dir[0]
@@ -40,12 +43,15 @@ def _files_removed_after_write(spark: SparkSession):
 class Scratch:
     """Writes tables to the shared folder and reads them back.
 
-    ``drop`` removes a table that no later plan reads. Tables that the returned result still reads stay.
+    ``drop`` removes tables that no later plan reads, ``keep_only`` all but the given ones. Tables that the returned result still reads stay; ``scope`` clears them too.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: dict[int, str] = {}
+        self.tables: list[DataFrame] = []  # held, so that their ids stay theirs
+        for made in _scopes:
+            made.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/caseweave-{uuid.uuid4().hex}"
@@ -53,11 +59,30 @@ class Scratch:
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        out._scratch = self  # keeps the id in use
+        self.tables.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        for df in tables:
-            if path := self.paths.pop(id(df), None):
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self._remove([self.paths.pop(id(df)) for df in tables if id(df) in self.paths])
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        kept = {id(df) for df in tables}
+        self._remove([self.paths.pop(key) for key in list(self.paths) if key not in kept])
+
+    def _remove(self, paths: list[str]) -> None:
+        for path in paths:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scope():
+    """Removes, at its end, every table that was written inside: for results that were written elsewhere meanwhile."""
+    made: list[Scratch] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for scratch in made:
+            scratch.keep_only()
