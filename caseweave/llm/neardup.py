@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -73,35 +74,74 @@ def sketches(docs: DataFrame, q: int, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(rows, SKETCH)
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _by_differences(scratch: Scratch, group: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, buckets) that reach every link between two components of a group (leader, cls, score, comp), without holding all its members against each other.
+
+    Let R be the elements that more than half of a group has, d_x the elements in only one of x and R, and m_x = (100 + percent) * |d_x| - (100 - percent) * |x|. Two members differ from each other in
+    |d_a| + |d_b| - 2 * |d_a & d_b| elements, and are linked if (100 + percent) times that is at most (100 - percent) * (|a| + |b|), that is if m_a + m_b <= 2 * (100 + percent) * |d_a & d_b|.
+
+    The member with the smallest m is the hub. A member with m + m_hub <= 0 is linked to it for certain: such pairs are returned. Members that then are in another component than the hub ask; let M be
+    the smallest m among them. Every other link has an end that asks, so its ends share at least (m + M) / (2 * (100 + percent)) differences, and (m + m_hub) / (2 * (100 + percent)) for one that asks,
+    for which also |d_x| - |x| * (100 - percent) / percent holds, since |d_b| >= |d_x| - (|x| + |b|) * (100 - percent) / (100 + percent) and |b| <= |x| * 100 / percent. Of t shared elements at least one is among
+    the first |d| - t + 1 of each end in any common order. Here what R lacks comes first, being rare, then what R lacks but an eighth of the group has, then what only R has.
+
+    Buckets are (bucket, size, cls, score, comp, asks, first) for those first elements; ``first`` tells those that partners that ask need.
+    """
+    per = 100 + percent
+    whole = scratch.write(group.join(sets.hint("shuffle_merge"), "cls").select("leader", "cls", "score", "comp", "shingles"))
+    members = whole.groupBy("leader").agg(F.count("*").alias("members"))
+    counts = whole.select("leader", F.explode("shingles").alias("element")).groupBy("leader", "element").agg(F.count("*").alias("n"))
+    often = counts.where("n > 1").join(members.hint("shuffle_merge"), "leader").where("n * 8 >= members")
+    often = often.groupBy("leader").agg(F.array_sort(F.collect_list(F.when(F.expr("n * 2 > members"), F.col("element")))).alias("origin"), F.collect_list(F.when(F.expr("n * 2 <= members"), F.col("element"))).alias("often"))
+    none = F.array().cast("array<long>")
+    known = whole.join(scratch.write(often).hint("shuffle_merge"), "leader", "left").withColumn("origin", F.coalesce("origin", none)).withColumn("often", F.coalesce("often", none))
+    known = known.withColumn("added", F.array_except("shingles", "origin"))
+    order = F.concat(F.array_except("added", "often"), F.array_intersect("added", "often"), F.array_except("origin", "shingles"))
+    known = known.select("leader", "cls", "score", "comp", F.size("shingles").alias("own"), order.alias("elements"))
+    known = scratch.write(known.withColumn("m", (F.size("elements") * per - F.col("own") * (100 - percent)).cast("long")))
+    hubs = known.groupBy("leader").agg(F.min(F.struct("m", "cls", "comp")).alias("hub")).select("leader", "hub.cls", "hub.comp", "hub.m").toDF("leader", "hub", "hub_comp", "hub_m")
+    hubs = scratch.write(hubs)
+    apart = known.select("leader", "cls", "comp", "m").join(hubs.hint("shuffle_merge"), "leader").where("comp <> hub_comp")
+    sure = scratch.write(apart.where("m + hub_m <= 0").select("cls", "hub"))
+    least = apart.where("m + hub_m > 0").groupBy("leader").agg(F.min("m").alias("least_m"))
+    rows = known.join(hubs.join(least.hint("shuffle_merge"), "leader").hint("shuffle_merge"), "leader").withColumn("asks", F.expr("comp <> hub_comp AND m + hub_m > 0"))
+    far = F.greatest(F.lit(1), F.ceil((F.col("m") + F.col("least_m")) / (2 * per)))
+    every = F.greatest(F.lit(1), F.ceil((F.col("m") + F.col("hub_m")) / (2 * per)), F.ceil((F.size("elements") * percent - F.col("own") * (100 - percent)) / percent))
+    first = lambda shared: F.greatest(F.lit(0), F.size("elements") - shared + 1).cast("int")
+    rows = rows.select("leader", "cls", "score", F.when(F.expr("m + hub_m > 0"), F.col("comp")).otherwise(F.col("hub_comp")).alias("comp"), "asks", first(F.greatest(far, F.when(F.col("asks"), every))).alias("far"), first(every).alias("any"), "elements")
+    cut = rows.withColumn("elements", F.slice("elements", F.lit(1), F.when(F.col("asks"), F.col("any")).otherwise(F.col("far"))))
+    cut = cut.select("leader", "cls", "score", "comp", "asks", "far", F.posexplode("elements").alias("place", "element"))
+    buckets = scratch.write(_met(cut.select(F.xxhash64("leader", "element").alias("bucket"), "cls", "score", "comp", "asks", (F.col("place") < F.col("far")).alias("first"))))
+    scratch.drop(whole, known, hubs)
+    return sure, buckets
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, small: int = 8, dense: int = 512, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Component of each document under: 100 * shared shingles >= ``percent`` * all shingles of the two.
 
-    Returns (id, n_shingles, component_id, links): the component is named by its smallest id, ``links`` counts the confirmed links of
-    the document's class to other classes. A class is all documents of one shingle set; one of them stands for all, so copies are never paired.
-    Classes that share one of ``BANDS`` keys of ``ROWS`` MinHash values are candidates: a pair at the threshold 0.8
-    is missed with probability 3e-6. A band's bucket is searched by leaders, never by all its pairs: every member
-    is held against the leader (first the class that shares most buckets with others, so the likely origin of a group of copies), pairs already in one component or too far apart by length or odd sketch are dropped, the others are confirmed on their
-    full sets; buckets that then still hold several components go on with four times the leaders, until every pair
-    that could join two components was held against each other.
+    Returns (id, n_shingles, cls, component_id): the component is named by its smallest id. A class ``cls`` is all documents of one shingle set, null for an empty one; one
+    of them stands for all, so copies are never paired. Classes that share one of ``BANDS`` keys of ``ROWS`` MinHash values are candidates: a pair at the threshold 0.8
+    is missed with probability 3e-6.
+
+    A band's bucket is never searched by all its pairs, unless it has at most ``small`` members. Its members are held against one leader, the class
+    that meets most others and so the likely origin of a group of copies. Pairs already in one component or too far apart by length or odd sketch are dropped, the others
+    are confirmed on their full sets. Members that then still lie in several components are dealt into new buckets by (leader, element) for the first of their
+    differences from what the group has in common (``_by_differences``), so that unrelated edits of one origin don't meet. There, only members outside the main component are held against others; a bucket
+    of more than ``dense`` members is led and dealt again, and searched whole if it still is one after ``rounds`` rounds.
 
     Null and empty texts have 0 shingles, are linked with nothing and are their own component, as are rows with a null id and no words. Null ids count as members
-    but never name a component with other ids. Texts with fewer words than ``shingle`` are one shingle. Repeated rows are copies. Clashing column names don't matter: only two columns are read.
+    but never name a component with other ids. Texts with fewer words than ``shingle`` are one shingle. Repeated rows are copies. No rows give no rows. Clashing column names don't matter: only two columns are read.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     all_rows = scratch.write(sketches(docs, shingle, id_col, text_col))
     # one row a class; the document that stands for it is found again by id and text
     classes = all_rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("low"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     classes = scratch.write(classes)
-    banded = classes.select("cls", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    members = scratch.write(banded.join(shared.hint("shuffle_merge"), "band"))
-    # a class that meets many others in its buckets is likely the one that they were copied from: it leads first
-    score = members.groupBy("cls").agg(F.sum("size").alias("score"))
-    scored = scratch.write(members.select("band", "cls").join(score.hint("shuffle_merge"), "cls"))
-    scratch.drop(members)
-    members = scored
-    involved = members.select("cls").distinct()
-    features = scratch.write(classes.drop("bands").join(involved.hint("shuffle_merge"), "cls"))
+    members = scratch.write(_met(classes.select("cls", F.explode("bands").alias("bucket"))))
+    # a class that meets many others in its buckets is likely the one that they were copied from: it leads
+    scores = scratch.write(members.groupBy("cls").agg(F.sum("size").alias("score")))
+    involved = scores.select("cls")
+    features = scratch.write(classes.select("cls", "low", "n", "odd").join(involved.hint("shuffle_merge"), "cls"))
     # the texts of the classes in question; a null id is no key, so such classes give all their texts and one is kept
     want = features.select(F.coalesce(F.col("low"), F.lit(0)).alias("low"), F.col("low").isNull().alias("none"), "cls")
     found = all_rows.select(F.coalesce("id", F.lit(0)).alias("low"), F.col("id").isNull().alias("none"), "cls").join(want.hint("shuffle_merge"), ["low", "none", "cls"], "left_semi").distinct()
@@ -109,46 +149,74 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     texts = base.join(found.select("low", "none").distinct().hint("shuffle_merge"), ["low", "none"], "left_semi")
     sets = scratch.write(_sets_of(texts, shingle).join(involved.hint("shuffle_merge"), "cls", "left_semi").dropDuplicates(["cls"]))
     far = max_distance(percent / 100)
-    links = None
-    labelled = members.withColumn("comp", F.col("cls"))
-    done = [members]
-    leaders_a_bucket = 1
-    while True:
-        slot = F.pmod(F.xxhash64("cls", F.lit(leaders_a_bucket)), F.lit(leaders_a_bucket))
-        leaders = labelled.groupBy("band", slot.alias("slot")).agg(F.max(F.struct("score", "cls", "comp")).alias("first"))
-        leaders = leaders.select("band", F.col("first.cls").alias("cls2"), F.col("first.comp").alias("comp2"))
-        leaders = scratch.write(leaders)
-        open_ = labelled.join(leaders.hint("shuffle_merge"), "band").where("cls <> cls2 AND comp <> comp2")
-        pairs = scratch.write(open_.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct())
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The links among candidate pairs (a, b): by length and odd sketch first, then on the full sets."""
         fa = features.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
         fb = features.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
         near = pairs.join(fa.hint("shuffle_merge"), "a").join(fb.hint("shuffle_merge"), "b")
         near = near.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (distance(F.col("oa"), F.col("ob")) <= far)).select("a", "b", "na", "nb")
-        near = scratch.write(near)
         sa = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
         sb = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
         both = near.join(sa.hint("shuffle_merge"), "a").join(sb.hint("shuffle_merge"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-        confirmed = scratch.write(both.where(F.col("common") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        links = confirmed if links is None else links.union(confirmed)
-        comps = scratch.write(connected_components(links))
-        # a leader has met its whole bucket; buckets with one component left are settled
-        rest = labelled.join(leaders.select("band", F.col("cls2").alias("cls")).hint("shuffle_merge"), ["band", "cls"], "left_anti").select("band", "cls", "score")
-        rest = scratch.write(rest.join(comps.select(F.col("node").alias("cls"), "component").hint("shuffle_merge"), "cls", "left").select("band", "cls", "score", F.coalesce("component", "cls").alias("comp")))
-        mixed = rest.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
-        following = scratch.write(rest.join(mixed.hint("shuffle_merge"), "band", "left_semi"))
-        scratch.drop(leaders, pairs, near, rest, *done)
-        done, labelled = [following], following
-        if following.isEmpty():
+        return both.where(F.col("common") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+
+    labels = scores.select("cls", "score", F.col("cls").alias("comp"))
+    open_ = members.join(labels.hint("shuffle_merge"), "cls").select("bucket", "size", "cls", "score", "comp", F.lit(True).alias("asks"), F.lit(True).alias("first"))
+    open_ = scratch.write(open_)
+    scratch.drop(members)
+    sure = open_.sparkSession.createDataFrame([], "a binary, b binary")
+    for done in itertools.count():
+        # a bucket with more members is led by one, a smaller one is searched whole
+        limit = small if not done else dense if done < rounds else 1 << 62
+        leaders = open_.where(F.col("size") > limit).groupBy("bucket").agg(F.max(F.struct("score", "cls", "comp")).alias("top"))
+        leaders = leaders.select("bucket", F.col("top.cls").alias("leader"), F.col("top.comp").alias("leader_comp"))
+        led = scratch.write(open_.join(leaders.hint("shuffle_merge"), "bucket").where("cls <> leader").select("bucket", "cls", "leader", (F.col("comp") != F.col("leader_comp")).alias("apart")))
+        few = open_.where(F.col("size") <= limit)
+        x = few.where("asks").select("bucket", F.col("cls").alias("a"), F.col("comp").alias("a_comp"), F.col("first").alias("a_first"))
+        y = few.where("first").select("bucket", F.col("cls").alias("b"), F.col("comp").alias("b_comp"), F.col("asks").alias("b_asks"))
+        pairs = x.join(y.hint("shuffle_merge"), "bucket").where("a_comp <> b_comp AND (NOT b_asks OR a_first AND a < b)").select("a", "b")
+        pairs = pairs.union(led.where("apart").select("cls", "leader"))
+        links = scratch.write(confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+        labels = _joined(scratch, labels, links.union(sure))
+        scratch.drop(links, open_, sure)
+        # a leader has met its whole bucket; a bucket whose others lie in one component is settled
+        comp = labels.select("cls", "score", "comp")
+        rest = scratch.write(led.select("bucket", "cls", "leader").join(comp.hint("shuffle_merge"), "cls"))
+        mixed = rest.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+        group = scratch.write(rest.join(mixed.hint("shuffle_merge"), "bucket", "left_semi").select("leader", "cls", "score", "comp").distinct())
+        scratch.drop(led, rest)
+        if group.isEmpty():
             break
-        leaders_a_bucket *= 4
-    scratch.drop(sets, members, features)
-    degree = links.select(F.explode(F.array("src", "dst")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
-    named = classes.select("cls", "low").join(comps.select(F.col("node").alias("cls"), F.col("component").alias("comp")).hint("shuffle_merge"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        sure, open_ = _by_differences(scratch, group, sets, percent)
+        scratch.drop(group)
+    scratch.drop(sets, features, scores, group)
+    named = classes.select("cls", "low").join(labels.select("cls", "comp").hint("shuffle_merge"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest.hint("shuffle_merge"), "comp").join(degree.hint("shuffle_merge"), "cls", "left").select("cls", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    named = scratch.write(named.join(lowest.hint("shuffle_merge"), "comp").select("cls", "component_id"))
+    scratch.keep_only(all_rows, named)
     narrow = all_rows.select("id", "n_shingles", "cls")
-    with_words = narrow.where("cls IS NOT NULL").join(scratch.write(named).hint("shuffle_merge"), "cls").select("id", "n_shingles", "component_id", "links")
-    return with_words.unionByName(narrow.where("cls IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("links")))
+    with_words = narrow.where("cls IS NOT NULL").join(named.hint("shuffle_merge"), "cls").select("id", "n_shingles", "cls", "component_id")
+    return with_words.unionByName(narrow.where("cls IS NULL").select("id", "n_shingles", "cls", F.col("id").alias("component_id")))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Rows of (bucket, cls, ...) whose bucket has others, with its ``size``; of a bucket whose members have ``comp``, only if they lie in several."""
+    several = [F.min("comp").alias("x"), F.max("comp").alias("y")] if "comp" in rows.columns else []
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("size"), *several).where("size > 1" + (" AND x <> y" if several else ""))
+    return rows.join(shared.select("bucket", "size").hint("shuffle_merge"), "bucket")
+
+
+def _joined(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (cls, score, comp) after the components that ``links`` (a, b) join became one; only ends of links take part in the search."""
+    comp = labels.select("cls", "comp")
+    ends = links.join(comp.select(F.col("cls").alias("a"), F.col("comp").alias("src")).hint("shuffle_merge"), "a").join(comp.select(F.col("cls").alias("b"), F.col("comp").alias("dst")).hint("shuffle_merge"), "b")
+    ends = scratch.write(ends.where("src <> dst").select("src", "dst").distinct())
+    found = connected_components(ends)
+    new = labels.join(found.select(F.col("node").alias("comp"), "component").hint("shuffle_merge"), "comp", "left")
+    new = scratch.write(new.select("cls", "score", F.coalesce("component", "comp").alias("comp")))
+    scratch.drop(ends, labels)
+    return new
 
 
 def _sets_of(texts: DataFrame, q: int) -> DataFrame:
@@ -174,4 +242,4 @@ def _sets_of(texts: DataFrame, q: int) -> DataFrame:
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2)
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"), "links")
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

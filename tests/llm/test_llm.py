@@ -67,6 +67,47 @@ def test_near_duplicates_match_brute_force(spark, q):
     assert got == want
 
 
+def components(sets, percent=80):
+    comp = list(range(len(sets)))
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                x, y = sorted((root(i), root(j)))
+                comp[y] = x
+    return [root(i) for i in range(len(sets))]
+
+
+def variants(origins, each, edits, seed=7):
+    """Texts that are edited copies of a few origins; many pairs lie just below and above the threshold."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for o in range(origins):
+        base = [f"w{i if i % 3 else o * 1000 + i}" for i in range(110)]
+        for _ in range(each):
+            words = list(base)
+            for _ in range(rng.integers(0, edits)):
+                i, kind = rng.integers(0, len(words)), rng.integers(0, 3)
+                words[i : i + 1] = [[f"x{rng.integers(0, 25)}"], [], [words[i], f"y{rng.integers(0, 25)}"]][kind]
+            texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("small,dense,rounds", [(8, 512, 6), (2, 6, 3), (2, 4, 1)])
+def test_large_groups_of_variants_match_brute_force(spark, small, dense, rounds):
+    texts = variants(2, 150, 24)
+    sets = [frozenset(zip(w, w[1:])) for w in map(str.split, texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.component_id for r in neardup.near_duplicates(docs, shingle=2, small=small, dense=dense, rounds=rounds).collect()}
+    assert got == dict(enumerate(components(sets)))
+    assert 20 < len(set(got.values())) < 280
+
+
 def test_url_rules(spark):
     urls = ["http://WWW.Example.com/en/1?x", "https://a.example.com/en/", "http://b.com/q", "http://c.net/es/1", "http://c.net/es", "nothing", None, "http://example.org/en/2", "http://xexample.com/en/", "http://b.com?a://z/"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
