@@ -23,18 +23,29 @@ def paragraph_digests(text: str) -> str:
     return f"array_sort(array_distinct(transform(regexp_extract_all({text}, r'{PARAGRAPH}', 0), p -> xxhash64(p))))"
 
 
-def printed_table(digests: str) -> str:
-    """SQL for a table of ``CELLS`` cells as a string: the number of digests, then count, key sum and check sum of each cell in hex."""
-
-    def cell(c: int) -> str:
+def first_table(digests: str) -> str:
+    """SQL for a fingerprint: struct of the number of digests and of ``CELLS`` cells, each the count, key sum and check sum of its digests."""
+    cells = []
+    for c in range(CELLS):
         mine = f"filter({digests}, d -> {_CELL[c // 3]} = {c})"
-        return f"concat(hex(size({mine})), '.', hex(aggregate({mine}, 0L, (s, d) -> s ^ d)), '.', hex(aggregate({mine}, 0L, (s, d) -> s ^ {_CHECK})))"
+        # a lambda over a one-element array names the cell's digests
+        cells.append(f"transform(array({mine}), m -> named_struct('n', size(m), 'key', aggregate(m, 0L, (s, d) -> s ^ d), 'chk', aggregate(m, 0L, (s, d) -> s ^ {_CHECK})))[0]")
+    return f"named_struct('size', size({digests}), 'cells', array({', '.join(cells)}))"
+
+
+def printed_table(table: str) -> str:
+    """SQL for a fingerprint as a string: the number of digests, then count, key sum and check sum of each cell in hex."""
+    return f"concat({table}.size, ':', concat_ws(',', transform({table}.cells, c -> concat(hex(c.n), '.', hex(c.key), '.', hex(c.chk)))))"
+
 
-    return f"concat(size({digests}), ':', concat_ws(',', {', '.join(cell(c) for c in range(CELLS))}))"
+def subtracted(one: str, other: str) -> str:
+    """SQL for the cells of two fingerprints, subtracted: struct of cnt, key and chk arrays."""
+    each = lambda value: f"zip_with({one}.cells, {other}.cells, (a, b) -> {value})"
+    return f"named_struct('cnt', {each('a.n - b.n')}, 'key', {each('a.key ^ b.key')}, 'chk', {each('a.chk ^ b.chk')})"
 
 
-def _peeled() -> str:
-    """SQL that peels a table (cnt, key, chk arrays): struct of what is left and the number of digests found.
+def _peeled(cnt: str = "cnt", key: str = "key", chk: str = "chk") -> str:
+    """SQL that peels a table of cnt, key and chk arrays: struct of what is left and the number of digests found.
 
     A cell is pure when its count is 1 or -1 and its check sum is that of its key; each step takes the digest of one pure cell out of all its cells.
     """
@@ -49,19 +60,19 @@ def _peeled() -> str:
     hit = f"transform(slice({pure}, 1, 1), c -> named_struct('d', s.key[c], 'n', s.cnt[c], 'k', s.chk[c]))"
     placed = f"transform({hit}, h -> named_struct('d', h.d, 'n', h.n, 'k', h.k, 'c0', {_CELL[0].replace('d,', 'h.d,')}, 'c1', {_CELL[1].replace('d,', 'h.d,')}, 'c2', {_CELL[2].replace('d,', 'h.d,')}))"
     step = f"coalesce(get(transform({placed}, u -> {take}), 0), s)"
-    start = "named_struct('cnt', cnt, 'key', key, 'chk', chk, 'found', 0)"
+    start = f"named_struct('cnt', {cnt}, 'key', {key}, 'chk', {chk}, 'found', 0)"
     return f"aggregate(sequence(1, {CELLS}), {start}, (s, i) -> {step})"
 
 
-def set_differences(pairs: DataFrame, first_load: int = 3) -> DataFrame:
-    """(id, kind, differing): digests in only one of two sets, from rows (id, kind, x array<long>, y array<long>).
+def set_differences(pairs: DataFrame, load: int = 3) -> DataFrame:
+    """(id, kind, differing): digests in only one of two sets, from rows (id, kind, x array<long>, y array<long>, guess): ``guess`` is an estimate of that number.
 
-    Both sets are hashed into tables of ``CELLS`` cells, as many tables as the sets' sizes ask for (a power of two; a digest's table is
+    Both sets are hashed into tables of ``CELLS`` cells, as many tables as the guess asks for at ``load`` digests a table (a power of two; a digest's table is
     chosen by its own bits), subtracted cell by cell and peeled. A table that can't be peeled is tried again as four smaller ones,
     until none is left. Every row's tables are built where the row lies; nothing is shuffled but the rows once.
     """
     scratch = Scratch(pairs.sparkSession)
-    sized = pairs.withColumn("tables", F.expr(f"CAST(pow(2, ceil(log2(greatest(1, (size(x) + size(y)) / {first_load})))) AS BIGINT)"))
+    sized = pairs.withColumn("tables", F.expr(f"CAST(pow(2, ceil(log2(greatest(1, guess / {load})))) AS BIGINT)")).drop("guess")
     flat = "explode(concat(transform(x, d -> named_struct('d', d, 'n', 1)), transform(y, d -> named_struct('d', d, 'n', -1)))) AS e"
     todo = scratch.write(sized.repartition("id"))
     rows = todo.repartition("id").selectExpr("id", "kind", "tables", flat).selectExpr("id", "kind", "tables", "e.d AS d", "e.n AS n")
@@ -97,49 +108,62 @@ def set_differences(pairs: DataFrame, first_load: int = 3) -> DataFrame:
     return out.groupBy("id", "kind").agg(F.sum("found").alias("differing"))
 
 
-def with_next(docs: DataFrame, *, bucket_bytes: int = 16 << 20) -> DataFrame:
+def with_next(docs: DataFrame, *, range_bytes: int = 16 << 20, most_ranges: int = 20_000) -> DataFrame:
     """Rows (doc_id, text) with ``next_text``: the text of the next row by descending doc_id, nulls last, ties by the text's hash; after the last row the first.
 
-    Rows are dealt by ranges of doc_id whose bounds come from approximate quantiles, and sorted in their range. The first row of each range is also given, with its
-    text, to the range before.
+    Rows are dealt by range into partitions, written, and sorted inside them; the first row of each partition is also given, with its
+    text, to the partition before.
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.selectExpr("doc_id", "coalesce(text, '') AS text").withColumn("h", F.xxhash64("text"))
-    stats = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    n = max(1, (stats[0] or 0) // bucket_bytes)
-    bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    bucket = F.size(F.filter(F.lit(sorted(set(bounds))), lambda b: b > F.col("doc_id"))) if bounds else F.lit(0)
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), n).otherwise(bucket))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h").desc()]
+    dealt = rows.repartitionByRange(min(most_ranges, max(1, size // range_bytes)), *order).withColumn("place", F.spark_partition_id())
+    dealt = scratch.write(dealt)
     key = F.struct(F.col("doc_id").isNotNull().alias("there"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "h")
-    heads = scratch.write(rows.groupBy("bucket").agg(F.max_by(F.struct("doc_id", "text", "h"), key).alias("head")))
-    order = Window.orderBy("bucket")
-    names = heads.select("bucket").withColumn("to", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())))
-    ghosts = heads.join(names.hint("shuffle_merge"), "bucket").select("head.doc_id", "head.text", "head.h", F.col("to").alias("bucket"), F.lit(1).alias("ghost"))
-    both = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts)
-    sorted_ = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.col("h").desc())
-    return both.withColumn("next_text", F.lead("text").over(sorted_)).where("ghost = 0").select("doc_id", "text", "next_text", "bucket", "h")
+    heads = scratch.write(dealt.groupBy("place").agg(F.max_by(F.struct("doc_id", "text", "h"), key).alias("head")))
+    by_place = Window.orderBy("place")  # a row a partition
+    names = heads.select("place").withColumn("to", F.coalesce(F.lag("place").over(by_place), F.max("place").over(Window.partitionBy())))
+    ghosts = heads.join(names.hint("shuffle_merge"), "place").select("head.doc_id", "head.text", "head.h", F.col("to").alias("place"), F.lit(1).alias("ghost"))
+    both = dealt.withColumn("ghost", F.lit(0)).unionByName(ghosts)
+    sorted_ = Window.partitionBy("place").orderBy("ghost", *order)
+    return both.withColumn("next_text", F.lead("text").over(sorted_)).where("ghost = 0").select("doc_id", "text", "next_text", "h")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of texts, of edited versions of them, and how alike the versions and the next documents are.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many, or all, of the next document. Likeness is the
-    share of both paragraph sets that agrees: 1 - differing / (size of one + size of the other), 1 for two empty texts, with the differing digests counted by peeling
-    subtracted tables. Null texts are empty; null ids come last; equal rows follow each other; no rows give no rows. Only doc_id and text are read.
+    share of both paragraph sets that agrees: 1 - differing / (size of one + size of the other), 1 for two empty texts. The fingerprints are subtracted and peeled, which tells the
+    differing digests if there are few. Where peeling fails, the counts of the subtracted cells estimate their number, and larger tables are built for it, subtracted and peeled, four times as many
+    on each failure. Null texts are empty; null ids come last; equal rows follow each other; no rows give no rows. Only doc_id and text are read.
     """
     scratch = Scratch(docs.sparkSession)
     half = "CAST(floor(length(text) / 2) AS INT)"
     edited = f"concat(substring(text, 1, length(text) - {half}), substring(next_text, 1, {half}))"
     rows = with_next(docs).selectExpr("*", f"{edited} AS edited")
-    rows = rows.selectExpr("doc_id", "CAST(length(text) AS BIGINT) AS n_chars", "sha2(edited, 256) AS edited_sha256", f"{paragraph_digests('text')} AS own", f"{paragraph_digests('edited')} AS changed", f"{paragraph_digests('next_text')} AS following", "xxhash64(doc_id, h, next_text) AS id")
+    rows = rows.selectExpr("doc_id", "CAST(length(text) AS BIGINT) AS n_chars", "sha2(edited, 256) AS edited_sha256", f"{paragraph_digests('text')} AS own", f"{paragraph_digests('edited')} AS edited", f"{paragraph_digests('next_text')} AS next", "xxhash64(doc_id, h, next_text) AS id")
     rows = scratch.write(rows)
-    distinct = rows.dropDuplicates(["id"])
-    pairs = distinct.selectExpr("id", "own AS x", "stack(2, 'edited', changed, 'next', following) AS (kind, y)").select("id", "kind", "x", "y")
-    found = set_differences(pairs)
+    sketched = rows.selectExpr("*", *[f"{first_table(c)} AS {c}_table" for c in ("own", "edited", "next")])
+    for kind in ("edited", "next"):
+        sketched = sketched.withColumn(f"{kind}_less", F.expr(subtracted("own_table", f"{kind}_table")))
+        less = f"{kind}_less"
+        empty = f"(NOT exists({less}.key, x -> x <> 0) AND NOT exists({less}.cnt, x -> x <> 0))"
+        sketched = sketched.withColumn(f"{kind}_peel", F.expr(f"IF({empty}, named_struct('cnt', {less}.cnt, 'key', {less}.key, 'chk', {less}.chk, 'found', 0), {_peeled(f'{less}.cnt', f'{less}.key', f'{less}.chk')})"))
+        clear = f"NOT exists({kind}_peel.key, x -> x <> 0) AND NOT exists({kind}_peel.cnt, x -> x <> 0)"
+        sketched = sketched.withColumn(f"{kind}_found", F.expr(f"IF({clear}, {kind}_peel.found, NULL)"))
+        # each part of three cells shows the sum of squared counts of a random walk over the differing digests
+        sketched = sketched.withColumn(f"{kind}_guess", F.expr(f"CAST(least(size(own) + size({kind}), greatest(4, aggregate({less}.cnt, 0L, (s, n) -> s + n * n) / 2)) AS BIGINT)"))
+    kept = ["doc_id", "n_chars", "edited_sha256", "id", "own", "edited", "next", f"{printed_table('own_table')} AS fingerprint", f"{printed_table('edited_table')} AS edited_fingerprint"]
+    sketched = scratch.write(sketched.selectExpr(*kept, "edited_found", "next_found", "edited_guess", "next_guess"))
+    open_ = sketched.where("edited_found IS NULL OR next_found IS NULL").dropDuplicates(["id"])
+    pairs = open_.selectExpr("id", "own AS x", "stack(2, 'edited', edited, edited_found, edited_guess, 'next', next, next_found, next_guess) AS (kind, y, found, guess)").where("found IS NULL")
+    found = set_differences(pairs.select("id", "kind", "x", "y", "guess"))
     wide = scratch.write(found.groupBy("id").agg(F.max(F.when(F.col("kind") == "edited", F.col("differing"))).alias("de"), F.max(F.when(F.col("kind") == "next", F.col("differing"))).alias("dn")))
-    out = rows.join(wide.hint("shuffle_merge"), "id", "left")
-    like = lambda d, other: f"IF(size(own) + size({other}) = 0, 1.0D, 1.0D - coalesce({d}, 0) / CAST(size(own) + size({other}) AS DOUBLE))"
-    return out.selectExpr("doc_id", "n_chars", "edited_sha256", f"{printed_table('own')} AS fingerprint", f"{printed_table('changed')} AS edited_fingerprint", f"{like('de', 'changed')} AS near_edited", f"{like('dn', 'following')} AS near_next")
+    out = sketched.join(wide.hint("shuffle_merge"), "id", "left")
+    scratch.keep_only(sketched, wide)
+    like = lambda d, kind: f"IF(size(own) + size({kind}) = 0, 1.0D, 1.0D - coalesce({kind}_found, {d}) / CAST(size(own) + size({kind}) AS DOUBLE)) AS near_{kind}"
+    return out.selectExpr("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("de", "edited"), like("dn", "next"))
 
 
 def op2_fingerprint(spark, sf_dir: str) -> DataFrame:

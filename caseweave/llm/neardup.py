@@ -19,7 +19,7 @@ SAMPLES = BANDS * ROWS
 _rng = np.random.Generator(np.random.PCG64(20240))
 _XOR = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)[:, None]
 _MUL = (_rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) | U(1))[:, None]
-SKETCH = "id long, n_shingles long, cls binary, bands array<long>, odd array<long>"
+SKETCH = "id long, text_hash long, n_shingles long, cls binary, bands array<long>, odd array<long>"
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
@@ -48,8 +48,8 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def sketches(docs: DataFrame, q: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: number of shingles, class (digest of the shingle set, null for an empty one), band keys and odd sketch."""
-    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
+    """Per row: hash of the text, number of shingles, class (digest of the shingle set, null for an empty one), band keys and odd sketch."""
+    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
 
     def rows(batches):
         for batch in batches:
@@ -69,9 +69,9 @@ def sketches(docs: DataFrame, q: int, id_col: str, text_col: str) -> DataFrame:
                         key = mix(key ^ row)
                     bands.append(key.view(np.int64))
                     odd.append(odd_sketch(low))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, f.type) for x, f in zip((cls, bands, odd), list(schema)[2:], strict=True))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), *(pa.array(x, f.type) for x, f in zip((cls, bands, odd), list(schema)[3:], strict=True))], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(rows, SKETCH)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(text_col)).mapInArrow(rows, SKETCH)
 
 
 def _by_differences(scratch: Scratch, group: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +119,7 @@ def _by_differences(scratch: Scratch, group: DataFrame, sets: DataFrame, percent
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, small: int = 8, dense: int = 512, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Component of each document under: 100 * shared shingles >= ``percent`` * all shingles of the two.
 
-    Returns (id, n_shingles, cls, component_id): the component is named by its smallest id. A class ``cls`` is all documents of one shingle set, null for an empty one; one
+    Returns (id, text_hash, n_shingles, cls, comp, component_id): the component is named by its smallest id, and ``comp`` tells it even where all ids are null; it is null for empty sets. A class ``cls`` is all documents of one shingle set, null for an empty one; one
     of them stands for all, so copies are never paired. Classes that share one of ``BANDS`` keys of ``ROWS`` MinHash values are candidates: a pair at the threshold 0.8
     is missed with probability 3e-6.
 
@@ -193,11 +193,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, sma
     scratch.drop(sets, features, scores, group)
     named = classes.select("cls", "low").join(labels.select("cls", "comp").hint("shuffle_merge"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = scratch.write(named.join(lowest.hint("shuffle_merge"), "comp").select("cls", "component_id"))
+    named = scratch.write(named.join(lowest.hint("shuffle_merge"), "comp").select("cls", "comp", "component_id"))
     scratch.keep_only(all_rows, named)
-    narrow = all_rows.select("id", "n_shingles", "cls")
-    with_words = narrow.where("cls IS NOT NULL").join(named.hint("shuffle_merge"), "cls").select("id", "n_shingles", "cls", "component_id")
-    return with_words.unionByName(narrow.where("cls IS NULL").select("id", "n_shingles", "cls", F.col("id").alias("component_id")))
+    narrow = all_rows.select("id", "text_hash", "n_shingles", "cls")
+    with_words = narrow.where("cls IS NOT NULL").join(named.hint("shuffle_merge"), "cls").select(*narrow.columns, "comp", "component_id")
+    return with_words.unionByName(narrow.where("cls IS NULL").select("*", F.lit(None).cast("binary").alias("comp"), F.col("id").alias("component_id")))
 
 
 def _met(rows: DataFrame) -> DataFrame:

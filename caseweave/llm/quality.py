@@ -77,7 +77,7 @@ def math_and(parts: list[Column]) -> Column:
 def fit_rules(labelled: DataFrame, *, trees: int = 16, depth: int = 3, strength: float = 0.001, seed: int = 7) -> tuple[float, list[tuple[tuple, float]]]:
     """(intercept, [(rule, weight)]) from rows of the statistics and ``label``: a forest gives the rules, the lasso keeps few of them.
 
-    ``labelled`` is a bounded sample. With one label only, the intercept is its log odds, smoothed, and there are no rules; without rows it is 0.
+    ``labelled`` is a bounded sample. With one label only, or too few rows for a split, the intercept is the smoothed log odds and there are no rules; without rows it is 0.
     """
     n, ones = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not n or ones in (0, n):
@@ -85,6 +85,8 @@ def fit_rules(labelled: DataFrame, *, trees: int = 16, depth: int = 3, strength:
     table = VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(labelled)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, bootstrap=False, featureSubsetStrategy="0.5", maxBins=64, minInstancesPerNode=5).fit(table)
     rules = sorted({p for tree in forest.trees for p in tree_paths(tree._call_java("rootNode"), STATISTICS)})
+    if not rules:  # no split holds enough rows on both sides
+        return math.log((ones + 1) / (n - ones + 1)), []
     bits = labelled.select("label", *[rule_column(p).cast("double").alias(f"r{i}") for i, p in enumerate(rules)])
     table = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(bits).select("label", "features")
     model = LogisticRegression(regParam=strength, elasticNetParam=1.0, maxIter=60, standardization=False).fit(table.cache())
@@ -109,7 +111,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3,
     """Per document: held_out, score (likelihood of quality 1) and predicted (1 if score >= ``threshold``).
 
     Rules see statistics of the whole text only. They are fitted on at most ``sample`` labelled rows that are not held out; labels that are null or of documents
-    that are missing are not used, repeated labels each count. Null and empty texts have statistics and so a score. Repeated documents are each scored. No labels give the score 0.5.
+    that are missing are not used, repeated labels each count. Only doc_id, text and quality are read, so other columns may have any names. Null and empty texts have statistics and so a score. Repeated documents are each scored. No labels give the score 0.5.
     """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.write(statistics(docs))

@@ -16,6 +16,7 @@ from caseweave.plans.scratch import Scratch, shared_dir
 
 CRLF = "\r\n"
 END = "\r\n\r\n"
+SALTS = 32  # tasks that rows of one digest are dealt over
 
 
 def payload_roles(pages: DataFrame, *, min_bytes: int = 1000) -> DataFrame:
@@ -27,6 +28,14 @@ def payload_roles(pages: DataFrame, *, min_bytes: int = 1000) -> DataFrame:
     return shared.agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
 
 
+def _spread(rows: DataFrame, by: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
 def record_text(page_id: Column, url: Column, payload: Column, digest: Column, refers_to: Column) -> Column:
     """A WARC record without its closing two line breaks: a response with an HTTP head, or a revisit without a block when ``refers_to`` is set."""
     clean = F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20\x7f]", "%20")
@@ -63,7 +72,8 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     scratch = Scratch(pages.sparkSession)
     heads = scratch.write(base.select("page_id", "digest", "payload_bytes"))
     roles = scratch.write(payload_roles(heads, min_bytes=min_bytes))
-    revisits = heads.join(roles.hint("shuffle_merge"), ["digest", "payload_bytes"]).where("page_id IS NULL OR page_id < keeper")
+    # a payload that a third of all pages share is dealt over several tasks
+    revisits = _spread(heads, "page_id").join(_repeated(roles).hint("shuffle_merge"), ["digest", "payload_bytes", "salt"]).where("page_id IS NULL OR page_id < keeper")
     page_key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page_key")
     revisits = scratch.write(revisits.select(page_key, "digest", "keeper").distinct())
     files = max(1, -(-(heads.agg(F.sum("payload_bytes")).first()[0] or 0) // file_bytes))
@@ -83,8 +93,12 @@ _FIELD = re.compile(rb"^([^:\r\n]+):[ \t]*([^\r\n]*)\r?$", re.M)
 def parse_records(data: bytes) -> Iterator[dict]:
     """The records of one archive file, by their declared lengths."""
     if data[:2] == b"\x1f\x8b":
-        unzip = zlib.decompressobj(31)
-        data = unzip.decompress(data)
+        parts = []
+        while data[:2] == b"\x1f\x8b":  # one member a file or one a record
+            unzip = zlib.decompressobj(31)
+            parts.append(unzip.decompress(data))
+            data = unzip.unused_data
+        data = b"".join(parts)
     at = 0
     while (head := data.find(b"\r\n\r\n", at)) >= 0:
         field = {k.lower(): v for k, v in _FIELD.findall(data[at:head])}
@@ -124,13 +138,17 @@ def read_archive(spark, path: str) -> DataFrame:
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Revisits joined to the responses that they refer to: adds ``payload_bytes`` of the full payload.
 
-    Only lengths move, matched by digest and id, so a payload shared by a third of all pages is looked up from one response row.
+    Only lengths move, matched by digest and id, so a payload shared by a third of all pages is looked up from one response row. A revisit whose response is not in the archive,
+    or that names none, stays with a null ``payload_bytes``. Records with equal ids are responses each; of several responses with one id and digest the revisits take the longest. No records give no rows.
     """
     sized = records.select("page_id", "record_type", "digest", "refers_to", F.octet_length("payload").cast("long").alias("own"))
     sized = Scratch(records.sparkSession).write(sized)
-    responses = sized.where("record_type = 'response'").groupBy(F.col("digest").alias("d"), F.col("page_id").alias("original")).agg(F.max("own").alias("full"))
-    revisits = sized.where("record_type = 'revisit'").join(responses.hint("shuffle_merge"), (F.col("digest") == F.col("d")) & (F.col("refers_to") == F.col("original")))
-    both = sized.where("record_type = 'response'").withColumn("full", F.col("own")).unionByName(revisits.drop("d", "original"))
+    revisits = sized.where("record_type = 'revisit'")
+    asked = revisits.select("digest", "refers_to").distinct()
+    responses = sized.where("record_type = 'response'").groupBy("digest", F.col("page_id").alias("refers_to")).agg(F.max("own").alias("full"))
+    asked = Scratch(records.sparkSession).write(responses.join(asked.hint("shuffle_merge"), ["digest", "refers_to"]))
+    revisits = _spread(revisits, "page_id").join(_repeated(asked).hint("shuffle_merge"), ["digest", "refers_to", "salt"], "left").drop("salt")
+    both = sized.where("record_type = 'response'").withColumn("full", F.col("own")).unionByName(revisits)
     return both.select("page_id", F.col("full").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
