@@ -67,7 +67,7 @@ _EVIDENCE = ["declared", "suffix", "domain", "host"]
 
 
 def text_scores(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """id and the evidence columns with ``ll`` (tempered log likelihood per language), ``letters`` (whether the text has any), and of the text's trigrams under its best language ``tri`` (their number), ``fit`` (mean log likelihood) and ``spread`` (variance)."""
+    """id and the evidence columns with ``ll`` (tempered log likelihood per language), ``letters`` (whether the text has any), and of the trigrams of the text's words of letters under its best language ``tri`` (their number), ``fit`` (mean log likelihood) and ``spread`` (variance)."""
     names = ["id", *_EVIDENCE]
 
     def scored(batches):
@@ -78,9 +78,11 @@ def text_scores(rows: DataFrame, model: np.ndarray) -> DataFrame:
                 b = trigram_buckets(raw)
                 each = model[:, b]
                 total = each.sum(axis=1) if len(b) else np.zeros(len(model))
-                best = each[int(total.argmax())] if len(b) else np.zeros(1)
+                # addresses, numbers and keys say nothing about how the language's words look
+                words = trigram_buckets(" ".join(w for w in raw.split() if w.strip(".,;:!?()'\"").isalpha()))
+                best = model[int(total.argmax()), words] if len(words) else np.zeros(1)
                 ll.append(TEMPER * total), letters.append(any(c.isalpha() for c in raw))
-                tri.append(len(b)), fit.append(float(best.mean())), spread.append(float(best.var()))
+                tri.append(len(words)), fit.append(float(best.mean())), spread.append(float(best.var()))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ll, pa.list_(pa.float64())), pa.array(letters), pa.array(tri, pa.int64()), pa.array(fit), pa.array(spread)], [*names, "ll", "letters", "tri", "fit", "spread"])
 
     carried = rows.select("id", *_EVIDENCE).schema.fields
@@ -100,13 +102,13 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(many.hint("shuffle_merge"), [*keys, "salt"], "left").drop("salt")
 
 
-def identify(rows: DataFrame, *, languages: list[str] | None = None, strength: float = 5.0, min_posterior: float = 0.5, deviations: float = 6.0) -> DataFrame:
+def identify(rows: DataFrame, *, languages: list[str] | None = None, strength: float = 5.0, min_posterior: float = 0.5, deviations: float = 8.0) -> DataFrame:
     """Language of each row of (id, text, declared, suffix, domain, host): id, the evidence columns, lang, posterior and accepted.
 
     The languages are the given ones or else ``declared_languages``. Evidence multiplies: tempered trigram likelihoods, learnt from the ``training`` rows; P(declared | language) and P(suffix | language)
     from counts of what rows of each text-decided language declare; and a host prior, smoothed to its domain's, smoothed to the global one, ``strength`` pseudo-counts each. All counts are grouped
     aggregations over all rows. A row without letters has no language (lang ``und``) and is not accepted; nor is one whose best posterior is below ``min_posterior``, nor one whose trigrams are
-    likely under none of the languages: their mean log likelihood is more than ``deviations`` standard deviations (of texts of that language and of trigrams in a text) below the language's mean.
+    likely under none of the languages: in words of letters only, their mean log likelihood is more than ``deviations`` standard deviations (of texts of that language and of trigrams in a text) below the language's mean.
     Null declared, suffix, domain and host values are values of their own kind without evidence (declared, suffix) or as one host. Repeated rows each count. No rows, or none that declares a language,
     give ``und`` for all. Columns beyond the six are not read.
     """
@@ -145,7 +147,7 @@ def identify(rows: DataFrame, *, languages: list[str] | None = None, strength: f
     names = F.array(*[F.lit(x) for x in languages])
     lang = F.when(F.col("letters"), F.element_at(names, F.array_position("logs", F.col("top")).cast("int"))).otherwise("und")
     out = out.withColumn("posterior", F.when(F.col("letters"), posterior).otherwise(0.0)).withColumn("lang", lang)
-    accepted = F.col("letters") & (F.col("posterior") >= min_posterior) & F.coalesce(F.col("fit") >= lowest, F.lit(True))
+    accepted = F.col("letters") & (F.col("posterior") >= min_posterior) & ((F.col("tri") == 0) | (F.col("fit") >= lowest))
     return out.select("id", *_EVIDENCE, "lang", "posterior", accepted.alias("accepted"))
 
 

@@ -83,9 +83,9 @@ def _by_differences(scratch: Scratch, group: DataFrame, sets: DataFrame, percent
     The member with the smallest m is the hub. A member with m + m_hub <= 0 is linked to it for certain: such pairs are returned. Members that then are in another component than the hub ask; let M be
     the smallest m among them. Every other link has an end that asks, so its ends share at least (m + M) / (2 * (100 + percent)) differences, and (m + m_hub) / (2 * (100 + percent)) for one that asks,
     for which also |d_x| - |x| * (100 - percent) / percent holds, since |d_b| >= |d_x| - (|x| + |b|) * (100 - percent) / (100 + percent) and |b| <= |x| * 100 / percent. Of t shared elements at least one is among
-    the first |d| - t + 1 of each end in any common order. Here what R lacks comes first, being rare, then what R lacks but an eighth of the group has, then what only R has.
+    the first |d| - t + 1 of each end in any common order; and if the first that they share has ``rest`` elements of an end from there on, they share at most ``rest``. Here what R lacks comes first, being rare, then what R lacks but an eighth of the group has, then what only R has.
 
-    Buckets are (bucket, size, cls, score, comp, asks, first) for those first elements; ``first`` tells those that partners that ask need.
+    Buckets are (bucket, size, cls, score, comp, asks, first, rest, m) for those first elements; ``first`` tells those that partners that ask need.
     """
     per = 100 + percent
     whole = scratch.write(group.join(sets.hint("shuffle_merge"), "cls").select("leader", "cls", "score", "comp", "shingles"))
@@ -108,10 +108,10 @@ def _by_differences(scratch: Scratch, group: DataFrame, sets: DataFrame, percent
     far = F.greatest(F.lit(1), F.ceil((F.col("m") + F.col("least_m")) / (2 * per)))
     every = F.greatest(F.lit(1), F.ceil((F.col("m") + F.col("hub_m")) / (2 * per)), F.ceil((F.size("elements") * percent - F.col("own") * (100 - percent)) / percent))
     first = lambda shared: F.greatest(F.lit(0), F.size("elements") - shared + 1).cast("int")
-    rows = rows.select("leader", "cls", "score", F.when(F.expr("m + hub_m > 0"), F.col("comp")).otherwise(F.col("hub_comp")).alias("comp"), "asks", first(F.greatest(far, F.when(F.col("asks"), every))).alias("far"), first(every).alias("any"), "elements")
-    cut = rows.withColumn("elements", F.slice("elements", F.lit(1), F.when(F.col("asks"), F.col("any")).otherwise(F.col("far"))))
-    cut = cut.select("leader", "cls", "score", "comp", "asks", "far", F.posexplode("elements").alias("place", "element"))
-    buckets = scratch.write(_met(cut.select(F.xxhash64("leader", "element").alias("bucket"), "cls", "score", "comp", "asks", (F.col("place") < F.col("far")).alias("first"))))
+    rows = rows.select("leader", "cls", "score", F.when(F.expr("m + hub_m > 0"), F.col("comp")).otherwise(F.col("hub_comp")).alias("comp"), "asks", first(F.greatest(far, F.when(F.col("asks"), every))).alias("far"), first(every).alias("any"), "m", "elements")
+    cut = rows.withColumn("whole", F.size("elements")).withColumn("elements", F.slice("elements", F.lit(1), F.when(F.col("asks"), F.col("any")).otherwise(F.col("far"))))
+    cut = cut.select("leader", "cls", "score", "comp", "asks", "far", "m", "whole", F.posexplode("elements").alias("place", "element"))
+    buckets = scratch.write(_met(cut.select(F.xxhash64("leader", "element").alias("bucket"), "cls", "score", "comp", "asks", (F.col("place") < F.col("far")).alias("first"), (F.col("whole") - F.col("place")).alias("rest"), "m")))
     scratch.drop(whole, known, hubs)
     return sure, buckets
 
@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, sma
         return both.where(F.col("common") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
     labels = scores.select("cls", "score", F.col("cls").alias("comp"))
-    open_ = members.join(labels.hint("shuffle_merge"), "cls").select("bucket", "size", "cls", "score", "comp", F.lit(True).alias("asks"), F.lit(True).alias("first"))
+    open_ = members.join(labels.hint("shuffle_merge"), "cls").select("bucket", "size", "cls", "score", "comp", F.lit(True).alias("asks"), F.lit(True).alias("first"), F.lit(0).alias("rest"), F.lit(0).cast("long").alias("m"))
     open_ = scratch.write(open_)
     scratch.drop(members)
     sure = open_.sparkSession.createDataFrame([], "a binary, b binary")
@@ -173,9 +173,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, sma
         leaders = leaders.select("bucket", F.col("top.cls").alias("leader"), F.col("top.comp").alias("leader_comp"))
         led = scratch.write(open_.join(leaders.hint("shuffle_merge"), "bucket").where("cls <> leader").select("bucket", "cls", "leader", (F.col("comp") != F.col("leader_comp")).alias("apart")))
         few = open_.where(F.col("size") <= limit)
-        x = few.where("asks").select("bucket", F.col("cls").alias("a"), F.col("comp").alias("a_comp"), F.col("first").alias("a_first"))
-        y = few.where("first").select("bucket", F.col("cls").alias("b"), F.col("comp").alias("b_comp"), F.col("asks").alias("b_asks"))
-        pairs = x.join(y.hint("shuffle_merge"), "bucket").where("a_comp <> b_comp AND (NOT b_asks OR a_first AND a < b)").select("a", "b")
+        x = few.where("asks").select("bucket", F.col("cls").alias("a"), F.col("comp").alias("a_comp"), F.col("first").alias("a_first"), F.col("rest").alias("a_rest"), F.col("m").alias("a_m"))
+        y = few.where("first").select("bucket", F.col("cls").alias("b"), F.col("comp").alias("b_comp"), F.col("asks").alias("b_asks"), F.col("rest").alias("b_rest"), F.col("m").alias("b_m"))
+        reach = F.least("a_rest", "b_rest") * (2 * (100 + percent)) >= F.col("a_m") + F.col("b_m")  # 0 >= 0 in a band
+        pairs = x.join(y.hint("shuffle_merge"), "bucket").where(F.expr("a_comp <> b_comp AND (NOT b_asks OR a_first AND a < b)") & reach).select("a", "b")
         pairs = pairs.union(led.where("apart").select("cls", "leader"))
         links = scratch.write(confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
         labels = _joined(scratch, labels, links.union(sure))
