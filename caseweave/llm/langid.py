@@ -102,7 +102,7 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(many.hint("shuffle_merge"), [*keys, "salt"], "left").drop("salt")
 
 
-def identify(rows: DataFrame, *, languages: list[str] | None = None, strength: float = 5.0, min_posterior: float = 0.5, deviations: float = 8.0) -> DataFrame:
+def identify(rows: DataFrame, *, languages: list[str] | None = None, strength: float = 5.0, min_posterior: float = 0.5, deviations: float = 12.0) -> DataFrame:
     """Language of each row of (id, text, declared, suffix, domain, host): id, the evidence columns, lang, posterior and accepted.
 
     The languages are the given ones or else ``declared_languages``. Evidence multiplies: tempered trigram likelihoods, learnt from the ``training`` rows; P(declared | language) and P(suffix | language)
