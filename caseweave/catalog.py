@@ -30,6 +30,8 @@ VIEWS = {
     "trade": "SELECT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b, round(avg(l_discount) * 100, 6) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL",
     "caserec": "SELECT c_custkey AS case_id, (c_custkey % 60 + 15)::INT AS victim_age, CASE WHEN c_custkey % 2 = 0 THEN 'm' ELSE 'f' END AS victim_gender, lower(c_mktsegment) AS victim_occupation, CASE WHEN c_acctbal > 5000 THEN 'high' ELSE 'low' END AS victim_risk, 'n' || c_nationkey AS approach, c_mktsegment AS control, '' AS scene, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'w' || c_custkey % 5 END AS weapon, (c_custkey % 11)::DOUBLE AS overkill, list_distinct(list(strftime(o_orderdate, '%Y%m%d') || o_orderpriority)) AS signatures FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL",
 }
+#: Views that other modules add: functions of a table reader.
+EXTRA_VIEWS: dict[str, Callable] = {}
 _NEEDS = {"hop": ["ev"], "flow": ["ev", "hop"], "presence": ["ev"]}
 
 
@@ -39,6 +41,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     t = lambda n: _table(spark, sf_dir, n)
+    if name in EXTRA_VIEWS:
+        return EXTRA_VIEWS[name](t)
     if name == "comm":
         j = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         return j.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), F.col("l_orderkey").alias("case_id"), F.col("l_shipdate").alias("ts"), F.col("l_quantity").cast("double").alias("weight"))
@@ -346,7 +350,12 @@ def _(documents):
     return text.handles(documents)
 
 
-@query("txt24_severity", "", "documents")
+_WORST = "list_max([" + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN {v} ELSE 0.0 END" for w, v in text.SEVERITY.items()) + "])::DOUBLE"
+_CLEARED = text.NEGATION.replace("'", "''")
+
+
+@query("txt24_severity", "", "documents", sql=f"""WITH s AS (SELECT doc_id, CASE WHEN coalesce(length(text), 0) < 10 THEN 0.0 WHEN regexp_matches(lower(text), '{_CLEARED}') THEN {_WORST} * 0.15 ELSE {_WORST} END AS v FROM documents)
+SELECT doc_id, round(v, 4) AS severity, CASE WHEN v >= 0.7 THEN 'strong' WHEN v >= 0.4 THEN 'moderate' WHEN v > 0 THEN 'weak' ELSE 'none' END AS level FROM s""")
 def _(documents):
     score = text.severity(F.col("text"))
     return documents.select("doc_id", F.round(score, 4).alias("severity"), text.severity_level(score).alias("level"))
@@ -662,3 +671,6 @@ def _(hop):
 
 
 del _
+
+
+from caseweave import catalog_casework  # noqa: E402, F401  registers its queries here

@@ -11,7 +11,7 @@ from caseweave.functions import band
 from caseweave.plans.scratch import Scratch
 
 #: Base weight of each relationship type, and of any other.
-TYPE_WEIGHTS = {"Co-accused": 1.0, "Financial": 0.95, "Ownership": 0.9, "Communication": 0.85, "Location": 0.7, "Employment": 0.6, "Associate": 0.5, "Family": 0.4}
+TYPE_WEIGHTS = {"Co-accused": 1.0, "Financial Transaction": 0.95, "Ownership": 0.9, "Communication": 0.85, "Location Presence": 0.7, "Employment": 0.6, "Associate": 0.5, "Family": 0.4}
 OTHER_WEIGHT = 0.3
 
 

@@ -170,3 +170,71 @@ def case_header(docs: DataFrame) -> DataFrame:
     out = docs.select("doc_id", *[first(ps).alias(f) for f, ps in HEADER.items()], facts.alias("description"), people.alias("accused"))
     name = F.when(F.col("subject") != "", F.substring("subject", 1, 150)).when(F.col("case_number") != "", F.concat(F.lit("Case "), "case_number")).otherwise("")
     return out.withColumn("name", name)
+
+
+# Alias phrases, words that deny an event and how far before it they stand.
+_FULL, _SHORT = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)", r"([A-Z][a-zA-Z\s]+)"
+ALIASES = (rf"(?i){_FULL}\s*,\s*alias(?:es)?\s+{_SHORT}", rf"(?i){_FULL}\s+(?:aka|a\.k\.a\.)\s+{_SHORT}", rf"(?i){_FULL}\s*,?\s+also\s+known\s+as\s+{_SHORT}", rf"(?m){_FULL}\s*\({_SHORT}\)\s*$")
+DENIAL = r"\b(?:no|not|never|without|failed\s+to|were?\s+not|was\s+not|did\s+not|no\s+evidence|ruled\s+out)\b"
+BEFORE_EVENT = 80
+
+
+def alias_pairs(docs: DataFrame) -> DataFrame:
+    """(doc_id, name, alias) of phrases that name a person twice; null texts give none."""
+    found = F.flatten(F.array(*[F.arrays_zip(F.regexp_extract_all("text", F.lit(p), 1).alias("p"), F.regexp_extract_all("text", F.lit(p), 2).alias("q")) for p in ALIASES]))
+    pairs = docs.where("text IS NOT NULL").select("doc_id", F.explode(found).alias("x")).select("doc_id", F.trim("x.p").alias("name"), F.trim("x.q").alias("alias"))
+    return pairs.where("length(name) > 2 AND length(alias) > 1")
+
+
+def fold_aliases(named: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Mentions (doc_id, name) with the primary name instead of an alias of the same document."""
+    primary = pairs.groupBy("doc_id", F.lower("alias").alias("low")).agg(F.min("name").alias("primary"))
+    return named.withColumn("low", F.lower("name")).join(primary.hint("shuffle_merge"), ["doc_id", "low"], "left").withColumn("name", F.coalesce("primary", "name")).drop("low", "primary")
+
+
+def number_amounts(text: Column) -> Column:
+    """All numbers of a text as doubles, commas left out; null text gives none."""
+    hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\d,]+(?:\.\d+)?"), 0)
+    return F.filter(F.transform(hits, lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double")), lambda x: x.isNotNull())
+
+
+def event_check(text: Column, keyword: str) -> Column:
+    """struct(occurred, confidence): whether a text names an event with nothing in the 80 characters before that denies it."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    at = F.locate(keyword.lower(), low)
+    before = F.substring(low, F.greatest(F.lit(1), at - BEFORE_EVENT), F.least(at - 1, F.lit(BEFORE_EVENT)))
+    denied = before.rlike(DENIAL)
+    confidence = F.when(at == 0, 30).when(denied, 75).otherwise(50)
+    return F.struct(((at > 0) & ~denied).alias("occurred"), confidence.alias("confidence"))
+
+
+def with_verdicts(docs: DataFrame, verdicts: DataFrame, heuristic: Column) -> DataFrame:
+    """Adds ``verdict``: that stored under the text's digest, else the heuristic one."""
+    key = F.substring(F.sha2(F.lower(F.trim(F.coalesce("text", F.lit("")))), 256), 1, 16)
+    return docs.withColumn("key", key).join(verdicts.select("key", F.col("verdict").alias("stored")).hint("shuffle_merge"), "key", "left").withColumn("verdict", F.coalesce("stored", heuristic)).drop("stored")
+
+
+#: Scores of the levels of a verdict.
+IMPLICATION = {"none": 0.0, "weak": 0.3, "moderate": 0.6, "strong": 1.0}
+
+
+def normal_verdict(answer: Column, levels: dict[str, float] = IMPLICATION) -> Column:
+    """struct(level, score) of an answer in JSON: an unknown level is none, a score is held to 0..1, a missing one is its level's; broken JSON is none."""
+    raw = F.from_json(answer, "implication_level string, severity_score string")
+    level = F.lower(F.coalesce(raw["implication_level"], F.lit("none")))
+    level = F.when(level.isin(list(levels)), level).otherwise("none")
+    usual = F.create_map(*[F.lit(x) for item in levels.items() for x in item])[level]
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw["severity_score"].try_cast("double")))
+    return F.struct(level.alias("level"), F.coalesce(F.when(raw["severity_score"].try_cast("double").isNotNull(), score), usual).alias("score"))
+
+
+def case_texts(docs: DataFrame) -> DataFrame:
+    """(case_id, text): the non-empty texts of each case in the order of doc_id, with a blank line between."""
+    kept = docs.where("trim(text) <> ''").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("x"))
+    return kept.select("case_id", F.array_join(F.transform("x", lambda d: d["text"]), "\n\n").alias("text"))
+
+
+def validation_flags(phone: Column, vehicle: Column, day: Column) -> Column:
+    """Array of what looks wrong with a phone, a vehicle number or a date (1900 to 2100); values are flagged, never dropped."""
+    wrong = lambda value, pattern: value.isNotNull() & ~value.rlike(f"^(?:{pattern})$")
+    return F.array_compact(F.array(F.when(wrong(phone, PHONE), "phone"), F.when(wrong(vehicle, VEHICLE), "vehicle"), F.when(day.isNotNull() & ~F.year(day).between(1900, 2100), "date")))

@@ -304,3 +304,45 @@ def test_candidates_rank_both_ends_of_a_pair(spark):
     e = spark.createDataFrame([(i, "Person", n, None) for i, n in names], "entity_id int, entity_type string, name string, merged_into int")
     got = {(r.id_a, r.id_b): r["rank"] for r in linkage.candidate_matches(e, limit=1).collect()}
     assert got == {(1, 2): 1, (1, 3): 1, (1, 4): 1, (1, 9): 1}
+
+
+def test_default_edge_weights_cover_every_type(spark):
+    from caseweave.operators import graph
+
+    types = {"Co-accused": 1.0, "Financial Transaction": 0.95, "Ownership": 0.9, "Communication": 0.85, "Location Presence": 0.7, "Employment": 0.6, "Associate": 0.5, "Family": 0.4, "Unknown": 0.3}
+    rows = [(f"a{i}", f"b{i}", t, 1, None, None, 0.0) for i, t in enumerate(types)]
+    edges = spark.createDataFrame(rows, "src string, dst string, rel_type string, case_id int, ts timestamp, severity double, weight double")
+    assert {r.primary_type: round(r.weight, 6) for r in graph.roll_up_edges(edges).collect()} == types
+
+
+def test_alias_pairs_fold_into_their_names(spark):
+    from caseweave.operators import text
+
+    docs = spark.createDataFrame([(1, "Ravi Kumar, alias Rocky\n. Anil Rao aka Bunty, went."), (2, "Meera Das (Mini)\nend"), (3, None), (4, "")], "doc_id int, text string")
+    pairs = {(r.doc_id, r.name, r.alias) for r in text.alias_pairs(docs).collect()}
+    assert {(1, "Ravi Kumar", "Rocky"), (1, "Anil Rao", "Bunty"), (2, "Meera Das", "Mini")} <= pairs
+    named = spark.createDataFrame([(1, "ROCKY"), (1, "Other"), (2, "Rocky")], "doc_id int, name string")
+    assert sorted((r.doc_id, r.name) for r in text.fold_aliases(named, text.alias_pairs(docs)).collect()) == [(1, "Other"), (1, "Ravi Kumar"), (2, "Rocky")]
+
+
+def test_event_check_wants_whole_words(spark):
+    from pyspark.sql import functions as F
+
+    from caseweave.operators import text
+
+    rows = [("He knows of a murder", (True, 50)), ("no evidence of murder", (False, 75)), ("nothing", (False, 30)), (None, (False, 30)), ("not" + " " * 90 + "murder", (True, 50))]
+    got = spark.createDataFrame([(t,) for t, _ in rows], "text string").select(text.event_check(F.col("text"), "murder").alias("e")).collect()
+    assert [tuple(r.e) for r in got] == [x for _, x in rows]
+
+
+def test_scope_removes_what_was_written_inside(spark):
+    from caseweave.plans.scratch import Scratch, scope
+
+    outer = Scratch(spark)
+    with scope():
+        inner = Scratch(spark)
+        gone = inner.write(spark.range(5))
+        kept = outer.write(gone)
+    assert kept.count() == 5 and not inner.paths and outer.paths
+    outer.drop(kept)
+    assert not outer.paths
