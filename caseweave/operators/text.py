@@ -182,7 +182,8 @@ BEFORE_EVENT = 80
 def alias_pairs(docs: DataFrame) -> DataFrame:
     """(doc_id, name, alias) of phrases that name a person twice; null texts give none."""
     found = F.flatten(F.array(*[F.arrays_zip(F.regexp_extract_all("text", F.lit(p), 1).alias("p"), F.regexp_extract_all("text", F.lit(p), 2).alias("q")) for p in ALIASES]))
-    pairs = docs.where("text IS NOT NULL").select("doc_id", F.explode(found).alias("x")).select("doc_id", F.trim("x.p").alias("name"), F.trim("x.q").alias("alias"))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    pairs = docs.where("text IS NOT NULL").select("doc_id", F.explode(found).alias("x")).select("doc_id", bare("x.p").alias("name"), bare("x.q").alias("alias"))
     return pairs.where("length(name) > 2 AND length(alias) > 1")
 
 
