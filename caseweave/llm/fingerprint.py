@@ -5,7 +5,9 @@ DataFrame and SQL functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -102,30 +104,48 @@ def set_differences(pairs: DataFrame, load: int = 3) -> DataFrame:
         again = scratch.write(todo.drop("tables").join(failed.hint("shuffle_merge"), ["id", "kind"]))
         rows = again.repartition("id").selectExpr("id", "kind", "tables", "failed", flat).where("array_contains(failed, pmod(xxhash64(e.d, 5), tables))")
         rows = rows.selectExpr("id", "kind", "tables * 4 AS tables", "e.d AS d", "e.n AS n")
+    scratch.drop(todo)
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
     return out.groupBy("id", "kind").agg(F.sum("found").alias("differing"))
 
 
-def with_next(docs: DataFrame, *, range_bytes: int = 16 << 20, most_ranges: int = 20_000) -> DataFrame:
+def range_number(column: str, bounds: list) -> Column:
+    """How many of the sorted bounds are above the column's value, by two steps of a square root's length each."""
+    if not bounds:
+        return F.lit(0)
+    width = math.isqrt(len(bounds) - 1) + 1
+    falling = sorted(bounds, reverse=True)
+    groups = [falling[i : i + width] for i in range(0, len(falling), width)]
+    above = lambda values: F.size(F.filter(values, lambda b: b > F.col(column)))
+    whole = above(F.lit([g[-1] for g in groups]))  # groups that lie above altogether
+    inside = above(F.get(F.array(*[F.lit(g) for g in groups]), whole))
+    # the last group may be shorter, but nothing lies beyond it
+    return F.least(F.lit(len(falling)), whole * width + F.when(whole < len(groups), inside).otherwise(0))
+
+
+def with_next(docs: DataFrame, *, range_bytes: int = 16 << 20, most_ranges: int = 16_384) -> DataFrame:
     """Rows (doc_id, text) with ``next_text``: the text of the next row by descending doc_id, nulls last, ties by the text's hash; after the last row the first.
 
-    Rows are dealt by range into partitions, written, and sorted inside them; the first row of each partition is also given, with its
-    text, to the partition before.
+    Rows are dealt by ranges of doc_id, ``most_ranges`` at most, whose bounds come from approximate quantiles, and sorted in their range; larger ranges spill. The first row of each range is also given, with its
+    text, to the range before. The texts are shuffled once.
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.selectExpr("doc_id", "coalesce(text, '') AS text").withColumn("h", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(most_ranges, max(1, size // range_bytes))
+    bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100_000)).first()[0] if n > 1 else None
+    place = range_number("doc_id", sorted(set(bounds or [])))
+    # null ids come last, spread by their hash
+    rows = rows.withColumn("place", F.when(F.col("doc_id").isNull(), F.lit(n) + 7 - F.shiftright("h", 60)).otherwise(place).cast("long"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("h").desc()]
-    dealt = rows.repartitionByRange(min(most_ranges, max(1, size // range_bytes)), *order).withColumn("place", F.spark_partition_id())
-    dealt = scratch.write(dealt)
     key = F.struct(F.col("doc_id").isNotNull().alias("there"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "h")
-    heads = scratch.write(dealt.groupBy("place").agg(F.max_by(F.struct("doc_id", "text", "h"), key).alias("head")))
-    by_place = Window.orderBy("place")  # a row a partition
+    heads = scratch.write(rows.groupBy("place").agg(F.max_by(F.struct("doc_id", "text", "h"), key).alias("head")))
+    by_place = Window.orderBy("place")  # a row a range
     names = heads.select("place").withColumn("to", F.coalesce(F.lag("place").over(by_place), F.max("place").over(Window.partitionBy())))
     ghosts = heads.join(names.hint("shuffle_merge"), "place").select("head.doc_id", "head.text", "head.h", F.col("to").alias("place"), F.lit(1).alias("ghost"))
-    both = dealt.withColumn("ghost", F.lit(0)).unionByName(ghosts)
+    both = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts)
     sorted_ = Window.partitionBy("place").orderBy("ghost", *order)
     return both.withColumn("next_text", F.lead("text").over(sorted_)).where("ghost = 0").select("doc_id", "text", "next_text", "h")
 
@@ -156,6 +176,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         sketched = sketched.withColumn(f"{kind}_guess", F.expr(f"CAST(least(size(own) + size({kind}), greatest(4, aggregate({less}.cnt, 0L, (s, n) -> s + n * n) / 2)) AS BIGINT)"))
     kept = ["doc_id", "n_chars", "edited_sha256", "id", "own", "edited", "next", f"{printed_table('own_table')} AS fingerprint", f"{printed_table('edited_table')} AS edited_fingerprint"]
     sketched = scratch.write(sketched.selectExpr(*kept, "edited_found", "next_found", "edited_guess", "next_guess"))
+    scratch.drop(rows)
     open_ = sketched.where("edited_found IS NULL OR next_found IS NULL").dropDuplicates(["id"])
     pairs = open_.selectExpr("id", "own AS x", "stack(2, 'edited', edited, edited_found, edited_guess, 'next', next, next_found, next_guess) AS (kind, y, found, guess)").where("found IS NULL")
     found = set_differences(pairs.select("id", "kind", "x", "y", "guess"))

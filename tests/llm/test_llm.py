@@ -91,6 +91,25 @@ def test_near_duplicates_match_brute_force(spark, q):
     assert got == want
 
 
+def test_ranges_count_the_bounds_above(spark):
+    for n in (0, 1, 2, 7, 16, 50):
+        bounds = [3 * i for i in range(n)]
+        rows = spark.range(-3, 160).withColumn("place", fingerprint.range_number("id", bounds)).collect()
+        assert all(r.place == sum(b > r.id for b in bounds) for r in rows)
+
+
+def test_next_text_over_many_ranges(spark):
+    rows = [(i * 7 % 501, f"text {i} " * 9) for i in range(501)] + [(None, f"none {i}") for i in range(40)] + [(5, "again"), (5, "again")]
+    out = fingerprint.with_next(spark.createDataFrame(rows, "doc_id long, text string"), range_bytes=500).collect()
+    ids = {t: i for i, t in rows}
+    assert len(out) == len(rows)
+    for r in out:
+        if r.doc_id not in (None, 0, 5, 6):
+            assert ids[r.next_text] == r.doc_id - 1
+    after = [r.next_text for r in out if r.doc_id is None or r.doc_id == 0]
+    assert len(set(after)) == 41 and rows[[i for i, _ in rows].index(500)][1] in after
+
+
 def components(sets, percent=80):
     comp = list(range(len(sets)))
 
