@@ -673,4 +673,4 @@ def _(hop):
 del _
 
 
-from caseweave import catalog_casework  # noqa: E402, F401  registers its queries here
+from caseweave import catalog_casework, catalog_views  # noqa: E402, F401  register their queries here

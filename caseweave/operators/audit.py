@@ -39,3 +39,8 @@ def verify_chain(blocks: DataFrame, key: str, columns: list[str]) -> DataFrame:
     checked = blocks.withColumn("reason", F.when(~link, "link").when(~good, "hash"))
     bad = F.when(F.col("reason").isNotNull(), F.col("block_index"))
     return checked.groupBy(key).agg(F.count("*").alias("blocks"), F.min(bad).alias("first_bad"), F.min_by("reason", bad).alias("reason"))
+
+
+def block(blocks: DataFrame, index: int) -> DataFrame:
+    """The block with this index of each chain."""
+    return blocks.where(F.col("block_index") == index)

@@ -101,27 +101,6 @@ def signature_terms(text: Column, terms=SIGNATURE_TERMS) -> Column:
     return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.lower(text), t))
 
 
-def name_shape(name: Column) -> Column:
-    """Sanity of a name: 2 to 60 characters, six of ten alphanumeric, no closing colon, no word twice."""
-    words = F.split(F.lower(F.trim(name)), r"\s+")
-    solid = F.length(F.regexp_replace(name, r"[^A-Za-z0-9]", "")) / F.greatest(F.length(name), F.lit(1)) >= 0.6
-    return F.length(name).between(2, 60) & solid & ~F.trim(name).endswith(":") & (F.size(F.array_distinct(words)) == F.size(words))
-
-
-def dedup_key(name: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"[.,;:!?]+$", ""), r"\s+", " ")
-
-
-def is_partial(name: Column) -> Column:
-    """A single word, or fewer than four characters."""
-    return (F.size(F.split(F.trim(name), r"\s+")) == 1) | (F.length(F.trim(name)) < 4)
-
-
-def is_artefact(name: Column) -> Column:
-    """snake_case, camelCase or CAPS_WITH_LINES: a schema's word, no name."""
-    return name.rlike(r"^[a-z0-9]+(_[a-z0-9]+)+$") | name.rlike(r"^[a-z]+([A-Z][a-z0-9]*)+$") | name.rlike(r"^[A-Z0-9]+(_[A-Z0-9]+)+$")
-
-
 def capitalised_runs(docs: DataFrame, most: int = 4) -> DataFrame:
     """Candidate names: runs of two to ``most`` capitalised words of any alphabet's letters, one row per document and name."""
     word, inside = r"\p{Lu}\p{M}*\p{Ll}[\p{Ll}\p{M}]*", r"[\p{L}\p{M}\p{N}_]"

@@ -9,6 +9,12 @@ CALL_SCHEMA = "caller string, caller_number string, callee string, callee_number
 TRANSFER_SCHEMA = "sender string, receiver string, from_account string, to_account string, amount string, date string, _corrupt string"
 
 
+# Source types, and columns whose values are no entities.
+CALL_SOURCES = ["cdr", "call", "calls"]
+TRANSFER_SOURCES = ["financial", "transaction", "bank"]
+RECORD_COLUMNS = ["amount", "amount_inr", "date", "time", "timestamp", "duration", "reference", "id", "balance"]
+
+
 def read_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Call or transfer rows of CSV files with headers; a bad row fills ``_corrupt`` and never fails the file. Adds the file and the time of reading."""
     schema = {"calls": CALL_SCHEMA, "transfers": TRANSFER_SCHEMA}[kind]
@@ -73,3 +79,32 @@ def delta(rows: DataFrame, seen: DataFrame, columns: list[str]) -> DataFrame:
 def job_metrics(rows: DataFrame) -> DataFrame:
     """Rows and bad rows per source file."""
     return rows.groupBy("source_file").agg(F.count("*").alias("records"), F.count_if(F.col("_corrupt").isNotNull()).alias("errors"))
+
+
+def structured_entities(rows: DataFrame) -> DataFrame:
+    """(row_id, entity_type, name) by source type: numbers of 7 digits or more of call rows, parties of transfer rows, the first phone of each cell of other rows but for those of amounts, times and the like.
+
+    Rows: (row_id, source_type, cells map from column to value). Null or blank cells give nothing.
+    """
+    from caseweave.operators.text import PHONE
+
+    kind, cell = F.lower("source_type"), lambda *c: F.coalesce(*[F.try_element_at("cells", F.lit(x)) for x in c], F.lit(""))
+    calls, transfers = kind.isin(CALL_SOURCES), kind.isin(TRANSFER_SOURCES)
+    found = lambda kind, names: F.transform(F.array_distinct(F.filter(names, lambda n: n != "")), lambda n: F.struct(F.lit(kind).alias("entity_type"), n.alias("name")))
+    numbers = F.array(*[F.regexp_replace(cell(*c), "[^0-9]", "") for c in (("caller", "caller_number"), ("callee", "callee_number"))])
+    parties = F.array(*[F.trim(cell(c)) for c in ("sender", "receiver", "from_account", "to_account")])
+    other = F.transform(F.map_entries(F.map_filter("cells", lambda k, v: ~F.lower(k).isin(RECORD_COLUMNS))), lambda e: F.right(F.regexp_replace(F.regexp_extract(F.coalesce(e["value"], F.lit("")), f"({PHONE})", 1), "[^0-9]", ""), F.lit(10)))
+    items = F.when(calls, found("Phone", F.filter(numbers, lambda n: F.length(n) >= 7))).when(transfers, found("Person", parties)).otherwise(found("Phone", other))
+    return rows.select("row_id", F.explode(items).alias("e")).select("row_id", "e.entity_type", "e.name")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of whole text, csv and json files under a folder; bytes that are no UTF-8 become replacement characters, other files are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    named = files.where(F.lower("path").rlike(r"\.(txt|text|csv|json|md|log)$"))
+    return named.select("path", F.decode("content", "UTF-8").alias("text"))
+
+
+def read_case_records(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of JSON files that hold an array of case records under ``cases``."""
+    return spark.read.option("multiLine", True).json(path).select(F.explode("cases").alias("c")).select("c.*")

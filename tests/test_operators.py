@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseweave import sources
 from caseweave.functions import day_gap, haversine_km, jaccard, token_sort_ratio
-from caseweave.operators import audit, detect, graph, linkage, report, resolution, series, text
+from caseweave.operators import audit, detect, graph, linkage, report, resolution, series, text, tokens
 from caseweave.plans.fixpoint import connected_components
 
 
@@ -116,7 +116,7 @@ def test_severity_and_names(spark):
     d = spark.createDataFrame([("he was cleared of murder",), ("he confessed to murder",), ("murder",)], "t string")
     assert [round(r[0], 6) for r in d.select(text.severity(F.col("t"))).collect()] == [0.15, 1.0, 0.0]
     n = spark.createDataFrame([("Anna Berg",), ("amount_inr",), ("cellTower",), ("TOWER_ID",), ("Tower Legend Tower",)], "n string")
-    assert [r[0] for r in n.select(text.name_shape(F.col("n")) & ~text.is_artefact(F.col("n"))).collect()] == [True, False, False, False, False]
+    assert [r[0] for r in n.select(~tokens.is_malformed(F.col("n")) & ~tokens.is_schema_word(F.col("n"))).collect()] == [True, False, False, False, False]
 
 
 def test_strip_labels(spark):
