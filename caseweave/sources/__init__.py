@@ -102,7 +102,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole text, csv and json files under a folder; bytes that are no UTF-8 become replacement characters, other files are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     named = files.where(F.lower("path").rlike(r"\.(txt|text|csv|json|md|log)$"))
-    return named.select("path", F.decode("content", "UTF-8").alias("text"))
+    return named.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def read_case_records(spark: SparkSession, path: str) -> DataFrame:
