@@ -207,7 +207,10 @@ def test_top_k_matches_brute_force(spark):
     x = rng.normal(size=(400, 8))
     x[50:150] = x[0]
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(400, None), (401, [1.0, None]), (402, [float("nan")]), (403, [float("inf")]), (None, [0.5] * 8)]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20).collect()
+    table, stats = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), {}
+    # pages of 16 rows and at most 8 children: several levels, and a leaf of 101 equal vectors
+    got = topk.top_k(table.withColumn("node", F.lit(1)).withColumn("h", F.lit("x")), every=20, page_rows=16, fan=4, stats=stats).collect()
+    assert sorted(got) == sorted(topk.top_k(table, every=20).collect()) and sum(stats["visits"])
     whole = np.floor(1024 * np.vstack([x, [0.5] * 8])).astype(int)
     ids = [*range(400), 10**9]
     for q in range(0, 400, 20):
