@@ -1,11 +1,9 @@
-"""Best-fit packing of token sequences, bulk-synchronous: sweeps over size classes, then ranks."""
+"""Best-fit packing of token sequences in bulk-synchronous rounds: pieces and gaps sorted by ranges of size, successor sweeps, ranks."""
 
 from __future__ import annotations
 
-import heapq
 import zlib
-from bisect import bisect_left, insort
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -139,80 +137,119 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, max_tokens: int = 4096
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(rows, PIECES)
 
 
-def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit decreasing over size classes: rows (length, first rank, first sequence, pieces, offset).
+RUNS = "kind string, size long, first long, n long, copies long, sequence long, offset long"
 
-    ``counts``: pieces of each length, 1 to ``capacity``. Lengths are taken from large to small; in each round all pieces
-    of the length meet the successor of that length among the gaps: as many as there are of both are matched by rank, the gaps
-    shrink and go back to their place among the others, and the round repeats until no gap fits; the
-    rest opens new sequences. The work depends on ``capacity`` and on the distinct lengths, not on the number of pieces.
-    A row says: the pieces of this length with ranks first..first+pieces-1 go to sequences first_sequence.., one each, at this offset.
+
+def sweep(runs: list[tuple], capacity: int) -> list[tuple]:
+    """Successor sweep over runs, by size from large to small: rows of ``RUNS``.
+
+    A run of kind ``piece`` stands for the ranks first..first+n-1 of the pieces of that length, one of kind ``gap`` for the sequences
+    first..first+n-1 with that much room. Each length meets its successor, the smallest gap passed that no longer piece has claimed; conflicts go
+    by rank: lower ranks get the gap, the others the next larger one. A gap takes as many pieces of that one length as it holds. Out come the
+    matches (kind ``placed``: rank first+k goes to sequence sequence+k%n, at offset+k//n*size, for k below n*copies), the gaps that
+    matches left, gaps nobody claimed, and pieces without a gap among these runs.
+    """
+    out, open_gaps = [], []
+    for kind, size, first, n in sorted(runs, key=lambda r: (-r[1], r[0], r[2])):
+        if kind == "gap":
+            open_gaps.append((size, first, n))
+            continue
+        while n and open_gaps:
+            room, sequence, m = open_gaps.pop()
+            copies = min(room // size, n)
+            used = min(m, n // copies)
+            out.append(("placed", size, first, used, copies, sequence, capacity - room))
+            if rest := room - copies * size:
+                out.append(("gap", rest, sequence, used, None, None, None))
+            if m > used:
+                open_gaps.append((room, sequence + used, m - used))
+            first, n = first + used * copies, n - used * copies
+        if n:
+            out.append(("piece", size, first, n, None, None, None))
+    return out + [("gap", *gap, None, None, None) for gap in open_gaps]
+
+
+def _swept(runs: DataFrame, capacity: int) -> DataFrame:
+    """``sweep`` in each partition of ``runs``; matches made before pass through."""
+
+    def rows(batches):
+        held, names = [], None
+        for batch in batches:
+            names = list(batch.columns)
+            done = batch["kind"] == "placed"
+            if done.any():
+                yield batch[done]
+            held += batch.loc[~done, ["kind", "size", "first", "n"]].itertuples(index=False, name=None)
+        if held:
+            yield pd.DataFrame(sweep(held, capacity), columns=names).astype({"copies": "Int64", "sequence": "Int64", "offset": "Int64"})
+
+    return runs.mapInPandas(rows, RUNS)
+
+
+def _least_sequences(runs: DataFrame, capacity: int) -> tuple[int, int]:
+    """(pieces left, sequences that those longer than every gap need at least): by their tokens, and as at most k pieces over capacity/(k+1) share a sequence."""
+    room = runs.agg(F.coalesce(F.max(F.when(F.col("kind") == "gap", F.col("size"))), F.lit(0)).alias("room"))
+    pieces = runs.where("kind = 'piece'").crossJoin(F.broadcast(room))  # one row
+    long = F.when(F.col("size") > F.col("room"), F.col("n"))
+    shares = [F.ceil(F.sum(F.when(F.col("size") * (k + 1) > capacity, long)) / k) for k in range(1, 17)]
+    found = pieces.agg(F.sum("n").alias("left"), F.greatest(F.ceil(F.sum(long * F.col("size")) / capacity), *shares).alias("need")).first()
+    return found["left"] or 0, found["need"] or 0
+
+
+def placements(counts: DataFrame, capacity: int) -> DataFrame:
+    """Best fit in bulk-synchronous rounds over ``counts`` (length, n): a written table of ``RUNS`` of kind ``placed``.
+
+    A round opens what sequences the pieces longer than every gap need at least, sorts runs of pieces and gaps by ranges of size, sweeps each range in its own
+    task and then what the ranges left, writes matches and new gaps, and repeats until no piece is left. A gap that takes pieces keeps less than
+    half its room, so the rounds are few: they grow with the logarithm of ``capacity``. The driver sees two counts a round.
+    The runs are bounded by ``capacity`` and the rounds, not by the number of pieces. No rows give no rows.
     """
-    out, gaps, runs, opened = [], [], {}, 0  # gaps: sorted; runs: gap -> [(first sequence, sequences)]
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect_left(gaps, length)
-            if at == len(gaps):
-                # each new sequence takes as many as fit, all sequences alike; the last pieces open one more
-                first, fit = opened, capacity // length
-                new = left // fit or 1
-                opened += new
-                if not runs.get(capacity):
-                    insort(gaps, capacity)
-                heapq.heappush(runs.setdefault(capacity, []), (first, new))
-                continue
-            gap = gaps[at]
-            first, n = heapq.heappop(runs[gap])
-            if not runs[gap]:
-                gaps.pop(at)
-            take = min(left, n)
-            if take < n:
-                if not runs[gap]:
-                    insort(gaps, gap)
-                heapq.heappush(runs[gap], (first + take, n - take))
-            out.append((length, rank, first, take, capacity - gap))
-            rest = gap - length
-            if rest:
-                if not runs.get(rest):
-                    insort(gaps, rest)
-                heapq.heappush(runs.setdefault(rest, []), (first, take))
-            left, rank = left - take, rank + take
+    spark, scratch = counts.sparkSession, Scratch(counts.sparkSession)
+    empty = {c: F.lit(None).cast("long") for c in ("copies", "sequence", "offset")}
+    state = scratch.write(counts.select(F.lit("piece").alias("kind"), F.col("length").alias("size"), F.lit(0).cast("long").alias("first"), "n").withColumns(empty))
+    opened, placed, states = 0, [], [state]
+    while True:
+        left, need = _least_sequences(state, capacity)
+        if not left:
+            break
+        if need:
+            state = state.unionByName(spark.range(1).select(F.lit("gap").alias("kind"), F.lit(capacity).cast("long").alias("size"), F.lit(opened).cast("long").alias("first"), F.lit(need).cast("long").alias("n")).withColumns(empty))
+            opened += need
+        ranged = state.repartitionByRange(F.desc("size"), "kind", "first")
+        states.append(scratch.write(_swept(_swept(ranged, capacity).repartition(1), capacity)))
+        state = states[-1].where("kind <> 'placed'")
+        placed.append(states[-1].where("kind = 'placed'"))
+    out = scratch.write(reduce(DataFrame.unionByName, placed, states[0].where("false")))
+    scratch.keep_only(out)
     return out
 
 
 def pack(pieces: DataFrame, *, max_tokens: int = 4096) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``max_tokens``: as few sequences as best-fit decreasing needs, without gaps.
+    """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``max_tokens``: best fit from long to short, without gaps.
 
-    The counts by length are at most ``max_tokens`` rows whatever the input; the sweep over them gives runs of equal placements.
-    Ranks inside a length are counted per (length, salt), so a length that a third of all pieces has is no single group, and
-    a piece finds its run by a join on (length, block of ranks). ``pieces`` must be stable to read, as a written table is.
-    No rows give no rows; rows with null lengths may not occur.
+    ``placements`` works on counts by length. Ranks inside a length are counted per (length, salt), full pieces, of which a large corpus has most, with more
+    salts, so no length is a single group; a piece finds its run by a join on (length, block of ranks). ``pieces`` must be stable to read, as a written table is.
+    No rows give no rows; rows with null lengths may not occur; repeated rows are placed each, and which of them goes where makes no difference.
     """
-    spark, scratch = pieces.sparkSession, Scratch(pieces.sparkSession)
+    scratch = Scratch(pieces.sparkSession)
     order = ["doc_id", "start", "ids_crc32"]
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(256)))
+    salts = F.when(F.col("length") == max_tokens, 16_384).otherwise(256)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), salts))
     cells = scratch.write(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
-    runs = sweep({r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}, max_tokens)
+    runs = placements(cells.groupBy("length").agg(F.sum("n").alias("n")), max_tokens)
     before = cells.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     ranked = salted.withColumn("i", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1)
     ranked = ranked.join(before.hint("shuffle_hash"), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("i"))
-    # a run covers a range of ranks; both sides meet in blocks whose width is a power of two near the run's
-    columns = ["length", "first_rank", "first_sequence", "n", "offset"]
-    table = pa.table({c: pa.array([r[i] for r in runs], pa.int64()) for i, c in enumerate(columns)})
-    placed = spark.createDataFrame(table)
-    ends = placed.withColumn("end", F.col("first_rank") + F.col("n") - 1)
-    # runs of one length lie side by side: the run of a rank is the last that begins at or before it
-    marks = ends.select("length", F.col("first_rank").alias("rank"), F.struct("first_rank", "first_sequence", "offset").alias("run"))
-    spread = ranked.withColumn("block", F.shiftright("rank", 12))
-    blocks = marks.join(ends.select(F.col("length").alias("l2"), F.col("first_rank").alias("f2"), "end"), (F.col("length") == F.col("l2")) & (F.col("rank") == F.col("f2")))
-    blocks = blocks.withColumn("block", F.explode(F.sequence(F.shiftright("rank", 12), F.shiftright("end", 12)))).select("length", "block", "run", "end")
-    blocks = scratch.write(blocks)
-    grouped = blocks.groupBy("length", "block").agg(F.array_sort(F.collect_list(F.struct(F.col("run.first_rank").alias("first_rank"), F.col("end").alias("end"), F.col("run.first_sequence").alias("first_sequence"), F.col("run.offset").alias("offset")))).alias("runs"))
-    met = spread.join(grouped.hint("shuffle_hash"), ["length", "block"])
-    run = F.filter("runs", lambda r: (r["first_rank"] <= F.col("rank")) & (r["end"] >= F.col("rank")))[0]
-    met = met.withColumn("run", run)
-    return met.select(*pieces.columns, (F.col("run.first_sequence") + F.col("rank") - F.col("run.first_rank")).alias("sequence_id"), F.col("run.offset").alias("offset"))
+    # a run covers a range of ranks; both sides meet in blocks of 4,096 ranks
+    ends = runs.withColumn("end", F.col("first") + F.col("n") * F.col("copies") - 1)
+    run = F.struct("first", "end", "n", "sequence", "offset").alias("run")
+    blocks = scratch.write(ends.select(F.col("size").alias("length"), run, F.explode(F.sequence(F.shiftright("first", 12), F.shiftright("end", 12))).alias("block")))
+    grouped = blocks.groupBy("length", "block").agg(F.collect_list("run").alias("runs"))
+    met = ranked.withColumn("block", F.shiftright("rank", 12)).join(grouped.hint("shuffle_hash"), ["length", "block"])
+    met = met.withColumn("run", F.filter("runs", lambda r: (r["first"] <= F.col("rank")) & (r["end"] >= F.col("rank")))[0])
+    k = F.col("rank") - F.col("run.first")
+    offset = F.col("run.offset") + F.floor(k / F.col("run.n")).cast("long") * F.col("length")
+    return met.select(*pieces.columns, (F.col("run.sequence") + k % F.col("run.n")).alias("sequence_id"), offset.alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, max_tokens: int = 4096) -> DataFrame:

@@ -1,6 +1,8 @@
 """Operators of the llm subpackage on small tables, against brute force; nulls, empties, repeats, extra columns and empty tables."""
 
+import bisect
 import hashlib
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -196,12 +198,39 @@ def test_packing(spark):
     odd = spark.createDataFrame([(90, "It's 3,5. Été,, Σς <|endoftext|> a.b\x1cc\u00a0d, e."), (91, "x" * 3000)], "doc_id long, text string")
     out = packing.pack_documents(docs.select("doc_id", "text").union(odd), packing.default_tokenizer(), max_tokens=512).toPandas()
     for doc, text in [(r.doc_id, r.text) for r in odd.collect()] + [(r[0], r[1] or "") for r in rows if r[0] in (0, 5, 8)]:
-        assert out[out.doc_id == doc].drop_duplicates("piece").length.sum() == len(tokenizer.encode(text, add_special_tokens=False).ids) + 1
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        cuts = [(k // 512, k, len(ids[k : k + 512]), zlib.crc32(ids[k : k + 512].tobytes())) for k in range(0, len(ids), 512)]
+        mine = out[out.doc_id == doc].drop_duplicates("piece").sort_values("piece")
+        assert list(mine[["piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == cuts
     for _, g in out.sort_values("offset").groupby("sequence_id"):
         assert g.offset.iloc[0] == 0 and g.length.sum() <= 512 and (g.offset.shift(-1).dropna().to_numpy() == (g.offset + g.length)[:-1].to_numpy()).all()
     assert packing.pack_documents(docs.limit(0), packing.default_tokenizer()).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_packing_of_any_lengths(spark, seed):
+    """Gapless, every piece once, and no more sequences than sequential best fit from long to short needs, but for one in 50."""
+    rng = np.random.default_rng(seed)
+    lengths = [rng.integers(1, 101, 3000), np.full(5000, 34), np.concatenate((rng.integers(50, 101, 900), rng.integers(1, 6, 9000), [100] * 700))][seed]
+    pieces = spark.createDataFrame([(i, 0, 0, int(x), 7) for i, x in enumerate(lengths)], packing.PIECES)
+    out = packing.pack(pieces, max_tokens=100).toPandas()
+    assert sorted(out.doc_id) == list(range(len(lengths))) and (lengths[out.doc_id] == out.length).all()
+    out = out.sort_values(["sequence_id", "offset"])
+    assert (out.groupby("sequence_id").length.cumsum() - out.length == out.offset).all() and out.groupby("sequence_id").length.sum().max() <= 100
+    rooms: list[int] = []
+    for x in sorted(lengths.tolist(), reverse=True):
+        at = bisect.bisect_left(rooms, x)
+        rest = (rooms.pop(at) if at < len(rooms) else 100) - x
+        bisect.insort(rooms, rest)
+    assert out.sequence_id.nunique() <= len(rooms) + len(rooms) // 50
+
+
+def test_sweep_matches_successors_by_rank():
+    got = packing.sweep([("gap", 10, 0, 1), ("gap", 6, 1, 2), ("piece", 7, 0, 1), ("piece", 5, 0, 3), ("piece", 2, 0, 1)], 10)
+    assert [r for r in got if r[0] == "placed"] == [("placed", 7, 0, 1, 1, 0, 0), ("placed", 5, 0, 2, 1, 1, 4)]
+    assert sorted(r[:4] for r in got if r[0] != "placed") == [("gap", 1, 1, 2), ("gap", 3, 0, 1), ("piece", 2, 0, 1), ("piece", 5, 2, 1)]
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 8))
