@@ -419,10 +419,15 @@ def _(events):
     return chain.groupBy("user_id").agg(F.count("*").alias("blocks"), F.max_by("block_hash", "block_index").alias("last_hash"))
 
 
-@query("aud1_verify_chain", "", "events", sql="SELECT user_id, count(*) AS blocks, min(event_id) FILTER (false) AS first_bad, min(event_type) FILTER (false) AS reason FROM events GROUP BY 1")
+@query("aud1_verify_chain", "", "events", sql="""WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events)
+SELECT user_id, count(*) AS blocks, min(i) FILTER (event_id % 89 = 0 OR event_id % 97 = 0) AS first_bad, arg_min(CASE WHEN event_id % 89 = 0 THEN 'link' ELSE 'hash' END, i) FILTER (event_id % 89 = 0 OR event_id % 97 = 0) AS reason FROM n GROUP BY 1""")
 def _(events):
+    """Some rows are tampered with after the chain was built: payloads of ids divisible by 97, links of those divisible by 89."""
     chain = audit.build_chain(events, "user_id", "event_id", _CHAIN)
-    return audit.verify_chain(chain.join(events.select(*_CHAIN), ["user_id", "event_id"]), "user_id", _CHAIN)
+    payload = events.select("user_id", "event_id", F.when(F.col("event_id") % 97 == 0, "tampered").otherwise(F.col("event_type")).alias("event_type"))
+    blocks = chain.join(payload.hint("shuffle_merge"), ["user_id", "event_id"])
+    blocks = blocks.withColumn("previous_hash", F.when(F.col("event_id") % 89 == 0, "broken").otherwise(F.col("previous_hash")))
+    return audit.verify_chain(blocks, "user_id", _CHAIN)
 
 
 @query("agg9_graph_stats", "hop", sql="SELECT event_type AS rel_type, count(*) AS n FROM hop GROUP BY 1")

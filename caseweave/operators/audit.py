@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 GENESIS = "0" * 64
@@ -16,19 +20,28 @@ def payload(*columns: str):
 def build_chain(rows: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """Adds block_index, previous_hash and block_hash, each over the row's payload and the hash before it, to one chain per ``key``.
 
-    A chain is sequential by nature: the rows of a key are folded in order in one task, keys side by side.
+    A chain is sequential by nature: the rows of a key are sorted in one task, which spills, and read once with only the last hash carried on; keys go side by side.
+    Rows of equal order are taken by payload; a null key is a key. No rows give no rows.
     """
-    item = F.struct(F.col(order).alias("o"), payload(*columns).alias("p"))
-    chains = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.array().cast("array<struct<block_index:long,o:long,previous_hash:string,block_hash:string>>")
-
-    def link(done, x):
-        before = F.coalesce(F.get(done, F.size(done) - 1)["block_hash"], F.lit(GENESIS))
-        block = F.struct(F.size(done).cast("long").alias("block_index"), x["o"].cast("long").alias("o"), before.alias("previous_hash"), F.sha2(F.concat_ws("|", x["p"], before), 256).alias("block_hash"))
-        return F.concat(done, F.array(block))
-
-    out = chains.select(key, F.explode(F.aggregate("items", start, link)).alias("b"))
-    return out.select(key, F.col("b.block_index").alias("block_index"), F.col("b.o").alias(order), F.col("b.previous_hash").alias("previous_hash"), F.col("b.block_hash").alias("block_hash"))
+    sorted_rows = rows.select(F.col(key), F.col(order).cast("long").alias(order), payload(*columns).alias("p")).repartition(F.col(key)).sortWithinPartitions(key, order, "p")
+    schema = StructType([rows.schema[key]]).add("block_index", "long").add(order, "long").add("previous_hash", "string").add("block_hash", "string")
+
+    def link(batches):
+        of, index, before = object(), 0, GENESIS
+        for batch in batches:
+            indices, previous, hashes = [], [], []
+            for k, p in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != of:
+                    of, index, before = k, 0, GENESIS
+                indices.append(index)
+                previous.append(before)
+                before = hashlib.sha256(f"{p}|{before}".encode()).hexdigest()
+                hashes.append(before)
+                index += 1
+            columns = [batch.column(0), pa.array(indices, pa.int64()), batch.column(1), pa.array(previous, pa.string()), pa.array(hashes, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return sorted_rows.mapInArrow(link, schema)
 
 
 def verify_chain(blocks: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from caseweave.plans.blocks import pairs_within
+
 
 def pair_counts(edges: DataFrame) -> DataFrame:
     """Contacts per unordered pair: (a, b, n, cases, avg_weight, first_ts, last_ts). Self contacts and null ends are left out."""
@@ -74,9 +76,8 @@ def co_locations(presence: DataFrame, explained: DataFrame, min_joint: int = 1)
 
     ``presence``: (person, location, slot); a joint presence is a common slot. Presences are made distinct first, so a busy place counts each person once a slot.
     """
-    p = presence.where("person IS NOT NULL").select("person", "location", "slot").distinct()
-    q = p.select(F.col("person").alias("p2"), "location", "slot")
-    pairs = p.withColumnRenamed("person", "p1").join(q, ["location", "slot"]).where("p1 < p2").groupBy("p1", "p2", "location").agg(F.count("*").alias("joint"))
+    met = pairs_within(presence, ["location", "slot"], "person").select(F.col("a").alias("p1"), F.col("b").alias("p2"), "location")
+    pairs = met.groupBy("p1", "p2", "location").agg(F.count("*").alias("joint"))
     known = explained.select(F.least("a", "b").alias("p1"), F.greatest("a", "b").alias("p2")).distinct()
     out = pairs.where(F.col("joint") >= min_joint).join(known, ["p1", "p2"], "left_anti")
     return out.withColumn("severity", F.when(F.col("joint") >= 3, "high").when(F.col("joint") == 2, "medium").otherwise("low"))

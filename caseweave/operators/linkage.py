@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caseweave.functions import categorical_match, jaccard, proximity, token_sort_ratio
+from caseweave.plans.blocks import pairs_within
 
 
 def victim_similarity(a, b) -> Column:
@@ -72,7 +73,7 @@ def equal_attributes(cases: DataFrame, minimum: float) -> DataFrame:
     sets = [c for k in range(len(parts) + 1) for c in combinations(parts, k) if points(c) >= need and all(points(c) - parts[n][0] < need for n in c)]
     keys = F.array(*[F.concat(F.lit(f"{i}"), *[F.concat(F.lit("|"), F.length(parts[n][1]).cast("string"), F.lit("|"), parts[n][1]) for n in c]) for i, c in enumerate(sets)])
     k = cases.select("case_id", F.explode(F.array_compact(keys)).alias("key"))
-    return k.select(F.col("case_id").alias("case_a"), "key").join(k.select(F.col("case_id").alias("case_b"), "key"), "key").where("case_a < case_b").select("case_a", "case_b").distinct()
+    return pairs_within(k, ["key"], "case_id").select(F.col("a").alias("case_a"), F.col("b").alias("case_b")).distinct()
 
 
 def score_pairs(cases: DataFrame, pairs: DataFrame, cosine: DataFrame | None = None, digits: int = 4) -> DataFrame:
@@ -92,7 +93,7 @@ def score_pairs(cases: DataFrame, pairs: DataFrame, cosine: DataFrame | None = N
 def signature_pairs(cases: DataFrame) -> DataFrame:
     """Pairs of cases with a common signature."""
     s = cases.select("case_id", F.explode(F.array_distinct("signatures")).alias("signature"))
-    return s.select(F.col("case_id").alias("case_a"), "signature").join(s.select(F.col("case_id").alias("case_b"), "signature"), "signature").where("case_a < case_b").select("case_a", "case_b").distinct()
+    return pairs_within(s, ["signature"], "case_id").select(F.col("a").alias("case_a"), F.col("b").alias("case_b")).distinct()
 
 
 def tf_idf(docs: DataFrame, stop_words: list[str], max_terms: int = 5000) -> DataFrame:

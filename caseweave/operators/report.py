@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from caseweave.plans.blocks import pairs_within
+
 
 def intervals(events: DataFrame, key: str, day: str) -> DataFrame:
     """Day gaps inside each ``key``: (key, seq, gap, change, direction) from the second event on."""
@@ -38,9 +40,8 @@ def top_per(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
 
 def location_pairs(presence: DataFrame) -> DataFrame:
     """Locations that share persons: (loc_a, loc_b, shared)."""
-    p = presence.where("person IS NOT NULL").select("person", "location").distinct()
-    q = p.select("person", F.col("location").alias("loc_b"))
-    return p.withColumnRenamed("location", "loc_a").join(q, "person").where("loc_a < loc_b").groupBy("loc_a", "loc_b").agg(F.count("*").alias("shared"))
+    pairs = pairs_within(presence, ["person"], "location").select(F.col("a").alias("loc_a"), F.col("b").alias("loc_b"))
+    return pairs.groupBy("loc_a", "loc_b").agg(F.count("*").alias("shared"))
 
 
 def case_summary(cases: DataFrame, **parts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.functions import jaccard
+from caseweave.plans.blocks import pairs_within
 
 # Signature families, their weights and patterns.
 SIGNATURE_FAMILIES = {
@@ -150,7 +151,7 @@ def shared_locations(places: DataFrame) -> DataFrame:
     p = places.select("case_id", F.lower(F.trim("name")).alias("name")).distinct()
     totals = p.agg(F.count_distinct("case_id").alias("cases"))
     shared = p.groupBy("name").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") >= 2).alias("shared"))
-    pairs = p.join(p.withColumnRenamed("case_id", "other"), "name").where("case_id < other").select("case_id", "other").distinct().agg(F.count("*").alias("pairs"))
+    pairs = pairs_within(p, ["name"], "case_id").select("a", "b").distinct().agg(F.count("*").alias("pairs"))
     n = F.col("cases")
     every = F.when(n > 1, n * (n - 1) / 2).otherwise(1.0)
     return totals.crossJoin(F.broadcast(shared)).crossJoin(F.broadcast(pairs)).select("cases", "shared", F.round(F.col("pairs") / every, 3).alias("score"))
@@ -166,7 +167,7 @@ def signature_overlap(terms: DataFrame) -> DataFrame:
     """One row (cases, mean_overlap, common): mean Jaccard of the term sets over all pairs of cases, pairs without a common term counting 0, and terms that all cases have. Rows: (case_id, term)."""
     t = terms.select("case_id", "term").distinct()
     sizes = t.groupBy("case_id").agg(F.count("*").alias("size"))
-    both = t.join(t.withColumnRenamed("case_id", "other"), "term").where("case_id < other").groupBy("case_id", "other").agg(F.count("*").alias("both"))
+    both = pairs_within(t, ["term"], "case_id").groupBy(F.col("a").alias("case_id"), F.col("b").alias("other")).agg(F.count("*").alias("both"))
     scored = both.join(sizes, "case_id").join(sizes.select(F.col("case_id").alias("other"), F.col("size").alias("size_b")), "other")
     total = scored.agg(F.coalesce(F.sum(F.col("both") / (F.col("size") + F.col("size_b") - F.col("both"))), F.lit(0.0)).alias("total"))
     cases = sizes.agg(F.count("*").alias("cases"))
@@ -228,7 +229,7 @@ def text_links(cases: DataFrame, minimum: float = 0.25) -> DataFrame:
     """
     keys = F.concat(F.transform("terms", lambda x: F.concat(F.lit("t"), x)), F.transform("names", lambda x: F.concat(F.lit("n"), x)), F.flatten(F.transform(F.map_entries("methods"), lambda e: F.transform(e["value"], lambda v: F.concat_ws("=", F.lit("m"), e["key"], v)))))
     k = cases.select("case_id", F.explode(F.array_distinct(keys)).alias("key"))
-    pairs = k.select(F.col("case_id").alias("case_a"), "key").join(k.select(F.col("case_id").alias("case_b"), "key"), "key").where("case_a < case_b").select("case_a", "case_b").distinct()
+    pairs = pairs_within(k, ["key"], "case_id").select(F.col("a").alias("case_a"), F.col("b").alias("case_b")).distinct()
     side = lambda s: cases.select(*[F.col(c).alias(c + s if c != "case_id" else "case" + s) for c in ("case_id", "terms", "names", "methods", "ages", "genders", "risks")])
     j = pairs.join(side("_a"), "case_a").join(side("_b"), "case_b")
     a, b = (lambda n: F.col(f"{n}_a")), (lambda n: F.col(f"{n}_b"))

@@ -1,6 +1,7 @@
 """Operators on tiny inline tables with results worked out by hand."""
 
 import datetime as dt
+import hashlib
 import math
 
 from pyspark.sql import functions as F
@@ -124,6 +125,28 @@ def test_strip_labels(spark):
     assert d.select(text.strip_labels(F.col("t"), ["full name"])).first()[0] == "Anna Berg\nplain line"
 
 
+def test_pairs_of_large_groups_meet_once(spark):
+    from caseweave.plans.blocks import pairs_within
+
+    data = [("g", i) for i in range(23)] + [("g", 3), ("h", 1), ("h", 2), (None, 1), (None, 2), ("h", None), ("one", 5)]
+    table = spark.createDataFrame(data, "k string, m int")
+    want = sorted([("g", i, j) for i in range(23) for j in range(i + 1, 23)] + [("h", 1, 2)])
+    for block_rows in (1, 4, 2000):
+        assert sorted(map(tuple, pairs_within(table, ["k"], "m", block_rows).collect())) == want
+    assert pairs_within(table.limit(0), ["k"], "m").count() == 0
+
+
+def test_chains_of_several_keys(spark):
+    data = [("a", 2, "x"), ("a", 1, "y"), (None, 1, "z"), ("b", 1, None), ("a", 1, "w")]
+    got = {(r.k, r.block_index): (r.o, r.previous_hash, r.block_hash) for r in audit.build_chain(spark.createDataFrame(data, "k string, o int, v string"), "k", "o", ["v"]).collect()}
+    before = audit.GENESIS
+    for i, (o, v) in enumerate([(1, "w"), (1, "y"), (2, "x")]):
+        h = hashlib.sha256(f"{v}|{before}".encode()).hexdigest()
+        assert got["a", i] == (o, before, h)
+        before = h
+    assert got["b", 0][2] == hashlib.sha256(f"|{audit.GENESIS}".encode()).hexdigest() and got[None, 0][1] == audit.GENESIS and len(got) == 5
+
+
 def test_chain_finds_the_first_bad_block(spark):
     base = spark.createDataFrame([("k", i, f"v{i}") for i in range(5)], "k string, o long, v string")
     chain = audit.build_chain(base, "k", "o", ["k", "v"]).join(base, ["k", "o"]).cache()
