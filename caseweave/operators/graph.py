@@ -74,11 +74,34 @@ def eigenvector_centrality(edges: DataFrame, max_rounds: int = 1000, tolerance:
     return x.select("node", F.col("x").alias("centrality"))
 
 
+def _settle(scratch: Scratch, arcs: DataFrame, start: DataFrame, plus: float) -> DataFrame:
+    """Values (s, node, x) that ``start`` gives to the heads of ``arcs`` (s, u, v, f), which have no cycles: the sum of f * (plus + x) over a head's arcs, once all their tails are settled.
+
+    A round joins the arcs with what the last one settled only, and carries the sums of heads that still wait.
+    """
+    need = scratch.write(arcs.groupBy("s", F.col("v").alias("node")).agg(F.count("*").alias("need")))
+    front, settled, states = start, [start], [need]
+    waiting = None
+    while True:
+        sums = front.withColumnRenamed("node", "u").join(arcs, ["s", "u"]).groupBy("s", F.col("v").alias("node")).agg(F.sum(F.col("f") * (plus + F.col("x"))).alias("x"), F.count("*").alias("got"))
+        sums = sums.join(need, ["s", "node"])
+        if waiting is not None:
+            sums = sums.unionByName(waiting).groupBy("s", "node").agg(F.sum("x").alias("x"), F.sum("got").alias("got"), F.max("need").alias("need"))
+        states.append(scratch.write(sums))
+        front, waiting = states[-1].where("got = need").select("s", "node", "x"), states[-1].where("got < need")
+        if front.isEmpty():
+            break
+        settled.append(front)
+    out = scratch.write(reduce(DataFrame.unionByName, settled))
+    scratch.drop(*states)
+    return out
+
+
 def betweenness_centrality(edges: DataFrame, sources: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
     """(node, centrality): share of weighted shortest paths through each node, weight as distance, halved and normalised by 2 / ((n-1)(n-2)).
 
     All sources relax at once: rows (source, node, dist) improve by a join with the arcs until none does; path counts then rise along the tight arcs and
-    dependencies fall back along them, one distance level of every source a round. ``sources`` (node) limits the sources to a sample and scales the result: an estimate for large graphs.
+    dependencies fall back along them, each round from the nodes that the last one settled. ``sources`` (node) limits the sources to a sample and scales the result: an estimate for large graphs.
     """
     scratch = Scratch(edges.sparkSession)
     arcs = scratch.write(both_ways(edges, "weight").withColumnRenamed("weight", "w"))
@@ -86,37 +109,26 @@ def betweenness_centrality(edges: DataFrame, sources: DataFrame | None = None, m
     n = nodes.count()
     starts = nodes if sources is None else nodes.join(sources.select("node"), "node")
     s = starts.count()
-    dist = scratch.write(starts.select(F.col("node").alias("s"), "node", F.lit(0.0).alias("d")))
-    front = dist
+    start = scratch.write(starts.select(F.col("node").alias("s"), "node"))
+    dist = front = scratch.write(start.withColumn("d", F.lit(0.0)))
     for _ in range(max_rounds):
         step = front.join(arcs, front["node"] == arcs["a"]).groupBy("s", F.col("b").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("nd"))
         better = scratch.write(step.join(dist, ["s", "node"], "left").where("d IS NULL OR nd < d - 1e-12").select("s", "node", F.col("nd").alias("d")))
         if better.isEmpty():
             break
-        dist = scratch.write(dist.unionByName(better).groupBy("s", "node").agg(F.min("d").alias("d")))
+        dist, old = scratch.write(dist.unionByName(better).groupBy("s", "node").agg(F.min("d").alias("d"))), (dist, front)
+        scratch.drop(*old)
         front = better
     u, v = dist.select("s", F.col("node").alias("u"), F.col("d").alias("du")), dist.select("s", F.col("node").alias("v"), F.col("d").alias("dv"))
-    tight = scratch.write(u.join(arcs, F.col("u") == F.col("a")).join(v, ["s"]).where("b = v AND abs(du + w - dv) < 1e-9").select("s", "u", "v"))
-    # path counts: a node is ready when all its tight predecessors are
-    need = tight.groupBy("s", F.col("v").alias("node")).agg(F.count("*").alias("need"))
-    sigma = scratch.write(starts.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("sigma")))
-    while True:
-        got = tight.join(sigma.withColumnRenamed("node", "u"), ["s", "u"]).groupBy("s", F.col("v").alias("node")).agg(F.sum("sigma").alias("sigma"), F.count("*").alias("got"))
-        ready = scratch.write(got.join(need, ["s", "node"]).where("got = need").join(sigma.select("s", "node"), ["s", "node"], "left_anti").select("s", "node", "sigma"))
-        if ready.isEmpty():
-            break
-        sigma = scratch.write(sigma.unionByName(ready))
-    share = scratch.write(tight.join(sigma.select("s", F.col("node").alias("u"), F.col("sigma").alias("su")), ["s", "u"]).join(sigma.select("s", F.col("node").alias("v"), F.col("sigma").alias("sv")), ["s", "v"]).select("s", "u", "v", (F.col("su") / F.col("sv")).alias("f")))
-    out_need = share.groupBy("s", F.col("u").alias("node")).agg(F.count("*").alias("need"))
-    leaves = sigma.select("s", "node").join(out_need, ["s", "node"], "left_anti")
-    delta = scratch.write(leaves.withColumn("delta", F.lit(0.0)))
-    while True:
-        back = share.join(delta.withColumnRenamed("node", "v"), ["s", "v"]).groupBy("s", F.col("u").alias("node")).agg(F.sum(F.col("f") * (1 + F.col("delta"))).alias("delta"), F.count("*").alias("got"))
-        ready = scratch.write(back.join(out_need, ["s", "node"]).where("got = need").join(delta.select("s", "node"), ["s", "node"], "left_anti").select("s", "node", "delta"))
-        if ready.isEmpty():
-            break
-        delta = scratch.write(delta.unionByName(ready))
-    total = delta.where("s <> node").groupBy("node").agg(F.sum("delta").alias("c"))
+    tight = scratch.write(u.join(arcs, F.col("u") == F.col("a")).withColumnRenamed("b", "v").join(v, ["s", "v"]).where("abs(du + w - dv) < 1e-9").select("s", "u", "v"))
+    sigma = _settle(scratch, tight.withColumn("f", F.lit(1.0)), start.withColumn("x", F.lit(1.0)), 0.0)
+    tails, heads = sigma.select("s", F.col("node").alias("u"), F.col("x").alias("su")), sigma.select("s", F.col("node").alias("v"), F.col("x").alias("sv"))
+    # dependencies run against the arcs
+    back = scratch.write(tight.join(tails, ["s", "u"]).join(heads, ["s", "v"]).select("s", F.col("v").alias("u"), F.col("u").alias("v"), (F.col("su") / F.col("sv")).alias("f")))
+    leaves = sigma.select("s", "node").join(back.select("s", F.col("v").alias("node")), ["s", "node"], "left_anti")
+    delta = _settle(scratch, back, scratch.write(leaves.withColumn("x", F.lit(0.0))), 1.0)
+    scratch.keep_only(nodes, delta)
+    total = delta.where("s <> node").groupBy("node").agg(F.sum("x").alias("c"))
     scale = 0.0 if n <= 2 or not s else (n / s) / ((n - 1) * (n - 2))
     return nodes.join(total, "node", "left").select("node", (F.coalesce("c", F.lit(0.0)) * scale).alias("centrality"))
 

@@ -52,6 +52,33 @@ def test_components_do_not_depend_on_row_order(spark):
     assert connected_components(spark.createDataFrame([], "src int, dst int")).count() == 0
 
 
+def test_betweenness_matches_brute_force(spark):
+    import itertools
+    import random
+
+    dice = random.Random(4)
+    weights = {p: dice.choice([1.0, 2.0, 3.0]) for p in itertools.combinations(range(9), 2) if dice.random() < 0.4}
+    edges = spark.createDataFrame([(str(a), str(b), w) for (a, b), w in weights.items()], "a string, b string, weight double")
+    near = {(a, b): w for (a, b), w in weights.items()} | {(b, a): w for (a, b), w in weights.items()}
+    nodes = sorted({x for p in weights for x in p})
+    through = dict.fromkeys(nodes, 0.0)
+    for s, t in itertools.combinations(nodes, 2):
+        paths = []  # all simple paths
+        stack = [(0.0, [s])]
+        while stack:
+            d, path = stack.pop()
+            if path[-1] == t:
+                paths.append((d, path))
+                continue
+            stack += [(d + near[path[-1], x], [*path, x]) for x in nodes if (path[-1], x) in near and x not in path]
+        best = [p for d, p in paths if d == min(d for d, _ in paths)]
+        for x in nodes:
+            through[x] += sum(x in p[1:-1] for p in best) / len(best) if best else 0
+    scale = 2 / ((len(nodes) - 1) * (len(nodes) - 2))
+    got = dict(graph.betweenness_centrality(edges).collect())
+    assert {int(k): round(v, 9) for k, v in got.items()} == {k: round(v * scale, 9) for k, v in through.items()}
+
+
 def test_betweenness_of_path_and_star(spark):
     path = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0)], "a int, b int, weight double")
     got = dict(graph.betweenness_centrality(path).collect())
