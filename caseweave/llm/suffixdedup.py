@@ -88,8 +88,8 @@ def repeats_of(after: list[bytes], before: list[bytes]) -> list[tuple[int, int,
     """(member, left, right): bytes to the left and right of each member's anchor that a repeated window covers, for members of one gram.
 
     ``before`` is reversed. In each interval of the tree, members are sorted by what precedes them and neighbours give the longest left extension
-    that any other member of the interval shares; an interval whose members all continue to the left alike (no left diversity) and lie in a
-    parent of the same length adds nothing new. A window counts when left and right together reach ``WINDOW``.
+    that any other member of the interval shares. An interval without left diversity, whose members all continue to the left alike as far as
+    windows reach, is settled without comparing neighbours. A window counts when left and right together reach ``WINDOW``.
     """
     order = sorted(range(len(after)), key=lambda k: after[k])
     best: dict[int, tuple[int, int]] = {}
@@ -97,7 +97,8 @@ def repeats_of(after: list[bytes], before: list[bytes]) -> list[tuple[int, int,
         if length < GRAM:
             continue
         members = sorted(order[first : last + 1], key=lambda k: before[k])
-        shared = [_common(before[a], before[b]) for a, b in zip(members, members[1:])]
+        low, high = before[members[0]], before[members[-1]]
+        shared = [len(low)] * (len(members) - 1) if low == high else [_common(before[a], before[b]) for a, b in zip(members, members[1:])]
         for i, k in enumerate(members):
             left = max(shared[i - 1] if i else 0, shared[i] if i < len(shared) else 0)
             if left + length >= WINDOW:
