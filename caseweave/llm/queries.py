@@ -12,6 +12,7 @@ from caseweave.llm.suffixdedup import op5_suffix_dedup
 from caseweave.llm.topk import OP8_SQL, op8_top_k
 from caseweave.llm.urlrules import op4_url_rules
 from caseweave.llm.warc import OP10_SQL, op10_warc
+from caseweave.llm.windowdedup import OP11_SQL, op11_window_dedup
 
 QUERIES = {
     "op1_mix": op1_mix,
@@ -24,7 +25,8 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op11_window_dedup": op11_window_dedup,
     "language_of_pages": language_of_pages,
 }
 
-SQL = {"op1_mix": OP1_SQL, "op8_top_k": OP8_SQL, "op10_warc": OP10_SQL}
+SQL = {"op1_mix": OP1_SQL, "op8_top_k": OP8_SQL, "op10_warc": OP10_SQL, "op11_window_dedup": OP11_SQL}
