@@ -10,6 +10,7 @@ from caseweave.llm.packing import op6_pack
 from caseweave.llm.quality import op9_quality
 from caseweave.llm.suffixdedup import op5_suffix_dedup
 from caseweave.llm.topk import OP8_SQL, op8_top_k
+from caseweave.llm.turnrepair import op12_turn_repair
 from caseweave.llm.urlrules import op4_url_rules
 from caseweave.llm.warc import OP10_SQL, op10_warc
 from caseweave.llm.windowdedup import OP11_SQL, op11_window_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
     "op11_window_dedup": op11_window_dedup,
+    "op12_turn_repair": op12_turn_repair,
     "language_of_pages": language_of_pages,
 }
 
