@@ -12,6 +12,7 @@ from caseweave.llm.suffixdedup import op5_suffix_dedup
 from caseweave.llm.topk import OP8_SQL, op8_top_k
 from caseweave.llm.turnrepair import op12_turn_repair
 from caseweave.llm.urlrules import op4_url_rules
+from caseweave.llm.vectorcodes import OP13_SQL, op13_vector_codes
 from caseweave.llm.warc import OP10_SQL, op10_warc
 from caseweave.llm.windowdedup import OP11_SQL, op11_window_dedup
 
@@ -28,7 +29,8 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_window_dedup": op11_window_dedup,
     "op12_turn_repair": op12_turn_repair,
+    "op13_vector_codes": op13_vector_codes,
     "language_of_pages": language_of_pages,
 }
 
-SQL = {"op1_mix": OP1_SQL, "op8_top_k": OP8_SQL, "op10_warc": OP10_SQL, "op11_window_dedup": OP11_SQL}
+SQL = {"op1_mix": OP1_SQL, "op8_top_k": OP8_SQL, "op10_warc": OP10_SQL, "op11_window_dedup": OP11_SQL, "op13_vector_codes": OP13_SQL}
