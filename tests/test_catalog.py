@@ -17,7 +17,16 @@ def compare(spark, name, queries, sql):
         con.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS FROM '{path}'")
     got, want = queries[name](spark, DATA).toPandas(), con.sql(sql[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    clean = lambda d: sorted(tuple("None" if v is None or v != v else f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in d[sorted(d.columns)].astype(object).where(d.notna(), None).itertuples(index=False))
+    def cell(v):
+        if v is None:
+            return "None"
+        if hasattr(v, "__len__") and not isinstance(v, (str, bytes, dict)):
+            return str([cell(x) for x in v])
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            return "None" if v != v else f"{float(v):.6f}"
+        return str(v)
+
+    clean = lambda d: sorted(tuple(cell(v) for v in r) for r in d[sorted(d.columns)].astype(object).where(d.notna(), None).itertuples(index=False))
     assert clean(got) == clean(want)
 
 

@@ -111,9 +111,9 @@ def test_path_costs_differ(spark):
 
 def test_edge_roll_up(spark):
     t = dt.datetime(2024, 1, 1)
-    e = spark.createDataFrame([("a", "b", "Family", 1, t, None, 0.0), ("b", "a", "Financial", 2, t, 2.0, 1.0), ("a", "a", "Family", 1, t, 1.0, 0.0)], "src string, dst string, rel_type string, case_id int, ts timestamp, weight double, severity double")
+    e = spark.createDataFrame([("a", "b", "Family", 1, t, None, 0.0), ("b", "a", "Financial Transaction", 2, t, 2.0, 1.0), ("a", "a", "Family", 1, t, 1.0, 0.0)], "src string, dst string, rel_type string, case_id int, ts timestamp, weight double, severity double")
     r = graph.roll_up_edges(e).first()
-    assert abs(r.weight - (0.4 + 0.95 * 1.2 * 2)) < 1e-9 and r.n == 2 and r.cross_case and r.primary_type == "Financial"
+    assert abs(r.weight - (0.4 + 0.95 * 1.2 * 2)) < 1e-9 and r.n == 2 and r.cross_case and r.primary_type == "Financial Transaction"
 
 
 def test_scalars(spark):
