@@ -678,4 +678,4 @@ def _(hop):
 del _
 
 
-from caseweave import catalog_casework, catalog_views  # noqa: E402, F401  register their queries here
+from caseweave import catalog_casework, catalog_leads, catalog_views  # noqa: E402, F401  register their queries here
