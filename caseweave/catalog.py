@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from caseweave import sources
 from caseweave.functions import band, haversine_km
-from caseweave.operators import audit, detect, graph, linkage, report, resolution, series, text
+from caseweave.operators import audit, detect, graph, incidents, linkage, report, resolution, series, text
 from caseweave.plans.fixpoint import connected_components
 from caseweave.plans.scratch import Scratch
 
@@ -166,7 +166,7 @@ x AS (SELECT day AS case_id, event_id, ts, event_type AS label FROM ev WHERE eve
 SELECT id, p.case_id, min(event_id) AS event_id, arg_min(label, event_id) AS label, count(*) AS n_events FROM p JOIN x ON p.case_id = x.case_id AND x.ts BETWEEN first_ts - INTERVAL 3 DAY AND last_ts + INTERVAL 3 DAY GROUP BY 1, 2""")
 def _(hop, ev):
     pairs = hop.where("event_type = 'purchase'").groupBy(F.concat_ws("-", "src", "dst", "case_id").alias("id"), "case_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    return detect.correlate_events(pairs, ev.where("event_type = 'error'").select(F.col("day").alias("case_id"), "event_id", "ts", F.col("event_type").alias("label")))
+    return incidents.correlate(pairs, ev.where("event_type = 'error'").select(F.col("day").alias("case_id"), "event_id", "ts", F.col("event_type").alias("label")))
 
 
 @query("jon6_location_pairs", "presence", sql="WITH p AS (SELECT DISTINCT person, location FROM presence WHERE person IS NOT NULL) SELECT x.location AS loc_a, y.location AS loc_b, count(*) AS shared FROM p x JOIN p y USING (person) WHERE x.location < y.location GROUP BY 1, 2")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from caseweave.catalog import EXTRA_VIEWS, VIEWS, query
 from caseweave.catalog_casework import _simple
-from caseweave.operators import matching, routes
+from caseweave.operators import detect, filters, incidents, matching, routes
 
 _FIRST = "CASE c_custkey % 6 WHEN 0 THEN 'Ravi' WHEN 1 THEN 'Anil' WHEN 2 THEN 'Meera' WHEN 3 THEN 'Sunita' WHEN 4 THEN 'Rahul' ELSE 'Kiran' END"
 _LAST = "CASE c_custkey % 7 WHEN 0 THEN 'Kumar' WHEN 1 THEN 'Sharma' WHEN 2 THEN 'Nair' WHEN 3 THEN 'Iyer' WHEN 4 THEN 'Khan' WHEN 5 THEN 'Das' ELSE 'Menon' END"
@@ -80,3 +80,79 @@ def _(link):
     """The least-cost path between two nodes and its heaviest alternatives."""
     found = routes.strongest_paths(link.withColumnRenamed("score", "weight"), 1, 14, extra_hops=1)
     return found.select("rank", "is_primary", F.array_join("path", "-").alias("path"), "hops", "weight")
+
+
+_NOTE = "CASE o_orderkey % 6 WHEN 0 THEN 'Two men were arrested near the depot.' WHEN 1 THEN 'There was no evidence of murder at the scene.' WHEN 2 THEN 'Goods recovered after the Shooting.' WHEN 3 THEN 'Nothing was seen.' WHEN 4 THEN 'No arrest was made. Much later that same week, on a road some miles away from town and in broad daylight, an attack took place.' ELSE NULL END"
+_LABEL = "CASE o_orderkey % 6 WHEN 0 THEN 'arrest' WHEN 2 THEN 'recovery' WHEN 4 THEN 'attack' END"
+_simple("report", "orders", f"o_orderkey AS doc_id, o_orderkey AS case_id, o_orderdate AS filed, {_NOTE} AS text")
+VIEWS["report"] = f"SELECT o_orderkey AS doc_id, o_orderkey AS case_id, o_orderdate + INTERVAL 40 DAY AS ts, {_NOTE} AS text, {_LABEL} AS expected FROM orders"
+_base = EXTRA_VIEWS["report"]
+EXTRA_VIEWS["report"] = lambda read: _base(read).withColumn("ts", F.expr("filed + INTERVAL 40 DAYS")).drop("filed")
+_HITS = """stated AS (SELECT case_id, doc_id, ts, expected AS label FROM report WHERE expected IS NOT NULL)"""
+
+
+@query("jon7_document_events", "report", sql="SELECT doc_id AS event_id, case_id, expected AS label FROM report WHERE expected IS NOT NULL")
+def _(report):
+    """Documents that state an event, by their first keyword that nothing denies."""
+    return incidents.document_events(report).select("event_id", "case_id", "label")
+
+
+@query("det1_correlated_bursts", "comm report", sql=f"""WITH {_HITS},
+p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM comm WHERE src <> dst GROUP BY 1, 2 HAVING count(*) >= 2),
+pc AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, case_id FROM comm),
+hit AS (SELECT a, b, min((case_id, doc_id, label)) AS h FROM p JOIN pc USING (a, b) JOIN stated s USING (case_id) WHERE s.ts BETWEEN first_ts - INTERVAL 3 DAY AND last_ts + INTERVAL 3 DAY GROUP BY 1, 2)
+SELECT a, b, n, h[2] AS event_id, h[3] AS event_label, CASE WHEN h IS NOT NULL OR n >= 6 THEN 'high' WHEN n >= 4 THEN 'medium' ELSE 'low' END AS severity,
+  CASE WHEN h IS NOT NULL THEN 'confirmed' WHEN n >= 4 THEN 'statistically_unusual' ELSE 'unexplained' END AS confidence,
+  n || ' contacts of ' || a || ' and ' || b || CASE WHEN h IS NOT NULL THEN ' around a documented ' || h[3] ELSE printf(', %.1f times the threshold', n / 2) END AS explanation FROM p LEFT JOIN hit USING (a, b)""")
+def _(comm, report):
+    """Bursts of contacts, upgraded by events of their cases."""
+    found = incidents.correlated_bursts(comm, incidents.document_events(report))
+    return found.select("a", "b", "n", "event_id", "event_label", "severity", "confidence", "explanation")
+
+
+@query("det7_burner_numbers", "comm report", sql=f"""WITH {_HITS},
+e AS (SELECT number, case_id, ts FROM (SELECT src AS number, case_id, ts FROM comm UNION ALL SELECT dst, case_id, ts FROM comm) WHERE substring(number, 2)::INT % 4 = 0),
+p AS (SELECT number, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, floor((epoch(max(ts)) - epoch(min(ts))) / 86400)::BIGINT AS days FROM e GROUP BY 1),
+hit AS (SELECT number, min((case_id, doc_id, label)) AS h FROM p JOIN (SELECT DISTINCT number, case_id FROM e) USING (number) JOIN stated s USING (case_id) WHERE s.ts BETWEEN first_ts - INTERVAL 3 DAY AND last_ts + INTERVAL 3 DAY GROUP BY 1)
+SELECT number, n, days, h[2] AS event_id, CASE WHEN h IS NOT NULL THEN 'high' WHEN days <= 7 THEN 'medium' ELSE 'low' END AS severity, CASE WHEN h IS NOT NULL THEN 'confirmed' WHEN days <= 7 THEN 'statistically_unusual' ELSE 'unexplained' END AS confidence FROM p LEFT JOIN hit USING (number)""")
+def _(comm, report):
+    """Activity of numbers that their attributes mark as burners."""
+    numbers = comm.select(F.explode(F.array("src", "dst")).alias("number")).distinct()
+    marks = F.create_map(F.lit("registered"), F.when(F.substring("number", 2, 20).cast("int") % 4 == 0, "false").otherwise("true"))
+    return incidents.burner_numbers(comm, numbers.where(filters.is_burner(marks)), incidents.document_events(report)).select("number", "n", "days", "event_id", "severity", "confidence")
+
+
+@query("win9_new_contact_bursts", "hop", sql="""WITH c AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, ts FROM hop), f AS (SELECT a, b, min(ts) AS first_ts FROM c GROUP BY 1, 2)
+SELECT a, b, count(*) AS n, first_ts, max(ts) AS last_ts FROM c JOIN f USING (a, b) WHERE ts <= first_ts + INTERVAL 48 HOUR GROUP BY a, b, first_ts HAVING count(*) >= 2""")
+def _(hop):
+    """Pairs that had no contact before their burst."""
+    return incidents.new_contact_bursts(hop, 48, 2)
+
+
+@query("det8_isolated_run", "comm flow report", sql=f"""WITH {_HITS},
+p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM comm WHERE src <> dst GROUP BY 1, 2 HAVING count(*) >= 3),
+pc AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, case_id FROM comm),
+hit AS (SELECT a, b, min((case_id, doc_id, label)) AS h FROM p JOIN pc USING (a, b) JOIN stated s USING (case_id) WHERE s.ts BETWEEN first_ts - INTERVAL 3 DAY AND last_ts + INTERVAL 3 DAY GROUP BY 1, 2)
+SELECT 'communication_burst' AS alert_type, a || ' - ' || b AS title, CASE WHEN h IS NOT NULL OR n >= 9 THEN 'high' WHEN n >= 6 THEN 'medium' ELSE 'low' END AS severity, CASE WHEN h IS NOT NULL THEN 'confirmed' WHEN n >= 6 THEN 'statistically_unusual' ELSE 'unexplained' END AS confidence,
+  'n=' || n || coalesce(';event_label=' || h[3], '') AS evidence, NULL AS error FROM p LEFT JOIN hit USING (a, b)
+UNION ALL SELECT 'repeated_transfer', src || ' - ' || dst, 'medium', 'unexplained', 'n=' || count(*), NULL FROM flow GROUP BY src, dst HAVING count(*) >= 2
+UNION ALL SELECT 'broken', NULL, NULL, NULL, NULL, 'ValueError: no such table'""")
+def _(comm, flow, report):
+    """Alerts of detectors with thresholds from the rule table; one fails and one is off."""
+
+    def broken(_):
+        raise ValueError("no such table")
+
+    spark = comm.sparkSession
+    rules = spark.createDataFrame([("communication_burst", True, 3.0), ("burner_number", False, 1.0)], "rule_type string, is_enabled boolean, threshold double")
+    detectors = {
+        "communication_burst": lambda t: incidents.assembled_alerts(incidents.correlated_bursts(comm, incidents.document_events(report), int(t or 2)), "communication_burst", ["a", "b"], ["n", "event_label"]),
+        "repeated_transfer": lambda _: incidents.assembled_alerts(detect.repeated_transfers(flow), "repeated_transfer", ["src", "dst"], ["n"]),
+        "burner_number": broken,
+        "broken": broken,
+    }
+    alerts, failures = incidents.run_isolated(spark, detectors, rules)
+    facts = F.concat_ws(";", F.transform(F.map_entries("evidence"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    none = F.lit(None).cast("string")
+    alerts = alerts.select("alert_type", "title", "severity", "confidence", facts.alias("evidence"), none.alias("error"))
+    return alerts.unionByName(failures.select(F.col("detector").alias("alert_type"), none.alias("title"), none.alias("severity"), none.alias("confidence"), none.alias("evidence"), "error"))

@@ -98,13 +98,6 @@ EVENT_KEYWORDS = (
 )
 
 
-def correlate_events(windows: DataFrame, events: DataFrame, days: int = 3) -> DataFrame:
-    """First event of the same case within ``days`` days around each window (id, case_id, first_ts, last_ts); events: (case_id, event_id, ts, label)."""
-    near = (F.col("ts") >= F.col("first_ts") - F.expr(f"INTERVAL {days} DAYS")) & (F.col("ts") <= F.col("last_ts") + F.expr(f"INTERVAL {days} DAYS"))
-    met = windows.join(events, "case_id").where(near)
-    return met.groupBy("id", "case_id").agg(F.min("event_id").alias("event_id"), F.min_by("label", F.struct("event_id", "label")).alias("label"), F.count("*").alias("n_events"))
-
-
 def rolling_bursts(contacts: DataFrame, hours: int = 24, minimum: int = 10) -> DataFrame:
     """Pairs whose contacts reach ``minimum`` within ``hours`` hours: (a, b, peak, first_ts)."""
     c = contacts.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "ts")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,8 +100,98 @@ def _settle(scratch: Scratch, arcs: DataFrame, start: DataFrame, plus: float) ->
     return out
 
 
-def betweenness_centrality(edges: DataFrame, sources: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
-    """(node, centrality): share of weighted shortest paths through each node, weight as distance, halved and normalised by 2 / ((n-1)(n-2)).
+def _dependencies(tail: np.ndarray, head: np.ndarray, weight: np.ndarray, n: int, sources: np.ndarray) -> np.ndarray:
+    """Summed dependencies of every node on paths from ``sources``, over arcs sorted by head: distances, path counts and dependencies of a few sources at once are arrays that settle round by round."""
+    heads, first = np.unique(head, return_index=True)
+    back = np.argsort(tail, kind="stable")
+    tails, first_back = np.unique(tail[back], return_index=True)
+    head_back, across, w = head[back], np.arange(len(sources)), weight[:, None]
+    dist = np.full((n, len(sources)), np.inf)
+    dist[sources, across] = 0.0
+    while True:
+        near, was = np.minimum.reduceat(dist[tail] + w, first, axis=0), dist[heads]
+        better = near < was - 1e-12
+        if not better.any():
+            break
+        dist[heads] = np.where(better, near, was)
+    with np.errstate(invalid="ignore"):
+        tight = (np.abs(dist[tail] + w - dist[head]) < 1e-9).astype(float)
+    sigma = np.zeros_like(dist)
+    sigma[sources, across] = 1.0
+    while True:
+        now = np.zeros_like(sigma)
+        now[heads] = np.add.reduceat(sigma[tail] * tight, first, axis=0)
+        now[sources, across] = 1.0
+        if (now == sigma).all():
+            break
+        sigma = now
+    with np.errstate(invalid="ignore", divide="ignore"):
+        share = np.where(tight > 0, sigma[tail] / sigma[head], 0.0)[back]
+    delta = np.zeros_like(dist)
+    while True:
+        now = np.zeros_like(delta)
+        now[tails] = np.add.reduceat(share * (1.0 + delta[head_back]), first_back, axis=0)
+        if (now == delta).all():
+            break
+        delta = now
+    delta[sources, across] = 0.0
+    return delta.sum(axis=1)
+
+
+#: Arcs of a graph that is sent to every task (some 24 bytes each), and nodes up to which all sources count.
+BROADCAST_ARCS, EXACT_NODES = 2_000_000, 4_000
+
+
+def betweenness_centrality(edges: DataFrame, sources: DataFrame | None = None, error: float = 0.05, confidence: float = 0.95) -> DataFrame:
+    """(node, centrality, error_bound): share of weighted shortest paths through each node, weight as distance, halved and normalised by 2 / ((n-1)(n-2)).
+
+    Up to ``EXACT_NODES`` nodes all sources count and the bound is 0. Beyond, as many sources as keep every node's error below ``error`` with the given ``confidence`` (Hoeffding's bound on
+    the mean of shares in 0..1, over all nodes at once) are taken by the hash of their name, and the bound is that of their number; ``sources`` (node) names the sample instead.
+    The sources are dealt over the tasks, each task has the graph and settles a few sources at once; only sums by node are shuffled. The graph is sent to the tasks if it has at most
+    ``BROADCAST_ARCS`` arcs, by count; a larger one goes through ``relaxed_betweenness``. Edges without a positive weight are left out; parallel ones count with the least; no edges give no rows.
+    """
+    spark = edges.sparkSession
+    scratch = Scratch(spark)
+    good = edges.where("a <> b AND weight > 0").select("a", "b", F.col("weight").cast("double").alias("weight"))
+    arcs = scratch.write(both_ways(good, "weight").groupBy("a", "b").agg(F.min("weight").alias("weight")))
+    nodes = scratch.write(arcs.select(F.col("a").alias("node")).distinct())
+    n, m = nodes.count(), arcs.count()
+    chosen = nodes if sources is None else nodes.join(sources.select("node").distinct(), "node")
+    if sources is None and n > EXACT_NODES:
+        wanted = math.ceil(math.log(2 * n / (1 - confidence)) / (2 * error**2))
+        chosen = scratch.write(nodes.orderBy(F.xxhash64(F.col("node").cast("string"))).limit(wanted))
+    k = n if sources is None and n <= EXACT_NODES else chosen.count()
+    bound = 0.0 if k >= n else math.sqrt(math.log(2 * n / (1 - confidence)) / (2 * max(k, 1)))
+    if m > BROADCAST_ARCS:
+        return relaxed_betweenness(arcs.where("a < b"), chosen).withColumn("error_bound", F.lit(bound))
+    table = arcs.toPandas()
+    names = np.sort(table["a"].unique())
+    place = {name: i for i, name in enumerate(names.tolist())}
+    tail, head = table["a"].map(place).to_numpy(np.int64), table["b"].map(place).to_numpy(np.int64)
+    order = np.lexsort((tail, head))
+    graph = spark.sparkContext.broadcast((tail[order], head[order], table["weight"].to_numpy(float)[order]))
+    at_once = max(1, min(32, 4_000_000 // max(m, 1)))
+
+    def sums(batches):
+        total = np.zeros(n)
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for i in range(0, len(ids), at_once):
+                total += _dependencies(*graph.value, n, ids[i : i + at_once])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(total)], ["place", "x"])
+
+    listed = spark.createDataFrame([(name, i) for name, i in place.items()], edges.select(F.col("a").alias("node"), F.lit(0).cast("long").alias("place")).schema)
+    dealt = listed.join(chosen.hint("shuffle_merge"), "node").select("place")
+    tasks = max(1, min(k // at_once + 1, 4 * spark.sparkContext.defaultParallelism))
+    total = dealt.repartition(tasks).mapInArrow(sums, "place long, x double").groupBy("place").agg(F.sum("x").alias("x"))
+    scale = 0.0 if n <= 2 or not k else (n / k) / ((n - 1) * (n - 2))
+    out = listed.join(total.hint("shuffle_merge"), "place", "left").select("node", (F.coalesce("x", F.lit(0.0)) * scale).alias("centrality"), F.lit(bound).alias("error_bound"))
+    scratch.drop(arcs)
+    return out
+
+
+def relaxed_betweenness(edges: DataFrame, sources: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+    """``betweenness_centrality`` by joins, for graphs that don't fit a task: (node, centrality).
 
     All sources relax at once: rows (source, node, dist) improve by a join with the arcs until none does; path counts then rise along the tight arcs and
     dependencies fall back along them, each round from the nodes that the last one settled. ``sources`` (node) limits the sources to a sample and scales the result: an estimate for large graphs.

@@ -1,11 +1,13 @@
 """Paths, matches, correlated alerts and stored ingestion against brute force."""
 
+import datetime as dt
 import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from caseweave.operators import matching, routes
+from caseweave.operators import incidents, matching, routes
 
 
 def brute_routes(edges, start, goal, top=3, extra=3):
@@ -97,3 +99,52 @@ def test_matches_need_evidence(spark):
     }
     assert matching.candidate_matches(entities, facts, edges, case_id=2).collect() == []
     assert matching.candidate_matches(entities.limit(0), facts, edges).collect() == []
+
+
+def test_correlation_equals_the_product(spark):
+    rnd = random.Random(6)
+    origin = dt.datetime(1969, 12, 30)
+    time = lambda: origin + dt.timedelta(seconds=rnd.choice([rnd.randrange(40 * 86400), 3600 * rnd.randrange(900)]))
+    events = [(rnd.randrange(4), i, time() if rnd.random() < 0.95 else None, f"l{i}") for i in range(120)] + [(None, 900, time(), "x")]
+    events += [(1, 901 + i, origin, "same") for i in range(5)]
+    windows = [(i, rnd.randrange(5), t, t + dt.timedelta(seconds=rnd.choice([-1, 0, 59, 60, 61, 86400 * rnd.randrange(9)]))) for i in range(150) for t in [time()]] + [(500, 1, origin, origin), (501, None, origin, origin), (502, 1, None, origin)]
+    for days in (0, 3):
+        slack = dt.timedelta(days=days)
+        want = {}
+        for i, case, first, last in windows:
+            if case is not None and first is not None:
+                hits = sorted((e, label) for c, e, t, label in events if c == case and t is not None and first - slack <= t <= last + slack)
+                if hits:
+                    want[i] = (*hits[0], len(hits))
+        got = incidents.correlate(spark.createDataFrame(windows, "id int, case_id int, first_ts timestamp, last_ts timestamp"), spark.createDataFrame(events, "case_id int, event_id int, ts timestamp, label string"), days)
+        assert {r.id: (r.event_id, r.label, r.n_events) for r in got.collect()} == want and len(want) > 5
+
+
+def test_events_take_the_first_keyword_that_nothing_denies(spark):
+    t = dt.datetime(2024, 1, 1)
+    docs = spark.createDataFrame([(1, 7, t, "No arrest was made, and nobody was killed. Later, and in another part of the town altogether, a robbery."), (2, 7, t, "SHOOTING and arrest"), (3, 7, t, None), (4, 7, None, "arrest"), (5, 7, t, "calm")], "doc_id int, case_id int, ts timestamp, text string")
+    assert {(r.event_id, r.keyword, r.label) for r in incidents.document_events(docs).collect()} == {(1, "robbery", "robbery"), (2, "arrest", "arrest")}
+
+
+def test_bursts_without_prior_contact(spark):
+    t = dt.datetime(2024, 1, 1)
+    at = lambda a, b, *hours: [(a, b, t + dt.timedelta(hours=h)) for h in hours]
+    rows = at(1, 2, 0, 5, 24) + at(2, 1, 3) + at(3, 4, 0, 100, 101, 102, 103) + at(5, 5, 0, 0, 0, 0) + [(6, 7, None)] * 9
+    got = incidents.new_contact_bursts(spark.createDataFrame(rows, "src int, dst int, ts timestamp"), 24, 3)
+    assert [(r.a, r.b, r.n, r.last_ts) for r in got.collect()] == [(1, 2, 4, t + dt.timedelta(hours=24))]
+
+
+def test_a_failing_detector_leaves_the_others(spark):
+    found = spark.createDataFrame([(1, 2, 5, "high"), (3, 4, 9, "low"), (3, 4, 9, "low")], "a int, b int, n int, severity string")
+    alerts = lambda kind: incidents.assembled_alerts(found, kind, ["a", "b"], ["n", "severity"])
+    raised = incidents.assembled_alerts(found.withColumn("n", F.raise_error(F.lit("broken input"))), "late", ["a", "b"], ["n"])
+    rules = spark.createDataFrame([("off", False, 2.0), ("good", True, 4.0), ("good", True, 3.0)], "rule_type string, is_enabled boolean, threshold double")
+    seen = []
+    detectors = {"good": lambda t: seen.append(t) or alerts("good"), "late": lambda _: raised, "off": lambda _: 1 / 0, "early": lambda _: 1 / 0, "none": lambda t: seen.append(t) or alerts("none")}
+    old = spark.createDataFrame([("none", "1 - 2")], "alert_type string, title string")
+    out, failures = incidents.run_isolated(spark, detectors, rules, old)
+    assert seen == [4.0, None]
+    assert {(r.alert_type, r.title, r.evidence["n"]) for r in out.collect()} == {("good", "1 - 2", "5"), ("good", "3 - 4", "9"), ("none", "3 - 4", "9")} and out.count() == 3
+    assert {r.detector for r in failures.collect()} == {"late", "early"}
+    none, failures = incidents.run_isolated(spark, {}, rules)
+    assert none.collect() == [] and failures.collect() == []

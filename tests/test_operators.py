@@ -75,19 +75,39 @@ def test_betweenness_matches_brute_force(spark):
         for x in nodes:
             through[x] += sum(x in p[1:-1] for p in best) / len(best) if best else 0
     scale = 2 / ((len(nodes) - 1) * (len(nodes) - 2))
-    got = dict(graph.betweenness_centrality(edges).collect())
-    assert {int(k): round(v, 9) for k, v in got.items()} == {k: round(v * scale, 9) for k, v in through.items()}
+    want = {k: round(v * scale, 9) for k, v in through.items()}
+    for found in (graph.betweenness_centrality(edges), graph.relaxed_betweenness(edges)):
+        assert {int(k): round(v, 9) for k, v in found.select("node", "centrality").collect()} == want
 
 
 def test_betweenness_of_path_and_star(spark):
     path = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0)], "a int, b int, weight double")
-    got = dict(graph.betweenness_centrality(path).collect())
+    got = dict(graph.betweenness_centrality(path).select("node", "centrality").collect())
     assert all(abs(got[k] - v) < 0.01 for k, v in {0: 0, 1: 2 / 3, 2: 2 / 3, 3: 0}.items())
     star = spark.createDataFrame([(0, i, 1.0) for i in range(1, 5)], "a int, b int, weight double")
-    got = dict(graph.betweenness_centrality(star).collect())
+    got = dict(graph.betweenness_centrality(star).select("node", "centrality").collect())
     assert abs(got[0] - 1) < 0.01 and got[1] == 0
 
 
+def test_sampled_betweenness_keeps_its_bound(spark, monkeypatch):
+    import random
+
+    dice = random.Random(8)
+    rows = {(min(a, b), max(a, b)): float(dice.randint(1, 9)) for a, b in ((dice.randrange(300), dice.randrange(300)) for _ in range(700)) if a != b}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in rows.items()] + [(1, 1, 2.0), (1, 2, None), (3, 4, -1.0)], "a int, b int, weight double")
+    exact = {r.node: r for r in graph.betweenness_centrality(edges).collect()}
+    assert {r.error_bound for r in exact.values()} == {0.0}
+    monkeypatch.setattr(graph, "EXACT_NODES", 100)
+    some = {r.node: r for r in graph.betweenness_centrality(edges, error=0.2).collect()}
+    assert some.keys() == exact.keys() and 0 < next(iter(some.values())).error_bound <= 0.2
+    assert all(abs(some[k].centrality - exact[k].centrality) <= some[k].error_bound for k in some)
+    monkeypatch.setattr(graph, "BROADCAST_ARCS", 10)
+    apart = {r.node: r.centrality for r in graph.betweenness_centrality(edges, sources=edges.select(edges.a.alias("node")).where("node < 3")).collect()}
+    monkeypatch.setattr(graph, "BROADCAST_ARCS", 10_000)
+    assert all(abs(r.centrality - apart[r.node]) < 1e-9 for r in graph.betweenness_centrality(edges, sources=edges.select(edges.a.alias("node")).where("node < 3")).collect())
+    assert graph.betweenness_centrality(edges.limit(0)).collect() == []
+
+
 def test_eigenvector_of_star(spark):
     star = spark.createDataFrame([(0, i, 1.0) for i in range(1, 5)], "a int, b int, weight double")
     got = dict(graph.eigenvector_centrality(star).collect())
