@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -90,27 +91,50 @@ RECORDS = "page_id long, url string, record_type string, digest string, refers_t
 _FIELD = re.compile(rb"^([^:\r\n]+):[ \t]*([^\r\n]*)\r?$", re.M)
 
 
+def _sha1_hex(value: bytes | None) -> str | None:
+    """A declared SHA-1 as lower-case hex, from hex or base 32; others as they stand."""
+    if value is None:
+        return None
+    text = value.decode(errors="replace").strip()
+    text = text[5:] if text.lower().startswith("sha1:") else text
+    if len(text) == 32:
+        try:
+            return base64.b32decode(text.upper()).hex()
+        except ValueError:
+            return text
+    return text.lower() if len(text) == 40 else text
+
+
 def parse_records(data: bytes) -> Iterator[dict]:
-    """The records of one archive file, by their declared lengths."""
+    """The records of one archive file, by their declared lengths.
+
+    Records of every type come, with null for what a header lacks: url, digest, or the ids of other writers' archives; digest_ok is null without a payload or a digest. Payload is what
+    follows the HTTP header of a response. Bytes that are no gzip or no record end the file; what stood before is kept.
+    """
     if data[:2] == b"\x1f\x8b":
         parts = []
         while data[:2] == b"\x1f\x8b":  # one member a file or one a record
             unzip = zlib.decompressobj(31)
-            parts.append(unzip.decompress(data))
+            try:
+                parts.append(unzip.decompress(data))
+            except zlib.error:
+                break
             data = unzip.unused_data
         data = b"".join(parts)
     at = 0
     while (head := data.find(b"\r\n\r\n", at)) >= 0:
         field = {k.lower(): v for k, v in _FIELD.findall(data[at:head])}
-        length = int(field.get(b"content-length", b"0"))
+        size = field.get(b"content-length", b"0").strip()
+        length = int(size) if size.isdigit() else 0
         block = data[head + 4 : head + 4 + length]
         number = lambda v: int(m[1]) if v and (m := re.match(rb"<urn:page:(-?\d+)>", v)) else None
-        kind = field[b"warc-type"].decode()
+        text = lambda name: None if name not in field else field[name].decode(errors="replace")
+        kind = text(b"warc-type")
         payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
-        digest = field[b"warc-payload-digest"].decode().removeprefix("sha1:")
+        digest = _sha1_hex(field.get(b"warc-payload-digest"))
         yield {
-            "page_id": number(field[b"warc-record-id"]), "url": field[b"warc-target-uri"].decode(), "record_type": kind, "digest": digest,
-            "refers_to": number(field.get(b"warc-refers-to")), "payload": payload, "digest_ok": None if payload is None else hashlib.sha1(payload).hexdigest() == digest,
+            "page_id": number(field.get(b"warc-record-id")), "url": text(b"warc-target-uri"), "record_type": kind, "digest": digest,
+            "refers_to": number(field.get(b"warc-refers-to")), "payload": payload, "digest_ok": None if payload is None or digest is None else hashlib.sha1(payload).hexdigest() == digest,
         }
         at = head + 4 + length + 4
 
