@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from caseweave.catalog import EXTRA_VIEWS, VIEWS, query
 from caseweave.catalog_casework import _simple
-from caseweave.operators import detect, filters, incidents, matching, routes
+from caseweave.operators import decisions, detect, filters, incidents, matching, routes, tokens
+from caseweave.plans.scratch import shared_dir
+from caseweave.sources import stored
 
 _FIRST = "CASE c_custkey % 6 WHEN 0 THEN 'Ravi' WHEN 1 THEN 'Anil' WHEN 2 THEN 'Meera' WHEN 3 THEN 'Sunita' WHEN 4 THEN 'Rahul' ELSE 'Kiran' END"
 _LAST = "CASE c_custkey % 7 WHEN 0 THEN 'Kumar' WHEN 1 THEN 'Sharma' WHEN 2 THEN 'Nair' WHEN 3 THEN 'Iyer' WHEN 4 THEN 'Khan' WHEN 5 THEN 'Das' ELSE 'Menon' END"
@@ -156,3 +160,71 @@ def _(comm, flow, report):
     none = F.lit(None).cast("string")
     alerts = alerts.select("alert_type", "title", "severity", "confidence", facts.alias("evidence"), none.alias("error"))
     return alerts.unionByName(failures.select(F.col("detector").alias("alert_type"), none.alias("title"), none.alias("severity"), none.alias("confidence"), none.alias("evidence"), "error"))
+
+
+def _batches(orders):
+    key = F.col("o_orderkey")
+    marks = F.create_map(F.lit("priority"), F.col("o_orderpriority"), F.concat(F.lit("k"), (key % 3).cast("string")), F.when(key % 5 > 0, F.col("o_orderstatus")))
+    rows = orders.select((F.col("o_custkey") % 50).alias("case_id"), F.lit("Person").alias("entity_type"), F.concat(F.lit("clerk "), (F.col("o_custkey") % 7).cast("string")).alias("name"), marks.alias("attributes"), F.when(key % 4 > 0, (key % 100) / 100).alias("confidence"), key.alias("seq"))
+    return rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1")
+
+
+@query("src8_stored_upsert", "", "orders", sql="""WITH r AS (SELECT o_custkey % 50 AS case_id, 'clerk ' || (o_custkey % 7) AS name, o_orderkey % 2 AS batch, o_orderkey AS seq, o_orderpriority AS p, 'k' || (o_orderkey % 3) AS k, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END AS s, CASE WHEN o_orderkey % 4 > 0 THEN (o_orderkey % 100) / 100.0 END AS c FROM orders),
+cells AS (SELECT case_id, name, 'priority' AS k, p AS v, batch, seq FROM r UNION ALL SELECT case_id, name, k, s, batch, seq FROM r WHERE s IS NOT NULL),
+last AS (SELECT case_id, name, k, arg_max(v, (batch, seq)) AS v FROM cells GROUP BY ALL), m AS (SELECT case_id, name, string_agg(k || '=' || v, ',' ORDER BY k) AS attributes FROM last GROUP BY ALL),
+b AS (SELECT case_id, name, arg_max(c, (batch, seq)) FILTER (c IS NOT NULL) AS confidence FROM r GROUP BY ALL)
+SELECT case_id, name, attributes, round(confidence, 4)::DOUBLE AS confidence, 0 AS changed_by_replay FROM b JOIN m USING (case_id, name)""")
+def _(orders):
+    """Two batches of entities merged into a stored table, the second one twice."""
+    path = f"{shared_dir(orders.sparkSession)}/entities-{uuid.uuid4().hex}"
+    first, second = _batches(orders)
+    stored.upsert_stored_entities(path, first, parts=8)
+    stored.upsert_stored_entities(path, second, parts=8)
+    again = stored.upsert_stored_entities(path, second, parts=8)
+    said = F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return stored.read_stored(orders.sparkSession, path).select("case_id", "name", said.alias("attributes"), F.round("confidence", 4).alias("confidence"), F.lit(len(again)).alias("changed_by_replay"))
+
+
+@query("src10_ingest_metrics", "", "lineitem", sql="""WITH r AS (SELECT CASE WHEN l_orderkey % 97 = 0 THEN 'n/a' ELSE CAST(l_quantity AS VARCHAR) END AS q, CASE WHEN l_orderkey % 5 = 0 THEN '' ELSE 'p' || l_partkey END AS p FROM lineitem)
+SELECT 'lines' AS job, count(*) AS records, (sum(1 + (p <> '')::INT) FILTER (q <> 'n/a'))::BIGINT AS entities, count(*) FILTER (q <> 'n/a' AND p <> '') AS relationships, count(*) FILTER (q = 'n/a') AS errors, CASE WHEN count(*) FILTER (q = 'n/a') > 0 THEN 'completed with errors' ELSE 'completed' END AS status FROM r
+UNION ALL SELECT 'short', 0, 0, 0, 1, 'failed'""")
+def _(lineitem):
+    """Metrics of two ingestion jobs, one of a file that lacks a column."""
+    k = F.col("l_orderkey")
+    rows = lineitem.select(F.when(k % 97 == 0, "n/a").otherwise(F.col("l_quantity").cast("string")).alias("quantity"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("part_name"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("supplier"))
+    path = f"{shared_dir(lineitem.sparkSession)}/ingest-{uuid.uuid4().hex}"
+    return stored.ingest(rows, {"quantity": "double"}, ["part_name", "supplier"], path, "lines").union(stored.ingest(rows, {"amount": "double"}, [], path, "short"))
+
+
+@query("src11_validation_report", "", "lineitem", sql="""SELECT 'amount' AS "column", 'missing' AS problem, 0 AS n, NULL AS example
+UNION ALL SELECT 'quantity', 'not double', count(*), min('q' || l_linenumber) FROM lineitem WHERE l_orderkey % 97 = 0 HAVING count(*) > 0""")
+def _(lineitem):
+    """Columns that are missing and cells that don't take their type."""
+    rows = lineitem.select(F.when(F.col("l_orderkey") % 97 == 0, F.concat(F.lit("q"), F.col("l_linenumber").cast("string"))).otherwise(F.col("l_quantity").cast("string")).alias("quantity"), F.col("l_tax").cast("string").alias("tax"))
+    return stored.validation_report(rows, {"quantity": "double", "tax": "double", "amount": "double"})
+
+
+_simple("ruling", "orders", "o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'split' ELSE 'merge' END AS action, o_custkey AS a, o_custkey + 1 + o_orderkey % 2 AS b")
+
+
+@query("er6_splits_replayed", "ruling", sql="""WITH d AS (SELECT a AS p, CASE WHEN a % 10 + b - a > 9 THEN a ELSE b END AS s, seq, action FROM ruling),
+f AS (SELECT p, s FROM d WHERE p <> s GROUP BY p, s HAVING arg_max(action, seq) = 'merge'), u AS (SELECT p AS x, s AS y FROM f UNION SELECT s, p FROM f),
+r AS (SELECT x AS node, x AS root FROM u UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.node), c AS (SELECT node, min(root) AS comp FROM r GROUP BY 1),
+h AS (SELECT comp, coalesce(min(node) FILTER (node NOT IN (SELECT s FROM f)), min(node)) AS survivor FROM c GROUP BY 1)
+SELECT node AS entity_id, survivor FROM c JOIN h USING (comp)""")
+def _(ruling):
+    """State after a log of merges and splits, resumed from the state at half of it."""
+    b = F.when(F.col("a") % 10 + F.col("b") - F.col("a") > 9, F.col("a")).otherwise(F.col("b"))
+    log = ruling.select("seq", "action", F.col("a").alias("primary"), b.alias("secondary")).where("primary <> secondary")
+    half = log.agg(F.max("seq")).first()[0] // 2
+    return decisions.resume(decisions.replay(log, half), log, half)
+
+
+_CANDIDATES = [("Twelve", "PERSON", "", False, 95), ("radio", "PERSON", "a man known as Radio ran", True, 75), ("Radio", "PERSON", "heard on the radio", False, 85), ("Al", "PERSON", "Mr Al", False, 80), ("Deepak Rana", "PERSON", None, True, 85), ("Wolf", "PERSON", "the accused Wolf", True, 75), ("Wolf", "PERSON", "a wolf mask", True, 60), ("Goa", "LOCATION", "in Goa", True, 60), (None, "LOCATION", None, True, 60)]
+
+
+@query("txt16_candidate_verdicts", "", "orders", sql="SELECT o_orderkey, CASE o_orderkey % 9 " + " ".join(f"WHEN {i} THEN {str(c[3]).lower()}" for i, c in enumerate(_CANDIDATES)) + " END AS genuine, CASE o_orderkey % 9 " + " ".join(f"WHEN {i} THEN {c[4]}" for i, c in enumerate(_CANDIDATES)) + " END AS confidence FROM orders")
+def _(orders):
+    """Whether candidates are names, by themselves and their context."""
+    pick = lambda j: F.element_at(F.array(*[F.lit(c[j]).cast("string") for c in _CANDIDATES]), (F.col("o_orderkey") % 9 + 1).cast("int"))
+    return orders.select("o_orderkey", tokens.candidate_verdict(pick(0), pick(1), pick(2)).alias("v")).select("o_orderkey", "v.genuine", "v.confidence")

@@ -227,7 +227,7 @@ def _(trade):
 j AS (SELECT b.*, e.name AS other_name, is_ai AND b.confidence < 0.8 AS inferred FROM b JOIN ent e ON e.entity_id = other), s AS (SELECT entity_id, count(*) AS connections, count(*) FILTER (NOT inferred) AS confirmed, count(*) FILTER (inferred) AS inferred, count(DISTINCT case_id) AS cases, count(*) FILTER (confidence < 0.6) AS weak_threads,
 array_to_string((list(rel_type || ': ' || other_name ORDER BY rel_type, other_name) FILTER (NOT inferred))[1:10], '; ') AS first_confirmed, array_to_string((list(rel_type || ': ' || other_name ORDER BY rel_type, other_name) FILTER (inferred))[1:10], '; ') AS first_inferred FROM j GROUP BY 1)
 SELECT entity_id, unresolved OR confidence < 0.6 AS unconfirmed, coalesce(connections, 0) AS connections, coalesce(confirmed, 0) AS confirmed, coalesce(inferred, 0) AS inferred, coalesce(cases, 0) AS cases, coalesce(weak_threads, 0) AS weak_threads, coalesce(first_confirmed, '') AS first_confirmed, coalesce(first_inferred, '') AS first_inferred,
-name || ' is identified as a person appearing in ' || coalesce(cases, 0) || ' case(s).' || CASE WHEN confirmed > 0 THEN ' Documented relationships: ' || confirmed || ' confirmed connections.' ELSE '' END || CASE WHEN inferred > 0 THEN ' Inferred relationships: ' || inferred || ' connections that need human verification.' ELSE '' END AS narrative FROM ent LEFT JOIN s USING (entity_id)""")
+name || ' (person); cases ' || coalesce(cases, 0) || CASE WHEN confirmed > 0 THEN '; links on record ' || confirmed ELSE '' END || CASE WHEN inferred > 0 THEN '; links to check ' || inferred ELSE '' END AS narrative FROM ent LEFT JOIN s USING (entity_id)""")
 def _(ent, rel):
     edges = rel.select("src", "dst", "rel_type", "case_id", (F.col("justification") == "phone log").alias("is_ai"), (F.col("weight") / 50).alias("confidence"))
     return views.entity_briefs(ent, edges).drop("name", "entity_type")
@@ -246,14 +246,14 @@ def _(link):
     return views.clusters_with_terms(link, terms, 90.0).select("cluster", "members", "avg_similarity", F.array_join("shared", ",").alias("shared"))
 
 
-@query("agg21_cluster_texts", "", "customer", sql="""WITH c AS (SELECT c_nationkey AS cluster, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 15 + c_custkey % 60 END AS age, CASE WHEN c_custkey % 4 = 0 THEN 'm' ELSE 'f' END AS g, CASE WHEN c_custkey % 5 = 0 THEN 'Goa' ELSE 'Kerala' END AS state FROM customer), g AS (SELECT cluster, g, count(*) AS n FROM c GROUP BY 1, 2), t AS (SELECT cluster, string_agg(g || ': ' || n, ', ' ORDER BY n DESC, g) AS gs FROM g GROUP BY 1)
-SELECT cluster, count(*) AS members, concat_ws(' ', 'Consistent signature behaviours across ' || count(*) || ' cases: body posing, scene staging.', 'Victim ages range from ' || min(nullif(age, 0)) || ' to ' || max(nullif(age, 0)) || '.', 'Victim gender distribution: ' || any_value(gs) || '.', CASE WHEN count(DISTINCT state) > 1 THEN 'Cross-state pattern spanning: Goa, Kerala.' END) AS text FROM c JOIN t USING (cluster) GROUP BY 1""")
+@query("agg21_cluster_texts", "", "customer", sql="""WITH c AS (SELECT c_nationkey AS cluster, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 15 + c_custkey % 60 END AS age, CASE WHEN c_custkey % 4 = 0 THEN 'm' ELSE 'f' END AS g, CASE WHEN c_custkey % 5 = 0 THEN 'Goa' ELSE 'Kerala' END AS state FROM customer), g AS (SELECT cluster, g, count(*) AS n FROM c GROUP BY 1, 2), t AS (SELECT cluster, string_agg(n || ' ' || g, ', ' ORDER BY n DESC, g) AS gs FROM g GROUP BY 1)
+SELECT cluster, count(*) AS members, concat_ws(' | ', 'cases ' || count(*), CASE WHEN count(DISTINCT state) > 1 THEN 'several states: Goa, Kerala' ELSE 'state: ' || any_value(state) END, 'ages ' || min(nullif(age, 0)) || '-' || max(nullif(age, 0)), 'victims ' || any_value(gs), 'marks body posing, scene staging') AS text FROM c JOIN t USING (cluster) GROUP BY 1""")
 def _(customer):
     k = F.col("c_custkey")
     return views.cluster_texts(customer.select(F.col("c_nationkey").alias("cluster"), k.alias("case_id"), F.array(F.lit("staging"), F.lit("posing")).alias("signatures"), F.when(k % 3 == 0, 0).otherwise((15 + k % 60).cast("int")).alias("victim_age"), F.when(k % 4 == 0, "m").otherwise("f").alias("victim_gender"), F.when(k % 5 == 0, "Goa").otherwise("Kerala").alias("state")))
 
 
-@query("sim18_link_texts", "link", sql=f"""SELECT a, b, CASE WHEN score >= 75 THEN 'HIGH' WHEN score >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS badge, 'Case #' || a || ' and case #' || b || ' flagged with confidence ' || score::INT || '/100.' || CASE WHEN a % 2 = 0 THEN ' Both cases exhibit: body posing, trophy taking.' ELSE '' END || ' {views.DISCLAIMER}' AS text FROM link""")
+@query("sim18_link_texts", "link", sql=f"""SELECT a, b, CASE WHEN score >= 75 THEN 'HIGH' WHEN score >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS badge, 'score ' || score::INT || ' of 100 | cases ' || a || ' and ' || b || CASE WHEN a % 2 = 0 THEN ' | in common body posing, trophy taking' ELSE '' END || ' | {views.DISCLAIMER}' AS text FROM link""")
 def _(link):
     shared = F.when(F.col("a") % 2 == 0, F.array(F.lit("trophy_taking"), F.lit("posing"))).otherwise(F.array().cast("array<string>"))
     return link.select("a", "b", views.link_text(F.col("a"), F.col("b"), F.col("score").cast("int"), shared).alias("t")).select("a", "b", "t.badge", "t.text")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,9 +97,64 @@ def entity_type(name: Column, label: Column) -> Column:
     return F.when(~is_listed(name), F.coalesce(shaped, labelled, F.when(t.rlike(TITLE_WORDS), "PERSON"), F.when(place, "LOCATION")))
 
 
+@lru_cache(maxsize=1)
+def _decompositions() -> list[tuple[str, str]]:
+    """Characters of one unit whose compatibility form differs, but for CJK and Hangul syllables, with that form."""
+    letters = [chr(c) for c in [*range(0xA0, 0x2E80), *range(0x3000, 0x3100), *range(0xFB00, 0xFB07), *range(0xFE50, 0xFFEF)]]
+    return [(c, d) for c in letters if (d := unicodedata.normalize("NFKD", c)) != c]
+
+
+def compatibility_form(text: Column) -> Column:
+    """Unicode's compatibility decomposition (accents apart, full-width letters and ligatures as plain ones), but for CJK and Hangul, which stay. ASCII texts pass untouched; null stays null.
+
+    Marks that follow each other stay in the order in which they stand.
+    """
+    table = F.create_map(*[F.lit(x) for pair in _decompositions() for x in pair])
+    plain = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c < "\u00a0", c).otherwise(F.coalesce(F.try_element_at(table, c), c))), "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text)
+
+
 def plain_key(name: Column) -> Column:
-    """Lower case, no punctuation at the end, single blanks."""
-    return F.regexp_replace(cut(F.regexp_replace(F.lower(cut(name)), r"[!-/:-@\[-`{-~]+$", "")), r"\s+", " ")
+    """Lower case, no punctuation at the end, single blanks, then the compatibility form."""
+    return compatibility_form(F.regexp_replace(cut(F.regexp_replace(F.lower(cut(name)), r"[!-/:-@\[-`{-~]+$", "")), r"\s+", " "))
+
+
+# Words that are no names by themselves, and what marks a name in its context.
+REJECTED = [
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty",
+    "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion", "the", "this", "that", "these", "those", "which", "where", "when", "how",
+]
+NUMBER_WORDS = REJECTED[:28]
+DESCRIPTORS = [
+    "single", "total", "details", "detail", "investigator", "file", "field", "type", "number", "page", "report", "summary", "section", "chapter", "part", "system", "network", "group", "team", "unit", "board", "council", "commission", "agency",
+    "authority", "office", "department", "division", "branch", "cell", "radio", "station", "frequency", "signal", "channel", "wave", "broadcast", "transmission", "wireless",
+]
+NAMED_IN_CONTEXT = r"\b(?:known|called|referred|named|alias)(?=\s+(?:as\s+)?(\w+))"
+NAME_MARKERS = [
+    r"\b(?:mr|mrs|ms|dr|inspector|si|dsp|ssp|ig|sp|dgp|constable|sub[\s-]?inspector)\b", r"\b(?:accused|suspect|witness|victim|informant|arrested|detained)\b",
+    r"\b(?:son\s+of|daughter\s+of|wife\s+of|husband\s+of|father\s+of|mother\s+of)\b", r"\b(?:known\s+as|called|referred\s+as|alias|aka)\b",
+]
+
+
+def candidate_verdict(name: Column, kind: Column, context: Column, hard: bool = True) -> Column:
+    """struct(genuine, confidence, reason) of a candidate name of a guessed type in its surrounding text, by rules in this order.
+
+    With ``hard``, common words are out at 95 before all else. Number words are out at 90; descriptors at 85 unless the text calls someone by them; persons of up to two characters at 80. Persons of two words or more are in at 85,
+    names beside a title, a role, kinship or an alias at 75, the rest at 60. Case doesn't matter; a null name is empty, a null text says nothing. One pass over the text for all markers.
+    """
+    t, around, person = cut(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(context, F.lit(""))), F.coalesce(kind == "PERSON", F.lit(False))
+    low = F.lower(t)
+    called = F.array_contains(F.regexp_extract_all(around, F.lit(NAMED_IN_CONTEXT), 1), low)
+    out = lambda genuine, confidence, reason: F.struct(F.lit(genuine).alias("genuine"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
+    rules = F.when(low.isin(REJECTED), out(False, 95, "common word")) if hard else F
+    return (
+        rules.when(low.isin(NUMBER_WORDS), out(False, 90, "number word"))
+        .when(low.isin(DESCRIPTORS) & ~called, out(False, 85, "descriptor"))
+        .when((F.length(t) <= 2) & person, out(False, 80, "short"))
+        .when((F.size(words(t)) >= 2) & person, out(True, 85, "several words"))
+        .when(around.rlike("|".join(NAME_MARKERS)), out(True, 75, "marked in context"))
+        .otherwise(out(True, 60, "no objection"))
+    )
 
 
 def gate_reason(name: Column, kind: Column) -> Column:

@@ -120,11 +120,8 @@ def entity_briefs(entities: DataFrame, edges: DataFrame, most: int = 10) -> Data
     out = out.join(sums.hint("shuffle_merge"), "entity_id", "left").join(lists.hint("shuffle_merge"), "entity_id", "left").fillna(0, ["connections", "confirmed", "inferred", "cases", "weak_threads"])
     for name in ("first_confirmed", "first_inferred"):
         out = out.withColumn(name, F.array_join(F.transform(name, lambda x: x["line"]), "; "))
-    narrative = F.concat_ws(
-        " ", F.format_string("%s is identified as a %s appearing in %d case(s).", "name", F.lower("entity_type"), "cases"),
-        F.when(F.col("confirmed") > 0, F.format_string("Documented relationships: %d confirmed connections.", "confirmed")),
-        F.when(F.col("inferred") > 0, F.format_string("Inferred relationships: %d connections that need human verification.", "inferred")),
-    )
+    count = lambda c, said: F.when(F.col(c) > 0, F.concat(F.lit(f"{said} "), F.col(c).cast("string")))
+    narrative = F.concat_ws("; ", F.concat("name", F.lit(" ("), F.lower("entity_type"), F.lit(")")), F.concat(F.lit("cases "), F.col("cases").cast("string")), count("confirmed", "links on record"), count("inferred", "links to check"))
     return out.fillna("", ["first_confirmed", "first_inferred"]).withColumn("narrative", narrative)
 
 
@@ -145,7 +142,7 @@ def clusters_with_terms(links: DataFrame, terms: DataFrame, minimum: float, most
 
 
 def cluster_texts(members: DataFrame) -> DataFrame:
-    """(cluster, members, text): the signatures, ages, genders and states of a cluster's cases in sentences; parts without values are left out.
+    """(cluster, members, text): the signatures, ages, genders and states of a cluster's cases as a line of headed parts; parts without values are left out.
 
     Rows: (cluster, case_id, signatures, victim_age, victim_gender, state). Age 0 counts as unknown.
     """
@@ -155,12 +152,15 @@ def cluster_texts(members: DataFrame) -> DataFrame:
     counted = members.where(gender.isNotNull()).groupBy("cluster", "victim_gender").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct(F.negative("n").alias("n"), "victim_gender"))).alias("genders"))
     names = F.create_map(*[F.lit(x) for item in SIGNATURE_NAMES.items() for x in item])
     out = sums.join(signs.hint("shuffle_merge"), "cluster", "left").join(counted.hint("shuffle_merge"), "cluster", "left")
+    listed = lambda c: F.array_join(c, ", ")
+    shown = F.transform("signs", lambda s: F.coalesce(F.try_element_at(names, s), s))
     text = F.concat_ws(
-        " ",
-        F.when(F.size("signs") > 0, F.format_string("Consistent signature behaviours across %d cases: %s.", "members", F.array_join(F.transform("signs", lambda s: F.coalesce(F.try_element_at(names, s), s)), ", "))),
-        F.when(F.col("lo").isNotNull(), F.format_string("Victim ages range from %d to %d.", "lo", "hi")),
-        F.when(F.size("genders") > 0, F.format_string("Victim gender distribution: %s.", F.array_join(F.transform("genders", lambda g: F.concat(g["victim_gender"], F.lit(": "), F.negative(g["n"]).cast("string"))), ", "))),
-        F.when(F.size("states") > 1, F.format_string("Cross-state pattern spanning: %s.", F.array_join("states", ", "))),
+        " | ",
+        F.concat(F.lit("cases "), F.col("members").cast("string")),
+        F.when(F.size("states") > 0, F.concat(F.when(F.size("states") > 1, "several states: ").otherwise("state: "), listed("states"))),
+        F.when(F.col("lo").isNotNull(), F.concat(F.lit("ages "), F.col("lo").cast("string"), F.lit("-"), F.col("hi").cast("string"))),
+        F.when(F.size("genders") > 0, F.concat(F.lit("victims "), listed(F.transform("genders", lambda g: F.concat(F.negative(g["n"]).cast("string"), F.lit(" "), g["victim_gender"]))))),
+        F.when(F.size("signs") > 0, F.concat(F.lit("marks "), listed(shown))),
     )
     return out.select("cluster", "members", text.alias("text"))
 
@@ -169,7 +169,7 @@ def link_text(a: Column, b: Column, score: Column, shared: Column) -> Column:
     """Struct (badge, text) of a link: its score, what both cases show (names of ``shared``), and the disclaimer; badge HIGH from 75, MEDIUM from 50."""
     names = F.create_map(*[F.lit(x) for item in SIGNATURE_NAMES.items() for x in item])
     listed = F.array_join(F.transform(F.array_sort(shared), lambda s: F.coalesce(F.try_element_at(names, s), s)), ", ")
-    text = F.concat_ws(" ", F.format_string("Case #%s and case #%s flagged with confidence %s/100.", a.cast("string"), b.cast("string"), score.cast("string")), F.when(F.size(shared) > 0, F.format_string("Both cases exhibit: %s.", listed)), F.lit(DISCLAIMER))
+    text = F.concat_ws(" | ", F.concat(F.lit("score "), score.cast("string"), F.lit(" of 100")), F.concat(F.lit("cases "), a.cast("string"), F.lit(" and "), b.cast("string")), F.when(F.size(shared) > 0, F.concat(F.lit("in common "), listed)), F.lit(DISCLAIMER))
     return F.struct(F.when(score >= 75, "HIGH").when(score >= 50, "MEDIUM").otherwise("LOW").alias("badge"), text.alias("text"))
 
 

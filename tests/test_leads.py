@@ -7,7 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from caseweave.operators import incidents, matching, routes
+from caseweave import streaming
+from caseweave.operators import decisions, incidents, matching, routes, tokens
+from caseweave.sources import stored
 
 
 def brute_routes(edges, start, goal, top=3, extra=3):
@@ -148,3 +150,105 @@ def test_a_failing_detector_leaves_the_others(spark):
     assert {r.detector for r in failures.collect()} == {"late", "early"}
     none, failures = incidents.run_isolated(spark, {}, rules)
     assert none.collect() == [] and failures.collect() == []
+
+
+def files_of(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_stored_upsert_rewrites_what_changes(spark, tmp_path):
+    schema = "case_id long, entity_type string, name string, attributes map<string,string>, confidence double, seq long"
+    path = tmp_path / "entities"
+    first = [(1, "Person", "A", {"phone": "1", "dob": "x"}, 0.5, 1), (1, "Person", "A", {"phone": "2"}, None, 2), (2, "Person", "B", None, 0.9, 1), (3, "Person", None, {"k": None}, 0.1, 1)]
+    stored.upsert_stored_entities(str(path), spark.createDataFrame(first, schema), parts=8)
+    before = files_of(path)
+    later = spark.createDataFrame([(1, "Person", "A", {"dob": "y", "age": "9"}, 0.7, 1), (4, "Person", "D", {}, 0.2, 1)], schema)
+    changed = stored.upsert_stored_entities(str(path), later, parts=8)
+    after = files_of(path)
+    assert {f for f in before if f in after and f"part={changed[0]}" not in f and f"part={changed[-1]}" not in f} == {f for f in before if all(f"part={p}/" not in f for p in changed)}
+    assert stored.upsert_stored_entities(str(path), later, parts=8) == [] and files_of(path) == after
+    got = {(r.case_id, r.name): (r.attributes, r.confidence) for r in stored.read_stored(spark, str(path)).collect()}
+    assert got == {(1, "A"): ({"age": "9", "dob": "y", "phone": "2"}, 0.7), (2, "B"): ({}, 0.9), (3, None): ({}, 0.1), (4, "D"): ({}, 0.2)}
+    assert stored.read_stored(spark, str(tmp_path / "nothing")).collect() == []
+
+
+def test_stored_edges_keep_weight_and_first_justification(spark, tmp_path):
+    schema = "case_id long, src string, dst string, rel_type string, weight double, justification string, seq long"
+    path = str(tmp_path / "edges")
+    stored.upsert_stored_edges(path, spark.createDataFrame([(1, "b", "a", "T", 2.0, " ", 1), (1, "a", "b", "T", 1.0, "seen", 2), (1, "a", "b", "T", 1.0, "later", 3), (1, "a", None, "T", 1.0, "x", 1)], schema), parts=4)
+    stored.upsert_stored_edges(path, spark.createDataFrame([(1, "a", "b", "T", 5.0, "earlier seq, later batch", 0), (1, "a", "b", "U", None, None, 1)], schema), parts=4)
+    got = sorted((r.a, r.b, r.rel_type, r.weight, r.justification) for r in stored.read_stored(spark, path, stored.EDGE).collect())
+    assert got == [("a", "b", "T", 5.0, "seen"), ("a", "b", "U", None, None)]
+
+
+def test_bad_rows_are_counted_and_kept_apart(spark, tmp_path):
+    rows = spark.createDataFrame([("1.5", "x", "p"), ("n/a", "y", "q"), (" ", None, "r"), ("2", "", None)], "amount string, sender string, receiver string")
+    got = stored.ingest(rows, {"amount": "double"}, ["sender", "receiver"], str(tmp_path / "job"), "j").first()
+    assert tuple(got) == ("j", 4, 3, 1, 1, "completed with errors")
+    assert [tuple(e) for r in spark.read.parquet(str(tmp_path / "job/errors")).collect() for e in r.errors] == [("amount", "n/a")]
+    assert sorted(str(r.amount) for r in spark.read.parquet(str(tmp_path / "job/rows")).collect()) == ["1.5", "2.0", "None"]
+    assert stored.ingest(rows.limit(0), {"amount": "double"}, [], str(tmp_path / "none"), "e").first().status == "completed"
+    assert stored.ingest(rows, {"other": "int"}, [], str(tmp_path / "no"), "f").first().status == "failed" and not (tmp_path / "no").exists()
+    assert {tuple(r) for r in stored.validation_report(rows, {"amount": "double", "other": "int"}).collect()} == {("other", "missing", 0, None), ("amount", "not double", 1, "n/a")}
+
+
+def test_splits_undo_merges(spark):
+    log = [(1, "merge", 1, 2), (2, "merge", 2, 3), (3, "merge", 7, 8), (4, "split", 2, 1), (5, "merge", 9, 7), (6, "split", 9, 9), (7, "note", 1, 3), (8, "merge", None, 3), (9, "merge", 4, 3), (10, "split", 3, 4)]
+    df = spark.createDataFrame(log, "seq int, action string, primary int, secondary int")
+    state = lambda d: {r.entity_id: r.survivor for r in d.collect()}
+    assert state(decisions.replay(df, 3)) == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+    assert state(decisions.replay(df)) == {2: 2, 3: 2, 7: 9, 8: 9, 9: 9} == state(decisions.replay(df.where("seq IN (2, 3, 5)")))
+    for since in (0, 2, 4, 9):
+        assert state(decisions.resume(decisions.replay(df, since), df, since)) == state(decisions.replay(df))
+    facts = spark.createDataFrame([(7, "phone", "1"), (8, "phone", "0"), (8, "dob", "d"), (9, "age", None), (5, "phone", "5")], "entity_id int, kind string, value string")
+    got = {r.entity_id: r.attributes for r in decisions.merged_attributes(facts, decisions.replay(df)).collect()}
+    assert got == {9: {"phone": "1", "dob": "d"}, 5: {"phone": "5"}}
+
+
+def test_cross_case_alerts_exactly_once(spark, tmp_path):
+    people = "entity_type string, name string, case_id int"
+    spark.createDataFrame([("Person", "A", 1), ("Person", "B", 1), ("Person", "A", 1)], people).write.parquet(str(tmp_path / "known"))
+    out = str(tmp_path / "alerts")
+    sink = streaming.cross_case_sink(str(tmp_path / "known"), out)
+    batches = [[("Person", "A", 2), ("Person", "C", 5), ("Person", None, 2)], [("Person", "A", 3), ("Person", "D", 1), ("Person", "D", 2), ("Person", "B", 1)], []]
+    for _ in range(2):  # the second time as after a crash
+        for epoch, rows in enumerate(batches):
+            sink(spark.createDataFrame(rows, people), epoch)
+        got = sorted((r.epoch, r.title, r.cases) for r in spark.read.parquet(out).collect())
+        assert got == [(0, "Person: A", 2), (1, "Person: D", 2)]
+
+
+def test_streams_drop_late_rows_and_repeats(spark, tmp_path):
+    at = lambda h, day=1: dt.datetime(2024, 1, day, h)
+    schema = "src int, dst int, number string, row_hash string, ts timestamp"
+    (tmp_path / "in").mkdir()
+    files = [[(1, 2, "n", "h1", at(1)), (2, 1, "n", "h1", at(1)), (1, 2, "n", "h2", at(2))], [(1, 2, "n", "h3", at(1, 20))], [(1, 2, "n", "h5", at(2, 20))], [(1, 2, "n", "h4", at(3))], [(8, 9, "z", "h9", at(1, 30))]]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+    runs = {"windows": lambda s: streaming.contact_windows(s, 2), "repeats": lambda s: streaming.without_repeats(s).select("row_hash"), "sessions": lambda s: streaming.number_sessions(s.select("number", "ts"))}
+    found = {}
+    for name, run in runs.items():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False).parquet(str(tmp_path / "in"))
+        rows = []
+        q = run(stream).writeStream.foreachBatch(lambda b, _, rows=rows: rows.extend(b.collect())).option("checkpointLocation", str(tmp_path / f"cp-{name}")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        found[name] = rows
+    assert sorted(r.row_hash for r in found["repeats"]) == ["h1", "h2", "h3", "h5", "h9"]  # h1 once, and h4 came too late
+    assert max(r.n for r in found["windows"] if r.start < at(0, 10)) == 3
+    assert (at(1), 3) in {(r.start, r.n) for r in found["sessions"]}
+
+
+def test_candidates_and_compatibility_forms(spark):
+    import unicodedata
+
+    rows = [("Radio", "PERSON", "a man called as radio"), ("radio", "PERSON", "called in by radio"), ("hundred", "PERSON", ""), ("Al", "ORG", ""), ("x", "PERSON", "alias x")]
+    df = spark.createDataFrame(rows, "name string, kind string, text string")
+    got = [(r.v.genuine, r.v.confidence) for r in df.select(tokens.candidate_verdict(F.col("name"), F.col("kind"), F.col("text")).alias("v")).collect()]
+    assert got == [(True, 75), (False, 85), (False, 95), (True, 60), (False, 80)]
+    soft = df.select(tokens.candidate_verdict(F.col("name"), F.col("kind"), F.col("text"), hard=False).alias("v")).collect()[2].v
+    assert (soft.genuine, soft.confidence) == (True, 60)
+    texts = ["Éléonore Ångström:", "ﬁle ＡＢＣ１２", "½ № ™", "plain text!", "東京 한", "ẞ ǆ ﬃ", ""]
+    names = spark.createDataFrame([(t,) for t in texts] + [(None,)], "name string")
+    forms = [r[0] for r in names.select(tokens.compatibility_form(F.col("name"))).collect()]
+    assert forms == [unicodedata.normalize("NFKD", t) if t != "東京 한" else t for t in texts] + [None]
+    assert names.select(tokens.plain_key(F.col("name"))).first()[0] == unicodedata.normalize("NFKD", "éléonore ångström")
