@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from caseweave.catalog import EXTRA_VIEWS, VIEWS, query
 from caseweave.catalog_casework import _simple
-from caseweave.operators import decisions, detect, filters, incidents, matching, routes, tokens
+from caseweave.operators import decisions, detect, filters, incidents, matching, profiles, routes, tokens
 from caseweave.plans.scratch import shared_dir
 from caseweave.sources import stored
 
@@ -228,3 +228,54 @@ def _(orders):
     """Whether candidates are names, by themselves and their context."""
     pick = lambda j: F.element_at(F.array(*[F.lit(c[j]).cast("string") for c in _CANDIDATES]), (F.col("o_orderkey") % 9 + 1).cast("int"))
     return orders.select("o_orderkey", tokens.candidate_verdict(pick(0), pick(1), pick(2)).alias("v")).select("o_orderkey", "v.genuine", "v.confidence")
+
+
+_simple("dossier_base", "lineitem", "l_orderkey * 10 + l_linenumber AS entity_id, l_orderkey AS case_id, CASE WHEN l_linenumber % 2 = 0 THEN concat('Firm ', CAST(l_suppkey AS VARCHAR)) ELSE concat(' FIRM ', CAST(l_suppkey AS VARCHAR)) END AS name, l_partkey % 90 AS document_id, l_quantity / 50.0 AS confidence, CASE WHEN l_returnflag = 'R' THEN 1 ELSE NULL END AS merged_into, concat('m', CAST(l_linenumber AS VARCHAR)) AS mode, l_linestatus AS line, l_suppkey AS sup")
+VIEWS["dossier"] = VIEWS["dossier_base"]
+EXTRA_VIEWS["dossier"] = lambda read: EXTRA_VIEWS["dossier_base"](read).select("*", F.when(F.col("entity_id") % 4 == 0, F.array(F.concat(F.lit("alias "), "mode"))).alias("aliases"), F.create_map(F.lit("mode"), "mode", F.lit("line"), F.when(F.col("entity_id") % 3 == 0, F.col("line"))).alias("attributes"))
+
+
+@query("agg1_entity_profiles", "dossier", sql="""WITH l AS (SELECT *, lower(trim(name)) AS norm, trim(name) AS t FROM dossier WHERE merged_into IS NULL),
+base AS (SELECT norm, arg_min(entity_id, (-confidence, entity_id)) AS canonical_id, arg_min(t, (-confidence, entity_id)) AS spelt, max(confidence) AS confidence, count(*) AS record_count, count(DISTINCT case_id) AS cases, count(DISTINCT document_id) AS documents FROM l GROUP BY 1),
+said AS (SELECT norm, t AS alias FROM l UNION ALL SELECT norm, 'alias ' || mode FROM l WHERE entity_id % 4 = 0), a AS (SELECT norm, alias, count(*) AS n FROM said JOIN base USING (norm) WHERE alias <> spelt GROUP BY 1, 2),
+al AS (SELECT norm, string_agg(alias, ',' ORDER BY n DESC, alias) AS aliases FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY n DESC, alias) AS i FROM a) WHERE i <= 4 GROUP BY 1),
+d AS (SELECT norm, string_agg(document_id, ',' ORDER BY document_id) AS docs FROM (SELECT norm, document_id, row_number() OVER (PARTITION BY norm ORDER BY document_id) AS i FROM (SELECT DISTINCT norm, document_id FROM l)) WHERE i <= 4 GROUP BY 1),
+m AS (SELECT norm, arg_min(mode, (-confidence, entity_id)) AS mode, arg_min(line, (-confidence, entity_id)) FILTER (entity_id % 3 = 0) AS line FROM l GROUP BY 1)
+SELECT norm, canonical_id, record_count, cases, documents, coalesce(aliases, '') AS aliases, docs, coalesce('line=' || line || ',', '') || 'mode=' || mode AS attributes, confidence < 0.6 AS unconfirmed FROM base JOIN d USING (norm) JOIN m USING (norm) LEFT JOIN al USING (norm)""")
+def _(dossier):
+    """Names with their other names, documents and attributes."""
+    said = F.array_join(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return profiles.entity_profiles(dossier, 4).select("norm", "canonical_id", "record_count", "cases", "documents", F.array_join("aliases", ",").alias("aliases"), F.array_join(F.transform("first_documents", lambda x: x.cast("string")), ",").alias("docs"), said.alias("attributes"), "unconfirmed")
+
+
+@query("agg2_edge_profiles", "hop", sql="""WITH e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, event_type AS k, case_id, event_id, event_id % 10 / 10.0 AS c, event_id % 2 = 0 AS ai, (CASE event_type WHEN 'purchase' THEN 0.95 WHEN 'view' THEN 0.85 ELSE 0.3 END) * coalesce(nullif(weight, 0), 1) AS w FROM hop),
+k AS (SELECT a, b, k, sum(w) AS w, count(*) AS n FROM e GROUP BY 1, 2, 3), t AS (SELECT a, b, round(sum(w), 4) AS weight, sum(n)::BIGINT AS n, string_agg(k, ',' ORDER BY k) AS types, arg_min(k, (-w, k)) AS primary_type FROM k GROUP BY 1, 2),
+s AS (SELECT a, b, count(DISTINCT case_id) AS cases, bool_and(ai) AS ai_only, max(c)::DOUBLE AS confidence FROM e GROUP BY 1, 2),
+v AS (SELECT a, b, string_agg(event_id, ',' ORDER BY i) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY c DESC, event_id) AS i FROM e WHERE event_id % 3 > 0) WHERE i <= 3 GROUP BY 1, 2)
+SELECT a, b, weight, n, types, primary_type, cases, ai_only, confidence, coalesce(evidence, '') AS evidence FROM t JOIN s USING (a, b) LEFT JOIN v USING (a, b)""")
+def _(hop):
+    """Pairs with weights by type and their best evidence."""
+    k = F.col("event_id")
+    e = hop.select("src", "dst", F.col("event_type").alias("rel_type"), "case_id", F.when(k % 3 > 0, k).alias("document_id"), F.lit(" ").alias("justification"), (k % 10 / 10).alias("confidence"), (k % 2 == 0).alias("is_ai"), F.lit(0.0).alias("severity"), "weight")
+    found = profiles.edge_profiles(e, 3, {"purchase": 0.95, "view": 0.85})
+    return found.select("a", "b", F.round("weight", 4).alias("weight"), "n", F.array_join(F.map_keys("types"), ",").alias("types"), "primary_type", "cases", "ai_only", "confidence", F.array_join(F.transform("evidence", lambda x: x["document_id"].cast("string")), ",").alias("evidence"))
+
+
+@query("gra7_case_bridges", "hop", sql="""WITH e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM hop WHERE event_type = 'purchase'), r AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+o AS (SELECT a AS node, count(*) AS outside FROM r WHERE a % 7 <> b % 7 GROUP BY 1), c AS (SELECT node, count(DISTINCT case_id) AS cases FROM (SELECT src AS node, case_id FROM hop WHERE event_type = 'purchase' UNION ALL SELECT dst, case_id FROM hop WHERE event_type = 'purchase') GROUP BY 1)
+SELECT node, outside, cases, cases > 1 AS cross_case FROM o JOIN c USING (node)""")
+def _(hop):
+    """Bridges between given communities, and whether they span cases."""
+    e = hop.where("event_type = 'purchase'").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "case_id")
+    pairs = e.select("a", "b").distinct()
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return profiles.case_bridges(pairs, nodes.withColumn("community", F.col("node") % 7), e.select(F.col("a").alias("node"), "case_id"), e)
+
+
+@query("gra12_connectivity_report", "person link", sql="""WITH n AS (SELECT entity_id AS node, lower(trim(name)) AS name FROM person), e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM link SEMI JOIN n ON a = n.node WHERE b IN (SELECT node FROM n) AND a % 4 <> 0 AND b % 4 <> 0 AND a // 50 = b // 50),
+u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT node, node AS root FROM n UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.node), p AS (SELECT node, min(root) AS c FROM r GROUP BY 1), s AS (SELECT c, count(*) AS k FROM p GROUP BY 1)
+SELECT count(*) <= 1 AS connected, count(*) AS components, max(k) AS largest, count(*) FILTER (k = 1) AS isolated, sum(k)::BIGINT AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM (SELECT name FROM p JOIN n USING (node) GROUP BY name HAVING count(DISTINCT c) > 1)) AS split_names FROM s""")
+def _(person, link):
+    """Components of a graph that is cut in pieces, and names that stand in several."""
+    e = link.where("a % 4 <> 0 AND b % 4 <> 0 AND floor(a / 50) = floor(b / 50)")
+    return profiles.connectivity_report(person.select(F.col("entity_id").alias("node"), "name"), e)

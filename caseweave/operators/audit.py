@@ -8,7 +8,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 GENESIS = "0" * 64
 
@@ -45,13 +44,21 @@ def build_chain(rows: DataFrame, key: str, order: str, columns: list[str]) -> Da
 
 
 def verify_chain(blocks: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Per key: (blocks, first_bad, reason): a broken link outranks a wrong hash on the same block. Parallel over rows but for one ``lag`` per key."""
-    before = F.coalesce(F.lag("block_hash").over(Window.partitionBy(key).orderBy("block_index")), F.lit(GENESIS))
-    link = before == F.col("previous_hash")
+    """Per key: (blocks, first_bad, reason): a broken link outranks a wrong hash on the same block.
+
+    Each block is matched with the one before it by key and index, so that the blocks of one long chain are verified over all tasks. Block 0 follows ``GENESIS``; a block whose predecessor is
+    missing, or is there with two hashes, is a broken link. A null key is a key; rows repeated as a whole are blocks each. No blocks give no rows.
+    """
     good = F.sha2(F.concat_ws("|", payload(*columns), F.col("previous_hash")), 256) == F.col("block_hash")
-    checked = blocks.withColumn("reason", F.when(~link, "link").when(~good, "hash"))
+    base = blocks.select(F.col(key).alias("k"), F.struct(F.col(key).isNull(), F.col(key).cast("string")).alias("chain"), "block_index", "block_hash", "previous_hash", good.alias("good"))
+    ahead = base.groupBy("chain", (F.col("block_index") + 1).alias("block_index")).agg(F.min("block_hash").alias("before"), F.max("block_hash").alias("other"))
+    met = base.join(ahead.hint("shuffle_merge"), ["chain", "block_index"], "left")
+    before = F.when(F.col("block_index") == 0, GENESIS).when(F.col("before") == F.col("other"), F.col("before"))
+    link = F.coalesce(before == F.col("previous_hash"), F.lit(False))
+    checked = met.withColumn("reason", F.when(~link, "link").when(~F.coalesce("good", F.lit(False)), "hash"))
     bad = F.when(F.col("reason").isNotNull(), F.col("block_index"))
-    return checked.groupBy(key).agg(F.count("*").alias("blocks"), F.min(bad).alias("first_bad"), F.min_by("reason", bad).alias("reason"))
+    first = F.min_by("reason", F.when(bad.isNotNull(), F.struct(bad, F.col("reason") == "hash")))
+    return checked.groupBy(F.col("k").alias(key)).agg(F.count("*").alias("blocks"), F.min(bad).alias("first_bad"), first.alias("reason"))
 
 
 def block(blocks: DataFrame, index: int) -> DataFrame:

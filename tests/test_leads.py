@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseweave import streaming
-from caseweave.operators import decisions, incidents, matching, routes, tokens
+from caseweave.operators import decisions, incidents, matching, profiles, routes, tokens
 from caseweave.sources import stored
 
 
@@ -252,3 +252,28 @@ def test_candidates_and_compatibility_forms(spark):
     forms = [r[0] for r in names.select(tokens.compatibility_form(F.col("name"))).collect()]
     assert forms == [unicodedata.normalize("NFKD", t) if t != "東京 한" else t for t in texts] + [None]
     assert names.select(tokens.plain_key(F.col("name"))).first()[0] == unicodedata.normalize("NFKD", "éléonore ångström")
+
+
+def test_profiles_keep_evidence(spark):
+    people = [(1, 1, " Anil ", None, 9, {"dob": "1"}, 0.5, None), (2, 2, "anil", ["Kalu", "Anil"], None, {"dob": "2", "phone": None}, 0.9, None), (3, 2, None, None, 1, None, 0.9, None), (4, 1, "ANIL", ["Kalu"], 3, None, 0.9, None), (5, 1, "Anil", ["gone"], 3, None, 1.0, 2)]
+    df = spark.createDataFrame(people, "entity_id int, case_id int, name string, aliases array<string>, document_id int, attributes map<string,string>, confidence double, merged_into int")
+    (r,) = profiles.entity_profiles(df).collect()
+    assert (r.norm, r.canonical_id, r.record_count, r.cases, r.documents, r.first_documents) == ("anil", 2, 3, 2, 2, [3, 9])
+    assert r.aliases == ["Anil", "Kalu", "ANIL"] and r.attributes == {"dob": "2"} and not r.unconfirmed
+    edges = [("a", "b", "Family", 1, 7, None, 0.5, True, None, None), ("b", "a", "Ownership", 2, None, "deed", 0.9, None, 1.0, 2.0), ("a", "a", "Family", 1, 1, "x", 1.0, False, None, 1.0), ("a", "b", "Family", None, None, " ", None, True, None, 0.0)]
+    schema = "src string, dst string, rel_type string, case_id int, document_id int, justification string, confidence double, is_ai boolean, severity double, weight double"
+    (e,) = profiles.edge_profiles(spark.createDataFrame(edges, schema)).collect()
+    assert (e.n, e.cases, e.primary_type, e.ai_only, e.confidence) == (3, 2, "Ownership", False, 0.9)
+    assert {k: round(v, 9) for k, v in e.types.items()} == {"Family": 0.8, "Ownership": 2.16} and [x.justification for x in e.evidence] == ["deed", None]
+    assert profiles.entity_profiles(df.limit(0)).collect() == [] and profiles.edge_profiles(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_connectivity_and_bridges(spark):
+    nodes = spark.createDataFrame([(1, "A"), (2, "B"), (3, "a "), (4, None), (5, None)], "node int, name string")
+    edges = spark.createDataFrame([(1, 2), (2, 1), (4, 4), (3, 99), (4, 5)], "a int, b int")
+    assert tuple(profiles.connectivity_report(nodes, edges).first()) == (False, 3, 2, 1, 5, 2, 1)
+    assert tuple(profiles.connectivity_report(nodes.limit(0), edges).first()) == (True, 0, 0, 0, 0, 0, 0)
+    labels = spark.createDataFrame([(1, 1), (2, 2), (4, 1), (5, 1)], "node int, community int")
+    own, on_edges = spark.createDataFrame([(1, 7), (2, None)], "node int, case_id int"), spark.createDataFrame([(2, 1, 8)], "a int, b int, case_id int")
+    got = {r.node: (r.outside, r.cases, r.cross_case) for r in profiles.case_bridges(edges.where("a = 1"), labels, own, on_edges).collect()}
+    assert got == {1: (1, 2, True), 2: (1, 1, False)}

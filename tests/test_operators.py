@@ -202,6 +202,8 @@ def test_chain_finds_the_first_bad_block(spark):
     assert audit.verify_chain(changed, "k", ["k", "v"]).first()[1:] == (5, 3, "hash")
     broken = chain.withColumn("previous_hash", F.when(F.col("o") == 3, "x").otherwise(F.col("previous_hash")))
     assert audit.verify_chain(broken, "k", ["k", "v"]).first()[1:] == (5, 3, "link")
+    assert audit.verify_chain(chain.where("block_index <> 2"), "k", ["k", "v"]).first()[1:] == (4, 3, "link")
+    assert audit.verify_chain(chain.union(chain.where("block_index = 2").withColumn("block_hash", F.lit("x"))), "k", ["k", "v"]).first()[1:] == (6, 2, "hash")
 
 
 def test_candidates_and_recommendations(spark):
