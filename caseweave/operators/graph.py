@@ -102,20 +102,32 @@ def _settle(scratch: Scratch, arcs: DataFrame, start: DataFrame, plus: float) ->
 
 def _dependencies(tail: np.ndarray, head: np.ndarray, weight: np.ndarray, n: int, sources: np.ndarray) -> np.ndarray:
     """Summed dependencies of every node on paths from ``sources``, over arcs sorted by head: distances, path counts and dependencies of a few sources at once are arrays that settle round by round."""
-    heads, first = np.unique(head, return_index=True)
-    back = np.argsort(tail, kind="stable")
-    tails, first_back = np.unique(tail[back], return_index=True)
-    head_back, across, w = head[back], np.arange(len(sources)), weight[:, None]
+    across = np.arange(len(sources))
     dist = np.full((n, len(sources)), np.inf)
     dist[sources, across] = 0.0
-    while True:
-        near, was = np.minimum.reduceat(dist[tail] + w, first, axis=0), dist[heads]
+    active = np.zeros(n, bool)
+    active[sources] = True
+    while active.any():
+        arcs = np.flatnonzero(active[tail])  # only what the last round improved goes on
+        heads, first = np.unique(head[arcs], return_index=True)
+        near, was = np.minimum.reduceat(dist[tail[arcs]] + weight[arcs, None], first, axis=0), dist[heads]
         better = near < was - 1e-12
-        if not better.any():
-            break
         dist[heads] = np.where(better, near, was)
-    with np.errstate(invalid="ignore"):
-        tight = (np.abs(dist[tail] + w - dist[head]) < 1e-9).astype(float)
+        active[:] = False
+        active[heads[better.any(axis=1)]] = True
+    kept, shares, step = [], [], max(1, 1_000_000 // len(sources))
+    for i in range(0, len(tail), step):
+        with np.errstate(invalid="ignore"):
+            on = np.abs(dist[tail[i : i + step]] + weight[i : i + step, None] - dist[head[i : i + step]]) < 1e-9
+        some = np.flatnonzero(on.any(axis=1))
+        kept.append(i + some)
+        shares.append(on[some].astype(float))
+    kept, tight = np.concatenate(kept), np.concatenate(shares)
+    tail, head = tail[kept], head[kept]  # arcs on shortest paths, still sorted by head
+    heads, first = np.unique(head, return_index=True)
+    back = np.argsort(tail, kind="stable")
+    tails, first_back = np.unique(tail[back], return_index=True)
+    head_back = head[back]
     sigma = np.zeros_like(dist)
     sigma[sources, across] = 1.0
     while True:
