@@ -2,6 +2,8 @@
 
 import bisect
 import hashlib
+import itertools
+import math
 import zlib
 from collections import Counter
 
@@ -162,6 +164,55 @@ def test_url_rules(spark):
     assert urlrules.judge_urls(pages.limit(0)).count() == 0
 
 
+def url_verdicts(labelled, others, support, confidence):
+    """Brute force: every subset of every labelled basket is a rule if it is frequent and sure enough."""
+    joint, whole = Counter(), Counter()
+    for tokens, verdict in labelled:
+        for k in range(1, len(tokens) + 1):
+            for part in itertools.combinations(sorted(tokens), k):
+                whole[part] += 1
+                joint[part, verdict] += 1
+    rules = [(set(p), v, c / whole[p]) for (p, v), c in joint.items() if c >= math.ceil(support * len(labelled)) and c / whole[p] >= confidence]
+    out = []
+    for tokens in others:
+        block, allow = (max((c for p, w, c in rules if w == v and p <= tokens), default=0.0) for v in ("block", "allow"))
+        out.append(("block" if block > allow else "allow", max(block, allow) or None))
+    return out
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_mined_url_rules_match_brute_force(spark, few, monkeypatch):
+    monkeypatch.setattr(urlrules, "FEW", few)
+    r = np.random.default_rng(5)
+    hosts = ["a.com", "www.example.com", "example.com", "b.net", "c.org", "d.fr"]
+
+    def url():
+        path = "/".join(["", ["en", "es", "fr"][r.integers(3)], *(f"s{r.integers(3)}" for _ in range(r.integers(1, 3))), ""])
+        return f"{['http', 'https'][r.integers(2)]}://{hosts[r.integers(6)]}{path}" + ["", "?k=1", "?k=2&m"][r.integers(3)]
+
+    pages = spark.createDataFrame([(i, url(), "x") for i in range(300)] + [(300, None, "x"), (301, "http://c.org/en/", "x"), (301, "http://c.org/en/", "x")], "page_id long, url string, tokens string")
+    u = F.col("url")
+    seen = pages.select("page_id", "url", urlrules.url_tokens(urlrules.host_of(u), urlrules.path_of(u), u).alias("t"), urlrules.fitting_rule(urlrules.host_of(u), urlrules.path_of(u)).verdict.alias("v")).collect()
+    want = Counter((x.page_id, x.v, None) for x in seen if x.v)
+    others = [x for x in seen if not x.v]
+    found = url_verdicts([(x.t, x.v) for x in seen if x.v], [set(x.t) for x in others], 0.03, 0.7)
+    want += Counter((x.page_id, v, s and round(s, 9)) for x, (v, s) in zip(others, found, strict=True))
+    got = Counter((x.page_id, x.verdict, x.score and round(x.score, 9)) for x in urlrules.judge_urls(pages, min_support=0.03, min_confidence=0.7).collect())
+    assert got == want
+    assert {v for _, v, _ in want} == {"allow", "block"} and any(s and s < 1 for _, _, s in want)
+
+
+def test_url_tokens_that_come_together_are_one_item(spark):
+    deep = "/".join(f"part{chr(97 + i)}" for i in range(20))
+    urls = [(f"http://h{i % 3}.org/{deep}/x{chr(97 + i % 5)}", "block" if i % 10 else "allow") for i in range(60)] + [(f"http://h{i % 3}.org/other", "allow") for i in range(60)] + [(None, "block"), ("http://h.org/", None)]
+    labels = spark.createDataFrame(urls, "url string, verdict string")
+    rules, _ = urlrules.mine_rules(labels.select(urlrules.url_tokens(urlrules.host_of(F.col("url")), urlrules.path_of(F.col("url")), F.col("url")).alias("tokens"), "verdict"), min_confidence=0.85)
+    assert 0 < rules.count() < 40
+    pages = spark.createDataFrame([(1, f"http://q.fr/{deep}"), (2, "http://q.fr/parta"), (3, "http://h1.org/other"), (4, "http://q.fr/zzz"), (5, "http://q.fr/" + "a/" * 20_000)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urlrules.judge_urls(pages, rules=(), labels=labels, min_confidence=0.85).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+
+
 @pytest.mark.parametrize("in_task", [20_000, 2])
 def test_repeats_match_brute_force(spark, in_task, monkeypatch):
     monkeypatch.setattr(suffixdedup, "IN_TASK", in_task)
