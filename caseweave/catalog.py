@@ -460,7 +460,7 @@ def _(documents):
 
 @query("agg18_common_families", "", "documents", sql=f"SELECT count(*) AS common, round(count(*) / 7.0, 6)::DOUBLE AS overlap FROM (SELECT family FROM ({_FAMILY_SQL}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) WHERE matches > 0 GROUP BY 1 HAVING count(DISTINCT source) >= 2)")
 def _(documents):
-    found = series.signature_families(documents).join(documents.select("doc_id", F.col("source").alias("case_id")), "doc_id")
+    found = series.signature_families(documents).join(documents.select("doc_id", F.col("source").alias("case_id")).hint("shuffle_merge"), "doc_id")
     return series.common_families(found).withColumn("overlap", F.round("overlap", 6))
 
 

@@ -79,7 +79,7 @@ def co_locations(presence: DataFrame, explained: DataFrame, min_joint: int = 1)
     met = pairs_within(presence, ["location", "slot"], "person").select(F.col("a").alias("p1"), F.col("b").alias("p2"), "location")
     pairs = met.groupBy("p1", "p2", "location").agg(F.count("*").alias("joint"))
     known = explained.select(F.least("a", "b").alias("p1"), F.greatest("a", "b").alias("p2")).distinct()
-    out = pairs.where(F.col("joint") >= min_joint).join(known, ["p1", "p2"], "left_anti")
+    out = pairs.where(F.col("joint") >= min_joint).join(known.hint("shuffle_merge"), ["p1", "p2"], "left_anti")
     return out.withColumn("severity", F.when(F.col("joint") >= 3, "high").when(F.col("joint") == 2, "medium").otherwise("low"))
 
 

@@ -338,7 +338,7 @@ def role_severity(edges: DataFrame) -> DataFrame:
 def activity(edges: DataFrame, records: DataFrame) -> DataFrame:
     """(node, activity, score): 3 * degree + 2 * summed weights + records, and that to 0..100 of the largest. Rows: (a, b, weight) and (node, records)."""
     ends = both_ways(edges, "weight").groupBy(F.col("a").alias("node")).agg((3 * F.count("*") + 2 * F.sum("weight")).alias("base"))
-    nodes = ends.join(records, "node", "left").select("node", (F.col("base") + F.coalesce("records", F.lit(0))).alias("activity"))
+    nodes = ends.join(records.hint("shuffle_merge"), "node", "left").select("node", (F.col("base") + F.coalesce("records", F.lit(0))).alias("activity"))
     return _to_hundred(nodes, "activity")
 
 

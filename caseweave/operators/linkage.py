@@ -79,9 +79,9 @@ def equal_attributes(cases: DataFrame, minimum: float) -> DataFrame:
 def score_pairs(cases: DataFrame, pairs: DataFrame, cosine: DataFrame | None = None, digits: int = 4) -> DataFrame:
     """Composite score and its parts, rounded to ``digits``, of pairs (case_a, case_b)."""
     left, right = cases.select([F.col(c).alias(f"{c}_a") for c in cases.columns]), cases.select([F.col(c).alias(f"{c}_b") for c in cases.columns])
-    j = pairs.join(left, F.col("case_a") == F.col("case_id_a")).join(right, F.col("case_b") == F.col("case_id_b"))
+    j = pairs.join(left.hint("shuffle_merge"), F.col("case_a") == F.col("case_id_a")).join(right.hint("shuffle_merge"), F.col("case_b") == F.col("case_id_b"))
     if cosine is not None:
-        j = j.join(cosine, ["case_a", "case_b"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+        j = j.join(cosine.hint("shuffle_merge"), ["case_a", "case_b"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
     else:
         j = j.withColumn("cosine", F.lit(0.0))
     a, b = (lambda n: F.col(f"{n}_a")), (lambda n: F.col(f"{n}_b"))
@@ -104,9 +104,9 @@ def tf_idf(docs: DataFrame, stop_words: list[str], max_terms: int = 5000) -> Dat
     tf = w.select("doc_id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     terms = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).orderBy(F.col("cf").desc(), "term").limit(max_terms)
     n = docs.agg(F.count("*").alias("n"))
-    raw = tf.join(terms, "term").crossJoin(F.broadcast(n)).select("doc_id", "term", ((1 + F.log(F.col("tf").cast("double"))) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("x"))
+    raw = tf.join(F.broadcast(terms), "term").crossJoin(F.broadcast(n)).select("doc_id", "term", ((1 + F.log(F.col("tf").cast("double"))) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("x"))
     norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("x") / F.col("norm")).alias("weight"))
+    return raw.join(norm.hint("shuffle_merge"), "doc_id").select("doc_id", "term", (F.col("x") / F.col("norm")).alias("weight"))
 
 
 def cosine_pairs(vectors: DataFrame, minimum: float = 0.0) -> DataFrame:
@@ -117,10 +117,10 @@ def cosine_pairs(vectors: DataFrame, minimum: float = 0.0) -> DataFrame:
     least = minimum - 0.00006
     if least <= 0:
         return _dots(vectors).where(F.col("cosine") >= minimum)
-    common = vectors.join(vectors.groupBy("term").agg(F.count("*").alias("df")), "term")
+    common = vectors.join(vectors.groupBy("term").agg(F.count("*").alias("df")).hint("shuffle_merge"), "term")
     left_out = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("doc_id").orderBy(F.col("df").desc(), "term"))
     k = common.withColumn("mass", left_out).where(F.col("mass") >= least * least).select("doc_id", "term")
-    pairs = k.select(F.col("doc_id").alias("case_a"), "term").join(k.select(F.col("doc_id").alias("case_b"), "term"), "term").where("case_a < case_b").select("case_a", "case_b").distinct()
+    pairs = pairs_within(k, ["term"], "doc_id").select(F.col("a").alias("case_a"), F.col("b").alias("case_b")).distinct()
     return _dots(vectors, pairs).where(F.col("cosine") >= minimum)
 
 
@@ -128,7 +128,7 @@ def _dots(vectors: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(case_a, case_b, cosine) of the pairs, or of all pairs, that have a common term."""
     x = vectors.select(F.col("doc_id").alias("case_a"), "term", F.col("weight").alias("wa"))
     y = vectors.select(F.col("doc_id").alias("case_b"), "term", F.col("weight").alias("wb"))
-    met = x.join(y, "term").where("case_a < case_b") if pairs is None else pairs.join(x, "case_a").join(y, ["case_b", "term"])
+    met = x.join(y.hint("shuffle_merge"), "term").where("case_a < case_b") if pairs is None else pairs.join(x.hint("shuffle_merge"), "case_a").join(y.hint("shuffle_merge"), ["case_b", "term"])
     return met.groupBy("case_a", "case_b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 4).alias("cosine"))
 
 
@@ -145,7 +145,7 @@ def candidate_matches(entities: DataFrame, minimum: float = 0.6, limit: int = 10
     """
     e = entities.where("merged_into IS NULL").select("entity_id", "entity_type", F.lower(F.trim("name")).alias("name"))
     t = e.withColumn("token", F.explode(F.array_distinct(F.split("name", r"\s+"))))
-    pairs = t.alias("x").join(t.alias("y"), ["entity_type", "token"]).where("x.entity_id < y.entity_id").select(F.col("x.entity_id").alias("id_a"), F.col("y.entity_id").alias("id_b"), F.col("x.name").alias("na"), F.col("y.name").alias("nb")).distinct()
+    pairs = t.alias("x").join(t.alias("y").hint("shuffle_merge"), ["entity_type", "token"]).where("x.entity_id < y.entity_id").select(F.col("x.entity_id").alias("id_a"), F.col("y.entity_id").alias("id_b"), F.col("x.name").alias("na"), F.col("y.name").alias("nb")).distinct()
     one_a, one_b = F.size(F.split("na", r"\s+")) == 1, F.size(F.split("nb", r"\s+")) == 1
     sim = F.when(one_a & one_b, 0.0).when(one_a | one_b, 0.3).otherwise(token_sort_ratio(F.col("na"), F.col("nb")))
     scored = pairs.withColumn("similarity", F.round(sim, 4)).where(F.col("similarity") >= minimum)

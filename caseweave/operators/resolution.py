@@ -17,9 +17,9 @@ def survivors(decisions: DataFrame) -> DataFrame:
     """(entity_id, survivor) of every entity in a decision (primary, secondary): chains end at the primary that no decision merges away, the smallest if several; of a cycle the smallest id."""
     nodes = connected_components(decisions, "primary", "secondary")
     gone = decisions.where("primary <> secondary").select(F.col("secondary").alias("node")).distinct().withColumn("gone", F.lit(True))
-    marked = nodes.join(gone, "node", "left")
+    marked = nodes.join(gone.hint("shuffle_merge"), "node", "left")
     heads = marked.groupBy("component").agg(F.coalesce(F.min(F.when(F.col("gone").isNull(), F.col("node"))), F.min("node")).alias("survivor"))
-    return nodes.join(heads, "component").select(F.col("node").alias("entity_id"), "survivor")
+    return nodes.join(heads.hint("shuffle_merge"), "component").select(F.col("node").alias("entity_id"), "survivor")
 
 
 def merge_entities(entities: DataFrame, merged: DataFrame) -> DataFrame:
@@ -27,9 +27,9 @@ def merge_entities(entities: DataFrame, merged: DataFrame) -> DataFrame:
 
     ``merged``: (entity_id, survivor). Entities only merge with their own type; others stay. Null aliases are none.
     """
-    typed = entities.join(merged, "entity_id", "left")
+    typed = entities.join(merged.hint("shuffle_merge"), "entity_id", "left")
     heads = entities.select(F.col("entity_id").alias("survivor"), F.col("entity_type").alias("head_type"))
-    typed = typed.join(heads, "survivor", "left").withColumn("to", F.when(F.col("head_type") == F.col("entity_type"), F.col("survivor")).otherwise(F.col("entity_id")))
+    typed = typed.join(heads.hint("shuffle_merge"), "survivor", "left").withColumn("to", F.when(F.col("head_type") == F.col("entity_type"), F.col("survivor")).otherwise(F.col("entity_id")))
     own = F.col("entity_id") == F.col("to")
     names = F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.when(own, F.array().cast("array<string>")).otherwise(F.array("name")))
     out = typed.groupBy(F.col("to").alias("entity_id")).agg(
@@ -42,7 +42,7 @@ def merge_entities(entities: DataFrame, merged: DataFrame) -> DataFrame:
 def redirect_edges(edges: DataFrame, merged: DataFrame) -> DataFrame:
     """Edges (src, dst, rel_type, weight) of the survivors: each redirected end raises the weight by a fifth, 10 at most; of equal unordered pairs and types the heaviest stays."""
     end = lambda n: merged.select(F.col("entity_id").alias(n), F.nullif(F.col("survivor"), F.col("entity_id")).alias(f"{n}_to"))
-    j = edges.join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+    j = edges.join(end("src").hint("shuffle_merge"), "src", "left").join(end("dst").hint("shuffle_merge"), "dst", "left")
     weight = F.col("weight")
     for n in ("src_to", "dst_to"):
         weight = F.when(F.col(n).isNotNull(), F.least(weight * 1.2, F.lit(10.0))).otherwise(weight)
@@ -58,7 +58,7 @@ def heaviest(edges: DataFrame) -> DataFrame:
 def flag_unresolved(entities: DataFrame, flags: DataFrame) -> DataFrame:
     """Adds status and reason; flagged entities lose .3 of their confidence, down to .1. ``flags``: (entity_id, reason)."""
     once = flags.groupBy("entity_id").agg(F.min("reason").alias("reason"), F.lit(True).alias("flagged"))
-    j = entities.join(once, "entity_id", "left")
+    j = entities.join(once.hint("shuffle_merge"), "entity_id", "left")
     low = F.greatest(F.lit(0.1), F.col("confidence") - 0.3)
     return j.withColumns({"status": F.when(F.col("flagged"), "unresolved").otherwise("resolved"), "confidence": F.when(F.col("flagged"), low).otherwise(F.col("confidence"))}).drop("flagged")
 

@@ -168,7 +168,7 @@ def signature_overlap(terms: DataFrame) -> DataFrame:
     t = terms.select("case_id", "term").distinct()
     sizes = t.groupBy("case_id").agg(F.count("*").alias("size"))
     both = pairs_within(t, ["term"], "case_id").groupBy(F.col("a").alias("case_id"), F.col("b").alias("other")).agg(F.count("*").alias("both"))
-    scored = both.join(sizes, "case_id").join(sizes.select(F.col("case_id").alias("other"), F.col("size").alias("size_b")), "other")
+    scored = both.join(sizes.hint("shuffle_merge"), "case_id").join(sizes.select(F.col("case_id").alias("other"), F.col("size").alias("size_b")).hint("shuffle_merge"), "other")
     total = scored.agg(F.coalesce(F.sum(F.col("both") / (F.col("size") + F.col("size_b") - F.col("both"))), F.lit(0.0)).alias("total"))
     cases = sizes.agg(F.count("*").alias("cases"))
     common = t.groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(cases)).agg(F.count_if(F.col("n") == F.col("cases")).alias("common"))
@@ -231,7 +231,7 @@ def text_links(cases: DataFrame, minimum: float = 0.25) -> DataFrame:
     k = cases.select("case_id", F.explode(F.array_distinct(keys)).alias("key"))
     pairs = pairs_within(k, ["key"], "case_id").select(F.col("a").alias("case_a"), F.col("b").alias("case_b")).distinct()
     side = lambda s: cases.select(*[F.col(c).alias(c + s if c != "case_id" else "case" + s) for c in ("case_id", "terms", "names", "methods", "ages", "genders", "risks")])
-    j = pairs.join(side("_a"), "case_a").join(side("_b"), "case_b")
+    j = pairs.join(side("_a").hint("shuffle_merge"), "case_a").join(side("_b").hint("shuffle_merge"), "case_b")
     a, b = (lambda n: F.col(f"{n}_a")), (lambda n: F.col(f"{n}_b"))
     j = j.withColumns({"signature": jaccard(a("terms"), b("terms")), "method": map_similarity(a("methods"), b("methods")), "victim": signal_similarity(a, b), "entity": jaccard(a("names"), b("names"))})
     j = j.withColumn("score", 0.40 * F.col("signature") + 0.25 * F.col("method") + 0.20 * F.col("victim") + 0.15 * F.col("entity"))
