@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from caseweave.catalog import EXTRA_VIEWS, VIEWS, query
+from caseweave.catalog import EXTRA_VIEWS, SQL, VIEWS, query
 from caseweave.catalog_casework import _simple
-from caseweave.operators import decisions, detect, filters, incidents, matching, profiles, routes, tokens
+from caseweave.operators import decisions, detect, filters, incidents, matching, profiles, routes, series, text, tokens
 from caseweave.plans.scratch import shared_dir
 from caseweave.sources import stored
 
@@ -279,3 +279,53 @@ def _(person, link):
     """Components of a graph that is cut in pieces, and names that stand in several."""
     e = link.where("a % 4 <> 0 AND b % 4 <> 0 AND floor(a / 50) = floor(b / 50)")
     return profiles.connectivity_report(person.select(F.col("entity_id").alias("node"), "name"), e)
+
+
+# Every document with a line of its own that the text rules find, by its id; the documents alone hold few or none of them.
+_MARK = """CASE doc_id % 8 WHEN 0 THEN 'A small key placed beside the shelf, a memento deliberately left there.' WHEN 1 THEN 'Tuned to a dead frequency, static only; the backup frequency was silent.'
+WHEN 2 THEN '**Victim:** Anna Berg, 34, clerk' WHEN 3 THEN 'Write to @night.desk or (@blue_door), not to desk@post.example.org.' WHEN 4 THEN 'One missing badge: nobody noticed the gap on the board.'
+WHEN 5 THEN 'The doors were unlocked; found alone, no evidence of struggle.' WHEN 6 THEN '**Victim:** Ivo Lund, unknown' ELSE concat('Gaps of 10, 20, 30 days; mail lead', doc_id % 5, '@post.example.org') END"""
+_MARKED = f"doc_id, source, concat(coalesce(text, ''), chr(10), {_MARK}) AS text"
+VIEWS["marked"] = f"SELECT {_MARKED} FROM documents"
+EXTRA_VIEWS["marked"] = lambda read: read("documents").select("doc_id", "source", F.expr(f"concat(coalesce(text, ''), chr(10), {_MARK})").alias("text"))
+_MARKED_SQL = {name: SQL[name].replace("FROM documents", "FROM marked").replace("WITH RECURSIVE ", "WITH ", 1) for name in ("txt31_signature_families", "txt22_handles", "txt32_victim_line", "det5_cross_case_names")}
+_MARKED_FAMILIES = _MARKED_SQL["txt31_signature_families"]
+
+
+@query("txt31_marked_families", "marked", sql=_MARKED_FAMILIES)
+def _(marked):
+    """Signature families of documents that hold some."""
+    return series.signature_families(marked).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("txt30_marked_intensity", "marked", sql=f"SELECT doc_id, count(*) AS families, round(sum(confidence * weight), 6)::DOUBLE AS intensity FROM ({_MARKED_FAMILIES}) GROUP BY doc_id")
+def _(marked):
+    """Confidence times weight of a document's signature families, summed."""
+    return series.signature_intensity(series.signature_families(marked)).withColumn("intensity", F.round("intensity", 6))
+
+
+@query("agg18_marked_families", "marked", sql=f"""SELECT count(*) AS common, round(count(*) / {len(series.SIGNATURE_FAMILIES)}.0, 6)::DOUBLE AS overlap
+FROM (SELECT family FROM ({_MARKED_FAMILIES}) JOIN (SELECT doc_id, source FROM marked) USING (doc_id) GROUP BY 1 HAVING count(DISTINCT source) >= 2)""")
+def _(marked):
+    """Signature families that documents of two or more sources hold."""
+    found = series.signature_families(marked).join(marked.select("doc_id", F.col("source").alias("case_id")).hint("shuffle_merge"), "doc_id")
+    return series.common_families(found).withColumn("overlap", F.round("overlap", 6))
+
+
+@query("txt22_marked_handles", "marked", sql=_MARKED_SQL["txt22_handles"])
+def _(marked):
+    """Handles, told from mail addresses."""
+    return text.handles(marked)
+
+
+@query("txt32_marked_victims", "marked", sql=_MARKED_SQL["txt32_victim_line"])
+def _(marked):
+    """Victim lines, in full and without an age."""
+    return series.victim_line(marked)
+
+
+@query("det5_marked_names", "marked", sql=_MARKED_SQL["det5_cross_case_names"])
+def _(marked):
+    """Mail addresses that documents of two or more sources hold."""
+    found = text.mentions(marked.select("doc_id", F.col("source").alias("case_id"), "text"))
+    return detect.cross_case_names(found.where("kind = 'email'"))
