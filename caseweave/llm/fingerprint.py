@@ -18,6 +18,7 @@ CELLS = 9  # of one table: three parts of three cells, a digest has one cell in
 PARAGRAPH = r"[^\n]{1,160}[^\n.!?]*[.!?]*"
 _CELL = ["pmod(d, 3)", "3 + pmod(shiftright(d, 9), 3)", "6 + pmod(shiftright(d, 18), 3)"]
 _CHECK = "xxhash64(d, 77)"
+_NONE = ", 'digests', CAST(array() AS array<struct<d:bigint,n:bigint>>)"
 
 
 def paragraph_digests(text: str) -> str:
@@ -46,8 +47,8 @@ def subtracted(one: str, other: str) -> str:
     return f"named_struct('cnt', {each('a.n - b.n')}, 'key', {each('a.key ^ b.key')}, 'chk', {each('a.chk ^ b.chk')})"
 
 
-def _peeled(cnt: str = "cnt", key: str = "key", chk: str = "chk") -> str:
-    """SQL that peels a table of cnt, key and chk arrays: struct of what is left and the number of digests found.
+def _peeled(cnt: str = "cnt", key: str = "key", chk: str = "chk", digests: bool = False) -> str:
+    """SQL that peels a table of cnt, key and chk arrays: struct of what is left and the number of digests found; with ``digests`` also these, each with its side, 1 or -1.
 
     A cell is pure when its count is 1 or -1 and its check sum is that of its key; each step takes the digest of one pure cell out of all its cells.
     """
@@ -56,29 +57,30 @@ def _peeled(cnt: str = "cnt", key: str = "key", chk: str = "chk") -> str:
         "named_struct("
         "'cnt', transform(s.cnt, (x, c) -> IF(c IN (u.c0, u.c1, u.c2), x - u.n, x)), "
         "'key', transform(s.key, (x, c) -> IF(c IN (u.c0, u.c1, u.c2), x ^ u.d, x)), "
-        "'chk', transform(s.chk, (x, c) -> IF(c IN (u.c0, u.c1, u.c2), x ^ u.k, x)), 'found', s.found + 1)"
+        "'chk', transform(s.chk, (x, c) -> IF(c IN (u.c0, u.c1, u.c2), x ^ u.k, x)), 'found', s.found + 1" + (", 'digests', concat(s.digests, array(named_struct('d', u.d, 'n', u.n))))" if digests else ")")
     )
     # lambdas over one-element arrays name a value that is used more than once
     hit = f"transform(slice({pure}, 1, 1), c -> named_struct('d', s.key[c], 'n', s.cnt[c], 'k', s.chk[c]))"
     placed = f"transform({hit}, h -> named_struct('d', h.d, 'n', h.n, 'k', h.k, 'c0', {_CELL[0].replace('d,', 'h.d,')}, 'c1', {_CELL[1].replace('d,', 'h.d,')}, 'c2', {_CELL[2].replace('d,', 'h.d,')}))"
     step = f"coalesce(get(transform({placed}, u -> {take}), 0), s)"
-    start = f"named_struct('cnt', {cnt}, 'key', {key}, 'chk', {chk}, 'found', 0)"
+    start = f"named_struct('cnt', {cnt}, 'key', {key}, 'chk', {chk}, 'found', 0{_NONE if digests else ''})"
     return f"aggregate(sequence(1, {CELLS}), {start}, (s, i) -> {step})"
 
 
-def set_differences(pairs: DataFrame, load: int = 3) -> DataFrame:
+def set_differences(pairs: DataFrame, load: int = 3, digests: bool = False) -> DataFrame:
     """(id, kind, differing): digests in only one of two sets, from rows (id, kind, x array<long>, y array<long>, guess): ``guess`` is an estimate of that number.
 
     Both sets are hashed into tables of ``CELLS`` cells, as many tables as the guess asks for at ``load`` digests a table (a power of two; a digest's table is
     chosen by its own bits), subtracted cell by cell and peeled. A table that can't be peeled is tried again as four smaller ones,
-    until none is left. Every row's tables are built where the row lies; nothing is shuffled but the rows once.
+    until none is left. Every row's tables are built where the row lies; nothing is shuffled but the rows once. With ``digests`` the rows are (id, kind, digest, side)
+    instead, one for each recovered digest: side 1 stands in x only, -1 in y only.
     """
     scratch = Scratch(pairs.sparkSession)
     sized = pairs.withColumn("tables", F.expr(f"CAST(pow(2, ceil(log2(greatest(1, guess / {load})))) AS BIGINT)")).drop("guess")
     flat = "explode(concat(transform(x, d -> named_struct('d', d, 'n', 1)), transform(y, d -> named_struct('d', d, 'n', -1)))) AS e"
     todo = scratch.write(sized.repartition("id"))
     rows = todo.repartition("id").selectExpr("id", "kind", "tables", flat).selectExpr("id", "kind", "tables", "e.d AS d", "e.n AS n")
-    parts = []
+    parts, recovered = [], []
     while True:
         rows = rows.withColumn("part", F.expr("pmod(xxhash64(d, 5), tables)"))
         for j in range(3):
@@ -93,8 +95,12 @@ def set_differences(pairs: DataFrame, load: int = 3) -> DataFrame:
         # equal sides cancel to empty cells, which need no peeling
         empty = " AND ".join(f"n{c} = 0 AND d{c} = 0" for c in range(CELLS))
         tables = built.selectExpr("id", "kind", "tables", "part", f"{array('n')} AS cnt", f"{array('d')} AS key", f"{array('k')} AS chk", f"({empty}) AS empty")
-        tables = tables.selectExpr("id", "kind", "tables", "part", f"IF(empty, named_struct('cnt', cnt, 'key', key, 'chk', chk, 'found', 0), {_peeled()}) AS p")
-        done = tables.selectExpr("id", "kind", "tables", "part", "p.found AS found", "NOT exists(p.key, x -> x <> 0) AND NOT exists(p.cnt, x -> x <> 0) AS ok")
+        tables = tables.selectExpr("id", "kind", "tables", "part", f"IF(empty, named_struct('cnt', cnt, 'key', key, 'chk', chk, 'found', 0{_NONE if digests else ''}), {_peeled(digests=digests)}) AS p")
+        listed = ["p.digests AS digests"] if digests else []
+        done = tables.selectExpr("id", "kind", "tables", "part", "p.found AS found", "NOT exists(p.key, x -> x <> 0) AND NOT exists(p.cnt, x -> x <> 0) AS ok", *listed)
+        if digests:
+            done = scratch.write(done)
+            recovered.append(done.where("ok").selectExpr("id", "kind", "explode(digests) AS e").selectExpr("id", "kind", "e.d AS digest", "e.n AS side"))
         done = done.groupBy("id", "kind", "tables").agg(F.sum(F.when(F.col("ok"), F.col("found")).otherwise(0)).alias("found"), F.collect_list(F.when(~F.col("ok"), F.col("part"))).alias("failed"))
         done = scratch.write(done)
         parts.append(done.select("id", "kind", "found"))
@@ -105,10 +111,23 @@ def set_differences(pairs: DataFrame, load: int = 3) -> DataFrame:
         rows = again.repartition("id").selectExpr("id", "kind", "tables", "failed", flat).where("array_contains(failed, pmod(xxhash64(e.d, 5), tables))")
         rows = rows.selectExpr("id", "kind", "tables * 4 AS tables", "e.d AS d", "e.n AS n")
     scratch.drop(todo)
-    out = parts[0]
-    for more in parts[1:]:
+    tables = recovered if digests else parts
+    out = tables[0]
+    for more in tables[1:]:
         out = out.unionByName(more)
-    return out.groupBy("id", "kind").agg(F.sum("found").alias("differing"))
+    return out if digests else out.groupBy("id", "kind").agg(F.sum("found").alias("differing"))
+
+
+def differing_paragraphs(versions: DataFrame, *, id_col: str = "doc_id", old_col: str = "text", new_col: str = "new_text") -> DataFrame:
+    """(id, digest, side) of the paragraphs in which two versions of a text differ: side -1 stands in the old one only, 1 in the new one only.
+
+    The digests are recovered from the versions' subtracted tables alone. A paragraph that only moves or repeats makes no difference. Null texts are empty, null ids are
+    ids, very long texts count whole, rows equal in id and both texts give their differences once; of further columns none is read. No rows give no rows.
+    """
+    rows = versions.select(F.col(id_col).alias("key"), F.coalesce(old_col, F.lit("")).alias("old"), F.coalesce(new_col, F.lit("")).alias("new")).where("old <> new").distinct()
+    sets = rows.selectExpr("struct(key, xxhash64(old, new) AS h) AS id", "'' AS kind", f"{paragraph_digests('new')} AS x", f"{paragraph_digests('old')} AS y")
+    found = set_differences(sets.withColumn("guess", F.expr("greatest(4, abs(size(x) - size(y)))").cast("long")), digests=True)
+    return found.select(F.col("id.key").alias(id_col), "digest", "side")
 
 
 def range_number(column: str, bounds: list) -> Column:

@@ -45,6 +45,23 @@ def test_fingerprints_count_differing_paragraphs(spark):
     assert all(got.get(i, 0) == len(set(x) ^ set(y)) for i, _, x, y, _ in data)
 
 
+def test_differing_paragraphs_are_recovered(spark):
+    import re
+
+    rng = np.random.default_rng(4)
+    line = lambda: " ".join(f"w{x}" for x in rng.integers(0, 999, 6)) + "."
+    lines = [line() for _ in range(2000)]
+    changed = [line() if i % 3 == 0 else x for i, x in enumerate(lines)]
+    rows = [(1, "a.\nb.\nc.", "a.\nx.\nc."), (2, "same.", "same."), (3, None, "new."), (4, "gone.\nalso.", None), (5, None, None), (6, "a.\nb.", "b.\na.\na."), (None, "p.", "q."), (7, "\n".join(lines), "\n".join(changed)), (1, "a.\nb.\nc.", "a.\nx.\nc.")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, new_text string, digest string")
+    parts = lambda t: set(re.findall(r"[^\n]{1,160}[^\n.!?]*[.!?]*", t or ""))
+    want = {(i, p, side) for i, a, b in rows for side, ps in ((-1, parts(a) - parts(b)), (1, parts(b) - parts(a))) for p in ps}
+    hashed = {r.p: r.d for r in spark.createDataFrame([(p,) for p in {p for _, p, _ in want}], "p string").withColumn("d", F.xxhash64("p")).collect()}
+    got = [(r.doc_id, r.digest, r.side) for r in fingerprint.differing_paragraphs(docs).collect()]
+    assert len(got) == len(want) > 1300 and set(got) == {(i, hashed[p], side) for i, p, side in want}
+    assert fingerprint.differing_paragraphs(docs.limit(0)).count() == 0
+
+
 def test_fingerprints_match_brute_force(spark):
     import re
 
