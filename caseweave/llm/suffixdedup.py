@@ -54,7 +54,9 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found.append((pos + lo, grams[places], around))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    pos, grams, around = (np.concatenate(x) for x in zip(*found, strict=True))
+    pos, once = np.unique(pos, return_index=True)  # windows of two segments may have one anchor
+    return pos, grams[once], around[once]
 
 
 def _common(a: bytes, b: bytes) -> int:
