@@ -22,6 +22,8 @@ WINDOW, GRAM = 200, 64
 BEFORE = WINDOW - GRAM  # bytes before an anchor that its windows can hold
 #: Suffixes of one gram that one task sorts; a gram with more is settled by counting windows.
 IN_TASK = 20_000
+#: Left ends of repeats that go together where a gram is split; divides ``BEFORE``.
+PART = 8
 
 
 def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
@@ -37,11 +39,11 @@ def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(right[:n], left[width - 1 : width - 1 + n]) & low).astype(np.int64)
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, gram hashes, hashes of the bytes around) of a text's anchors; none below ``WINDOW`` bytes. Very long texts go in segments."""
+def anchors(text: bytes, before: int = BEFORE, reach: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, gram hashes, hashes of the ``before`` and ``reach`` bytes around) of a text's anchors; none below ``WINDOW`` bytes. Very long texts go in segments."""
     n, found = len(text), []
     for at in range(0, n - WINDOW + 1, SEGMENT):
-        lo, hi = max(0, at - BEFORE), min(n, at + SEGMENT + 2 * WINDOW)
+        lo, hi = max(0, at - before), min(n, at + SEGMENT + WINDOW + reach)
         data = np.frombuffer(text, np.uint8)[lo:hi]
         first, last = at - lo, min(at + SEGMENT, n - WINDOW + 1) - lo  # window starts
         starts = np.arange(first, last + BEFORE)
@@ -49,7 +51,7 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         places = sliding_argmin(grams, BEFORE + 1)
         places = np.unique(places)
         pos = places + first
-        left, right = np.minimum(pos + lo, BEFORE), np.minimum(n - lo - pos, WINDOW)
+        left, right = np.minimum(pos + lo, before), np.minimum(n - lo - pos, reach)
         around = Prefix(data, BASES[1]).at(pos - left, pos + right) + left.astype(U) * U(0x9E3779B97F4A7C15)
         found.append((pos + lo, grams[places], around))
     if not found:
@@ -109,16 +111,41 @@ def repeats_of(after: list[bytes], before: list[bytes]) -> list[tuple[int, int,
     return [(k, left, right) for k, (left, right) in best.items()]
 
 
-_ROW_ID = "xxhash64(doc_id, text)"
+def maximal_groups(after: list[bytes], before: list[bytes]):
+    """(left, right, members) of each maximal repeat of at least ``WINDOW`` bytes whose first window is anchored at these members of one gram.
+
+    ``before`` is reversed and one byte longer than windows reach. The members of an interval of the tree, all alike for ``right`` bytes, are put in a tree of what
+    precedes them: an interval of that tree is left-diverse by its length, and its members are right-diverse if they lie in more than one child of the first.
+    Those that go on alike to the left past the reach of windows belong to an earlier anchor.
+    """
+    order = sorted(range(len(after)), key=lambda k: after[k])
+    common = [0] + [_common(after[a], after[b]) for a, b in zip(order, order[1:])]
+    for right, first, last in intervals([after[k] for k in order]):
+        if right < GRAM:
+            continue
+        child, held = [0], range(first, last + 1)
+        for i in held[1:]:
+            child.append(child[-1] + (common[i] == right))
+        by_left = sorted(held, key=lambda i: before[order[i]])
+        for left, low, high in intervals([before[order[i]] for i in by_left]):
+            members = by_left[low : high + 1]
+            if left > BEFORE or left + right < WINDOW or _common(before[order[members[0]]], before[order[members[-1]]]) > left:  # the root stands for 0 even if all are alike
+                continue
+            if len({child[i - first] for i in members}) > 1:
+                k = order[members[0]]
+                if anchors((before[k][:left][::-1] + after[k])[:WINDOW])[0][0] == left:
+                    yield left, right, sorted({order[i] for i in members})
+
+
 _SPANS = "rid long, a long, b long"
 
 
-def _anchor_rows(batches):
+def _anchor_rows(batches, before: int = BEFORE, reach: int = WINDOW):
     schema = pa.schema([("rid", pa.int64()), ("pos", pa.int64()), ("gram", pa.int64()), ("around", pa.int64())])
     for batch in batches:
         held, size = [], 0
         for rid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            pos, gram, around = anchors(text.as_py().encode())
+            pos, gram, around = anchors(text.as_py().encode(), before, reach)
             if len(pos):
                 held.append((np.full(len(pos), rid), pos, gram.view(np.int64), around.view(np.int64)))
                 size += len(pos)
@@ -225,6 +252,94 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return equal.unionByName(spans)
 
 
+def _group_rows(batches):
+    """Rows (key, gram, around, many, part, after, before) sorted by key: each maximal group as (gram, repeat, left, right, around), one row for each surrounding in it."""
+    schema = pa.schema([("gram", pa.int64()), ("repeat", pa.string()), ("left", pa.int64()), ("right", pa.int64()), ("around", pa.int64())])
+    held: list[tuple] = []
+
+    def settle(out):
+        kinds = [k for k, row in enumerate(held) for _ in range(2 if row[3] else 1)]
+        if len(kinds) > 1:
+            for left, right, members in maximal_groups([held[k][5] for k in kinds], [held[k][6] for k in kinds]):
+                if held[0][4] in (None, min(left // PART, BEFORE // PART - 1)):
+                    k = kinds[members[0]]
+                    repeat = hashlib.sha256(held[k][6][:left][::-1] + held[k][5][:right]).hexdigest()
+                    out.extend((held[k][1], repeat, left, right, around) for around in {held[kinds[m]][2] for m in members})
+        held.clear()
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    for batch in batches:
+        out: list[tuple] = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][0] != row[0]:
+                settle(out)
+            held.append(row)
+        if out:
+            yield batch_of(out)
+    out = []
+    settle(out)
+    if out:
+        yield batch_of(out)
+
+
+def repeat_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reach: int = WINDOW) -> DataFrame:
+    """Maximal repeats of at least ``WINDOW`` bytes with all their occurrences: (repeat, length, occurrences, open_right, doc_id, start), one row for each occurrence.
+
+    A repeat is a string that starts at two places or more, not all of which go on alike to the left or to the right; the end of a text is unlike anything. ``repeat`` is the SHA-256 of its bytes.
+    Each is found once, at the anchor of its first window, where its left end is always in sight; to the right, ``reach`` bytes (``WINDOW`` at least) from that anchor on are compared. Members that are alike
+    that far are one group with ``open_right``: its length is what was compared, and repeats that part beyond are not told apart. With a reach of the longest text nothing is open.
+
+    Surroundings that occur more than once take part in the trees as one row with its count, and get their occurrences back by a join. A gram with over ``IN_TASK`` surroundings is split into parts by the left end
+    of its repeats, and each part by ``WINDOW`` - ``PART`` shared bytes, so that a task holds the different surroundings of one such string.
+    Null texts count as empty, texts below ``WINDOW`` bytes have no repeats, repeated rows are occurrences each, null ids are ids, other columns are ignored, no rows give no rows.
+    """
+    if reach < WINDOW:
+        raise ValueError(f"reach is {WINDOW} bytes at least")
+    scratch = Scratch(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.xxhash64(F.col(id_col), text).alias("rid"), F.col(id_col).alias("doc_id"), text.alias("text")).where(F.octet_length("text") >= WINDOW)
+    found = base.select("rid", "text").mapInArrow(lambda batches: _anchor_rows(batches, BEFORE + 1, reach), "rid long, pos long, gram long, around long")
+    found = scratch.write(found)
+    often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    twice = scratch.write(found.join(often.hint("shuffle_merge"), "gram"))
+    scratch.drop(found)
+    kinds = scratch.write(twice.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("one")))
+    wanted = kinds.groupBy("one.rid").agg(F.collect_list(F.struct("one.pos", "gram", "around", (F.col("n") > 1).alias("many"))).alias("wanted"))
+
+    def contexts_of(batches):
+        schema = pa.schema([("gram", pa.int64()), ("around", pa.int64()), ("many", pa.bool_()), ("after", pa.binary()), ("before", pa.binary())])
+        for batch in batches:
+            for texts, places in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
+                raw = texts.as_py().encode()
+                for at in range(0, len(places), 1000):
+                    part = places[at : at + 1000]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array([w[c] for w in part], schema.field(c).type) for c in ("gram", "around", "many")), pa.array([raw[w["pos"] : w["pos"] + reach] for w in part], pa.binary()),
+                         pa.array([raw[max(0, w["pos"] - BEFORE - 1) : w["pos"]][::-1] for w in part], pa.binary())], schema=schema,
+                    )
+
+    texts = base.dropDuplicates(["rid"]).select("rid", "text")
+    contexts = scratch.write(texts.join(wanted.hint("shuffle_merge"), "rid").select("text", "wanted").mapInArrow(contexts_of, "gram long, around long, many boolean, after binary, before binary"))
+    hot = scratch.write(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > IN_TASK).select("gram"))
+    whole = contexts.join(hot.hint("shuffle_merge"), "gram", "left_anti").withColumns({"key": F.col("gram"), "part": F.lit(None).cast("int")})
+    parted = contexts.join(hot.hint("shuffle_merge"), "gram").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(BEFORE // PART - 1))))
+    parted = parted.where(f"octet_length(before) >= {PART} * part AND octet_length(after) >= {WINDOW - PART} - {PART} * part")
+    shared = [F.expr(f"substring(after, 1, {WINDOW - PART} - {PART} * part)"), F.expr(f"substring(before, 1, {PART} * part)")]
+    rows = whole.unionByName(parted.withColumn("key", F.xxhash64("gram", "part", *shared)))
+    rows = rows.select("key", "gram", "around", "many", "part", "after", "before").repartition("key").sortWithinPartitions("key", "part", "gram")
+    groups = scratch.write(rows.mapInArrow(_group_rows, "gram long, repeat string, left long, right long, around long"))
+    met = groups.join(twice.hint("shuffle_merge"), ["gram", "around"])
+    met = scratch.write(met.select("rid", "repeat", (F.col("left") + F.col("right")).alias("length"), (F.col("right") == reach).alias("open_right"), (F.col("pos") - F.col("left")).alias("start")).distinct())
+    scratch.drop(twice, kinds, contexts, hot, groups)
+    ids = base.select("rid", "doc_id")
+    placed = scratch.write(met.join(ids.hint("shuffle_merge"), "rid").select("repeat", "length", "open_right", "doc_id", "start"))
+    scratch.drop(met)
+    sizes = placed.groupBy("repeat").agg(F.count("*").alias("occurrences"))
+    return placed.join(sizes.hint("shuffle_merge"), "repeat").select("repeat", "length", "occurrences", "open_right", "doc_id", "start")
+
+
 def _merged(spans, size: int) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted((s["a"], min(s["b"], size)) for s in spans or ()):

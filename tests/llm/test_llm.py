@@ -255,7 +255,61 @@ def test_segments_of_long_texts_have_the_same_anchors(monkeypatch):
     whole = suffixdedup.anchors(text)
     monkeypatch.setattr(suffixdedup, "SEGMENT", 1000)
     cut = suffixdedup.anchors(text)
-    assert set(zip(*map(list, whole))) == set(zip(*map(list, cut)))
+    assert list(zip(*map(list, whole))) == list(zip(*map(list, cut)))
+
+
+def test_very_long_text_without_repeats_stays_whole(spark):
+    text = bytes(np.random.default_rng(1).integers(97, 123, 3_400_000, dtype=np.uint8)).decode()
+    assert suffixdedup.remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().n_removed == 0
+
+
+def maximal_repeats(texts: list[bytes], size: int = 200) -> dict[bytes, set]:
+    """Maximal repeats of at least ``size`` bytes and where they start, by growing the places of each repeated window to the right byte by byte."""
+    places: dict[bytes, list] = {}
+    for t, b in enumerate(texts):
+        for k in range(len(b) - size + 1):
+            places.setdefault(b[k : k + size], []).append((t, k))
+    found, open_ = {}, [(size, p) for p in places.values() if len(p) > 1]
+    while open_:
+        length, where = open_.pop()
+        after: dict = {}
+        for t, k in where:
+            after.setdefault(texts[t][k + length] if k + length < len(texts[t]) else (t, k), []).append((t, k))
+        before = {texts[t][k - 1] if k else (t, k) for t, k in where}
+        if len(after) > 1 and len(before) > 1:
+            found[texts[where[0][0]][where[0][1] : where[0][1] + length]] = set(where)
+        open_ += [(length + 1, p) for p in after.values() if len(p) > 1]
+    return found
+
+
+@pytest.mark.parametrize(("in_task", "reach"), [(20_000, 5_000), (2, 5_000), (20_000, 200)])
+def test_repeat_groups_match_brute_force(spark, in_task, reach, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "IN_TASK", in_task)
+    rng = np.random.default_rng(3)
+
+    def noise(n):
+        return bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+
+    p, q, r = noise(260), noise(420), noise(900)
+    texts = [noise(90) + p + noise(50), p + noise(300), "x" + p[:230] + noise(40) + q, q, noise(30) + q[100:] + p, q[:330] + "é" + r, r + q[:330], r, r, "ab" * 300, noise(10) + "ab" * 150, None, "", noise(199), p[:199]]
+    texts += [r[:k] + "#" + r[k + 1 :] for k in (150, 260, 400, 650)]
+    rows = [(None if i == 3 else i, t, "other") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, repeat string")
+    raws = [(t or "").encode() for t in texts]
+    got: dict = {}
+    for g in suffixdedup.repeat_groups(docs, reach=reach).collect():
+        got.setdefault((g.repeat, g.length, g.occurrences, g.open_right), set()).add((3 if g.doc_id is None else g.doc_id, g.start))
+    assert all(len(where) == key[2] for key, where in got.items())
+    if reach > 1000:
+        want = {(hashlib.sha256(s).hexdigest(), len(s), len(where), False): where for s, where in maximal_repeats(raws).items()}
+        assert got == want and len(want) > 20
+    else:
+        assert any(key[3] for key in got)
+        for (digest, length, _, _), where in got.items():
+            t, k = min(where)
+            s = raws[t][k : k + length]
+            assert hashlib.sha256(s).hexdigest() == digest and where == {(t, k) for t, b in enumerate(raws) for k in range(len(b) - length + 1) if b[k : k + length] == s}
+    assert suffixdedup.repeat_groups(docs.limit(0)).count() == 0
 
 
 def test_packing(spark):
