@@ -224,19 +224,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     found = scratch.write(docs.mapInArrow(_anchor_rows, "rid long, pos long, gram long, around long"))
-    often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    often = scratch.write(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))  # written, so that adaptive execution can split a frequent gram in the join
     twice = scratch.write(found.join(often.hint("shuffle_merge"), "gram"))
     scratch.drop(found)
     kinds = scratch.write(twice.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("one")))
-    grams = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles"))
-    open_ = kinds.join(grams.where("kinds > 1 AND singles > 0").hint("shuffle_merge"), "gram")
+    grams = scratch.write(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles")).where("kinds > 1 AND singles > 0"))
+    open_ = kinds.join(grams.hint("shuffle_merge"), "gram")
     open_ = scratch.write(open_.select("gram", "kinds", "one.rid", "one.pos", (F.col("n") == 1).alias("single")))
     equal = twice.join(kinds.where("n > 1").select("gram", "around").hint("shuffle_merge"), ["gram", "around"])
     equal = scratch.write(equal.select("rid", (F.col("pos") - F.least(F.col("pos"), F.lit(BEFORE))).alias("a"), (F.col("pos") + WINDOW).alias("b")))
     wanted = open_.groupBy("rid").agg(F.collect_set(F.struct("pos", "gram", "single")).alias("wanted"))
     contexts = docs.join(wanted.hint("shuffle_merge"), "rid").select("rid", "text", "wanted").mapInArrow(_context_rows, "rid long, pos long, gram long, single boolean, after binary, before binary")
     contexts = scratch.write(contexts.dropDuplicates(["rid", "pos"]))
-    scratch.drop(twice, kinds)
+    scratch.drop(twice, kinds, often, grams)
     hot = scratch.write(open_.where(F.col("kinds") > IN_TASK).select("gram").distinct())
     bounded = contexts.join(hot.hint("shuffle_hash"), "gram", "left_anti").select("rid", "pos", "gram", "single", "after", "before")
     spans = bounded.repartition("gram").sortWithinPartitions("gram").mapInArrow(_tree_rows, _SPANS)
@@ -302,7 +302,7 @@ def repeat_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     base = docs.select(F.xxhash64(F.col(id_col), text).alias("rid"), F.col(id_col).alias("doc_id"), text.alias("text")).where(F.octet_length("text") >= WINDOW)
     found = base.select("rid", "text").mapInArrow(lambda batches: _anchor_rows(batches, BEFORE + 1, reach), "rid long, pos long, gram long, around long")
     found = scratch.write(found)
-    often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    often = scratch.write(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))  # written, so that adaptive execution can split a frequent gram in the join
     twice = scratch.write(found.join(often.hint("shuffle_merge"), "gram"))
     scratch.drop(found)
     kinds = scratch.write(twice.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("one")))
@@ -332,7 +332,7 @@ def repeat_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     groups = scratch.write(rows.mapInArrow(_group_rows, "gram long, repeat string, left long, right long, around long"))
     met = groups.join(twice.hint("shuffle_merge"), ["gram", "around"])
     met = scratch.write(met.select("rid", "repeat", (F.col("left") + F.col("right")).alias("length"), (F.col("right") == reach).alias("open_right"), (F.col("pos") - F.col("left")).alias("start")).distinct())
-    scratch.drop(twice, kinds, contexts, hot, groups)
+    scratch.drop(twice, kinds, contexts, hot, groups, often)
     ids = base.select("rid", "doc_id")
     placed = scratch.write(met.join(ids.hint("shuffle_merge"), "rid").select("repeat", "length", "open_right", "doc_id", "start"))
     scratch.drop(met)
