@@ -418,3 +418,36 @@ def test_scope_removes_what_was_written_inside(spark):
     assert kept.count() == 5 and not inner.paths and outer.paths
     outer.drop(kept)
     assert not outer.paths
+
+
+def shuffled_above_pairs(df):
+    """Whether the plan of ``df`` shuffles above the join in which pairs meet."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    return "Exchange" in plan.split("SortMergeJoin")[0]
+
+
+def test_co_locations_equal_the_product_and_are_not_shuffled(spark):
+    import random
+
+    rnd = random.Random(8)
+    data = [(rnd.randrange(12), rnd.choice("KL"), rnd.randrange(6)) for _ in range(90)] + [(None, "K", 1), (1, None, 1), (1, "K", None)]
+    known = [(rnd.randrange(12), rnd.randrange(12)) for _ in range(15)] + [(None, 3)]
+    there = {d for d in data if None not in d}
+    hidden = {frozenset(k) for k in known}
+    want = {}
+    for p, place, slot in there:
+        for q, other, same in there:
+            if p < q and (place, slot) == (other, same) and frozenset((p, q)) not in hidden:
+                want[p, q, place] = want.get((p, q, place), 0) + 1
+    found = detect.co_locations(spark.createDataFrame(data, "person int, location string, slot int"), spark.createDataFrame(known, "a int, b int"))
+    assert {(r.p1, r.p2, r.location): r.joint for r in found.collect()} == want and found.count() == len(want) and max(want.values()) > 1
+    assert not shuffled_above_pairs(found)
+
+
+def test_pairs_carry_both_members(spark):
+    from caseweave.plans.blocks import pairs_carrying
+
+    table = spark.createDataFrame([("g", i, f"v{i}") for i in range(9)] + [(None, 1, "x"), ("g", None, "y")], "k string, m int, v string")
+    for block_rows in (1, 4, 2000):
+        assert sorted(map(tuple, pairs_carrying(table, ["k"], "m", ["v"], block_rows).collect())) == [("g", i, j, f"v{i}", f"v{j}") for i in range(9) for j in range(i + 1, 9)]
