@@ -451,3 +451,10 @@ def test_pairs_carry_both_members(spark):
     table = spark.createDataFrame([("g", i, f"v{i}") for i in range(9)] + [(None, 1, "x"), ("g", None, "y")], "k string, m int, v string")
     for block_rows in (1, 4, 2000):
         assert sorted(map(tuple, pairs_carrying(table, ["k"], "m", ["v"], block_rows).collect())) == [("g", i, j, f"v{i}", f"v{j}") for i in range(9) for j in range(i + 1, 9)]
+
+
+def test_alerts_are_not_shuffled_for_the_rules(spark):
+    rules = spark.createDataFrame([("x", False), ("y", True)], "rule_type string, is_enabled boolean")
+    found = detect.run_all({t: spark.range(3).withColumn("alert_type", F.lit(t)) for t in "xyz"}, rules)
+    assert sorted(r.alert_type for r in found.collect()) == ["y"] * 3 + ["z"] * 3
+    assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
