@@ -458,3 +458,42 @@ def test_alerts_are_not_shuffled_for_the_rules(spark):
     found = detect.run_all({t: spark.range(3).withColumn("alert_type", F.lit(t)) for t in "xyz"}, rules)
     assert sorted(r.alert_type for r in found.collect()) == ["y"] * 3 + ["z"] * 3
     assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_signature_pairs_are_scored_where_they_meet(spark):
+    from caseweave import catalog
+
+    c = catalog._view(spark, "/root/testdata/sf0.001", "caserec").where("case_id < 120").withColumn("signatures", F.transform("signatures", lambda s: F.substring(s, 1, 6))).cache()
+    found = linkage.score_signature_pairs(c)
+    side = lambda n: c.select(F.col("case_id").alias(f"case_{n}"), F.col("signatures").alias(f"s_{n}"))
+    want = linkage.score_pairs(c, side("a").crossJoin(side("b")).where("case_a < case_b AND arrays_overlap(s_a, s_b)").select("case_a", "case_b"))
+    assert rows(found) == rows(want) and found.count() > 100
+    assert not shuffled_above_pairs(found)
+    for query in ("sim6_composite", "sim10_text_links", "sim10_all_text_links"):
+        assert not shuffled_above_pairs(catalog.QUERIES[query](spark, "/root/testdata/sf0.001"))
+
+
+def test_text_links_equal_the_triangle(spark):
+    import itertools
+    import random
+
+    rnd = random.Random(5)
+    some = lambda xs, most: rnd.choice([None, rnd.sample(xs, rnd.randrange(most)), rnd.choices(xs, k=rnd.randrange(most))])
+    data = [(i, some("abcde", 4), some("npq", 3), rnd.choice([None, {}, {"w": ["x"]}, {"w": some("xy", 3), "v": some("xy", 3)}]), some([20, 30, 41], 3), some(["f", "m"], 3), some("rs", 3)) for i in range(40)]
+    schema = "case_id int, terms array<string>, names array<string>, methods map<string, array<string>>, ages array<int>, genders array<string>, risks array<string>"
+    part = lambda x, y: len(set(x or ()) & set(y or ())) / len(set(x or ()) | set(y or ())) if x or y else 0.0
+    mean = lambda xs: sum(xs) / len(xs) if xs else 0.0
+    want = {}
+    for a, b in itertools.combinations(data, 2):
+        ma, mb = ({d: v for d, v in (x[3] or {}).items() if v is not None} for x in (a, b))
+        near = [max(0.0, 1 - abs(mean(a[4]) - mean(b[4])) / 15)] if a[4] and b[4] else []
+        near += [float(sorted(a[5]) == sorted(b[5]))] if a[5] and b[5] else []
+        near += [part(a[6], b[6])] if a[6] or b[6] else []
+        signature = part(a[1], b[1])
+        score = 0.40 * signature + 0.25 * mean([part(ma.get(d), mb.get(d)) for d in {**ma, **mb}]) + 0.20 * mean(near) + 0.15 * part(a[2], b[2])
+        want[a[0], b[0]] = (score, signature)
+    cases = spark.createDataFrame(data, schema)
+    got = {(r.case_a, r.case_b): round(r.score, 9) for r in series.text_links(cases).collect()}
+    assert got == {k: round(s, 9) for k, (s, _) in want.items() if s >= 0.25} and len(got) > 50
+    got = series.text_links(cases, 0.0, 0.1).collect()
+    assert sorted((r.case_a, r.case_b) for r in got) == sorted(k for k, (_, s) in want.items() if s > 0.1)
