@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caseweave.operators.graph import TYPE_WEIGHTS, canonical_entities, roll_up_edges
 from caseweave.plans.fixpoint import connected_components
+from caseweave.plans.scratch import Scratch
 
 # Roles whose edges don't count, states of an alert, weights of signals.
 EXCLUDED_ROLES = "witness|victim|complainant"
@@ -177,15 +181,29 @@ def case_clusters(links: DataFrame, minimum: float = 60.0) -> DataFrame:
 def near_vectors(points: DataFrame, flags: list[str], dims: list[str], eps: float = 0.45) -> DataFrame:
     """(id, cluster) of density clusters with two points at least: components of the graph of points closer than ``eps``; a point without one is left out.
 
-    Flags are 0 or 1 and ``eps`` is below 1, so near points agree in all of them: they are an equi-join, on the others' cells of width ``eps`` in the first
-    dimension, with the cell beside.
+    Flags are 0 or 1 and ``eps`` is below 1, so near points agree in all of them. Points of one cell, a little narrower than ``eps`` over the root of the number of dimensions, are
+    all near each other, so cells are what is joined: two cells are near if two of their points are. Equal points count once, and pairs of points are neither shuffled nor written.
     """
-    cell = points.withColumn("cell", F.floor(F.col(dims[0]) / eps).cast("long"))
-    left = cell.select(F.col("id").alias("a"), *[F.col(f).alias(f) for f in flags], *[F.col(d).alias(f"a_{d}") for d in dims], F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    right = cell.select(F.col("id").alias("b"), *flags, "cell", *[F.col(d).alias(f"b_{d}") for d in dims])
-    square = sum((F.pow(F.col(f"a_{d}") - F.col(f"b_{d}"), 2) for d in dims[1:]), F.pow(F.col(f"a_{dims[0]}") - F.col(f"b_{dims[0]}"), 2))
-    near = left.join(right.hint("shuffle_merge"), [*flags, "cell"]).where(F.expr("a < b") & (square <= eps * eps)).select("a", "b").distinct()
-    return connected_components(near, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    side = eps / math.sqrt(len(dims)) * (1 - 1e-9)
+    reach = math.ceil(eps / side)
+    cells = [f"cell_{i}" for i in range(len(dims))]
+    finite = reduce(lambda x, y: x & y, [F.abs(F.col(d)) < float("inf") for d in dims])
+    placed = points.dropna(subset=["id", *flags, *dims]).where(finite).withColumns({c: F.floor(F.col(d) / side).cast("long") for c, d in zip(cells, dims)})
+    key = [*flags, *cells]
+    scratch = Scratch(points.sparkSession)
+    spots = scratch.write(placed.groupBy(*key, *dims).agg(F.min("id").alias("id"), F.count_distinct("id").alias("n")))
+    groups = scratch.write(spots.groupBy(*key).agg(F.min("id").alias("root"), F.sum("n").alias("n")))
+    own = spots.join(groups.drop("n").hint("shuffle_merge"), key).select(*key, *dims, "root")
+    left = own.withColumnsRenamed({d: f"a_{d}" for d in dims} | {"root": "a"})
+    for c in cells:
+        left = left.withColumn(c, F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach)))
+    right = own.withColumnsRenamed({d: f"b_{d}" for d in dims} | {"root": "b"})
+    square = reduce(lambda x, y: x + y, [F.pow(F.col(f"a_{d}") - F.col(f"b_{d}"), 2) for d in dims])
+    near = scratch.write(left.join(right.hint("shuffle_merge"), key).where(F.expr("a < b") & (square <= eps * eps)).select("a", "b").distinct())
+    joined = connected_components(near, "a", "b")
+    root = groups.join(joined.select(F.col("node").alias("root"), "component").hint("shuffle_merge"), "root", "left")
+    kept = root.where("component IS NOT NULL OR n > 1").select(*key, F.coalesce("component", "root").alias("cluster"))
+    return placed.select("id", *key).join(kept.hint("shuffle_merge"), key).select("id", "cluster").distinct()
 
 
 def merged_graphs(nodes: DataFrame, key: list[str], first: str) -> DataFrame:

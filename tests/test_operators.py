@@ -497,3 +497,56 @@ def test_text_links_equal_the_triangle(spark):
     assert got == {k: round(s, 9) for k, (s, _) in want.items() if s >= 0.25} and len(got) > 50
     got = series.text_links(cases, 0.0, 0.1).collect()
     assert sorted((r.case_a, r.case_b) for r in got) == sorted(k for k, (_, s) in want.items() if s > 0.1)
+
+
+def test_density_clusters_join_cells_not_points(spark, monkeypatch):
+    import random
+
+    from caseweave.operators import rollups
+
+    rnd = random.Random(3)
+    points = [(i, rnd.randrange(2), round(rnd.uniform(-3, 3), 2), round(rnd.uniform(0, 1.5), 2)) for i in range(60)] + [(i, 1, 9.0, 9.0) for i in range(100, 400)] + [(900, 1, 50.0, 0.0), (901, 1, None, 0.0), (902, 1, float("nan"), 0.0), (903, 0, float("inf"), 0.0)]
+    good = [p for p in points if p[0] < 901]
+    near = lambda p, q: p[1] == q[1] and (p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2 <= 0.45 * 0.45
+    root = {p[0]: p[0] for p in good}
+    while True:
+        low = {p[0]: min(root[q[0]] for q in good if near(p, q)) for p in good}
+        if low == root:
+            break
+        root = low
+    want = {i: r for i, r in root.items() if list(root.values()).count(r) > 1}
+    edges = []
+    plain = rollups.connected_components
+    monkeypatch.setattr(rollups, "connected_components", lambda df, *ends: edges.append(df.count()) or plain(df, *ends))
+    got = rollups.near_vectors(spark.createDataFrame(points, "id int, f int, x double, y double"), ["f"], ["x", "y"]).collect()
+    assert {r.id: r.cluster for r in got} == want and len(got) == len(want) and 900 not in want
+    assert edges[0] < 1000  # the 300 equal points alone have 44,850 pairs
+
+
+def test_tf_idf_equals_the_definition_and_shuffles_kept_terms(spark):
+    from collections import Counter
+
+    texts = {1: "the red fox runs, red fox", 2: "A red whale", 3: None, 4: "whale whale red fox", 5: "x"}
+    bags = {}
+    for i, t in texts.items():
+        words = [w for w in __import__("re").findall(r"\w\w+", (t or "").lower()) if w != "the"]
+        bags[i] = Counter(words + [" ".join(p) for p in zip(words, words[1:])])
+    kept = sorted(Counter(sum(bags.values(), Counter())).items(), key=lambda kv: (-kv[1], kv[0]))[:4]
+    df = {t: sum(t in b for b in bags.values()) for t, _ in kept}
+    want = {}
+    for i, b in bags.items():
+        x = {t: (1 + math.log(b[t])) * (math.log(6 / (1 + df[t])) + 1) for t in df if t in b}
+        want |= {(i, t): round(v / math.sqrt(sum(u * u for u in x.values())), 9) for t, v in x.items()}
+    found = linkage.tf_idf(spark.createDataFrame(list(texts.items()), "doc_id int, text string"), ["the"], 4)
+    assert {(r.doc_id, r.term): round(r.weight, 9) for r in found.collect()} == want
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_lowered_once(spark):
+    from caseweave import catalog
+
+    for query in ("txt24_severity", "txt28_method_indicators", "txt29_victim_signals"):
+        assert catalog.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    clears = ["cleared", "exonerated", "acquitted", "falsely accused", "wrongfully accused", "not implicated", "no evidence", "dismissed", "exonerate", "innocent", "not charged", "dropped charge", "witness only", "present at", "merely present", "not involved", "no involvement"]
+    d = spark.createDataFrame([(f"murder {c}",) for c in clears], "t string")
+    assert {round(r[0], 6) for r in d.select(text.severity(F.col("t"))).collect()} == {0.15}
