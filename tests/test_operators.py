@@ -89,6 +89,24 @@ def test_betweenness_of_path_and_star(spark):
     assert abs(got[0] - 1) < 0.01 and got[1] == 0
 
 
+def test_betweenness_drops_arcs_off_shortest_paths(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(a, b, rnd.expovariate(1.0) + 1e-3) for a in range(60) for b in range(a + 1, 60)] + [(100, 101, 1.0), (101, 102, 1.0), (100, 102, 2.0)]
+    edges = spark.createDataFrame(rows, "a long, b long, weight double")
+    want = {r.node: r.centrality for r in graph.betweenness_centrality(edges).collect()}
+
+    def joined(*_):
+        raise AssertionError("the arcs of shortest paths fit a task")
+
+    monkeypatch.setattr(graph, "relaxed_betweenness", joined)
+    monkeypatch.setattr(graph, "PRUNED_ARCS", 0, raising=False)
+    monkeypatch.setattr(graph, "BROADCAST_ARCS", len(rows))  # half of both directions
+    got = {r.node: r.centrality for r in graph.betweenness_centrality(edges).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_sampled_betweenness_keeps_its_bound(spark, monkeypatch):
     import random
 
