@@ -277,3 +277,26 @@ def test_connectivity_and_bridges(spark):
     own, on_edges = spark.createDataFrame([(1, 7), (2, None)], "node int, case_id int"), spark.createDataFrame([(2, 1, 8)], "a int, b int, case_id int")
     got = {r.node: (r.outside, r.cases, r.cross_case) for r in profiles.case_bridges(edges.where("a = 1"), labels, own, on_edges).collect()}
     assert got == {1: (1, 2, True), 2: (1, 1, False)}
+
+
+def test_contacts_are_read_once_and_few_events_make_no_blocks(spark, monkeypatch):
+    def blocks(*_):
+        raise AssertionError("a case of one event needs no blocks")
+
+    monkeypatch.setattr(incidents, "_blocks", blocks)
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    rows = [("p", "q", 1, day(0), 2.0), ("q", "p", 1, day(50), 4.0), ("p", "q", 2, day(90), None), ("p", "r", 1, day(1), 1.0), ("p", "p", 1, day(1), 1.0)]
+    contacts = spark.createDataFrame(rows, "src string, dst string, case_id long, ts timestamp, weight double")
+    events = spark.createDataFrame([(1, 7, day(20), "arrest"), (2, 3, day(200), "raid")], "case_id long, event_id long, ts timestamp, label string")
+    (got,) = incidents.correlated_bursts(contacts, events).collect()
+    assert (got.a, got.b, got.n, got.cases, got.avg_weight, got.event_id, got.event_label) == ("p", "q", 3, 2, 3.0, 7, "arrest")
+    numbers = spark.createDataFrame([("q",), ("r",)], "number string")
+    assert {(r.number, r.n, r.days, r.event_id) for r in incidents.burner_numbers(contacts, numbers, events).collect()} == {("q", 3, 90, 7), ("r", 1, 0, None)}
+    # both forms give the same
+    monkeypatch.undo()
+    windows = spark.createDataFrame([("w", 1, day(0), day(4)), ("v", 2, day(300), day(301))], "id string, case_id long, first_ts timestamp, last_ts timestamp")
+    plain = sorted(incidents.correlate(windows, events).collect())
+    many = events.union(spark.createDataFrame([(1, 100 + i, day(30 + i), "late") for i in range(40)], events.schema))
+    assert sorted(incidents.correlate(windows, many).collect()) == plain == []
+    wide = windows.withColumn("last_ts", F.col("last_ts") + F.expr("INTERVAL 40 DAYS"))
+    assert [tuple(r) for r in incidents.correlate(wide, many).collect()] == [("w", 1, 7, "arrest", 19)]
