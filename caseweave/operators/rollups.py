@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caseweave.operators.graph import TYPE_WEIGHTS, canonical_entities, roll_up_edges
+from caseweave.plans.blocks import dealt
 from caseweave.plans.fixpoint import connected_components
 from caseweave.plans.scratch import Scratch
 
@@ -67,10 +68,14 @@ def shared_values(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
 
 def shared_associates(pairs: DataFrame, edges: DataFrame, minimum: int = 2) -> DataFrame:
     """(a, b, n): neighbours that both entities of a given pair have, from ``minimum`` on."""
-    near = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("entity_id", "other").distinct()
+    scratch = Scratch(edges.sparkSession)
+    asked = pairs.select("a", "b").distinct()
+    members = asked.select(F.explode(F.array("a", "b")).alias("entity_id")).distinct()
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("entity_id"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("entity_id"), F.col("src").alias("other")))).alias("x")).select("x.*")
+    near = scratch.write(dealt(ends, "entity_id").join(members.hint("shuffle_merge"), "entity_id", "left_semi").distinct())  # edges are read once, and kept where a pair asks
     a = near.select(F.col("entity_id").alias("a"), "other")
     b = near.select(F.col("entity_id").alias("b"), "other")
-    met = pairs.select("a", "b").distinct().join(a.hint("shuffle_merge"), "a").join(b.hint("shuffle_merge"), ["b", "other"])
+    met = dealt(dealt(asked, "a").join(a.hint("shuffle_merge"), "a"), "b", "other").join(b.hint("shuffle_merge"), ["b", "other"])
     return met.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= minimum)
 
 

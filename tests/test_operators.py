@@ -568,3 +568,11 @@ def test_texts_are_lowered_once(spark):
     clears = ["cleared", "exonerated", "acquitted", "falsely accused", "wrongfully accused", "not implicated", "no evidence", "dismissed", "exonerate", "innocent", "not charged", "dropped charge", "witness only", "present at", "merely present", "not involved", "no involvement"]
     d = spark.createDataFrame([(f"murder {c}",) for c in clears], "t string")
     assert {round(r[0], 6) for r in d.select(text.severity(F.col("t"))).collect()} == {0.15}
+
+
+def test_many_small_tasks_and_same_counts(spark):
+    cores = spark.sparkContext.defaultParallelism
+    contacts = spark.createDataFrame([("p", "q", 1, 1, 2.0), ("q", "p", None, 2, None), ("p", "q", 1, 3, 4.0), ("q", "q", 1, 4, 4.0), (None, "q", 1, 5, 4.0)], "src string, dst string, case_id int, ts int, weight double")
+    by_case = detect.contacts_by_case(contacts)
+    assert by_case.rdd.getNumPartitions() == 16 * cores
+    assert [tuple(r) for r in detect.pair_counts(contacts).collect()] == [("p", "q", 3, 1, 3.0, 1, 3)]
