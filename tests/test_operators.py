@@ -576,3 +576,18 @@ def test_many_small_tasks_and_same_counts(spark):
     by_case = detect.contacts_by_case(contacts)
     assert by_case.rdd.getNumPartitions() == 16 * cores
     assert [tuple(r) for r in detect.pair_counts(contacts).collect()] == [("p", "q", 3, 1, 3.0, 1, 3)]
+
+
+def test_family_words_stand_in_every_hit(spark):
+    import re
+
+    texts = [
+        "Placed neatly on a shelf. small KEY found; key placed near the body, a Trophy, deliberately left", "dead  frequency, radio off air, transmitted then static only, tuned to a dead station, BACKUP frequency transmitted 3 seconds of dead air",
+        "missing item, took a single mug, gap in the pegboard, only noticed the gap, first indication of taking", "found alone, often stayed late, working at night, no evidence of struggle, door was unlocked completely out of character",
+        "county and separate; cross-jurisdiction, multi county", "interval growing, 3, 5, 9 days, time since prior case: 4 days", "former teacher, broadcast, filing, security", "records of access", "plain text", "\u0130nterval \u212aey longer", None, "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {(r.doc_id, r.family): r.matches for r in series.signature_families(docs).collect()}
+    want = {(i, f): n for i, t in enumerate(texts) for f, (_, ps) in series.SIGNATURE_FAMILIES.items() if (n := sum(min(3, len(re.findall(f"(?ia){p}", t or ""))) for p in ps))}
+    assert got == want and {f for _, f in got} == set(series.SIGNATURE_FAMILIES)
+    assert all(len(series.FAMILY_WORDS[f]) == len(ps) for f, (_, ps) in series.SIGNATURE_FAMILIES.items())
