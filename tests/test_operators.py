@@ -591,3 +591,12 @@ def test_family_words_stand_in_every_hit(spark):
     want = {(i, f): n for i, t in enumerate(texts) for f, (_, ps) in series.SIGNATURE_FAMILIES.items() if (n := sum(min(3, len(re.findall(f"(?ia){p}", t or ""))) for p in ps))}
     assert got == want and {f for _, f in got} == set(series.SIGNATURE_FAMILIES)
     assert all(len(series.FAMILY_WORDS[f]) == len(ps) for f, (_, ps) in series.SIGNATURE_FAMILIES.items())
+
+
+def test_paths_of_long_flows_carry_no_cases(spark):
+    rows = [(1, 2, "x"), (1, 2, "y"), (2, 3, "x"), (3, 4, None), (4, 1, "z"), (4, 1, "z"), (2, 5, "w"), (5, 5, "w")]
+    flows = spark.createDataFrame(rows, "src int, dst int, case_id string")
+    got = detect.long_circular_flows(flows)
+    assert [(r.path, r.cases) for r in got.collect()] == [([1, 2, 3, 4], 3)]
+    assert len(got.inputFiles()) > 0  # closed cycles are written before their cases are looked up
+    assert detect.long_circular_flows(flows.where("src < 4")).collect() == []
