@@ -8,13 +8,15 @@ from pyspark.sql.window import Window
 
 from caseweave.functions import sorted_tokens, token_sort_ratio
 from caseweave.operators.linkage import recommendation
-from caseweave.operators.rollups import SIGNALS, signals
-from caseweave.plans.blocks import pairs_within
+from caseweave.operators.rollups import SIGNALS
+from caseweave.plans.blocks import dealt, pairs_within
 from caseweave.plans.scratch import Scratch
 
 # Signals that count for partial names, and the ratio that fathers' names must exceed.
 STRONG = ["identical_phone", "identical_address", "identical_dob", "identical_father_name"]
 FATHER_RATIO = 0.85
+#: Kinds of attributes that count as evidence.
+KINDS = ["phone", "address", "dob", "father_name", "physical"]
 
 
 def _numbered(grams: Column) -> Column:
@@ -97,26 +99,88 @@ def name_scores(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     return met.where("fixed IS NOT NULL").select("a", "b", F.col("fixed").alias("similarity")).unionByName(best)
 
 
-def evidence_pairs(entities: DataFrame, attributes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(a, b) of entities of a type that something but their names brings together: a case, an attribute value, two associates, or fathers of similar names."""
-    kinds = [s.removeprefix("identical_") for s in STRONG] + ["physical"]
-    by_value = pairs_within(attributes.where(F.col("kind").isin(kinds)), ["kind", "value"], "entity_id").select("a", "b")
-    by_case = pairs_within(entities, ["case_id"], "entity_id").select("a", "b")
+def _alike_fathers(facts: DataFrame) -> DataFrame:
+    """(name, other), both ways: fathers' names that are alike by more than ``FATHER_RATIO``."""
+    alike = similar_names(facts.where("kind = 'father_name'"), FATHER_RATIO, "value").where(F.col("ratio") > FATHER_RATIO)
+    return alike.select(F.col("a").alias("name"), F.col("b").alias("other")).union(alike.select("b", "a"))
+
+
+def _profiles(scratch: Scratch, entities: DataFrame, attributes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Live entities (entity_id, class, partial, have, seek) and their classes (entity_id, entity_type, name, aliases), which are all that names are judged by.
+
+    ``have``: the entity's values as kind=value, its case among them; ``seek``: those and fathers' names like its father's.
+    """
+    none = F.array().cast("array<string>")
+    said = F.lower(F.trim(F.coalesce("name", F.lit(""))))
+    aliases = F.array_sort(F.array_distinct(F.transform(F.array_compact(F.coalesce("aliases", none)), F.lower)))
+    live = entities.where("merged_into IS NULL AND entity_type IS NOT NULL")
+    about = live.select("entity_id", "entity_type", said.alias("name"), aliases.alias("aliases"), (partial(F.col("name")) | F.coalesce("partial_identity", F.lit(False))).alias("partial"), F.col("case_id").cast("string").alias("case"))
+    named = ["entity_type", "name", "aliases"]
+    classes = scratch.write(about.select(*named).distinct().select(F.monotonically_increasing_id().alias("entity_id"), *named))
+    blank = F.lower(F.trim("value")) == ""
+    value = F.when((F.col("kind") == "father_name") & ~blank, F.lower(F.trim("value"))).otherwise(F.col("value").cast("string"))
+    facts = attributes.where(F.col("kind").isin(KINDS) & F.col("value").isNotNull()).select("entity_id", "kind", value.alias("value")).distinct()
+    alike = facts.where("kind = 'father_name'").join(_alike_fathers(facts).hint("shuffle_merge"), F.col("value") == F.col("name")).select("entity_id", "kind", F.col("other").alias("value"))
+    key = F.concat("kind", F.lit("="), "value")
+    keys = facts.withColumn("own", F.lit(True)).unionByName(alike.withColumn("own", F.lit(False))).groupBy("entity_id").agg(F.collect_set(F.when(F.col("own"), key)).alias("have"), F.collect_set(key).alias("seek"))
+    case = F.when(F.col("case").isNotNull(), F.array(F.concat(F.lit("case="), "case"))).otherwise(none)
+    both = [F.array_sort(F.array_union(F.coalesce(c, none), case)).alias(c) for c in ("have", "seek")]
+    numbered = about.join(classes.withColumnRenamed("entity_id", "class").hint("shuffle_merge"), named)
+    who = numbered.join(keys.hint("shuffle_merge"), "entity_id", "left").select("entity_id", "class", "partial", *both)
+    return scratch.write(dealt(who, "entity_id")), classes
+
+
+def _kind(key: Column) -> Column:
+    return F.substring_index(key, "=", 1)
+
+
+def _held(who: DataFrame, keys: str) -> DataFrame:
+    """(entity_id, class, held) for each choice of keys of different kinds that an entity has and that is enough for a match: partial names need two strong ones."""
+    start = F.array(F.array().cast("array<string>"))
+    add = lambda acc, kind: F.concat(acc, F.flatten(F.transform(F.filter(keys, lambda k: _kind(k) == kind), lambda k: F.transform(acc, lambda c: F.concat(c, F.array(k))))))
+    choices = F.aggregate(F.array(*[F.lit(k) for k in [*KINDS, "case"]]), start, add)
+    strong = F.size(F.filter("held", lambda k: F.concat(F.lit("identical_"), _kind(k)).isin(STRONG)))
+    rows = who.select("entity_id", "class", "partial", F.explode(choices).alias("held")).where(F.size("held") > 0)
+    return rows.where(~F.col("partial") | (strong >= 2)).select("entity_id", "class", "held")
+
+
+def _leading(who: DataFrame, scores: DataFrame, limit: int) -> DataFrame:
+    """(a, b, similarity): of each entity the ``limit`` best others that a value or case brings together with it, by number of common kinds, similarity, id; some pairs beyond may be among them.
+
+    Whoever is among an entity's best with the kinds S in common is also among the best by similarity of those that have S in common with it, so only the first ones by similarity are kept for each
+    choice of values and class of names. Each class lists its first ids for each choice, and classes are scored, not entities: groups of any size make no pairs.
+    """
+    order = Window.partitionBy("held", "class").orderBy("entity_id")
+    first = _held(who, "have").withColumn("i", F.row_number().over(order)).where(F.col("i") <= limit + 1)
+    first = first.groupBy("held", F.col("class").alias("other")).agg(F.collect_list("entity_id").alias("ids"))
+    seekers = _held(who, "seek")
+    near = seekers.select("held", "class").distinct().join(scores.hint("shuffle_merge"), "class").join(first.hint("shuffle_merge"), ["held", "other"])
+    ranked = F.transform("ids", lambda i: F.struct((-F.col("similarity")).alias("s"), i.alias("id")))
+    lists = near.groupBy("held", "class").agg(F.slice(F.array_sort(F.flatten(F.collect_list(ranked))), 1, limit + 1).alias("best"))
+    met = seekers.join(lists.hint("shuffle_merge"), ["held", "class"])
+    met = met.select("entity_id", F.transform("best", lambda x: F.struct((-F.size("held")).alias("n"), x["s"].alias("s"), x["id"].alias("id"))).alias("best"))
+    every = met.groupBy("entity_id").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))
+    others = F.filter(F.array_distinct(F.transform("best", lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id")))), lambda x: x["id"] != F.col("entity_id"))
+    found = every.select("entity_id", F.explode(F.slice(others, 1, limit)).alias("x"))
+    return found.select(F.least("entity_id", "x.id").alias("a"), F.greatest("entity_id", "x.id").alias("b"), (-F.col("x.s")).alias("similarity"))
+
+
+def _associates(who: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, ca, cb) of live entities with two common neighbours, and their classes."""
     near = edges.select(F.col("src").alias("entity_id"), F.col("dst").alias("other")).union(edges.select("dst", "src"))
-    friends = pairs_within(near, ["other"], "entity_id").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2").select("a", "b")
-    every = by_value.union(by_case).union(friends).union(father_pairs(attributes)).distinct()
-    live = entities.where("merged_into IS NULL").select("entity_id", "entity_type")
-    a, b = (live.select(F.col("entity_id").alias(c), F.col("entity_type").alias(f"t{c}")) for c in "ab")
-    return every.join(a.hint("shuffle_merge"), "a").join(b.hint("shuffle_merge"), "b").where("ta = tb").select("a", "b")
+    met = pairs_within(near, ["other"], "entity_id").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2").select("a", "b")
+    for end in "ab":
+        met = met.join(who.select(F.col("entity_id").alias(end), F.col("class").alias(f"c{end}")).hint("shuffle_merge"), end)
+    return met.select("a", "b", "ca", "cb")
 
 
-def father_pairs(attributes: DataFrame) -> DataFrame:
-    """(a, b) of entities whose fathers' names are alike by more than ``FATHER_RATIO``."""
-    fathers = attributes.where("kind = 'father_name' AND value IS NOT NULL").select("entity_id", F.lower(F.trim("value")).alias("name")).distinct()
-    alike = similar_names(fathers, FATHER_RATIO).where(F.col("ratio") > FATHER_RATIO)
-    one, two = (fathers.select(F.col("entity_id").alias(f"id_{c}"), F.col("name").alias(c)) for c in "ab")
-    met = alike.join(one.hint("shuffle_merge"), "a").join(two.hint("shuffle_merge"), "b").where("id_a <> id_b")
-    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+def _class_scores(who: DataFrame, classes: DataFrame, friends: DataFrame, minimum: float) -> DataFrame:
+    """(class, other, similarity), both ways, of classes that a value, a case or associates bring together and whose names are similar from ``minimum`` on."""
+    keyed = who.select("class", F.explode("seek").alias("key")).distinct()
+    met = pairs_within(keyed, ["key"], "class").select("a", "b").union(friends.select(F.least("ca", "cb"), F.greatest("ca", "cb"))).union(classes.select("entity_id", "entity_id"))
+    scored = name_scores(met, classes).where(F.col("similarity") >= minimum - 1e-9).select("a", "b", F.round("similarity", 4).alias("similarity"))
+    both = scored.select(F.col("a").alias("class"), F.col("b").alias("other"), "similarity").union(scored.select("b", "a", "similarity").where("a <> b"))
+    return both
 
 
 def candidate_matches(entities: DataFrame, attributes: DataFrame, edges: DataFrame, minimum: float = 0.6, limit: int = 10, case_id=None) -> DataFrame:
@@ -124,26 +188,27 @@ def candidate_matches(entities: DataFrame, attributes: DataFrame, edges: DataFra
 
     entities: (entity_id, entity_type, name, aliases, case_id, partial_identity, merged_into); attributes: (entity_id, kind, value) with kinds phone, address, dob, father_name, physical;
     edges: (src, dst). Both ends are live, of one type, similar from ``minimum`` on, and, with ``case_id``, in that case. Partial names need two strong signals, entities of different cases one;
-    a common case is a signal, so every match has one, and pairs are looked for by evidence: no triangle over names is made and none is lost.
+    a common case is a signal, so every match has one. Only pairs that can be among the best of an end are looked for (``_leading``, and all that share associates): no triangle over names or groups is made and none is lost.
     Ranked by signals, then similarity, then the other's id. Attributes of null value and null cases bring nothing together; entities without attributes match through cases and associates.
+    An entity with many values of several kinds makes one row for each choice of them.
     """
     pool = entities if case_id is None else entities.where(F.col("case_id") == F.lit(case_id))
     scratch = Scratch(entities.sparkSession)
-    pairs = scratch.write(evidence_pairs(pool, attributes, edges))
-    scored = scratch.write(name_scores(pairs, pool).where(F.col("similarity") >= minimum - 1e-9))
-    plain = signals(scored, attributes, edges, pool.select("entity_id", "case_id"))
-    father = father_pairs(attributes).join(scored.select("a", "b").hint("shuffle_merge"), ["a", "b"]).withColumn("father", F.lit(True))
-    found = scored.join(plain.select("a", "b", "signals").hint("shuffle_merge"), ["a", "b"], "left").join(father.hint("shuffle_merge"), ["a", "b"], "left")
-    none = F.array().cast("array<string>")
-    every = F.array_sort(F.array_union(F.coalesce("signals", none), F.when(F.col("father"), F.array(F.lit("identical_father_name"))).otherwise(none)))
-    about = pool.select("entity_id", (partial(F.col("name")) | F.coalesce("partial_identity", F.lit(False))).alias("partial"), "case_id")
-    side = lambda c: about.select(F.col("entity_id").alias(c), F.col("partial").alias(f"p{c}"), F.col("case_id").alias(f"c{c}"))
-    found = found.withColumn("signals", every).join(side("a").hint("shuffle_merge"), "a").join(side("b").hint("shuffle_merge"), "b")
+    who, classes = _profiles(scratch, pool, attributes)
+    friends = scratch.write(_associates(who, edges))
+    scores = scratch.write(_class_scores(who, classes, friends, minimum))
+    alike = scores.select(F.col("class").alias("ca"), F.col("other").alias("cb"), "similarity")
+    known = friends.join(alike.hint("shuffle_merge"), ["ca", "cb"]).select("a", "b", "similarity", F.lit(True).alias("friends"))
+    found = _leading(who, scores, limit).withColumn("friends", F.lit(False)).unionByName(known).groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.max("friends").alias("friends"))
+    side = lambda c, keys: who.select(F.col("entity_id").alias(c), F.col("partial").alias(f"p{c}"), F.col(keys).alias(f"k{c}"))
+    found = found.join(side("a", "have").hint("shuffle_merge"), "a").join(side("b", "seek").hint("shuffle_merge"), "b")
+    kinds = F.array_distinct(F.transform(F.array_intersect("ka", "kb"), lambda k: F.when(_kind(k) == "case", "shared_case").otherwise(F.concat(F.lit("identical_"), _kind(k)))))
+    every = F.array_sort(F.concat(kinds, F.when(F.col("friends"), F.array(F.lit("shared_associates"))).otherwise(F.array().cast("array<string>"))))
     weights = F.create_map(*[F.lit(x) for item in SIGNALS.items() for x in item])
     strong = F.size(F.array_intersect("signals", F.array(*[F.lit(s) for s in STRONG])))
-    found = found.withColumns({"partial": F.col("pa") | F.col("pb"), "n_signals": F.size("signals"), "weight": F.aggregate("signals", F.lit(0.0), lambda acc, s: acc + weights[s])})
-    found = found.where(~F.col("partial") | (strong >= 2)).where(F.col("ca").eqNullSafe(F.col("cb")) | (F.col("n_signals") > 0))
-    found = scratch.write(found.select("a", "b", F.round("similarity", 4).alias("similarity"), "signals", "n_signals", "weight", "partial", recommendation(F.col("n_signals"), F.col("partial")).alias("action")))
+    found = found.withColumn("signals", every).withColumns({"partial": F.col("pa") | F.col("pb"), "n_signals": F.size("signals"), "weight": F.aggregate("signals", F.lit(0.0), lambda acc, s: acc + weights[s])})
+    found = found.where(~F.col("partial") | (strong >= 2))
+    found = scratch.write(found.select("a", "b", "similarity", "signals", "n_signals", "weight", "partial", recommendation(F.col("n_signals"), F.col("partial")).alias("action")))
     ends = found.select(F.col("a").alias("id"), F.col("b").alias("other"), "n_signals", "similarity").union(found.select("b", "a", "n_signals", "similarity"))
     order = Window.partitionBy("id").orderBy(F.col("n_signals").desc(), F.col("similarity").desc(), "other")
     best = ends.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

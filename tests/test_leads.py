@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caseweave import streaming
 from caseweave.operators import decisions, incidents, matching, profiles, routes, tokens
+from caseweave.plans.scratch import Scratch
 from caseweave.sources import stored
 
 
@@ -103,6 +104,26 @@ def test_matches_need_evidence(spark):
     assert matching.candidate_matches(entities.limit(0), facts, edges).collect() == []
 
 
+def test_matches_of_a_large_group_make_no_pairs(spark, monkeypatch):
+    n = 700  # the fathers' names differ in case only
+    names = ["John Smith", "Jon Smith", "Joan Smyth"]
+    entities = spark.createDataFrame([(i, "Person", names[i % 3], None, 1, None, None) for i in range(n)], "entity_id int, entity_type string, name string, aliases array<string>, case_id int, partial_identity boolean, merged_into int")
+    facts = spark.createDataFrame([(0, "father_name", "Peter Smith"), (n - 3, "father_name", " peter SMITH")], "entity_id int, kind string, value string")
+    sizes, write = [], Scratch.write
+
+    def counted(self, df):
+        out = write(self, df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    found = matching.candidate_matches(entities, facts, spark.createDataFrame([], "src int, dst int")).collect()
+    assert max(sizes) <= 10 * n < n * (n - 1) // 2
+    best = {(r.a, r.b): (r.n_signals, r["rank"]) for r in found}
+    assert best[0, n - 3] == (2, 1)
+    assert {b for a, b in best if a == 3} >= {6, 9, 12} and len({x for pair in best for x in pair}) == n
+
+
 def test_correlation_equals_the_product(spark):
     rnd = random.Random(6)
     origin = dt.datetime(1969, 12, 30)
