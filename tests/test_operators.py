@@ -141,6 +141,18 @@ def test_two_cliques_are_two_communities(spark):
     assert {r.node for r in graph.bridges(e, labels).collect()} == {3, 4}
 
 
+def test_communities_keep_one_table_and_any_join(spark, monkeypatch):
+    clique = lambda s: [(a, b, 1.0) for a in range(s, s + 3) for b in range(a + 1, s + 3)]
+    e = spark.createDataFrame(clique(0) + clique(3) + [(2, 3, 1.0)], "a int, b int, weight double")
+    made = []
+    init = graph.Scratch.__init__
+    monkeypatch.setattr(graph.Scratch, "__init__", lambda self, spark: (init(self, spark), made.append(self))[0])
+    got = dict(graph.communities(e).collect())
+    assert len(set(got.values())) == 2 and [len(x.paths) for x in made] == [1]
+    monkeypatch.setattr(graph, "BROADCAST_NODES", 0)
+    assert dict(graph.communities(e).collect()) == got
+
+
 def test_path_costs_differ(spark):
     e = spark.createDataFrame([(0, 1, 1.0), (1, 3, 1.0), (0, 2, 5.0), (2, 3, 5.0)], "a int, b int, weight double")
     best = lambda inverse: graph.paths(e, 0, 3, 3, inverse).orderBy("cost").first().path
