@@ -42,6 +42,17 @@ def test_pair_context(spark):
     assert got[2].signature == "weak" and got[2].surface_words == []
 
 
+def test_texts_of_one_file_are_dealt(spark, monkeypatch):
+    written, write = [], context.Scratch.write
+    monkeypatch.setattr(context.Scratch, "write", lambda self, df: (written.append(df), write(self, df))[1])
+    cases = spark.createDataFrame([(i, "A brass key was placed neatly near the body, and a rope was found there.", None) for i in range(40)], "case_id int, text string, day date").coalesce(1)
+    pairs = spark.createDataFrame([(0, 1)], "a int, b int")
+    found = context.pair_verdicts(pairs, cases, pairs.where("a > 0").withColumn("score", F.lit(1)))
+    share = 1 / 6 * 0.45 + 1 / 3 * 0.30 + 0.1
+    assert [(r.score, r.backend) for r in found.collect()] == [(int(share * 100), "heuristic")]
+    assert written[0].rdd.getNumPartitions() > 1 and written[0].columns == ["case_id", "day", "marks"]
+
+
 def test_readers_and_reports(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_bytes(b"caf\xc3\xa9 \xff end\nline two")
