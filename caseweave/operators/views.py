@@ -10,6 +10,7 @@ from caseweave.operators.filters import is_real_location
 from caseweave.operators.graph import both_ways
 from caseweave.operators.report import location_pairs
 from caseweave.operators.rollups import edge_width, named_ends, node_size, person_at_location
+from caseweave.plans.blocks import dealt
 from caseweave.plans.fixpoint import connected_components
 from caseweave.plans.scratch import Scratch
 
@@ -105,19 +106,19 @@ def entity_briefs(entities: DataFrame, edges: DataFrame, most: int = 10) -> Data
 
     Rows: (entity_id, name, entity_type, confidence, unresolved), (src, dst, rel_type, case_id, is_ai, confidence). Connections to unknown entities don't count.
     """
-    ends = edges.select(F.col("src").alias("entity_id"), F.col("dst").alias("other"), "rel_type", "case_id", "is_ai", "confidence")
-    back = edges.where("src <> dst").select(F.col("dst").alias("entity_id"), F.col("src").alias("other"), "rel_type", "case_id", "is_ai", "confidence")
-    about = entities.select(F.col("entity_id").alias("other"), F.col("name").alias("other_name"), F.col("entity_type").alias("other_type"))
-    rows = ends.union(back).join(about.hint("shuffle_merge"), "other").withColumn("inferred", F.coalesce(F.col("is_ai") & (F.col("confidence") < 0.8), F.lit(False)))
-    rows = Scratch(edges.sparkSession).write(rows)
-    weak = (F.col("other_type") == "Person") & (F.col("confidence") > 0) & (F.col("confidence") < 0.6)
-    sums = rows.groupBy("entity_id").agg(F.count("*").alias("connections"), F.count_if(~F.col("inferred")).alias("confirmed"), F.count_if("inferred").alias("inferred"), F.count_distinct("case_id").alias("cases"), F.count_if(weak).alias("weak_threads"))
+    inferred = F.coalesce(F.col("is_ai") & (F.col("confidence") < 0.8), F.lit(False)).alias("inferred")
+    low = ((F.col("confidence") > 0) & (F.col("confidence") < 0.6)).alias("low")
+    ends = edges.select(F.col("src").alias("entity_id"), F.col("dst").alias("other"), "rel_type", "case_id", inferred, low)
+    back = edges.where("src <> dst").select(F.col("dst").alias("entity_id"), F.col("src").alias("other"), "rel_type", "case_id", inferred, low)
+    about = entities.select(F.col("entity_id").alias("other"), F.col("name").alias("other_name"), (F.col("entity_type") == "Person").alias("person"))
+    rows = ends.union(back).join(about.hint("shuffle_merge"), "other").withColumn("weak", F.col("low") & F.col("person")).drop("low", "person")
     order = Window.partitionBy("entity_id", "inferred").orderBy("rel_type", "other_name", "other", "case_id")
-    first = rows.withColumn("i", F.row_number().over(order)).where(F.col("i") <= most)
+    rows = dealt(rows, "entity_id").withColumn("i", F.row_number().over(order))  # all sums and lists come from this one shuffle
     line = F.concat("rel_type", F.lit(": "), "other_name")
-    lists = first.groupBy("entity_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("inferred") == kind, F.struct("i", line.alias("line"))))).alias(name) for name, kind in (("first_confirmed", False), ("first_inferred", True))])
+    lists = [F.array_sort(F.collect_list(F.when((F.col("i") <= most) & (F.col("inferred") == kind), F.struct("i", line.alias("line"))))).alias(name) for name, kind in (("first_confirmed", False), ("first_inferred", True))]
+    sums = rows.groupBy("entity_id").agg(F.count("*").alias("connections"), F.count_if(~F.col("inferred")).alias("confirmed"), F.count_if("inferred").alias("inferred"), F.count_distinct("case_id").alias("cases"), F.count_if("weak").alias("weak_threads"), *lists)
     out = entities.select("entity_id", "name", "entity_type", (F.coalesce("unresolved", F.lit(False)) | F.coalesce((F.col("confidence") > 0) & (F.col("confidence") < 0.6), F.lit(False))).alias("unconfirmed"))
-    out = out.join(sums.hint("shuffle_merge"), "entity_id", "left").join(lists.hint("shuffle_merge"), "entity_id", "left").fillna(0, ["connections", "confirmed", "inferred", "cases", "weak_threads"])
+    out = dealt(out, "entity_id").join(sums.hint("shuffle_merge"), "entity_id", "left").fillna(0, ["connections", "confirmed", "inferred", "cases", "weak_threads"])
     for name in ("first_confirmed", "first_inferred"):
         out = out.withColumn(name, F.array_join(F.transform(name, lambda x: x["line"]), "; "))
     count = lambda c, said: F.when(F.col(c) > 0, F.concat(F.lit(f"{said} "), F.col(c).cast("string")))

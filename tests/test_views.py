@@ -53,6 +53,18 @@ def test_texts_of_one_file_are_dealt(spark, monkeypatch):
     assert written[0].rdd.getNumPartitions() > 1 and written[0].columns == ["case_id", "day", "marks"]
 
 
+def test_briefs_shuffle_edges_twice(spark):
+    entities = spark.createDataFrame([(i, f"n{i}", "Person", 0.9, False) for i in range(4)], "entity_id int, name string, entity_type string, confidence double, unresolved boolean")
+    edges = spark.createDataFrame([(0, i, "Associate", i, i == 3, 0.5) for i in (1, 2, 3, 9)] + [(0, 0, "Family", 1, False, 0.9)], "src int, dst int, rel_type string, case_id int, is_ai boolean, confidence double")
+    out = views.entity_briefs(entities, edges, most=2)
+    got = {r.entity_id: r for r in out.collect()}
+    assert (got[0].connections, got[0].confirmed, got[0].inferred, got[0].cases, got[0].weak_threads) == (4, 3, 1, 3, 3)
+    assert got[0].first_confirmed == "Associate: n1; Associate: n2" and got[0].first_inferred == "Associate: n3" and got[3].first_inferred == "Associate: n0"
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") <= 4
+
+
 def test_readers_and_reports(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_bytes(b"caf\xc3\xa9 \xff end\nline two")
