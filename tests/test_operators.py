@@ -126,6 +126,32 @@ def test_sampled_betweenness_keeps_its_bound(spark, monkeypatch):
     assert graph.betweenness_centrality(edges.limit(0)).collect() == []
 
 
+def test_betweenness_is_exact_at_any_size_and_spares_the_driver(spark, monkeypatch):
+    import random
+
+    dice = random.Random(11)
+    rows = {(min(a, b), max(a, b)): float(dice.randint(1, 9)) for a, b in ((dice.randrange(200), dice.randrange(200)) for _ in range(500)) if a != b}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in rows.items()], "a int, b int, weight double")
+    small = {r.node: (r.centrality, r.error_bound) for r in graph.betweenness_centrality(edges).collect()}
+
+    def whole(*_):
+        raise AssertionError("the graph goes through the driver")
+
+    monkeypatch.setattr(graph, "EXACT_NODES", 10)
+    monkeypatch.setattr(type(edges), "toPandas", whole)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", whole)
+    large = {r.node: (r.centrality, r.error_bound) for r in graph.betweenness_centrality(edges, error=None).collect()}
+    assert large.keys() == small.keys() and all(abs(large[k][0] - small[k][0]) < 1e-12 and large[k][1] == 0 for k in small)
+    assert {r.error_bound for r in graph.betweenness_centrality(edges).collect()} == {0.0}
+    monkeypatch.setattr(graph, "BROADCAST_ARCS", 10)
+    monkeypatch.setattr(graph, "RELAXED_ROWS", 500)  # two batches of sources
+    some = edges.where("a < 25 AND b < 60")
+    joined = {r.node: r.centrality for r in graph.betweenness_centrality(some).collect()}
+    monkeypatch.setattr(graph, "BROADCAST_ARCS", 10_000)
+    dealt = {r.node: r.centrality for r in graph.betweenness_centrality(some).collect()}
+    assert joined.keys() == dealt.keys() and all(abs(joined[k] - dealt[k]) < 1e-9 for k in dealt)
+
+
 def test_eigenvector_of_star(spark):
     star = spark.createDataFrame([(0, i, 1.0) for i in range(1, 5)], "a int, b int, weight double")
     got = dict(graph.eigenvector_centrality(star).collect())
