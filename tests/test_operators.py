@@ -555,6 +555,30 @@ def test_text_links_equal_the_triangle(spark):
     assert sorted((r.case_a, r.case_b) for r in got) == sorted(k for k, (_, s) in want.items() if s > 0.1)
 
 
+def test_pairs_of_blocks_are_judged_in_arrays(spark, monkeypatch):
+    import itertools
+
+    from caseweave.operators import pairwise
+
+    part = lambda x, y: len(x & y) / len(x | y) if x | y else 0.0
+    data = [(i, [f"t{i % 7}", f"t{i % 5 + 7}", None][: i % 4], ["n"] if i % 6 == 0 else None, {"w": [f"v{i % 2}"], "u": None} if i % 3 else None) for i in range(70)]
+    cases = spark.createDataFrame(data, "case_id long, terms array<string>, names array<string>, methods map<string, array<string>>").withColumns({c: F.lit(None).cast(k) for c, k in (("ages", "array<int>"), ("genders", "array<string>"), ("risks", "array<string>"))})
+    want = {}
+    for a, b in itertools.combinations(data, 2):
+        method = part(set(a[3]["w"]), set(b[3]["w"])) if a[3] and b[3] else 0.0
+        score = 0.40 * part(set(a[1]), set(b[1])) + 0.25 * method + 0.15 * part(set(a[2] or ()), set(b[2] or ()))
+        if score >= 0.25:
+            want[a[0], b[0]] = round(score, 9)
+    monkeypatch.setattr(pairwise, "PAIRS_AT_ONCE", 100)
+    monkeypatch.setattr(pairwise, "BATCH_ROWS", 50)
+    whole = pairwise.blocks_met
+    monkeypatch.setattr(pairwise, "blocks_met", lambda *a: whole(*a[:4], 9))  # groups of several blocks
+    found = series.text_links(cases)
+    got = [(r.case_a, r.case_b, round(r.score, 9)) for r in found.collect()]
+    assert {(a, b): s for a, b, s in got} == want and len(got) == len(want) > 300
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0]
+
+
 def test_density_clusters_join_cells_not_points(spark, monkeypatch):
     import random
 
