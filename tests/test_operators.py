@@ -579,6 +579,31 @@ def test_pairs_of_blocks_are_judged_in_arrays(spark, monkeypatch):
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0]
 
 
+def test_cosines_come_from_products_of_blocks(spark, monkeypatch):
+    import itertools
+    import random
+
+    rnd = random.Random(2)
+    vectors = {}
+    for i in range(40):
+        bag = {f"t{rnd.randrange(12)}": rnd.random() + 0.1 for _ in range(5)}
+        vectors[i] = {t: w / math.sqrt(sum(v * v for v in bag.values())) for t, w in bag.items()}
+    rows_ = [(i, t, w) for i, v in vectors.items() for t, w in v.items()]
+    dot = lambda a, b: sum(w * b.get(t, 0.0) for t, w in a.items())
+    want = {(i, j): round(dot(vectors[i], vectors[j]), 3) for i, j in itertools.combinations(vectors, 2) if dot(vectors[i], vectors[j]) >= 0.5}
+    whole = linkage.all_blocks_met
+    monkeypatch.setattr(linkage, "all_blocks_met", lambda *a: whole(*a, 9))
+    found = linkage.cosine_pairs(spark.createDataFrame(rows_, "doc_id long, term string, weight double"), 0.5)
+    got = [(r.case_a, r.case_b, r.cosine) for r in found.collect()]
+    assert len(got) == len(want) > 100 and all(abs(c - want[a, b]) < 6e-4 for a, b, c in got)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0]  # pairs below the minimum don't leave their task
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    found = linkage.tf_idf(spark.createDataFrame([(1, "red"), (1, "red"), (2, None), (3, "fox")], "doc_id int, text string"), [])
+    assert {(r.doc_id, r.term): round(r.weight, 9) for r in found.collect()} == {(1, "red"): 1.0, (3, "fox"): 1.0}
+
+
 def test_density_clusters_join_cells_not_points(spark, monkeypatch):
     import random
 
